@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from webloom.llm import line_dedup, sharding, url_filter
+from webloom.llm import line_dedup, packing, quality_rules, sharding, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op6_packing": packing.op6_packing,
     "op8_sharding": sharding.op8_sharding,
+    "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLES = {
     "op8_sharding": sharding.OP8_SQL,
+    "op9_quality_rules": quality_rules.OP9_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }
