@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from webloom.llm import decontamination, line_dedup, packing, quality_rules, sharding, simhash, toxicity, url_filter
+from webloom.llm import decontamination, line_dedup, packing, quality_model, quality_rules, sharding, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_simhash": simhash.op3_simhash,
+    "op4_quality": quality_model.op4_quality,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_packing": packing.op6_packing,
     "op8_sharding": sharding.op8_sharding,
