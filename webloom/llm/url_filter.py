@@ -78,12 +78,15 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 def _gram_buckets(text: Column, mark: str, n: int, dims: int) -> Column:
     """Buckets of the character n-grams of ``text`` between boundary marks; linear in the length of the text."""
-    chars = F.concat(F.array(F.lit("^")), F.filter(F.split(text, ""), lambda c: c != ""), F.array(F.lit("$")))
-    starts = F.when(F.size(chars) >= n, F.sequence(F.lit(1), F.size(chars) - (n - 1))).otherwise(
+    gram = lambda chars, i: F.concat(F.lit(mark), *[F.element_at(chars, i + k) for k in range(n)])
+    starts = lambda chars: F.when(F.size(chars) >= n, F.sequence(F.lit(1), F.size(chars) - (n - 1))).otherwise(
         F.array().cast("array<int>")
     )
-    gram = lambda i: F.concat(F.lit(mark), *[F.element_at(chars, i + k) for k in range(n)])
-    return F.transform(starts, lambda i: F.pmod(F.xxhash64(gram(i)), F.lit(dims)).cast("int"))
+    # The outer lambda binds the characters, which would else be split anew for every gram.
+    bound = F.array(F.concat(F.array(F.lit("^")), F.filter(F.split(text, ""), lambda c: c != ""), F.array(F.lit("$"))))
+    return F.get(
+        F.transform(bound, lambda c: F.transform(starts(c), lambda i: F.pmod(F.xxhash64(gram(c, i)), F.lit(dims)).cast("int"))), 0
+    )
 
 
 def url_features(host: Column, path: Column, dims: int) -> tuple[Column, Column]:
@@ -132,11 +135,15 @@ def fit_url_model(
 def url_score(host: Column, path: Column, weights: list[float]) -> Column:
     """The probability that the url is to be blocked; the weights are one literal of a fixed length."""
     dims = len(weights) - 1
-    table_of_weights = F.expr(f"transform(split('{','.join(repr(round(x, 9)) for x in weights)}', ','), x -> CAST(x AS DOUBLE))")
+    table_of_weights = F.expr(f"array({', '.join(f'{x:.9e}D' for x in weights)})")
     z = F.lit(float(weights[-1]))
     for buckets, share in zip(url_features(host, path, dims), (HOST_SHARE, PATH_SHARE), strict=True):
-        total = F.aggregate(buckets, F.lit(0.0), lambda s, b: s + F.get(table_of_weights, b))
-        z = z + F.when(F.size(buckets) > 0, share * total / F.sqrt(F.size(buckets).cast("double"))).otherwise(F.lit(0.0))
+        total = lambda own: F.aggregate(own, F.lit(0.0), lambda s, b: s + F.get(table_of_weights, b))
+        part = F.transform(
+            F.array(buckets),
+            lambda own: F.when(F.size(own) > 0, share * total(own) / F.sqrt(F.size(own).cast("double"))).otherwise(F.lit(0.0)),  # noqa: B023
+        )
+        z = z + F.get(part, 0)
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
