@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from webloom.llm import decontamination, line_dedup, packing, quality_model, quality_rules, sharding, simhash, toxicity, url_filter
+from webloom.llm import decontamination, line_dedup, packing, pii, quality_model, quality_rules, sharding, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality": quality_model.op4_quality,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_packing": packing.op6_packing,
+    "op7_pii": pii.op7_pii,
     "op8_sharding": sharding.op8_sharding,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_line_dedup": line_dedup.op10_line_dedup,
