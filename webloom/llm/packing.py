@@ -3,7 +3,10 @@ lengths that fills a window closest to its capacity; each choice is repeated as
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,46 +17,81 @@ from pyspark.sql import functions as F
 
 from webloom.llm.common import materialise, table
 
-#: Words whose ids a worker remembers; it forgets all of them when there are more.
-MEMO = 700_000
+#: Word beginnings, and whole words, whose ids a worker remembers; it forgets all of a kind when there are more.
+BODIES, MEMO = 900_000, 500_000
 #: These characters part words for Python but not for the tokenizer's white-space rule.
-NOT_SPACE = "\x1c\x1d\x1e\x1f"
+NOT_SPACE = re.compile("[\x1c-\x1f]")
+#: Signs that may follow a word. The tokenizer never merges across the border between letters and these; an apostrophe is not
+#: among them, as some words go with it.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+class _Bodies(dict):
+    """Ids of pieces that the tokenizer takes as they are."""
+
+    def __init__(self, path: str):
+        # Spark's tasks are the parallelism; the library's own threads would only add memory and waiting.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(path)
+        t.encode_special_tokens = True
+        self.encode = t.encode
+
+    def of(self, text: str) -> bytes:
+        return array("I", self.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, text: str) -> bytes:
+        if len(self) > BODIES:
+            self.clear()
+        ids = self[text] = self.of(text)
+        return ids
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t, {}
+
+class _Words(dict):
+    """Ids of words, put together from a body of letters and the signs after it."""
+
+    def __init__(self, bodies: _Bodies):
+        self.bodies = bodies
+
+    def __missing__(self, word: str) -> bytes:
+        body = word.rstrip(SIGNS)
+        if body is not word and body.isalpha():
+            ids = self.bodies[body] + self.bodies[word[len(body) :]]
+        else:
+            ids = self.bodies[word]
+        self[word] = ids
+        return ids
+
+
+@lru_cache(maxsize=2)
+def _words(path: str) -> _Words:
+    return _Words(_Bodies(path))
 
 
 class WordEncoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes, word by word from a memo. Needs a tokenizer that drops
+    """Ids of texts as unsigned 32-bit bytes, word by word from a memo. Needs a tokenizer that lowers case, drops
     white space and never merges across it, so that a text's ids are its words' ids in a row."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.memo = _tokenizer(path)
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        for start in range(0, len(texts), 256):
-            words = []
-            for x in texts[start : start + 256]:
-                if any(c in x for c in NOT_SPACE):
-                    words.append(x)
-                else:
-                    words.append((x.lower() if x.isascii() else x).split())
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            new = list({w for ws in words if not isinstance(ws, str) for w in ws}.difference(self.memo))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.memo[w] = np.array(e.ids, "<u4").tobytes()
-            for ws in words:
-                if isinstance(ws, str):
-                    yield np.array(self.tokenizer.encode(ws, add_special_tokens=False).ids, "<u4").tobytes()
-                else:
-                    yield b"".join(map(self.memo.__getitem__, ws))
+        self.words = _words(path)
+
+    @staticmethod
+    def _lower(text: str) -> str:
+        """Lower case where it cannot interfere with the tokenizer's normal form: plain Latin letters."""
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text
+        return text.lower()
+
+    def __call__(self, text: str) -> bytes:
+        if NOT_SPACE.search(text):
+            return self.words.bodies.of(text)
+        if len(self.words) > MEMO:
+            self.words.clear()
+        return b"".join(map(self.words.__getitem__, self._lower(text).split()))
 
 
 def fill_patterns(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -117,9 +155,8 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, eos: int, capacity: int) ->
         end = np.array([eos], "<u4").tobytes()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for doc, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
-                ids += end
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = encode(text or "") + end
                 total = len(ids) // 4
                 view = memoryview(ids)
                 for start in range(0, total, capacity):
