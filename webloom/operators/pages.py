@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.dom import extract as E
 from webloom.dom.markdown import convert
-from webloom.dom.tree import parse, select
+from webloom.dom.tree import SelectorError, parse, select
 
 _META = ["title", "description", "language", "keywords", "robots", "canonical_url", "og_title", "og_description", "og_image", "og_url", "og_site_name", "timezone"]
 _TEXTS, _TEXT = pa.list_(pa.string()), pa.string()
@@ -67,12 +68,8 @@ def recovered(scraped: DataFrame, floor: int = 50, ratio: int = 3) -> DataFrame:
     return scraped.withColumn("markdown", F.when((main < floor) & (full >= F.greatest(F.lit(floor), ratio * main)), F.col("full_markdown")).otherwise(F.col("markdown")))
 
 
-@F.pandas_udf("boolean")
-def matches_selector(html, selector):  # noqa: ANN001, ANN201
+def matches_selector(html: Column, selector: Column) -> Column:
     """Whether a page has an element for a css selector; an unsupported selector matches nothing."""
-    import pandas as pd
-
-    from webloom.dom.tree import SelectorError
 
     def one(h: str | None, s: str | None) -> bool:
         try:
@@ -80,7 +77,11 @@ def matches_selector(html, selector):  # noqa: ANN001, ANN201
         except SelectorError:
             return False
 
-    return pd.Series([one(h, s) for h, s in zip(html, selector, strict=True)])
+    @F.pandas_udf("boolean")
+    def found(pages: pd.Series, selectors: pd.Series) -> pd.Series:
+        return pd.Series([one(h, s) for h, s in zip(pages, selectors, strict=True)])
+
+    return found(html, selector)
 
 
 def bm25_sections(sections: DataFrame, query: str, mode: float = 0.5, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:

@@ -12,6 +12,7 @@ from webloom.session import table
 _TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
 
 
+
 def search_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").selectExpr("page_id", f"'  ' || {_TITLE} || ' ' AS q")
     d = F.concat(F.lit("d"), (F.col("page_id") % 5).cast("string"), F.lit(".example"))
