@@ -34,5 +34,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_or_empty(text: Column) -> Column:
-    return F.coalesce(text, F.lit(""))
+def own_columns(df: DataFrame, without: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of ``df`` by quoted name, whatever they are called."""
+    return [F.col(f"`{c}`") for c in df.columns if c not in without]
+
+
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, with Arrow batches of its session held to ``rows`` rows, so that a Python worker holds few texts at a time."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+

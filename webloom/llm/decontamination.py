@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.common import table
+from webloom.llm.common import small_batches, table
 
 #: Windows of 12 tokens; 1: the position counts. The first three tolerate a substitution anywhere, the others a replaced run of four.
 MASKS = ("011011011011", "101101101101", "110110110110", "111111110000", "000011111111", "111100001111")
@@ -138,7 +138,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 16_000_
     found. Repeated items: once. Repeated documents: a row each. Empty tables: no rows. Extra columns are ignored.
     Returns doc_id, item_id, start (in tokens), length, equal_tokens.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
     for block in _blocks(benchmark, block_bytes):
 
@@ -157,7 +157,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 16_000_
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 16_000_000) -> DataFrame:
     """The documents that overlap with no benchmark item, by the rule of ``find_leaks``, with all their columns."""
-    place = docs.columns.index("text")
+    place = small_batches(docs).columns.index("text")
     for block in _blocks(benchmark, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:

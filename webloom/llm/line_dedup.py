@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import materialise, table
+from webloom.llm.common import materialise, own_columns, table
 
 #: Shorter lines (in characters, after trimming blanks) are never compared: too little text to tell a copy from chance.
 MIN_CHARS = 20
@@ -126,7 +126,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     Very long lines are compared whole. Empty table: no rows.
     Returns all columns of ``docs`` with ``text`` cut, and n_lines and n_removed (those names are overwritten).
     """
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    columns = own_columns(docs, ("n_lines", "n_removed"))
     lines = _lines(docs)
     spots = lines.select("h1", "h2", "d_id", "d_hash", "pos")
     near = materialise(near_lines(lines))
@@ -140,22 +140,22 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     removed = (
         spots.join(judged, ["h1", "h2"])
         .where("gone OR keep <> struct(d_id, d_hash, pos)")
-        .groupBy("d_id", "d_hash")
-        .agg(F.sort_array(F.collect_set("pos")).alias("removed"))
+        .groupBy(F.col("d_id").alias("__id"), F.col("d_hash").alias("__hash"))
+        .agg(F.sort_array(F.collect_set("pos")).alias("__removed"))
     )
     all_lines = F.split("text", "\n")
-    keyed = docs.select(*names, *_document_key())
+    keyed = docs.select(*columns, *[k.alias(name) for k, name in zip(_document_key(), ("__id", "__hash"), strict=True)])
     return (
-        keyed.join(removed, ["d_id", "d_hash"], "left")
+        keyed.join(removed, ["__id", "__hash"], "left")
         .withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(all_lines)).cast("long"))
-        .withColumn("n_removed", F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long"))
+        .withColumn("n_removed", F.when(F.col("__removed").isNull(), 0).otherwise(F.size("__removed")).cast("long"))
         .withColumn(
             "text",
-            F.when(F.col("removed").isNull(), F.col("text")).otherwise(
-                F.array_join(F.filter(all_lines, lambda line, i: ~F.array_contains("removed", i)), "\n")
+            F.when(F.col("__removed").isNull(), F.col("text")).otherwise(
+                F.array_join(F.filter(all_lines, lambda line, i: ~F.array_contains("__removed", i)), "\n")
             ),
         )
-        .select(*names, "n_lines", "n_removed")
+        .select(*columns, "n_lines", "n_removed")
     )
 
 

@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import materialise, table
+from webloom.llm.common import materialise, small_batches, table
 
 #: Word beginnings, and whole words, whose ids a worker remembers; it forgets all of a kind when there are more.
-BODIES, MEMO = 900_000, 500_000
+BODIES, MEMO = 500_000, 200_000
 #: These characters part words for Python but not for the tokenizer's white-space rule.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
 #: Signs that may follow a word. The tokenizer never merges across the border between letters and these; an apostrophe is not
@@ -167,7 +167,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, eos: int, capacity: int) ->
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(cut, ", ".join(f"{n} long" for n in names))
+    return small_batches(rows).mapInArrow(cut, ", ".join(f"{n} long" for n in names))
 
 
 def pack(docs: DataFrame, tokenizer_path: str, eos: int = 2, capacity: int = 4096) -> DataFrame:

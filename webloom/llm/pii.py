@@ -12,8 +12,9 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from webloom.llm.common import table
+from webloom.llm.common import own_columns, small_batches, table
 
 #: The key of the registered query; a real one comes from the caller.
 DEMO_KEY = b"surrogates"
@@ -243,9 +244,8 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     table: no rows. Returns all columns with ``text`` replaced, and n_entities and entities (kind, start, end, original, surrogate), of which the last is
     for audits only; those two names are overwritten.
     """
-    names = [c for c in docs.columns if c not in ("n_entities", "entities")]
-    docs = docs.select(*names)
-    place = names.index("text")
+    docs = small_batches(docs).select(*own_columns(docs, ("n_entities", "entities")))
+    place = docs.columns.index("text")
     entity = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("original", pa.string()), ("surrogate", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,9 +258,8 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
                 [*columns, pa.array([len(es) for es in found], pa.int64()), pa.array(found, pa.list_(entity))], names=[*batch.schema.names, "n_entities", "entities"]
             )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    kinds = "array<struct<kind:string,start:bigint,end:bigint,original:string,surrogate:string>>"
-    return docs.mapInArrow(run, f"{fields}, n_entities bigint, entities {kinds}")
+    more = StructType.fromDDL("n_entities bigint, entities array<struct<kind:string,start:bigint,end:bigint,original:string,surrogate:string>>")
+    return docs.mapInArrow(run, StructType(docs.schema.fields + more.fields))
 
 
 def colliding_surrogates(replaced: DataFrame) -> DataFrame:
