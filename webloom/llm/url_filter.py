@@ -29,6 +29,7 @@ http://buy-cheap-meds.example.org/pharmacy  https://replica-cheap.example.net/sa
 https://free-money-now.example.net/claim  http://win-free-phone.example.org/prize  https://crypto-double.example.com/en/9
 http://poker-bonus-free.example.net/fr/5  https://escort-xxx.example.org/city  http://keygen-crack.example.com/download
 https://click-ads-track.example.net/go  http://miracle-pills.example.com/es/61  https://blog.spam-blaster.example.org/en/7
+http://www.casino-royal-win.example.net/en/23  https://www.spam-farm-links.example.com/es/61  http://www.free-casino.example.org/de/14
 http://spam-farm-seo.example.com/de/402  https://bets-casino-live.example.net/roulette  http://www.xxx-adult.example.com/
 https://popup-ads.example.org/serve  http://cheap-pills-deals.example.net/fr/90.html
 """
@@ -52,6 +53,8 @@ http://weaving.example.net/fr/65.html  https://strength.example.org/de/357  http
 https://intention.example.net/es/252?utm_source=feed  https://other-thing.example.org/fr/925  https://nation.example.com/de/414
 """
 
+#: The log odds of blocking a url of which nothing is known.
+PRIOR = -1.0
 #: The host says more about a page than its path does.
 HOST_SHARE, PATH_SHARE = 1.0, 0.4
 
@@ -100,7 +103,7 @@ def url_features(host: Column, path: Column, dims: int) -> tuple[Column, Column]
 def fit_url_model(
     labelled: DataFrame, dims: int = 4096, max_labelled: int = 5000, epochs: int = 600, rate: float = 2.0, l2: float = 1e-4
 ) -> list[float]:
-    """Full-batch gradient descent on a small table (url, label 0 or 1); the bias is last. At most ``max_labelled``
+    """Full-batch gradient descent on a small table (url, label 0 or 1); last comes the bias, which is PRIOR. At most ``max_labelled``
     rows, those of the smallest url hashes, come to the driver. Rows with a null label are ignored; no rows: all zero."""
     host, path = host_and_path(F.col("url"))
     of_host, of_path = url_features(host, path, dims)
@@ -118,17 +121,16 @@ def fit_url_model(
             for b in part:
                 v[b] = v.get(b, 0.0) + share / math.sqrt(len(part))
         sparse.append((v, r.label))
-    w = [0.0] * (dims + 1)
+    w = [0.0] * dims + [PRIOR]
     for _ in range(epochs if sparse else 0):
         gradient: dict[int, float] = {}
         for v, y in sparse:
             z = w[dims] + sum(w[b] * x for b, x in v.items())
             miss = 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - y
-            gradient[dims] = gradient.get(dims, 0.0) + miss
             for b, x in v.items():
                 gradient[b] = gradient.get(b, 0.0) + miss * x
         for b, g in gradient.items():
-            w[b] -= rate * (g / len(sparse) + (l2 * w[b] if b < dims else 0.0))
+            w[b] -= rate * (g / len(sparse) + l2 * w[b])
     return w
 
 
@@ -150,7 +152,7 @@ def url_score(host: Column, path: Column, weights: list[float]) -> Column:
 def filter_urls(pages: DataFrame, labelled: DataFrame, rules=RULES, threshold: float = 0.5) -> DataFrame:
     """Judges every url of ``pages`` (page_id, url): the longest fitting rule decides, else the regression.
 
-    Null url or no ``://``: empty host and path, no rule, judged by the bias alone (allow, with the default table). Very
+    Null url or no ``://``: empty host and path, no rule, judged by the prior alone (allow). Very
     long urls are scored whole. Repeated rows are judged alike; an empty table gives no rows; other columns are ignored.
     Returns page_id, host, path, rule, verdict, score (null where a rule decided).
     """
