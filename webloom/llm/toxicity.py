@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.common import table
+from webloom.llm.common import materialise, small_batches, table
 
 # Word classes of the grammar, English, German, French and Spanish. Fixed values.
 INSULTS = """idiot idiots moron morons imbecile cretin scum loser losers clown clowns stupid dumb fool trash garbage filth
@@ -36,14 +36,14 @@ OTHER, CLAUSE_END = b".", b"|"
 PATTERNS = {
     "reported": rb"R[^|]{0,8}?[IH]",
     "negated": rb"N[^|IHN]{0,3}[IH]",
-    "threat": rb"T[^|HIT]{0,4}H[^|]{0,3}?T?|H[^|HI]{0,3}T",
-    "targeted": rb"T[^|IT]{0,4}I|I[^|IT]{0,3}T",
+    "threat": rb"T[^|HITNR]{0,4}H[^|]{0,3}?T?|H[^|HINR]{0,3}T",
+    "targeted": rb"T[^|ITNR]{0,4}I|I[^|ITNR]{0,3}T",
     "insult": rb"I",
 }
 _GRAMMAR = re.compile(b"|".join(b"(?P<%s>%s)" % (name.encode(), p) for name, p in PATTERNS.items()))
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 PREFIXES = range(3, 9)
-MEMO = 500_000
+MEMO = 200_000
 HELD_OUT = 5
 #: Documents learned from at most: those of the smallest hashes among the labelled ones.
 MAX_LABELLED = 20_000
@@ -101,7 +101,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(MAX_LABELLED)
     )
-    return docs.select("doc_id", "text").join(wanted, "doc_id")
+    # At most MAX_LABELLED ids are sent to the executors, rather than all texts to each other.
+    return materialise(docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id"))
 
 
 def learn_terms(labelled: DataFrame, max_terms: int = 5000) -> dict[str, float]:
@@ -151,7 +152,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     label, or labels of one kind: only the fixed classes and given weights. Very long text: whole. Repeated rows: scored alike. Empty table: no rows. Extra
     columns are ignored. Returns doc_id, held_out, score, predicted (1 from 0.5 on).
     """
-    sample = _labelled(docs, labels, "toxic")
+    sample = _labelled(small_batches(docs), labels, "toxic")
     learned = learn_terms(sample)
     codes = Classes(learned)
 
