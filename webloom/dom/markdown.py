@@ -78,27 +78,33 @@ PREPROCESSORS += [
 ]
 
 
-def _inline(node: Node, base: str) -> str:
+#: Elements nested deeper than this are read as plain text.
+DEEPEST = 120
+
+
+def _inline(node: Node, base: str, depth: int = 0) -> str:
+    if depth > DEEPEST:
+        return node.text(" ", strip=True)
     out = []
     for c in node.children:
         if isinstance(c, str):
             out.append(_WIDE.sub(" ", c.replace("\n", " ")))
         elif c.name in ("strong", "b"):
-            out.append(_around(_inline(c, base), "**"))
+            out.append(_around(_inline(c, base, depth + 1), "**"))
         elif c.name in ("em", "i"):
-            out.append(_around(_inline(c, base), "*"))
+            out.append(_around(_inline(c, base, depth + 1), "*"))
         elif c.name == "code":
             out.append(_around(c.text(), "`"))
         elif c.name == "br":
             out.append("  \n")
         elif c.name == "a":
-            out.append(_link(c, base))
+            out.append(_link(c, base, depth + 1))
         elif c.name == "img":
             out.append(_image(c, base))
         elif c.name in BLOCKS or c.name in ("ul", "ol", "table", "pre", "blockquote") or re.fullmatch("h[1-6]", c.name):
-            out.append("\n\n" + _block(c, base, 0).strip() + "\n\n")
+            out.append("\n\n" + _block(c, base, depth + 1).strip() + "\n\n")
         elif c.name not in ("script", "style", "head", "title", "meta", "link"):
-            out.append(_inline(c, base))
+            out.append(_inline(c, base, depth + 1))
     return "".join(out)
 
 
@@ -107,8 +113,8 @@ def _around(text: str, mark: str) -> str:
     return text if not bare else text[: len(text) - len(text.lstrip())] + mark + bare + mark + text[len(text.rstrip()) :]
 
 
-def _link(a: Node, base: str) -> str:
-    text, href = _inline(a, base).strip(), a.attrs.get("href", "").strip()
+def _link(a: Node, base: str, depth: int = 0) -> str:
+    text, href = _inline(a, base, depth).strip(), a.attrs.get("href", "").strip()
     if not href or href.lower().startswith("javascript:"):
         return text
     if base and not E._netloc(href) and not href.startswith(("mailto:", "tel:")):
@@ -126,9 +132,11 @@ def _image(n: Node, base: str) -> str:
 
 
 def _block(node: Node, base: str, depth: int) -> str:
+    if depth > DEEPEST:
+        return node.text(" ", strip=True)
     name = node.name
     if re.fullmatch("h[1-6]", name):
-        text = re.sub(r"\s+", " ", _inline(node, base)).strip()
+        text = re.sub(r"\s+", " ", _inline(node, base, depth)).strip()
         return f"\n\n{'#' * int(name[1])} {text}\n\n" if text else ""
     if name in ("ul", "ol"):
         return "\n\n" + _list(node, base, depth) + "\n\n"
@@ -139,7 +147,7 @@ def _block(node: Node, base: str, depth: int) -> str:
     if name == "blockquote":
         return "\n\n" + "\n".join("> " + line if line else ">" for line in _group(node, base, depth).strip().split("\n")) + "\n\n"
     if name == "table":
-        return "\n\n" + _table(node, base) + "\n\n"
+        return "\n\n" + _table(node, base, depth) + "\n\n"
     if name == "hr":
         return "\n\n---\n\n"
     return "\n\n" + _group(node, base, depth) + "\n\n"
@@ -150,12 +158,12 @@ def _group(node: Node, base: str, depth: int) -> str:
     out, run = [], Node("span")
     special = ("ul", "ol", "pre", "blockquote", "table", "hr")
     for c in node.children:
-        if isinstance(c, Node) and (c.name in BLOCKS or c.name in special or re.fullmatch("h[1-6]", c.name)) and depth < 200:
-            out += [_inline(run, base).strip(), _block(c, base, depth + 1)]
+        if isinstance(c, Node) and (c.name in BLOCKS or c.name in special or re.fullmatch("h[1-6]", c.name)):
+            out += [_inline(run, base, depth + 1).strip(), _block(c, base, depth + 1)]
             run = Node("span")
         else:
             run.children.append(c)
-    out.append(_inline(run, base).strip())
+    out.append(_inline(run, base, depth + 1).strip())
     return "\n\n".join(p for p in out if p.strip())
 
 
@@ -165,16 +173,16 @@ def _list(node: Node, base: str, depth: int) -> str:
         if isinstance(item, Node) and item.name == "li":
             mark = f"{n}. " if node.name == "ol" else "- "
             n += 1
-            body = re.sub(r"\n{2,}", "\n", _group(item, base, depth + 1).strip()) if depth < 200 else item.text(" ", strip=True)
+            body = re.sub(r"\n{2,}", "\n", _group(item, base, depth + 1).strip())
             out.append(mark + body.replace("\n", "\n" + " " * len(mark)))
     return "\n".join(out)
 
 
-def _table(node: Node, base: str) -> str:
+def _table(node: Node, base: str, depth: int) -> str:
     rows = []
     for tr in node.every("tr"):
         cells = [c for c in tr.children if isinstance(c, Node) and c.name in ("td", "th")]
-        rows.append([re.sub(r"\s+", " ", _inline(c, base)).strip().replace("|", "\\|") for c in cells])
+        rows.append([re.sub(r"\s+", " ", _inline(c, base, depth + 1)).strip().replace("|", "\\|") for c in cells])
     rows = [r for r in rows if r]
     if not rows:
         return ""

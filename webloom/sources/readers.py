@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Scrape and search events share one log.
-EVENTS = T.StructType.fromDDL(
+EVENTS = (
     "schema INT, kind STRING, ts STRING, domain STRING, success BOOLEAN, verdict STRING, score INT, attempts INT, escalated BOOLEAN, word_count INT, "
     "status_code INT, cache_hit BOOLEAN, latency_ms BIGINT, url STRING, provider STRING, result_count INT, query_hash STRING, query STRING, _corrupt_record STRING"
 )
-MAP_ENTRIES = T.StructType.fromDDL("url STRING, title STRING, description STRING, allowed BOOLEAN, included BOOLEAN, _corrupt_record STRING")
-CASES = T.StructType.fromDDL(
+MAP_ENTRIES = ("url STRING, title STRING, description STRING, allowed BOOLEAN, included BOOLEAN, _corrupt_record STRING")
+CASES = (
     "id STRING, url STRING, category STRING, title STRING, why STRING, js_heavy BOOLEAN, spa BOOLEAN, antibot BOOLEAN, content_type STRING, difficulty INT, "
     "probes ARRAY<STRING>, stable BOOLEAN, scored BOOLEAN, expect ARRAY<STRING>, expect_absent ARRAY<STRING>"
 )
@@ -48,8 +48,8 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
     text = spark.read.text(path, wholetext=True).first()
     cases = (yaml.safe_load(text.value) or {}).get("cases", []) if text else []
-    rows = [tuple(c.get(f.name) for f in CASES) for c in cases]
-    frame = spark.createDataFrame(rows, CASES)
+    schema = T.StructType.fromDDL(CASES)
+    frame = spark.createDataFrame([tuple(c.get(f.name) for f in schema) for c in cases], schema)
     return frame.withColumn("is_scored", F.coalesce("scored", "stable", F.lit(True)))
 
 
