@@ -37,3 +37,11 @@ def list_runs(index: DataFrame, n: int | None = None) -> DataFrame:
 def upsert_cache(entries: DataFrame, path: str) -> None:
     """Adds cache entries by the first two digits of their key; readers take the newest of a key."""
     entries.withColumn("prefix", F.substring("cache_key", 1, 2)).write.mode("append").partitionBy("prefix").parquet(path)
+
+
+def write_pages(scraped: DataFrame, path: str, content: str = "markdown") -> None:
+    """One file a page, below a folder named like its url (see ``operators.search.batch_paths``); pages without content leave none."""
+    from webloom.operators.search import batch_paths
+
+    named = batch_paths(scraped.select("ordinal", "url")).select("ordinal", "path")
+    scraped.where(F.coalesce(content, F.lit("")) != "").join(named, "ordinal").select("path", content).write.mode("append").partitionBy("path").text(path)
