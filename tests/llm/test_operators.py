@@ -91,6 +91,7 @@ def test_near_duplicates_drop_copies(spark):
     assert not any(near(a, b) for a in kept for b in kept if a < b)
     group = roots(list(fp), [(a, b) for a in fp for b in fp if a < b and near(a, b)])
     assert {group[d] for d in kept} == set(group.values())
+    assert all(d in kept or any(near(d, e) for e in fp if group[e] == group[d] and e != d) for d in fp)
     assert 30 <= len(kept) <= 36
 
 

@@ -5,18 +5,21 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import materialise, table
+from webloom.llm.common import materialise, own_columns, small_batches, table
 
 BITS = 64
 #: Buckets of up to so many distinct fingerprints compare all their pairs; larger ones go another, exact way.
 SMALL_BUCKET = 16
+#: So many masks are applied to all texts before the others are to those not yet found to be copies.
+FIRST_MASKS = 8
 
 
 def covering_masks(radius: int, bits: int = BITS) -> list[int]:
@@ -71,41 +74,43 @@ def fingerprints(docs: DataFrame, words_each: int = 3) -> DataFrame:
             fp = _bits_set(all_values, np.array(bounds))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def hamming(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
-
-
-def _buckets(prints: DataFrame, radius: int, carry: list[str]) -> DataFrame:
+def _buckets(prints: DataFrame, masks: list[int], carry: list[str]) -> DataFrame:
     """One row a fingerprint and mask: ``carry`` and the hashed bucket key of the mask and the bits it keeps."""
-    signed = [m - 2**64 if m >= 2**63 else m for m in covering_masks(radius)]
-    keys = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(signed)])
+    signed = [m - 2**64 if m >= 2**63 else m for m in masks]
+    keys = F.array(*[F.xxhash64(F.lit(m), F.col("fp").bitwiseAND(F.lit(m))) for m in signed])
     return prints.select(*carry, F.explode(keys).alias("key"))
 
 
-def _pairs_of(entries: DataFrame, node: str) -> DataFrame:
-    """All pairs (a, b), a < b, of the nodes of a key. For keys of at most SMALL_BUCKET nodes."""
-    return (
+def _pairs_of(entries: DataFrame, radius: int) -> DataFrame:
+    """All pairs (a, b), a < b, of the nodes of a key (key, node, fp) within the radius, once each. For keys of at most SMALL_BUCKET nodes."""
+    return _within(
         entries.groupBy("key")
-        .agg(F.sort_array(F.collect_list(node)).alias("all"))
+        .agg(F.sort_array(F.collect_list(F.struct("node", "fp"))).alias("all"))
         .select(F.explode("all").alias("a"), "all")
-        .select("a", F.explode("all").alias("b"))
-        .where(F.col("a") < F.col("b"))
+        .select("a", F.explode("all").alias("b")),
+        radius,
     )
 
 
+def _within(pairs: DataFrame, radius: int) -> DataFrame:
+    """Of pairs of structs (node, fp) the nodes (a, b) with a < b within the radius, once each."""
+    near = (F.col("a.node") < F.col("b.node")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius)
+    return pairs.where(near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+
+
 def near_pairs(prints: DataFrame) -> DataFrame:
     """Edges (a, b) over distinct fingerprints ``fp`` that connect exactly what all pairs at 2 or fewer differing bits
     connect. Small buckets give all their pairs. A fingerprint in a large bucket instead names every value at most one bit away:
     two fingerprints within two bits share such a value, and all that share one lie within two bits of each other, so that each is linked to
     the least of them."""
     radius = 2
-    entries = _buckets(prints, radius, ["fp"])
+    entries = _buckets(prints, covering_masks(radius), ["fp"])
     buckets = materialise(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     small = entries.join(buckets.where(F.col("n") <= SMALL_BUCKET).select("key"), "key", "left_semi")
-    pairs = _pairs_of(small, "fp").where(hamming("a", "b") <= radius)
+    pairs = _pairs_of(small.withColumn("node", F.col("fp")), radius)
     crowded = entries.join(buckets.where(F.col("n") > SMALL_BUCKET).select("key"), "key", "left_semi").select("fp").distinct()
     flips = F.array(*[F.lit(1 << i if i < 63 else -(2**63)) for i in range(BITS)])
     near = F.concat(F.array("fp"), F.transform(flips, lambda x: F.col("fp").bitwiseXOR(x)))
@@ -155,16 +160,17 @@ _PUNCTUATION = re.compile(rb"[^\w\x80-\xff]+")
 
 
 def text_sets(docs: DataFrame, words_each: int = 5) -> DataFrame:
-    """Per text: doc_id, text_hash, a fingerprint of its distinct words without punctuation, a hash of its set of word
+    """Per text: doc_id, text_hash, a fingerprint of its distinct word pairs without punctuation, a hash of its set of word
     shingles, and the set's size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, bounds, sets, sizes = [], [0], [], []
             for text in batch.column(2).to_pylist():
-                words = set(_PUNCTUATION.sub(b" ", (text or "").encode().lower()).split())
-                values.append(np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words)))
-                bounds.append(bounds[-1] + len(words))
+                words = _PUNCTUATION.sub(b" ", (text or "").encode().lower()).split()
+                twos = set(map(b" ".join, zip(words, words[1:], strict=False))) or set(words)
+                values.append(np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in twos), np.uint64, len(twos)))
+                bounds.append(bounds[-1] + len(twos))
                 own = np.unique(np.array(_shingle_hashes(text, words_each), np.uint64))
                 sets.append(xxhash.xxh64_intdigest(own.tobytes()) - 2**63)
                 sizes.append(len(own))
@@ -175,7 +181,7 @@ def text_sets(docs: DataFrame, words_each: int = 5) -> DataFrame:
                 names=["doc_id", "text_hash", "fp", "node", "size"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     return rows.mapInArrow(run, "doc_id long, text_hash long, fp long, node long, size long")
 
 
@@ -198,6 +204,14 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, words_each: int) -> DataFr
     return wanted.join(texts, "text_hash").select("node", "text").mapInArrow(run, "node long, shingles array<int>")
 
 
+def _least(crowd: DataFrame, n: int) -> DataFrame:
+    """Per key an array of its ``n`` least nodes with their fingerprints. A key's nodes are first thinned out within slices of the
+    hash space, so that a task sorts a slice of a large bucket rather than all of it."""
+    first = Window.partitionBy("key", "slice").orderBy("node")
+    few = crowd.withColumn("slice", F.pmod("node", F.lit(64))).withColumn("place", F.row_number().over(first)).where(F.col("place") <= n)
+    return few.groupBy("key").agg(F.slice(F.sort_array(F.collect_list(F.struct("node", "fp"))), 1, n).alias("lead"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose shingle sets have at least that Jaccard similarity."""
 
@@ -215,60 +229,73 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _near_texts(docs: DataFrame, nodes: DataFrame, masks: list[int], radius: int, similarity: float, words_each: int) -> DataFrame:
+    """Verified edges (a, b), a < b, among nodes (node, fp, text_hash) that share a bucket of ``masks``; see ``drop_near_duplicates`` for what crowded
+    buckets compare."""
+    entries = _buckets(nodes, masks, ["node", "fp"])
+    # Always a shuffle of both sides, whatever their sizes here: the plan that large inputs get.
+    counted = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").hint("merge")
+    alive = materialise(entries.join(counted, "key").select("key", "node", "fp", "n"))
+    sets = materialise(_shingle_sets(docs, alive.select("node").distinct().join(nodes, "node").select("node", "text_hash"), words_each))
+    check = lambda pairs: materialise(_verified(pairs, sets, similarity))
+    found = [check(_pairs_of(alive.where(F.col("n") <= SMALL_BUCKET), radius))]
+    crowd, leaders = alive.where(F.col("n") > SMALL_BUCKET).select("key", "node", "fp"), 1
+    while not crowd.isEmpty():
+        lead = materialise(_least(crowd, leaders))
+        led = materialise(crowd.join(lead, "key").select("key", F.struct("node", "fp").alias("b"), F.explode("lead").alias("a")))
+        linked = check(_within(led.select("a", "b"), radius))
+        found.append(linked)
+        out = lead.select("key", F.explode("lead").alias("l")).select("key", F.col("l.node").alias("node"))
+        joined = led.select("key", F.col("a.node").alias("a"), F.col("b.node").alias("node")).join(linked.withColumnRenamed("b", "node"), ["a", "node"]).select("key", "node")
+        rest = crowd.join(out.union(joined).distinct(), ["key", "node"], "left_anti")
+        rest = materialise(rest.join(rest.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+        found.append(check(_pairs_of(rest.where(F.col("n") <= SMALL_BUCKET), radius)))
+        crowd, leaders = rest.where(F.col("n") > SMALL_BUCKET).select("key", "node", "fp"), leaders * 4
+    return materialise(reduce(DataFrame.union, found))
+
+
 def drop_near_duplicates(docs: DataFrame, radius: int = 6, similarity: float = 0.8, words_each: int = 5) -> DataFrame:
-    """Keeps one document, that of the least doc_id, of each group of near duplicates.
+    """Keeps one document of each group of near duplicates: of the text that leads the group, the one of least doc_id.
 
     Two texts are near duplicates if the Jaccard similarity of their sets of ``words_each``-word shingles (A-Z lower-cased) is
-    ``similarity`` or more and the fingerprints of their distinct words differ in at most ``radius`` bits; groups are what such links connect.
-    Texts of one shingle set are one node. Buckets of the covering masks with up to SMALL_BUCKET nodes compare all pairs; in
-    larger ones all nodes are compared with one leader, those like it join it, and the rest goes on without them, round by round, until the
-    bucket is small: linear where a bucket is one group of copies. So every dropped text was found similar to another of its group.
+    ``similarity`` or more and the fingerprints of their distinct word pairs differ in at most ``radius`` bits; groups are what such links connect.
+    Texts of one shingle set are one node. Buckets of the covering masks with up to SMALL_BUCKET nodes compare all pairs. In
+    larger ones all nodes are compared with a few leaders; those like one join it, and the rest goes on without them and with four times as many
+    leaders, until the bucket is small. What the first masks find to be a copy is not compared again. Of a bucket's texts that stay, no two are near duplicates, and every text that goes was found similar to another of
+    its group. The work is linear where a bucket is a group of copies; only texts that are near by the fingerprint and yet not similar meet each other.
     Null and empty texts: one group. Fewer words than a shingle: equal word sequences only. Very long texts: whole. Wholly
     equal rows: one stays. Null doc_id: after all others. Empty table: no rows. All columns are kept as they are.
     """
-    names = docs.columns
+    columns = own_columns(docs)
     figures = materialise(text_sets(docs, words_each))
     nodes = materialise(
         figures.groupBy("node").agg(F.min("fp").alias("fp"), F.max("size").alias("size"), F.min("text_hash").alias("text_hash"))
     )
     # Smaller sets cannot be similar without being equal.
     smallest = int(similarity / (1 - similarity) + 1e-9)
-    entries = _buckets(nodes.where(F.col("size") >= smallest), radius, ["node", "fp"])
-    counted = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    alive = materialise(entries.join(counted, "key").select("key", "node", "fp", "n"))
-    sets = materialise(_shingle_sets(docs, alive.select("node").distinct().join(nodes, "node").select("node", "text_hash"), words_each))
-    fp_of = nodes.select("node", "fp")
-    tried = lambda pairs: (
-        pairs.distinct()
-        .join(fp_of.withColumnsRenamed({"node": "a", "fp": "fa"}), "a")
-        .join(fp_of.withColumnsRenamed({"node": "b", "fp": "fb"}), "b")
-        .where(hamming("fa", "fb") <= radius)
-        .select("a", "b")
-    )
-    edges = materialise(_verified(tried(_pairs_of(alive.where(F.col("n") <= SMALL_BUCKET), "node")), sets, similarity))
-    crowd = materialise(alive.where(F.col("n") > SMALL_BUCKET).select("key", "node"))
-    while not crowd.isEmpty():
-        led = crowd.join(crowd.groupBy("key").agg(F.min("node").alias("a")), "key")
-        linked = materialise(_verified(tried(led.where("a <> node").select("a", F.col("node").alias("b"))), sets, similarity))
-        edges = edges.union(linked)
-        rest = led.where("a <> node").join(linked.withColumnRenamed("b", "node"), ["a", "node"], "left_anti").select("key", "node")
-        rest = materialise(rest.join(rest.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
-        edges = edges.union(_verified(tried(_pairs_of(rest.where(F.col("n") <= SMALL_BUCKET), "node")), sets, similarity))
-        crowd = rest.where(F.col("n") > SMALL_BUCKET).select("key", "node")
+    alive = nodes.where(F.col("size") >= smallest)
+    masks, found = covering_masks(radius), []
+    # The first masks find most copies; only what they leave goes through the others.
+    for part in (masks[:FIRST_MASKS], masks[FIRST_MASKS:]):
+        edges = _near_texts(docs, alive, part, radius, similarity, words_each)
+        found.append(edges)
+        alive = materialise(alive.join(edges.select(F.col("b").alias("node")).distinct(), "node", "left_anti"))
+    edges = reduce(DataFrame.union, found)
     roots = components(edges)
-    grouped = figures.join(roots, figures.node == roots.node, "left").select("doc_id", "text_hash", F.coalesce("root", figures.node).alias("root"))
+    # The text that leads a group was never found to be like an earlier one; members need not be unlike all leaders of other groups.
+    leading = figures.join(roots.where("node <> root"), "node", "left_anti")
     stays = materialise(
-        grouped.groupBy("root")
+        leading.groupBy("node")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("s"))
-        .select(F.struct("s.doc_id", "s.text_hash").alias("stays"))
-    )
-    kept = docs.withColumn("stays", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")))
-    twice = materialise(
-        figures.groupBy(F.struct("doc_id", "text_hash").alias("stays")).agg(F.count("*").alias("n")).where("n > 1").select("stays")
+        .select(F.struct("s.doc_id", "s.text_hash").alias("__wanted"))
     )
-    once = kept.join(stays.join(twice, stays.stays.eqNullSafe(twice.stays), "left_anti").select(F.col("stays").alias("s")), F.col("stays").eqNullSafe(F.col("s")), "left_semi")
-    again = kept.join(stays.join(twice, stays.stays.eqNullSafe(twice.stays), "left_semi").select(F.col("stays").alias("s")), F.col("stays").eqNullSafe(F.col("s")), "left_semi")
-    return once.select(*names).union(again.dropDuplicates(["stays"]).select(*names))
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    kept = docs.select(*columns, key.alias("__stays"))
+    twice = materialise(figures.groupBy(F.struct("doc_id", "text_hash").alias("twice")).agg(F.count("*").alias("n")).where("n > 1").select("twice"))
+    same = stays["__wanted"].eqNullSafe(twice.twice)
+    of = lambda wanted: kept.join(wanted, F.col("__stays").eqNullSafe(F.col("__wanted")), "left_semi")
+    once, again = of(stays.join(twice, same, "left_anti")), of(stays.join(twice, same, "left_semi"))
+    return once.select(*columns).union(again.dropDuplicates(["__stays"]).select(*columns))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
