@@ -3,7 +3,8 @@ probabilities are calibrated with a temperature."""
 
 from __future__ import annotations
 
-import re
+import string
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,18 +13,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.common import table
+from webloom.llm.common import small_batches, table
 
 #: Hashed vocabulary, vector length, neighbours on each side, nonzero entries of an index vector.
 WORDS, DIMS, REACH, NONZERO = 8192, 32, 2, 2
 #: Labelled documents learned from at most: those of the smallest hashes.
 MAX_LABELLED = 20_000
 HELD_OUT = 5
-MEMO = 500_000
+MEMO = 350_000
 #: The vector table travels in so many rows, added up in so many strands before the last sum.
 BLOCKS, STRANDS = 16, 32
 
-_PARTS = re.compile(r"^(\W*)(.*?)(\W*)$", re.DOTALL)
+#: What may stand around a word's body.
+SIGNS = string.punctuation + "«»“”„‘’…–—¿¡"
 _CAPITALS, _MIXED, _NUMBER = 0, 1, 2
 
 
@@ -31,39 +33,37 @@ def _bucket(unit: str) -> int:
     return 8 + xxhash.xxh32_intdigest(unit, 3) % (WORDS - 8)
 
 
-class Units:
-    """A text as units of a hashed vocabulary: each word's body, the signs around it, and a mark for odd shapes."""
-
-    def __init__(self):
-        self.memo: dict[str, bytes] = {}
-
-    def of_word(self, word: str) -> bytes:
-        before, body, after = _PARTS.match(word).groups()
-        units = [_bucket("<" + before)] if before else []
-        if body:
-            units.append(_bucket(body.lower()))
-            if len(body) > 1 and body.isupper():
-                units.append(_CAPITALS)
-            elif any(c.isdigit() for c in body):
+class Units(dict):
+    """A text as units of a hashed vocabulary: each word's body, the signs around it, and a mark for odd shapes. The dictionary remembers
+    words; it is emptied when it has too many."""
+
+    def __missing__(self, word: str) -> bytes:
+        body = word.strip(SIGNS)
+        units = []
+        if not body:
+            units.append(_bucket(">" + word))
+        else:
+            at = 0 if body is word else word.index(body)
+            if at:
+                units.append(_bucket("<" + word[:at]))
+            low = body.lower()
+            units.append(_bucket(low))
+            if low != body and len(body) > 1:
+                if body.isupper():
+                    units.append(_CAPITALS)
+                elif low[1:] != body[1:]:
+                    units.append(_MIXED)
+            elif not body.isalpha() and any(map(str.isdigit, body)):
                 units.append(_NUMBER)
-            elif not body[1:].islower() and len(body) > 1:
-                units.append(_MIXED)
-        if after:
-            units.append(_bucket(">" + after))
-        return np.array(units, np.uint16).tobytes()
+            if at + len(body) < len(word):
+                units.append(_bucket(">" + word[at + len(body) :]))
+        ids = self[word] = array("H", units).tobytes()
+        return ids
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").split()
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        try:
-            joined = b"".join(map(memo.__getitem__, words))
-        except KeyError:
-            for w in set(words).difference(memo):
-                memo[w] = self.of_word(w)
-            joined = b"".join(map(memo.__getitem__, words))
-        return np.frombuffer(joined, np.uint16)
+        if len(self) > MEMO:
+            self.clear()
+        return np.frombuffer(b"".join(map(self.__getitem__, (text or "").split())), np.uint16)
 
 
 def index_entries() -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +72,7 @@ def index_entries() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, DIMS, (NONZERO, WORDS)), rng.choice([-1.0, 1.0], (NONZERO, WORDS))
 
 
-def _chunks(texts: list[str | None], units: Units, size: int = 200_000) -> Iterator[tuple[list[np.ndarray], int]]:
+def _chunks(texts: list[str | None], units: Units, size: int = 25_000) -> Iterator[tuple[list[np.ndarray], int]]:
     """Runs of texts of about ``size`` units, with the place of the first."""
     own, n, first = [], 0, 0
     for k, text in enumerate(texts):
@@ -95,7 +95,7 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
         total = np.zeros(WORDS * DIMS)
         strand = 0
         for batch in batches:
-            for own, _ in _chunks(batch.column(0).to_pylist(), units):
+            for own, _ in _chunks(batch.column(0).to_pylist(), units, 200_000):
                 u = np.concatenate(own).astype(np.int64)
                 doc = np.repeat(np.arange(len(own)), [len(x) for x in own])
                 strand = (strand + len(u)) % STRANDS
@@ -115,7 +115,7 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
         yield from _as_rows(sums)
 
     schema = "strand int, block int, part binary"
-    partial = docs.select("text").mapInArrow(count, schema)
+    partial = small_batches(docs).select("text").mapInArrow(count, schema)
     strands = partial.repartition("strand", "block").mapInArrow(add, schema)
     whole = strands.select(F.lit(0).alias("strand"), "block", "part").repartition("block").mapInArrow(add, schema)
     out = np.zeros((BLOCKS, WORDS * DIMS // BLOCKS))
@@ -155,7 +155,7 @@ def pooled(own: list[np.ndarray], vectors: np.ndarray) -> np.ndarray:
     if len(some):
         starts = np.r_[0, np.cumsum(sizes[some])[:-1]]
         n = sizes[some][:, None]
-        out[some, :-3] = np.add.reduceat(vectors[u], starts, axis=0) / n
+        out[some, :-3] = np.add.reduceat(vectors.take(u, axis=0), starts, axis=0) / n
         doc = np.repeat(np.arange(len(own)), sizes)
         for gap in (1, 2):
             again = np.zeros(len(u))
@@ -237,7 +237,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[n
                 rows = list(pooled(own, vectors))
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float32())), batch.column(1).slice(first, len(rows))], names=["x", "label"])
 
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("text", "label").mapInArrow(describe, "x array<float>, label double").collect()
+    # At most MAX_LABELLED ids are sent to the executors, rather than all texts to each other.
+    rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("text", "label").mapInArrow(describe, "x array<float>, label double").collect()
     # Their order decides the split and the batches.
     rows.sort(key=lambda r: (r.x, r.label))
     y = np.array([r.label for r in rows])
