@@ -89,8 +89,8 @@ def _pairs_of(entries: DataFrame, radius: int) -> DataFrame:
     return _within(
         entries.groupBy("key")
         .agg(F.sort_array(F.collect_list(F.struct("node", "fp"))).alias("all"))
-        .select(F.explode("all").alias("a"), "all")
-        .select("a", F.explode("all").alias("b")),
+        .select(F.posexplode("all").alias("at", "a"), "all")
+        .select("a", F.explode(F.slice("all", F.col("at") + 2, F.size("all"))).alias("b")),
         radius,
     )
 
@@ -236,10 +236,13 @@ def _near_texts(docs: DataFrame, nodes: DataFrame, masks: list[int], radius: int
     # Always a shuffle of both sides, whatever their sizes here: the plan that large inputs get.
     counted = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").hint("merge")
     alive = materialise(entries.join(counted, "key").select("key", "node", "fp", "n"))
-    sets = materialise(_shingle_sets(docs, alive.select("node").distinct().join(nodes, "node").select("node", "text_hash"), words_each))
-    check = lambda pairs: materialise(_verified(pairs, sets, similarity))
-    found = [check(_pairs_of(alive.where(F.col("n") <= SMALL_BUCKET), radius))]
+    small = materialise(_pairs_of(alive.where(F.col("n") <= SMALL_BUCKET), radius))
     crowd, leaders = alive.where(F.col("n") > SMALL_BUCKET).select("key", "node", "fp"), 1
+    # Only texts within the radius of another, or in a crowd, are read again.
+    wanted = small.select(F.col("a").alias("node")).union(small.select("b")).union(crowd.select("node")).distinct()
+    sets = materialise(_shingle_sets(docs, wanted.join(nodes, "node").select("node", "text_hash"), words_each))
+    check = lambda pairs: materialise(_verified(pairs, sets, similarity))
+    found = [check(small)]
     while not crowd.isEmpty():
         lead = materialise(_least(crowd, leaders))
         led = materialise(crowd.join(lead, "key").select("key", F.struct("node", "fp").alias("b"), F.explode("lead").alias("a")))
