@@ -11,7 +11,7 @@ from webloom.llm.decontamination import drop_leaking
 from webloom.llm.line_dedup import dedup_lines
 from webloom.llm.packing import default_tokenizer, pack
 from webloom.llm.quality_model import drop_low_quality
-from webloom.llm.simhash import drop_near_duplicates
+from webloom.llm.simhash import BITS, drop_near_duplicates
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +25,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return drop_near_duplicates(docs)
+    """One document of each group of near duplicates stays, however far apart their fingerprints are."""
+    return drop_near_duplicates(docs, radius=BITS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

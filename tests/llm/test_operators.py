@@ -95,6 +95,37 @@ def test_near_duplicates_drop_copies(spark):
     assert 30 <= len(kept) <= 36
 
 
+def shingle_groups(rows):
+    """The groups by brute-force Jaccard similarity of five-word shingles, 0.8 or more, whatever the fingerprints."""
+    sets = {d: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for d, w in ((d, t.lower().split()) for d, t in rows)}
+    linked = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    return roots(sorted(sets), linked)
+
+
+def exact(group, kept):
+    return sorted(group[d] for d in kept) == sorted(set(group.values()))
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    rng = random.Random(8)
+    rows, common = [], " ".join(f"c{k}" for k in range(12))
+    for g in range(60):
+        n = rng.choice([30, 60, 100, 150])
+        text = [f"w{rng.randrange(3000)}" for _ in range(n)]
+        for c in range(30 if g == 0 else 4):
+            copy = list(text)
+            for _ in range(rng.randrange(4)):
+                copy[rng.randrange(n)] = f"changed{c}"
+            rows.append((len(rows), " ".join(copy) + (" " + common if g % 2 else "")))
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame, "").collect()]
+    group = shingle_groups(rows)
+    fp = {r.doc_id: r.fp & (2**64 - 1) for r in simhash.text_sets(frame).collect()}
+    assert any(all((fp[d] ^ fp[e]).bit_count() > 6 for e in fp if e != d and group[e] == group[d]) for d in fp if list(group.values()).count(group[d]) > 1)
+    assert exact(group, kept)
+
+
 def test_line_dedup_one_edit(spark):
     line = "an ordinary sentence that is repeated with one slip"
     variants = [line, line, line[:10] + "X" + line[11:], line[:30] + line[31:], line[:40] + "zz" + line[40:], "Q" + line, "short"]

@@ -3,6 +3,7 @@ within the radius equal under at least one mask."""
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -18,8 +19,10 @@ from webloom.llm.common import materialise, own_columns, small_batches, table
 BITS = 64
 #: Buckets of up to so many distinct fingerprints compare all their pairs; larger ones go another, exact way.
 SMALL_BUCKET = 16
-#: So many masks are applied to all texts before the others are to those not yet found to be copies.
+#: So many masks find most copies before the exact search for what they leave.
 FIRST_MASKS = 8
+#: Shingles counted at once for the list of frequent ones, and the most that the list holds. Both decide speed, not results.
+COUNTED, FREQUENT = 2**21, 2**18
 
 
 def covering_masks(radius: int, bits: int = BITS) -> list[int]:
@@ -159,11 +162,21 @@ def near_duplicates(docs: DataFrame, words_each: int = 3) -> DataFrame:
 _PUNCTUATION = re.compile(rb"[^\w\x80-\xff]+")
 
 
-def text_sets(docs: DataFrame, words_each: int = 5) -> DataFrame:
+def _repeated(sets: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows of ``text_sets`` for the shingles in more than one of ``sets``: the shingle as text_hash, the count as fp, size -1."""
+    values, counts = np.unique(np.concatenate(sets), return_counts=True)
+    values, counts = values[counts > 1].view(np.int64), counts[counts > 1].astype(np.int64)
+    none = pa.nulls(len(values), pa.int64())
+    return pa.RecordBatch.from_arrays([none, pa.array(values), pa.array(counts), none, pa.array(np.full(len(values), -1))], names=["doc_id", "text_hash", "fp", "node", "size"])
+
+
+def text_sets(docs: DataFrame, words_each: int = 5, repeated: bool = False) -> DataFrame:
     """Per text: doc_id, text_hash, a fingerprint of its distinct word pairs without punctuation, a hash of its set of word
-    shingles, and the set's size."""
+    shingles, and the set's size. With ``repeated`` also the rows of ``_repeated`` for every COUNTED shingles of distinct sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        n_held = 0
         for batch in batches:
             values, bounds, sets, sizes = [], [0], [], []
             for text in batch.column(2).to_pylist():
@@ -174,12 +187,20 @@ def text_sets(docs: DataFrame, words_each: int = 5) -> DataFrame:
                 own = np.unique(np.array(_shingle_hashes(text, words_each), np.uint64))
                 sets.append(xxhash.xxh64_intdigest(own.tobytes()) - 2**63)
                 sizes.append(len(own))
+                if repeated and len(own) and sets[-1] not in held:
+                    held[sets[-1]] = own
+                    n_held += len(own)
+                    if n_held >= COUNTED:
+                        yield _repeated(list(held.values()))
+                        held, n_held = {}, 0
             all_values = np.concatenate(values) if values else np.zeros(0, np.uint64)
             fp = _bits_set(all_values, np.array(bounds)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(fp), pa.array(sets, pa.int64()), pa.array(sizes, pa.int64())],
                 names=["doc_id", "text_hash", "fp", "node", "size"],
             )
+        if held:
+            yield _repeated(list(held.values()))
 
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     return rows.mapInArrow(run, "doc_id long, text_hash long, fp long, node long, size long")
@@ -257,35 +278,119 @@ def _near_texts(docs: DataFrame, nodes: DataFrame, masks: list[int], radius: int
     return materialise(reduce(DataFrame.union, found))
 
 
+def _frequent(repeated: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and counts of up to FREQUENT frequent shingles, from the rows of ``_repeated``."""
+    totals = materialise(repeated.groupBy(F.col("text_hash").alias("h")).agg(F.sum("fp").alias("n")).where("n >= 8").withColumn("power", F.log2("n").cast("int")))
+    least, room = 64, FREQUENT
+    for r in sorted(totals.groupBy("power").count().collect(), reverse=True):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r.power
+    rows = totals.where(F.col("power") >= least).select("h", "n").toArrow()
+    hashes, counts = rows.column(0).to_numpy().view(np.uint64), rows.column(1).to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def _prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], smallest: int, similarity: float, words_each: int) -> DataFrame:
+    """(node, size, common, keys) of every shingle set of ``smallest`` or more: the share of frequent shingles, and the set's first shingles in one
+    order for all, rare ones first: so many that two sets of at least that Jaccard similarity have one of them in common."""
+    listed, counts = frequent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sizes, common, keys = [], [], [], []
+            for text in batch.column(0).to_pylist():
+                own = np.unique(np.array(_shingle_hashes(text, words_each), np.uint64))
+                n = len(own)
+                if n < smallest:
+                    continue
+                times = np.zeros(n, np.int64)
+                if len(listed):
+                    at = np.minimum(np.searchsorted(listed, own), len(listed) - 1)
+                    times = np.where(listed[at] == own, counts[at], 0)
+                first = n - math.ceil(similarity * n - 1e-9) + 1
+                nodes.append(xxhash.xxh64_intdigest(own.tobytes()) - 2**63)
+                sizes.append(n)
+                common.append(np.count_nonzero(times) / n)
+                keys.append(own[np.lexsort((own, times))[:first]].view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(common, pa.float64()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["node", "size", "common", "keys"],
+            )
+
+    rows = small_batches(docs).select("text").mapInArrow(run, "node long, size long, common double, keys array<long>")
+    return rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "common", "keys")])
+
+
+def _with_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``nodes`` with the root that ``edges`` give each, its own node where they give none."""
+    return nodes.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _missing_links(docs: DataFrame, nodes: DataFrame, edges: DataFrame, frequent: tuple[np.ndarray, np.ndarray], radius: int, similarity: float, words_each: int) -> DataFrame:
+    """What ``edges`` lack: verified edges with which they connect exactly what all pairs of nodes (node, fp, text_hash) within the similarity and the
+    radius connect. A pair is compared if its sets share a shingle of their prefixes and the two are not connected yet. Crowded buckets first
+    compare all nodes with the one that has most of its shingles in common with others, which connects a group of edited copies."""
+    smallest = _smallest(similarity)
+    prefixes = materialise(_prefixes(docs, frequent, smallest, similarity, words_each))
+    facts = materialise(_with_roots(prefixes.select("node", "size", "common").join(nodes, "node"), edges))
+    keyed = prefixes.select("node", F.posexplode("keys").alias("at", "key"))
+    rooted = facts.select("node", "root").join(prefixes.select("node", "keys"), "node").select("root", F.explode("keys").alias("key"))
+    mixed = lambda rows: rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "n").hint("merge")
+    entries = materialise(keyed.join(mixed(rooted), "key").join(facts.drop("text_hash"), "node"))
+
+    def check(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        sets = materialise(_shingle_sets(docs, wanted.join(nodes, "node").select("node", "text_hash"), words_each))
+        return materialise(_verified(pairs, sets, similarity))
+
+    # Sets of this similarity differ in size by that factor at most.
+    near = (F.col("x.root") != F.col("y.root")) & (F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size") - 1e-6)
+    if radius < BITS:
+        near &= F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= radius
+    crowd = entries.where(F.col("n") > SMALL_BUCKET)
+    fields = F.struct("node", "root", "size", "fp")
+    lead = crowd.groupBy("key").agg(F.max_by(fields, F.struct("common", "node")).alias("x"))
+    stars = check(crowd.select("key", fields.alias("y")).join(lead, "key").where(near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+    now = materialise(_with_roots(facts.select("node"), edges.union(stars)))
+    entries = materialise(entries.drop("root", "n").join(now, "node"))
+    entries = materialise(entries.join(mixed(entries), "key"))
+    # In the bucket of the first shingle that two similar sets share, enough of both follows.
+    follows = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at"))
+    near &= follows * (1 + similarity) >= similarity * (F.col("x.size") + F.col("y.size")) - 1e-6
+    one = entries.alias("x").hint("merge")
+    rest = check(one.join(entries.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+    return stars.union(rest)
+
+
+def _smallest(similarity: float) -> int:
+    """Smaller sets cannot be similar without being equal."""
+    return int(similarity / (1 - similarity) + 1e-9)
+
+
 def drop_near_duplicates(docs: DataFrame, radius: int = 6, similarity: float = 0.8, words_each: int = 5) -> DataFrame:
     """Keeps one document of each group of near duplicates: of the text that leads the group, the one of least doc_id.
 
     Two texts are near duplicates if the Jaccard similarity of their sets of ``words_each``-word shingles (A-Z lower-cased) is
-    ``similarity`` or more and the fingerprints of their distinct word pairs differ in at most ``radius`` bits; groups are what such links connect.
-    Texts of one shingle set are one node. Buckets of the covering masks with up to SMALL_BUCKET nodes compare all pairs. In
-    larger ones all nodes are compared with a few leaders; those like one join it, and the rest goes on without them and with four times as many
-    leaders, until the bucket is small. What the first masks find to be a copy is not compared again. Of a bucket's texts that stay, no two are near duplicates, and every text that goes was found similar to another of
-    its group. The work is linear where a bucket is a group of copies; only texts that are near by the fingerprint and yet not similar meet each other.
+    ``similarity`` or more and the fingerprints of their distinct word pairs differ in at most ``radius`` bits (64: whatever they are); groups are what
+    such links connect. Texts of one shingle set are one node. The first covering masks find most links cheaply: buckets with up to SMALL_BUCKET nodes
+    compare all pairs, larger ones all nodes with a growing number of leaders. A prefix filter on the shingles, which misses no pair of that
+    similarity, then finds every link between texts that are not connected yet, so the groups are exact. The work is linear
+    where a bucket is a group of copies; only texts that share rare shingles and yet are not connected meet each other.
     Null and empty texts: one group. Fewer words than a shingle: equal word sequences only. Very long texts: whole. Wholly
     equal rows: one stays. Null doc_id: after all others. Empty table: no rows. All columns are kept as they are.
     """
     columns = own_columns(docs)
-    figures = materialise(text_sets(docs, words_each))
-    nodes = materialise(
-        figures.groupBy("node").agg(F.min("fp").alias("fp"), F.max("size").alias("size"), F.min("text_hash").alias("text_hash"))
-    )
-    # Smaller sets cannot be similar without being equal.
-    smallest = int(similarity / (1 - similarity) + 1e-9)
-    alive = nodes.where(F.col("size") >= smallest)
-    masks, found = covering_masks(radius), []
-    # The first masks find most copies; only what they leave goes through the others.
-    for part in (masks[:FIRST_MASKS], masks[FIRST_MASKS:]):
-        edges = _near_texts(docs, alive, part, radius, similarity, words_each)
-        found.append(edges)
-        alive = materialise(alive.join(edges.select(F.col("b").alias("node")).distinct(), "node", "left_anti"))
-    edges = reduce(DataFrame.union, found)
-    roots = components(edges)
-    # The text that leads a group was never found to be like an earlier one; members need not be unlike all leaders of other groups.
+    both = materialise(text_sets(docs, words_each, repeated=True))
+    figures, frequent = both.where("size >= 0"), _frequent(both.where("size < 0"))
+    nodes = figures.groupBy("node").agg(F.min("fp").alias("fp"), F.max("size").alias("size"), F.min("text_hash").alias("text_hash"))
+    alive = materialise(nodes.where(F.col("size") >= _smallest(similarity)).drop("size"))
+    edges = _near_texts(docs, alive, covering_masks(min(radius, 6))[:FIRST_MASKS], radius, similarity, words_each)
+    roots = components(edges.union(_missing_links(docs, alive, edges, frequent, radius, similarity, words_each)))
+    # The text that leads a group is its least node.
     leading = figures.join(roots.where("node <> root"), "node", "left_anti")
     stays = materialise(
         leading.groupBy("node")
