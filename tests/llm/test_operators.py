@@ -178,6 +178,31 @@ def test_leaks_with_substitutions(spark):
     assert all((r.start, r.length, r.equal_tokens) == (50, 40, 36) for r in rows)
 
 
+def test_short_items_against_brute_force():
+    rng = random.Random(9)
+    items = [[f"b{k}x{i}" for i in range(n)] for k, n in enumerate([12, 13, 14, 15, 16, 18, 20] * 60)]
+    seeds = decontamination.Seeds([(k, " ".join(t)) for k, t in enumerate(items)])
+    lost = [(20, (8, 9, 10, 11)), (18, (8, 9, 10)), (15, (3, 6)), (15, (3, 13))]
+    accepted = 0
+    for k, item in enumerate(items):
+        n, at = len(item), rng.randrange(len(item))
+        gone = rng.choice([range(at, min(n, at + rng.randrange(1, 6))), rng.sample(range(n), 2)])
+        for places in [gone, *(g for m, g in lost if m == n)]:
+            copy = ["other" if i in places else w for i, w in enumerate(item)]
+            text = ["before"] * 7 + copy + ["after"] * 7
+            ends = [(i, j) for i in range(n) for j in range(i + 12, n + 1) if 4 * sum(copy[c] == item[c] for c in range(i, j)) >= 3 * (j - i)]
+            tokens = np.array([hash(w.encode()) for w in text], np.int64).view(np.uint64)
+            got = seeds.verified(tokens, k, 7)
+            assert (got is not None) == bool(ends)
+            if got:
+                start, length, same = got
+                assert length >= 12 and same == sum(copy[c] == item[c] for c in range(start - 7, start - 7 + length)) >= 0.75 * length
+            if (n, tuple(places)) in lost:
+                assert [r[1] for r in seeds.leaks([" ".join(text)])] == [k]
+                accepted += 1
+    assert accepted >= 60 * 4
+
+
 def test_pipeline_leaks_are_dropped(spark, docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     leaking = {r.doc_id for r in decontamination.find_leaks(docs, bench).collect()}

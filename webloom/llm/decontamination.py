@@ -86,12 +86,24 @@ class Seeds:
         item = self.tokens[number]
         low, high = max(first, 0), min(first + len(item), len(tokens))
         equal = tokens[low:high] == item[low - first : high - first]
-        total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -3))])
+        total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -3))])  # 0 or more over a stretch: MIN_EQUAL of it
         dips = np.minimum.accumulate(total)
         end = int(np.argmax(total - dips))
         start = int(np.argmin(total[: end + 1]))
+        least = min(MIN_OVERLAP, len(item))
+        if end - start < least:
+            # The best part is too short: then, of all stretches that are long enough and equal enough, the one of most equal tokens.
+            starts = np.searchsorted(-dips, -total, "left")
+            counted = np.concatenate([[0], np.cumsum(equal)])
+            fits = np.flatnonzero(np.arange(len(total)) - starts >= least)
+            if not len(fits):
+                return None
+            end = int(fits[np.argmax(counted[fits] - counted[starts[fits]])])
+            start = int(starts[end])
+            while end - start > least and not equal[start]:
+                start += 1
         length, same = end - start, int(equal[start:end].sum())
-        if length >= min(MIN_OVERLAP, len(item)) and same >= MIN_EQUAL * length:
+        if same >= MIN_EQUAL * length:
             return low + start, length, same
         return None
 
