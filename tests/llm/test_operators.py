@@ -126,6 +126,21 @@ def test_near_duplicates_against_all_pairs(spark):
     assert exact(group, kept)
 
 
+def test_near_duplicates_crowded_chain(spark):
+    rng = random.Random(10)
+    text = [f"w{k}" for k in range(200)]
+    rows = []
+    for k in range(40):
+        # Each text is like the one before; those a few steps apart are not.
+        rows.append((k, " ".join(text)))
+        for p in rng.sample(range(200), 3):
+            text[p] = f"step{k}x{p}"
+    rng.shuffle(rows)
+    group = shingle_groups(rows)
+    assert len(set(group.values())) == 1
+    assert exact(group, [r.doc_id for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()])
+
+
 def test_line_dedup_one_edit(spark):
     line = "an ordinary sentence that is repeated with one slip"
     variants = [line, line, line[:10] + "X" + line[11:], line[:30] + line[31:], line[:40] + "zz" + line[40:], "Q" + line, "short"]
