@@ -1,5 +1,6 @@
 """Operators against brute force, twins, planted cases and held-out labels."""
 
+import itertools
 import random
 import zlib
 
@@ -187,35 +188,72 @@ def test_leaks_with_substitutions(spark):
             words[50:50] = [w.upper() + "," for w in passage]
             truth.add((d, d % 20))
         docs.append((d, " ".join(words)))
-    got = decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_bytes=2000)
+    got = decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     rows = got.collect()
     assert {(r.doc_id, r.item_id) for r in rows} == truth
     assert all((r.start, r.length, r.equal_tokens) == (50, 40, 36) for r in rows)
 
 
-def test_short_items_against_brute_force():
+def test_masks_miss_no_window():
+    for span in range(decontamination.MIN_ITEM, decontamination.SPAN + 1):
+        spare = span - decontamination.needed(span)
+        kept = [{k for b in mask for k in decontamination.blocks_of(span)[b]} for mask in decontamination.masks_of(span)]
+        assert sorted(k for block in decontamination.blocks_of(span) for k in block) == list(range(span)) and spare == int(span / 4)
+        assert all(any(not mask & set(gone) for mask in kept) for gone in itertools.combinations(range(span), spare))
+
+
+def test_leaks_against_brute_force(spark):
     rng = random.Random(9)
-    items = [[f"b{k}x{i}" for i in range(n)] for k, n in enumerate([12, 13, 14, 15, 16, 18, 20] * 60)]
-    seeds = decontamination.Seeds([(k, " ".join(t)) for k, t in enumerate(items)])
-    lost = [(20, (8, 9, 10, 11)), (18, (8, 9, 10)), (15, (3, 6)), (15, (3, 13))]
-    accepted = 0
-    for k, item in enumerate(items):
-        n, at = len(item), rng.randrange(len(item))
-        gone = rng.choice([range(at, min(n, at + rng.randrange(1, 6))), rng.sample(range(n), 2)])
-        for places in [gone, *(g for m, g in lost if m == n)]:
-            copy = ["other" if i in places else w for i, w in enumerate(item)]
-            text = ["before"] * 7 + copy + ["after"] * 7
-            ends = [(i, j) for i in range(n) for j in range(i + 12, n + 1) if 4 * sum(copy[c] == item[c] for c in range(i, j)) >= 3 * (j - i)]
-            tokens = np.array([hash(w.encode()) for w in text], np.int64).view(np.uint64)
-            got = seeds.verified(tokens, k, 7)
-            assert (got is not None) == bool(ends)
-            if got:
-                start, length, same = got
-                assert length >= 12 and same == sum(copy[c] == item[c] for c in range(start - 7, start - 7 + length)) >= 0.75 * length
-            if (n, tuple(places)) in lost:
-                assert [r[1] for r in seeds.leaks([" ".join(text)])] == [k]
-                accepted += 1
-    assert accepted >= 60 * 4
+    items, docs, planted = [], [], {}
+    for n in (5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 18, 20, 24, 32, 40, 60, 100):
+        for subs in range(n // 4 + 1) if n < 21 else (0, 1, n // 10, n // 8, n // 5, n // 4):
+            for run in range(20):
+                k = len(items)
+                item = [f"b{k}x{i}" for i in range(n)]
+                at = rng.randrange(n - subs + 1)
+                gone = range(at, at + subs) if run == 0 else rng.sample(range(n), subs)
+                text = ["before"] * rng.randrange(9) + ["other" if i in gone else w for i, w in enumerate(item)] + ["after"] * 3
+                items.append((k, " ".join(item)))
+                docs.append((k, " ".join(text)))
+                planted.setdefault((n, subs), []).append(k)
+
+    def overlaps(words, item):
+        span = min(12, len(item))
+        for shift in range(-len(item), len(words)):
+            for i in range(max(0, -shift), min(len(item), len(words) - shift) - span + 1):
+                if 4 * sum(words[shift + i + c] == item[i + c] for c in range(span)) >= 3 * span:
+                    return True
+        return False
+
+    truth = {k for k, t in docs if overlaps(t.split(), items[k][1].split())}
+    # Every document beside its own item holds words of no other.
+    got = decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(k, k) for k in truth}
+    recall = {cell: sum(k in truth for k in ks) / len(ks) for cell, ks in planted.items()}
+    assert min(recall.values()) >= 0.9, sorted(recall.items(), key=lambda x: x[1])[:5]
+    words = {k: t.split() for k, t in docs}
+    for r in got:
+        part, item = words[r.doc_id][r.start : r.start + r.length], items[r.item_id][1].split()
+        assert any(sum(a == b for a, b in zip(part, item[i:], strict=False)) >= r.equal_tokens for i in range(len(item)))
+        assert r.equal_tokens >= 0.75 * min(12, len(item))
+
+
+def test_leaks_on_random_words_against_brute_force(spark):
+    rng = random.Random(12)
+    text = lambda n: " ".join(rng.choice("abcd") for _ in range(n))
+    docs, items = [(k, text(rng.randrange(40))) for k in range(60)], [(k, text(rng.randrange(25))) for k in range(12)]
+
+    def linked(words, item):
+        span = min(12, len(item))
+        return len(item) >= 5 and any(
+            4 * sum(a == b for a, b in zip(words[p : p + span], item[i : i + span], strict=True)) >= 3 * span for p in range(len(words) - span + 1) for i in range(len(item) - span + 1)
+        )
+
+    truth = {(d, i) for d, t in docs for i, u in items if linked(t.split(), u.split())}
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.find_leaks(*frames).collect()} == truth
+    assert {r.doc_id for r in decontamination.drop_leaking(*frames).collect()} == {d for d, _ in docs} - {d for d, _ in truth}
+    assert 0 < len({d for d, _ in truth}) < 60
 
 
 def test_pipeline_leaks_are_dropped(spark, docs):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, which separates words everywhere in this subpackage.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Rows of one key that a task of a salted join takes.
+HOT = 8192
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets one below the warehouse,
+    which its one process shares with itself; on a cluster that would lose data, so it is an error there."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = tempfile.mkdtemp(prefix="webloom-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     return named
 
 
@@ -34,6 +37,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def salted_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``many`` joined with ``few`` on ``keys``. A key with more than HOT rows in ``many`` is dealt to a task for every HOT of them, with
+    its rows of ``few`` sent to each; the hot keys are at most a HOT-th of the rows. ``many`` is read twice, so it should be a written table."""
+    hot = materialise(many.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > HOT).select(*keys, F.floor(F.col("__n") / HOT).alias("__slices")))
+    dealt = many.join(hot, keys, "left").withColumn("__slice", F.pmod(F.xxhash64(*own_columns(many)), F.coalesce("__slices", F.lit(0)) + 1)).drop("__slices")
+    sent = few.join(hot, keys, "left").withColumn("__slice", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__slices", F.lit(0))))).drop("__slices")
+    return dealt.join(sent, [*keys, "__slice"], how).drop("__slice")
+
+
 def own_columns(df: DataFrame, without: tuple[str, ...] = ()) -> list[Column]:
     """The columns of ``df`` by quoted name, whatever they are called."""
     return [F.col(f"`{c}`") for c in df.columns if c not in without]
