@@ -147,7 +147,13 @@ def test_line_dedup_one_edit(spark):
     variants = [line, line, line[:10] + "X" + line[11:], line[:30] + line[31:], line[:40] + "zz" + line[40:], "Q" + line, "short"]
     frame = spark.createDataFrame([(k, t + "\nshort") for k, t in enumerate(variants)], "doc_id long, text string")
     got = [r.text for r in line_dedup.dedup_lines(frame).orderBy("doc_id").collect()]
-    assert got == [line + "\nshort", "short", "short", "short", variants[4] + "\nshort", "short", "short\nshort"]
+    assert got == [line + "\nshort", "", "", "", variants[4], "", ""]
+
+
+def test_line_dedup_short_lines(spark):
+    rows = [(1, "1.\n\nyes\n 1. "), (2, "yes\nno\n2."), (3, "\n\nNo\nno")]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("1.\n\nyes", 4, 1), 2: ("no\n2.", 3, 1), 3: ("\n\nNo", 4, 1)}
 
 
 def test_line_dedup_against_all_pairs(spark):
@@ -267,7 +273,6 @@ def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
     ids = {r.doc_id: np.array([*t.encode(r.text, add_special_tokens=False).ids, 2], "<u4") for r in docs.collect()}
     rows = packing.op6_packing(spark, SF).collect()
     windows: dict = {}
@@ -286,12 +291,11 @@ def test_packing_round_trip(spark, docs):
     assert len(windows) <= -(-sum(map(len, ids.values())) // 4096) + 1
 
 
-@pytest.mark.parametrize("text", ["It's we'll don't <|endoftext|> a,b.c!! x--y", "ÉCOLE Straße, ½²³ İstanbul ΣΑΣ\x1ck", "日本語 テキスト 123 4.0.", "J̌ J̌ é ﬁ", "tab\tnl\nvt\x0bnbsp\xa0end", ""])
+@pytest.mark.parametrize("text", ["It's we'll don't <|endoftext|> a,b.c!! x--y", "a <|endoftext|> b", "A<|startoftext|>B <|ENDOFTEXT|> <|End <|endoftext|>.", "<| endoftext |> <||> É <|endoftext|>", "ÉCOLE Straße, ½²³ İstanbul ΣΑΣ\x1ck", "日本語 テキスト 123 4.0.", "J̌ J̌ é ﬁ", "tab\tnl\nvt\x0bnbsp\xa0end", ""])
 def test_encoder_is_the_tokenizer(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
     assert np.frombuffer(packing.WordEncoder(packing.default_tokenizer())(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
@@ -363,8 +367,10 @@ def test_rules_reject_boilerplate(spark):
     rows = [(k, t + f" {k}" if k < 40 else t, s) for k, t, s in rows]
     got = {r.doc_id: r for r in quality_rules.line_frequency_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert all(got[k].kept for k in range(40, 80))
-    copies = spark.createDataFrame([(k, f"{shared} {shared}", "h") for k in range(80)], "doc_id long, text string, source string")
-    assert not any(r.removed_words for r in quality_rules.line_frequency_rules(copies).collect())
+    copies = [(k, f"{shared} {shared}", "h") for k in range(80)] + [(1000, "a b c d e f g h i j k", None)] * 50 + [(2000 + k, f"{shared} {shared} again", "g") for k in range(20)]
+    judged = quality_rules.line_frequency_rules(spark.createDataFrame(copies, "doc_id long, text string, source string"), max_repeated=1.0).collect()
+    # Copies are documents; repeated rows are one.
+    assert len(judged) == 150 and all(r.kept == (r.doc_id >= 1000) for r in judged)
 
 
 def test_urls_learned(spark):

@@ -37,10 +37,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def salted_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def hot_keys(counted: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """The keys of ``counted`` with more than HOT rows, and in how many more slices each is to be dealt. At most a HOT-th of the rows."""
+    return materialise(counted.where(F.col(n) > HOT).select(*keys, F.floor(F.col(n) / HOT).alias("__slices")))
+
+
+def salted_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
     """``many`` joined with ``few`` on ``keys``. A key with more than HOT rows in ``many`` is dealt to a task for every HOT of them, with
-    its rows of ``few`` sent to each; the hot keys are at most a HOT-th of the rows. ``many`` is read twice, so it should be a written table."""
-    hot = materialise(many.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > HOT).select(*keys, F.floor(F.col("__n") / HOT).alias("__slices")))
+    its rows of ``few`` sent to each. Without ``hot``, ``many`` is counted first, so it should be a written table."""
+    if hot is None:
+        hot = hot_keys(many.groupBy(*keys).agg(F.count("*").alias("__n")), keys, "__n")
     dealt = many.join(hot, keys, "left").withColumn("__slice", F.pmod(F.xxhash64(*own_columns(many)), F.coalesce("__slices", F.lit(0)) + 1)).drop("__slices")
     sent = few.join(hot, keys, "left").withColumn("__slice", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__slices", F.lit(0))))).drop("__slices")
     return dealt.join(sent, [*keys, "__slice"], how).drop("__slice")

@@ -6,10 +6,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import materialise, own_columns, table
+from webloom.llm.common import hot_keys, materialise, own_columns, salted_join, table
 
-#: Shorter lines (in characters, after trimming blanks) are never compared: too little text to tell a copy from chance.
-MIN_CHARS = 20
+#: Lines under so many characters go as equal copies only: among short ones a single edit tells apart list numbers, dates and words.
+MIN_EDIT_CHARS = 20
 #: Size of the fixed bucket set that thins out rows before a join; it is the bound of what is broadcast.
 BUCKETS = 2**18
 
@@ -27,7 +27,7 @@ def _lines(docs: DataFrame) -> DataFrame:
         docs.select(*_document_key(), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
         .select("d_id", "d_hash", "pos", F.trim("raw").alias("line"))
         .withColumn("n", F.length("line"))
-        .where(F.col("n") >= MIN_CHARS)
+        .where("n > 0")
         .withColumn("h1", F.xxhash64("line"))
         .withColumn("h2", F.xxhash64(F.lit(1), "line"))
     )
@@ -55,7 +55,7 @@ def _half_keys() -> Column:
 
 
 def near_lines(lines: DataFrame) -> DataFrame:
-    """Per distinct line with an earlier line within one edit: (h1, h2). Linear: no group is paired with itself.
+    """Per distinct line of ``lines`` with an earlier line within one edit: (h1, h2). Linear: no group is paired with itself.
 
     Only lines that share an unedited half with another line emit variants, and only variants of the other half. A variant's
     group, those that are one string but for one given character or those that are one string plus one character, is bounded by the
@@ -70,11 +70,12 @@ def near_lines(lines: DataFrame) -> DataFrame:
         .withColumn("key", F.col("e.key"))
         .withColumn("mark", F.pmod("key", F.lit(BUCKETS)))
         .join(F.broadcast(marks), "mark", "left_semi")
-        .join(shared, "key", "left_semi")
     )
+    # Copies of a line are one before they meet the shared halves.
     first = materialise(
         entries.groupBy("key", "h1", "h2")
         .agg(F.min(F.struct("d_id", "d_hash", "pos")).alias("at"), F.first("line").alias("line"), F.first("n").alias("n"), F.first("e").alias("e"))
+        .join(shared, "key", "left_semi")
         .withColumn(
             "rest",
             F.when(F.col("e.side") == "P", F.expr("substring(line, e.head + 1)")).otherwise(
@@ -117,11 +118,11 @@ def near_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_edit_chars: int = MIN_EDIT_CHARS) -> DataFrame:
     """Removes every line that has an equal line, or one within a single edit, earlier in the corpus.
 
     Earlier is by (doc_id, nulls first; hash of the text; place of the line); lines are compared without their outer blanks;
-    lines under ``MIN_CHARS`` characters always stay. A line within one edit of an earlier one goes even if that one
+    blank lines stay; lines under ``min_edit_chars`` characters go for equal lines only. A line within one edit of an earlier one goes even if that one
     goes too. Null or empty text: no lines, nothing removed. Wholly equal rows count as one document and end alike.
     Very long lines are compared whole. Empty table: no rows.
     Returns all columns of ``docs`` with ``text`` cut, and n_lines and n_removed (those names are overwritten).
@@ -129,16 +130,16 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     columns = own_columns(docs, ("n_lines", "n_removed"))
     lines = _lines(docs)
     spots = lines.select("h1", "h2", "d_id", "d_hash", "pos")
-    near = materialise(near_lines(lines))
+    near = materialise(near_lines(lines.where(F.col("n") >= min_edit_chars)))
     copies = (
         spots.groupBy("h1", "h2")
-        .agg(F.min(F.struct("d_id", "d_hash", "pos")).alias("keep"), F.max(F.struct("d_id", "d_hash", "pos")).alias("last"))
+        .agg(F.min(F.struct("d_id", "d_hash", "pos")).alias("keep"), F.max(F.struct("d_id", "d_hash", "pos")).alias("last"), F.count("*").alias("n"))
         .where("keep < last")
-        .select("h1", "h2", "keep")
+        .select("h1", "h2", "keep", "n")
     )
-    judged = copies.join(near.withColumn("gone", F.lit(True)), ["h1", "h2"], "full_outer")
+    judged = materialise(copies.join(near.withColumn("gone", F.lit(True)), ["h1", "h2"], "full_outer"))
     removed = (
-        spots.join(judged, ["h1", "h2"])
+        salted_join(spots, judged.drop("n"), ["h1", "h2"], hot=hot_keys(judged, ["h1", "h2"], "n"))
         .where("gone OR keep <> struct(d_id, d_hash, pos)")
         .groupBy(F.col("d_id").alias("__id"), F.col("d_hash").alias("__hash"))
         .agg(F.sort_array(F.collect_set("pos")).alias("__removed"))
@@ -168,12 +169,12 @@ OP10_SQL = """
 WITH x AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos
   FROM documents
-), l AS (SELECT doc_id, pos, trim(raw) AS line, length(trim(raw)) AS n FROM x WHERE length(trim(raw)) >= 20),
+), l AS (SELECT doc_id, pos, trim(raw) AS line, length(trim(raw)) AS n FROM x WHERE length(trim(raw)) > 0),
 d AS (SELECT line, n, min((doc_id, pos)) AS spot FROM l GROUP BY line, n),
 k AS (
   SELECT line, n, spot, n - less AS s,
     unnest(['P' || left(line, (n - less) // 2), 'S' || right(line, (n - less) - (n - less) // 2)]) AS part
-  FROM d, (VALUES (0), (1)) v(less)
+  FROM d, (VALUES (0), (1)) v(less) WHERE n >= 20
 ), pairs AS (
   SELECT DISTINCT a.line AS line, a.n AS n, b.line AS other, b.n AS m
   FROM k a JOIN k b ON a.s = b.s AND a.part = b.part AND b.spot < a.spot AND a.line <> b.line AND abs(a.n - b.n) <= 1
