@@ -35,8 +35,10 @@ class _Bodies(dict):
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
         self.encode = t.encode
+        special = [x.content for x in t.get_added_tokens_decoder().values()]
+        #: What all added tokens begin with, as far as it has no letters; texts with it go through the tokenizer whole. None: no added tokens.
+        self.mark = re.match(r"[\W_]*", os.path.commonprefix(special))[0] if special else None
 
     def of(self, text: str) -> bytes:
         return array("I", self.encode(text, add_special_tokens=False).ids).tobytes()
@@ -70,8 +72,9 @@ def _words(path: str) -> _Words:
 
 
 class WordEncoder:
-    """Ids of texts as unsigned 32-bit bytes, word by word from a memo. Needs a tokenizer that lowers case, drops
-    white space and never merges across it, so that a text's ids are its words' ids in a row."""
+    """Ids of texts as unsigned 32-bit bytes, those that the tokenizer gives without added end or start ids, word by word from a memo. Needs a
+    tokenizer that lowers case, drops white space and never merges across it, so that a text's ids are its words' ids in a row. Texts
+    that may hold one of its added tokens, which it finds before all else, go through it whole."""
 
     def __init__(self, path: str):
         self.words = _words(path)
@@ -87,7 +90,8 @@ class WordEncoder:
         return text.lower()
 
     def __call__(self, text: str) -> bytes:
-        if NOT_SPACE.search(text):
+        mark = self.words.bodies.mark
+        if NOT_SPACE.search(text) or (mark is not None and mark in text):
             return self.words.bodies.of(text)
         if len(self.words) > MEMO:
             self.words.clear()
@@ -148,7 +152,7 @@ def _plan(patterns: list[tuple[dict[int, int], int]], base: int = 0) -> dict[int
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, eos: int, capacity: int) -> DataFrame:
-    """Each document's ids and ``eos``, cut at multiples of ``capacity``: doc_id, start, length, ids_crc32, doc_tokens."""
+    """Each document's ids and ``eos``, cut at multiples of ``capacity``: doc_id (null: null), start, length, ids_crc32, doc_tokens."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = WordEncoder(tokenizer_path)
@@ -175,7 +179,7 @@ def pack(docs: DataFrame, tokenizer_path: str, eos: int = 2, capacity: int = 409
 
     Only the count of each length (at most ``capacity`` numbers) reaches the driver, and only the plan made of it goes
     back to the executors. A length that a third of all pieces have is ranked in buckets of rows, never in one task.
-    Null or empty text: the end id alone. Very long text: as many full sequences as it fills and a rest. Repeated rows are
+    Null or empty text: the end id alone. Null doc_id: packed like any other. Very long text: as many full sequences as it fills and a rest. Repeated rows are
     packed each; equal ones are interchangeable. Empty table: no rows. Extra columns are ignored.
     Returns one row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
     """
