@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.common import materialise, small_batches, table
+from webloom.llm.common import hot_keys, materialise, salted_join, small_batches, table
 
 SYMBOLS = "#*$%&|<>"
 _BLANKS = " \t\n\r\x0b\x0c"
@@ -86,31 +86,31 @@ def document_figures(docs: DataFrame) -> DataFrame:
 
 
 def line_frequency_rules(
-    docs: DataFrame, max_documents: int = 20, max_removed: float = 0.5, min_words: int = 10, max_repeated: float = 0.2
+    docs: DataFrame, max_documents: int = 20, max_removed: float = 0.5, min_words: int = 10, max_repeated: float = 0.2, max_share: float = 0.001
 ) -> DataFrame:
     """Base rules, then cross-document line frequency.
 
-    A line (blanks squeezed, A-Z lower-cased) found in more than ``max_documents`` distinct texts of one host is removed; a
-    document that loses more than ``max_removed`` of its words this way is rejected. Exact copies of a text count
-    once, so copying alone rejects nothing. All lines of all documents are counted. Base rules: fewer than
+    A line (blanks squeezed, A-Z lower-cased) found in more than ``max_documents`` distinct documents of one host, and in more than a share of
+    ``max_share`` of the host's documents, is removed; a document that loses more than ``max_removed`` of its words this way is rejected. Documents
+    are distinct by id and text. All lines of all documents are counted. Base rules: fewer than
     ``min_words`` words, or more than ``max_repeated`` of the words in repeated 5-word windows.
-    Null or empty text: no words, base_failed. Null source: a host of its own (the empty name). Repeated rows are judged alike.
-    Empty table: no rows. Extra columns are ignored.
+    Null or empty text: no words, base_failed. Null source: a host of its own (the empty name). Null doc_id: one value like others.
+    Repeated rows are one document and judged alike. Very long text: whole. Empty table: no rows. Extra columns are ignored.
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, removed_words.
     """
     figures = materialise(document_figures(docs))
-    of_lines = figures.select("host", "text_hash", F.explode(F.arrays_zip("line_hashes", "line_words")).alias("x")).select(
-        "host", "text_hash", F.col("x.line_hashes").alias("line"), F.col("x.line_words").alias("words")
-    )
-    # A text's copies are one row from here on; the counts are added up on both sides of the shuffle.
-    per_text = of_lines.groupBy("host", "line", "text_hash").agg(F.first("words").alias("words"))
-    common = materialise(
-        per_text.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > max_documents).select("host", "line")
-    )
-    removed = per_text.join(common, ["host", "line"]).groupBy("host", "text_hash").agg(F.sum("words").alias("removed_words"))
-    out = figures.join(removed, ["host", "text_hash"], "left").withColumn(
-        "removed_words", F.coalesce("removed_words", F.lit(0)).cast("long")
-    )
+    text = ["host", "text_hash"]
+    # A text's copies are one row from here on, with their number; the counts are added up on both sides of the shuffle.
+    copies = figures.select(*text, "doc_id").distinct().groupBy(*text).agg(F.count("*").alias("copies"))
+    lists = figures.where(F.size("line_hashes") > 0).groupBy(*text).agg(F.first("line_hashes").alias("hashes"), F.first("line_words").alias("words"))
+    texts = materialise(lists.join(copies, text))
+    per_text = texts.select(*text, "copies", F.explode(F.arrays_zip("hashes", "words")).alias("x")).select(*text, "copies", F.col("x.hashes").alias("line"), F.col("x.words").alias("words"))
+    counted = per_text.groupBy("host", "line").agg(F.sum("copies").alias("n"), F.count("*").alias("rows")).where(F.col("n") > max_documents)
+    hosts = materialise(copies.groupBy("host").agg(F.sum("copies").alias("documents")))
+    common = materialise(counted.join(hosts, "host").where(F.col("n") > max_share * F.col("documents")).select("host", "line", "rows"))
+    found = salted_join(per_text, common.select("host", "line"), ["host", "line"], hot=hot_keys(common, ["host", "line"], "rows"))
+    removed = found.groupBy(*text).agg(F.sum("words").alias("removed_words"))
+    out = salted_join(figures, removed, text, "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > int(100 * max_repeated) * F.col("n_words"))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -144,7 +144,8 @@ g AS (
     FROM g JOIN (SELECT doc_id, gram FROM g GROUP BY ALL HAVING count(*) > 1) USING (doc_id, gram)
   ) GROUP BY doc_id
 ), common AS (
-  SELECT host, array_to_string(words, ' ') AS line FROM lw GROUP BY ALL HAVING count(DISTINCT text) > 20
+  SELECT host, line FROM (SELECT host, array_to_string(words, ' ') AS line, count(DISTINCT doc_id) AS n FROM lw GROUP BY ALL)
+  JOIN (SELECT host, count(*) AS documents FROM d GROUP BY host) USING (host) WHERE n > 20 AND n > 0.001 * documents
 ), removed AS (
   SELECT doc_id, sum(len(words)) AS n FROM lw JOIN common ON lw.host = common.host AND array_to_string(words, ' ') = line
   GROUP BY doc_id
