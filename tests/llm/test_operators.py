@@ -386,6 +386,16 @@ def test_shards_are_even(docs):
         assert abs(sum(r["size"] for r in rows if r.shard == s) - total / 16) <= largest
 
 
+def test_overfull_ranges_are_subdivided(docs):
+    whole = {r.doc_id: (r.shard, r.slot) for r in sharding.shard_by_size(docs).collect()}
+    assert whole == {r.doc_id: (r.shard, r.slot) for r in sharding.shard_by_size(docs, ranges_per_shard=1, samples_per_range=2, rows_per_range=4).collect()}
+    big = docs.limit(40).selectExpr("doc_id", "'same' AS text").union(docs.selectExpr("doc_id + 1000", "text"))
+    rows = sharding.shard_by_size(big, shards=3, ranges_per_shard=1, rows_per_range=10).collect()
+    for s in range(3):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+    assert len(rows) == 40 + docs.count()
+
+
 def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     kept = {r.doc_id for r in rows}

@@ -34,18 +34,46 @@ def _below_or_at(splitters: list) -> str:
     )
 
 
+def _subdivided(ranged: DataFrame, overfull: list[int], rows_per_range: int, samples_per_range: int, seed: int) -> DataFrame:
+    """``ranged`` with the number ``sub`` of the part that a row has in its range: 0 but for ``overfull`` ranges, which splitters of their own, taken
+    from a further sample within them, cut into parts of about ``rows_per_range``. One splitter for that many rows is broadcast."""
+    if not overfull:
+        return ranged.withColumn("sub", F.lit(0))
+    drawn = ranged.where(F.col("range").isin(overfull) & (F.rand(seed) < samples_per_range / rows_per_range))
+    every = F.filter(F.sort_array(F.collect_set("k")), lambda _, i: i % samples_per_range == samples_per_range - 1)
+    cuts = materialise(drawn.groupBy("range").agg(every.alias("cuts")))
+    return ranged.join(F.broadcast(cuts), "range", "left").withColumn("sub", F.coalesce(F.size(F.filter("cuts", lambda s: s <= F.col("k"))), F.lit(0))).drop("cuts")
+
+
+def _starts(ranged: DataFrame, shards: int, total: int) -> DataFrame:
+    """One row a (range, sub): the bytes and rows before it, and whether a shard may begin in it. The totals are added up before the shuffle; the one task that
+    orders them sees a row for each range."""
+    totals = ranged.groupBy("range", "sub").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
+    in_order = Window.orderBy("range", "sub")
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    known = totals.select(
+        "range", "sub", "b", F.coalesce(F.sum("b").over(earlier), F.lit(0)).alias("bytes_before"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("rows_before")
+    )
+    first = F.ceil(F.col("bytes_before").cast("decimal(38,0)") * shards / F.lit(total))
+    cut = first * total < (F.col("bytes_before") + F.col("b")) * shards
+    # The row that reaches over a boundary may be a range's last; the shard's first row is then in the next.
+    holding = F.coalesce(cut, F.lit(False)) | F.coalesce(F.lag("cut").over(in_order), F.lit(False))
+    return materialise(known.withColumn("cut", cut).withColumn("holding", holding).drop("b", "cut"))
+
+
 def shard_by_size(
-    docs: DataFrame, shards: int = 16, ranges_per_shard: int = 32, samples_per_range: int = 8, seed: int = 7
+    docs: DataFrame, shards: int = 16, ranges_per_shard: int = 32, samples_per_range: int = 8, seed: int = 7, rows_per_range: int = 1_000_000
 ) -> DataFrame:
     """Deals documents to ``shards`` shards of near equal bytes and numbers them gaplessly within each.
 
     Rows are ordered by (md5 of the text, doc_id, a seeded draw); shard ``s`` holds the rows whose bytes before them
     in that order lie in ``[s, s + 1) * total / shards``, so shards differ by one record's size at most.
     ``shards * ranges_per_shard`` ranges are cut at quantiles of a size-weighted sample (about
-    ``samples_per_range`` keys a range reach the driver, whatever the input's size); only the ranges in which a shard
-    begins are sorted to find its first row.
+    ``samples_per_range`` keys a range reach the driver, whatever the input's size). Ranges with more than
+    ``rows_per_range`` rows are subdivided by a sample of their own, so that no task orders more than about that many rows; only the ranges in which a shard
+    begins are ordered to find its first row.
 
-    Null text: size 1 and a null key, ordered first. Empty text: size 1. Null doc_id: ordered before others
+    Null text: size 1 and a null key, ordered first. Empty text: size 1. Very long text: whole. Null doc_id: ordered before others
     of its text. Repeated rows are told apart by the draw; which of two wholly equal rows comes first is open.
     A text larger than a shard's share lies whole in one shard. Empty table: no rows. Extra columns are ignored.
     Returns doc_id, size, text_crc32, shard, slot.
@@ -83,28 +111,15 @@ def shard_by_size(
                 splitters.append(tuple(r)[:3])
     keyed = base.withColumn("k", F.struct(*KEY))
     ranged = keyed.withColumn("range", F.expr(_below_or_at(splitters)))
-    # Per-range totals: one row a range, added up before the shuffle.
-    totals = sorted(ranged.groupBy("range").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect())
-    starts, bytes_before, rows_before = {}, 0, 0
-    holding = []  # ranges in which a shard may begin: the ones to subdivide
-    cut = False
-    for r in totals:
-        starts[r["range"]] = (bytes_before, rows_before)
-        first = -(-bytes_before * shards // total)
-        # The row that reaches over a boundary may be a range's last; the shard's first row is then in the next.
-        crossed, cut = cut, first * total < (bytes_before + r.b) * shards
-        if cut or crossed:
-            holding.append(r["range"])
-        bytes_before += r.b
-        rows_before += r.n
-    before = F.create_map(*[F.lit(x) for k, v in starts.items() for x in (k, v[0])])
-    rank_before = F.create_map(*[F.lit(x) for k, v in starts.items() for x in (k, v[1])])
-    in_order = Window.partitionBy("range").orderBy("k")
+    overfull = [r["range"] for r in ranged.groupBy("range").count().where(F.col("count") > rows_per_range).collect()]
+    ranged = _subdivided(ranged, overfull, rows_per_range, samples_per_range, seed + 2)
+    starts = _starts(ranged, shards, total)
+    in_order = Window.partitionBy("range", "sub").orderBy("k")
     sized = (
-        ranged.where(F.col("range").isin(holding))
-        .withColumn("at", before[F.col("range")] + F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-        .withColumn("rank", rank_before[F.col("range")] + F.row_number().over(in_order) - 1)
-        .withColumn("part", F.expr(f"CAST(at * {shards} DIV {total} AS INT)"))
+        ranged.join(F.broadcast(starts.where("holding")), ["range", "sub"])
+        .withColumn("at", F.col("bytes_before") + F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+        .withColumn("rank", F.col("rows_before") + F.row_number().over(in_order) - 1)
+        .withColumn("part", F.expr(f"CAST(CAST(at AS DECIMAL(38,0)) * {shards} DIV {total} AS INT)"))
     )
     firsts = {r.part: r for r in sized.groupBy("part").agg(F.min_by(F.struct("k", "rank"), "rank").alias("f")).collect()}
     begun, cuts, offsets = [], [], []
@@ -116,8 +131,9 @@ def shard_by_size(
     known = F.expr(_below_or_at(cuts)) if len(cuts) > 1 else F.lit(1)
     at = F.greatest(known, F.lit(1)) - 1
     return (
-        ranged.withColumn("at", at)
-        .withColumn("rank", rank_before[F.col("range")] + F.row_number().over(in_order) - 1)
+        ranged.join(F.broadcast(starts.drop("holding")), ["range", "sub"])
+        .withColumn("at", at)
+        .withColumn("rank", F.col("rows_before") + F.row_number().over(in_order) - 1)
         .select(
             "doc_id", "size", "text_crc32",
             F.element_at(F.array(*map(F.lit, begun)), (F.col("at") + 1).cast("int")).cast("int").alias("shard"),
