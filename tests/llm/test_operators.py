@@ -336,10 +336,46 @@ def test_grammar():
     assert kinds("He said that you are an idiot.") == {"reported"}
     assert kinds("She is not stupid") == {"negated"}
     assert kinds("I will kill you") == {"threat"}
-    assert kinds("what trash") == {"insult"}
+    assert kinds("what trash") == {"slight"}
+    assert kinds("The pig ate trash in the garden") == {"slight"}
+    assert not kinds("I will destroy them at chess") and not kinds("They murder sheep")
     assert kinds("a Zork and a blarney") == {"insult"}
-    assert kinds("You went home. Trash lies there") == {"insult"}
+    assert kinds("You went home. Trash lies there") == {"slight"}
     assert not kinds("a fine day")
+    features = lambda t: toxicity._features(codes(t))
+    assert not any(features("The pig ate trash in the garden") + features("He said that you are an idiot.") + features("You are not stupid."))
+
+
+def clause_by_hand(symbols):
+    """What a clause does, word by word, without transducers."""
+    plain, negated, reported = [], 0, False
+    for c in symbols:
+        if c in "IAH":
+            plain.append("n" if negated else "r" if reported else c)
+        else:
+            plain.append(c)
+            negated = 4 if c == "N" else max(0, negated - 1)
+            reported |= c == "R"
+    near = lambda k, before, after: "T" in plain[max(0, k - before) : k] + plain[k + 1 : k + 1 + after]
+    places = range(len(plain))
+    if "G" not in plain and any(plain[k] == "H" and near(k, 0, 3) for k in places):
+        return "threat"
+    if any(plain[k] in "IA" and near(k, 4, 4) for k in places):
+        return "targeted"
+    return next((kind for kind, c in (("insult", "I"), ("slight", "A"), ("reported", "r"), ("negated", "n")) if c in plain), None)
+
+
+def test_grammar_against_clauses_by_hand():
+    rng = random.Random(13)
+    seen = set()
+    for _ in range(20_000):
+        symbols = "".join(rng.choice("IAHTNRG......") for _ in range(rng.randrange(1, 14)))
+        assert toxicity.clause_kind(symbols) == clause_by_hand(symbols), symbols
+        seen.add(clause_by_hand(symbols))
+    assert seen == {None, *toxicity.KINDS}
+    for n in range(10):
+        assert toxicity.matched(b"T" + b"." * n + b"I") == toxicity.matched(b"T" + b"." * min(n, 7) + b"I")
+    assert toxicity.matched(b"I" * 50_000 + b"T|") == {"targeted": 1}
 
 
 def test_surrogates(spark, docs):

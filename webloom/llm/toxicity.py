@@ -1,5 +1,6 @@
-"""Toxicity by a weighted finite-state pattern grammar. Words are read as classes (insult, threat, target, negation,
-reported speech); transducers over the class string match clauses, and a document is scored by its matched clauses."""
+"""Toxicity by a weighted finite-state pattern grammar. Words are read as classes (insult, threat, target, negation, reported speech, ...);
+small transducers for negation, reported speech, threats and insults are composed into one, which rewrites a clause's classes to what the
+clause does. A document is scored by its matched clauses, not by its words."""
 
 from __future__ import annotations
 
@@ -7,6 +8,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +18,11 @@ from pyspark.sql import functions as F
 from webloom.llm.common import materialise, small_batches, table
 
 # Word classes of the grammar, English, German, French and Spanish. Fixed values.
-INSULTS = """idiot idiots moron morons imbecile cretin scum loser losers clown clowns stupid dumb fool trash garbage filth
-worthless disgusting pathetic vermin parasite scumbag bastard bitch asshole jerk freak pig pigs dimwit halfwit retard coward
-depp trottel idioten abschaum versager dreckskerl arschloch crétin abruti imbécile connard salaud ordure minable
-idiota imbécil estúpido basura escoria inútil asqueroso cabrón""".split()
+INSULTS = """idiot idiots moron morons imbecile cretin scum loser losers stupid worthless disgusting pathetic vermin scumbag bastard bitch asshole
+dimwit halfwit retard depp trottel idioten abschaum versager dreckskerl arschloch crétin abruti imbécile connard salaud ordure minable
+idiota imbécil estúpido escoria asqueroso cabrón""".split()
+# Words that insult a target and are harmless of anything else. Fixed values.
+DOUBTFUL = "clown clowns dumb fool trash garbage filth parasite jerk freak pig pigs coward basura inútil".split()
 THREATS = """kill killing murder hurt beat destroy shoot stab strangle hang burn crush töten umbringen vernichten schlagen
 tuer frapper détruire égorger matar golpear destruir""".split()
 TARGETS = """you your yours yourself he she they them him her his their these those everyone du dich dir ihr euch sie er
@@ -28,19 +31,126 @@ NEGATIONS = """not never no isn't aren't wasn't don't doesn't didn't neither nor
 jamais aucun nunca ningún jamás sin""".split()
 REPORTS = """said says say wrote writes reported reports quoted quotes claimed claims called calls according alleged sagte
 sagt schrieb berichtete nannte dit écrit déclaré appelé selon dijo dice escribió llamó según""".split()
+# What a threatening verb is harmless beside. Fixed values.
+PLAY = """chess game games match matches cards quiz race league tournament football tennis poker contest competition debate election
+schach spiel rennen turnier échecs jeu partie course tournoi ajedrez juego partido carrera torneo""".split()
 
-#: Code of a class in the class string: insult, threat, target, negation, report, other; a clause ends at "|".
-CODES = {b"I": INSULTS, b"H": THREATS, b"T": TARGETS, b"N": NEGATIONS, b"R": REPORTS}
+#: Symbol of a class; a clause ends at "|", and every other word is ".".
+CODES = {b"I": INSULTS, b"A": DOUBTFUL, b"H": THREATS, b"T": TARGETS, b"N": NEGATIONS, b"R": REPORTS, b"G": PLAY}
 OTHER, CLAUSE_END = b".", b"|"
-#: The composed transducers, tried in this order at each place; none reaches over a clause's end.
-PATTERNS = {
-    "reported": rb"R[^|]{0,8}?[IH]",
-    "negated": rb"N[^|IHN]{0,3}[IH]",
-    "threat": rb"T[^|HITNR]{0,4}H[^|]{0,3}?T?|H[^|HINR]{0,3}T",
-    "targeted": rb"T[^|ITNR]{0,4}I|I[^|ITNR]{0,3}T",
-    "insult": rb"I",
-}
-_GRAMMAR = re.compile(b"|".join(b"(?P<%s>%s)" % (name.encode(), p) for name, p in PATTERNS.items()))
+#: What a clause can be found to do, the heaviest first, and the symbol that the composed transducer writes for it. A clause is what its
+#: heaviest reading does: a threat, an insult with its target, an insult, a doubtful word alone, or one of these denied or reported.
+KINDS = {"threat": "K", "targeted": "S", "insult": "U", "slight": "a", "reported": "r", "negated": "n"}
+
+
+class Transducer:
+    """A weighted finite-state transducer over single symbols: arcs (state, read, written, weight, next state), from state 0; all but ``open``
+    states are final. Weights add up along a path, and of all paths the heaviest counts."""
+
+    def __init__(self, arcs: list[tuple[int, str, str, float, int]], open_states: frozenset[int] = frozenset()):
+        self.open = open_states
+        self.arcs: dict[int, dict[str, list[tuple[str, float, int]]]] = {}
+        for state, read, written, weight, following in arcs:
+            self.arcs.setdefault(state, {}).setdefault(read, []).append((written, weight, following))
+
+    def compose(self, other: Transducer) -> Transducer:
+        """What ``other`` makes of what this one writes, as one transducer of the pairs of states that can be reached."""
+        numbers, todo, arcs, unfinished = {(0, 0): 0}, [(0, 0)], [], set()
+        while todo:
+            pair = todo.pop()
+            if pair[0] in self.open or pair[1] in other.open:
+                unfinished.add(numbers[pair])
+            for read, steps in self.arcs.get(pair[0], {}).items():
+                for middle, weight, one in steps:
+                    for written, more, two in other.arcs.get(pair[1], {}).get(middle, ()):
+                        if (one, two) not in numbers:
+                            numbers[one, two] = len(numbers)
+                            todo.append((one, two))
+                        arcs.append((numbers[pair], read, written, weight + more, numbers[one, two]))
+        return Transducer(arcs, frozenset(unfinished))
+
+    def best(self, symbols: str) -> tuple[float, set[str]]:
+        """Weight of the heaviest path over ``symbols`` and the symbols that it writes (of equally heavy paths, one rule for all decides); no path:
+        weight 0 and nothing. A path is kept as its weight and a set of bits, so a clause may be as long as it likes."""
+        paths = {0: (0.0, 0)}
+        for c in symbols:
+            ahead: dict[int, tuple[float, int]] = {}
+            for state, (weight, seen) in paths.items():
+                for written, more, following in self.arcs.get(state, {}).get(c, ()):
+                    got = (weight + more, seen | 1 << ord(written))
+                    if got > ahead.get(following, (-1.0, 0)):
+                        ahead[following] = got
+            paths = ahead
+        weight, seen = max((path for state, path in paths.items() if state not in self.open), default=(0.0, 0))
+        return weight, {chr(k) for k in range(seen.bit_length()) if seen >> k & 1}
+
+
+def _copies(state: int, symbols: str, following: int) -> list[tuple[int, str, str, float, int]]:
+    return [(state, c, c, 0.0, following) for c in symbols]
+
+
+def negation(reach: int = 4) -> Transducer:
+    """An insult or threat at most ``reach`` words after a negation, and its like in a row with it, is denied ("n")."""
+    arcs = _copies(0, "IAHTRG.", 0) + _copies(0, "N", reach)
+    for left in range(1, reach + 1):
+        arcs += _copies(left, "N", reach) + _copies(left, "TRG.", left - 1) + [(left, c, "n", 0.0, left) for c in "IAH"]
+    return Transducer(arcs)
+
+
+def reported_speech() -> Transducer:
+    """Insults and threats after a verb of saying, up to the clause's end, are reported ("r")."""
+    return Transducer(_copies(0, "IAHTNG.n", 0) + _copies(0, "R", 1) + _copies(1, "TNRG.n", 1) + [(1, c, "r", 0.0, 1) for c in "IAH"])
+
+
+def threats(reach: int = 3) -> Transducer:
+    """A threat ("K") is a threatening verb with its target at most ``reach`` words on, in a clause that speaks of no game. States: 0 nothing yet, 1 to
+    ``reach`` words to the target, then all found; -1: a game was named before. The path that guesses a threat wrongly ends in an open state or in none."""
+    found, game = reach + 1, reach + 2
+    plain = "IATNR.nr"
+    arcs = _copies(0, plain + "H", 0) + _copies(0, "G", game) + _copies(game, plain + "HG", game)
+    arcs += [(0, "H", "K", 4.0, 1)]
+    for k in range(1, reach + 1):
+        arcs += _copies(k, "T", found) + (_copies(k, "IANR.nrH", k + 1) if k < reach else [])
+    arcs += _copies(found, plain + "H", found)
+    return Transducer(arcs, frozenset(range(1, reach + 1)))
+
+
+def insults(reach: int = 4) -> Transducer:
+    """An insult or doubtful word at most ``reach`` words behind or before a target is aimed at it ("S"); an insult without one is still an insult
+    ("U"), a doubtful word without one a slight ("a"). States: 0 no target near, 1 to ``reach`` words left since a target, then guesses of a target to come."""
+    other = "HNRG.nrK"
+    ahead = reach + 1  # ahead + j: within reach - j words a target must come
+    arcs = _copies(0, other, 0) + _copies(0, "T", reach)
+    for k in range(reach + 1):
+        nearer = max(0, k - 1)
+        if k:
+            arcs += _copies(k, other, nearer) + _copies(k, "T", reach) + [(k, c, "S", 2.0, nearer) for c in "IA"]
+        arcs += [(k, "I", "U", 1.0, nearer), (k, "A", "a", 0.25, nearer)]
+        arcs += [(k, c, "S", 2.0, ahead) for c in "IA"]
+    for j in range(reach):
+        state = ahead + j
+        arcs += _copies(state, "T", reach)
+        if j < reach - 1:
+            arcs += _copies(state, other, state + 1) + [(state, "I", "U", 1.0, state + 1), (state, "A", "a", 0.25, state + 1)]
+    return Transducer(arcs, frozenset(range(ahead, ahead + reach)))
+
+
+GRAMMAR = negation().compose(reported_speech()).compose(threats()).compose(insults())
+
+
+def clause_kind(symbols: str) -> str | None:
+    """What a clause, as a string of classes, does: the heaviest of its matches."""
+    out = GRAMMAR.best(symbols)[1]
+    return next((kind for kind, c in KINDS.items() if c in out), None)
+
+
+_remembered = lru_cache(maxsize=50_000)(clause_kind)
+
+
+#: More words than any transducer's reach: longer runs of unmarked words within a clause are read as so many. Clauses up to LONG symbols are remembered.
+RUN, LONG = 6, 200
+_RUNS = re.compile(rb"\.{%d,}" % RUN)
+_CLAUSES = re.compile(rb"[^|]*[IAH][^|]*")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 PREFIXES = range(3, 9)
 MEMO = 200_000
@@ -80,15 +190,25 @@ class Classes:
 
 
 def matched(codes: bytes) -> Counter:
-    """How many clauses each transducer matched."""
-    return Counter(m.lastgroup for m in _GRAMMAR.finditer(codes)) if b"I" in codes or b"H" in codes else Counter()
+    """How many clauses do what."""
+    clauses = Counter(_RUNS.sub(b"." * RUN, c) for c in _CLAUSES.findall(codes))
+    out: Counter = Counter()
+    for clause, n in clauses.items():
+        if kind := (_remembered if len(clause) <= LONG else clause_kind)(clause.decode()):
+            out[kind] += n
+    return out
+
+
+#: Features: clauses that threaten, insult a target, insult, slight beyond a first time; all of them; their share of the clauses; whether there are several.
+#: What is denied or reported has no weight.
+FEATURES, GIVEN = 7, [4.0, 3.0, 2.0, 1.0, 1.0, 0.0, 1.0, -3.0]
 
 
 def _features(codes: bytes) -> list[float]:
     got = matched(codes)
-    words = max(1, len(codes) - codes.count(CLAUSE_END))
-    hits = sum(got[k] for k in ("insult", "targeted", "threat"))
-    return [math.log1p(got[k]) for k in PATTERNS] + [math.log1p(hits), math.log1p(100 * hits / words), float(hits > 1)]
+    counts = [got["threat"], got["targeted"], got["insult"], max(0, got["slight"] - 1)]
+    hits, clauses = sum(counts), 1 + codes.count(CLAUSE_END)
+    return [*map(math.log1p, counts), math.log1p(hits), math.log1p(100 * hits / clauses), float(hits > 1)]
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
@@ -105,50 +225,66 @@ def _labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     return materialise(docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id"))
 
 
-def learn_terms(labelled: DataFrame, max_terms: int = 5000) -> dict[str, float]:
-    """Words (after ``=``) and word beginnings that mark label 1: found in it almost only, and more often than
-    chance explains among that many terms. The weight is the log odds."""
+def learn_terms(labelled: DataFrame, chance: float = 1e-3) -> dict[str, float]:
+    """Words (after ``=``) and word beginnings that mark label 1: found in it almost only, and so much more often than in label 0
+    that of all the terms there are ``chance`` at most would by accident be. The weight is the log odds. Their number is bounded by the sample
+    (``MAX_LABELLED`` documents) alone. A beginning counts if several words have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
+            low, high = {}, {}
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = {_EDGES.sub("", w) for w in (text or "").lower().split()}
-                counts[int(label)].update({f"={w}" for w in words if len(w) > 2} | {w[:k] for w in words for k in PREFIXES if len(w) >= k})
+                own = {f"={w}" for w in words if len(w) > 2}
+                for w in words:
+                    for k in PREFIXES:
+                        if len(w) >= k:
+                            p = w[:k]
+                            own.add(p)
+                            low[p], high[p] = min(low.get(p, w), w), max(high.get(p, w), w)
+                counts[int(label)].update(own)
             terms = list(counts[0] | counts[1])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(terms, pa.string()), pa.array([counts[1][t] for t in terms], pa.int64()), pa.array([counts[0][t] for t in terms], pa.int64())],
-                names=["term", "one", "zero"],
-            )
+                [
+                    pa.array(terms, pa.string()), pa.array([counts[1][t] for t in terms], pa.int64()), pa.array([counts[0][t] for t in terms], pa.int64()),
+                    pa.array([low.get(t) for t in terms], pa.string()), pa.array([high.get(t) for t in terms], pa.string()),
+                ],
+                names=["term", "one", "zero", "low", "high"],
+            )
 
     n1, n0 = labelled.agg(F.sum("label"), F.sum(1 - F.col("label"))).first()
     if not n1 or not n0:
         return {}
-    counted = labelled.select("text", "label").mapInArrow(run, "term string, one long, zero long").groupBy("term").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero"))
-    counted = counted.where("one >= 3 AND zero <= 0.05 * one")
-    # G-test against the base rate, corrected for the number of terms there can be.
+    counted = labelled.select("text", "label").mapInArrow(run, "term string, one long, zero long, low string, high string")
+    counted = counted.groupBy("term").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero"), F.min("low").alias("low"), F.max("high").alias("high"))
+    counted = materialise(counted)
+    # G-test of the split against the base rate, one degree of freedom: P(G > g) is about exp(-g / 2), to be below chance / number of terms.
+    least = 2 * math.log(max(1, counted.count()) / chance)
     share = n1 / (n1 + n0)
     gain = F.expr(f"2 * one * ln(one / ((one + zero) * {share})) + CASE WHEN zero > 0 THEN 2 * zero * ln(zero / ((one + zero) * {1 - share})) ELSE 0 END")
-    rows = counted.withColumn("gain", gain).where(F.col("gain") > 2 * math.log(2e4)).orderBy(F.desc("gain"), "term").limit(max_terms).collect()
+    rows = counted.where("one > 0 AND zero <= 0.05 * one AND (low IS NULL OR low < high)").withColumn("gain", gain).where(F.col("gain") > least).collect()
     return {r.term: math.log((r.one + 0.5) / (r.zero + 0.5) * n0 / n1) for r in rows}
 
 
 def fit_weights(features: np.ndarray, labels: np.ndarray, epochs: int = 400, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logistic regression by full-batch gradient descent: means, scales, weights with the bias last."""
+    """Logistic regression by full-batch gradient descent: means, scales, weights with the bias last. No feature gets a weight below 0, so
+    that more matched clauses never lower a score."""
     mean, scale = features.mean(0), features.std(0) + 1e-6
     x = np.c_[(features - mean) / scale, np.ones(len(features))]
     w = np.zeros(x.shape[1])
     for _ in range(epochs):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         w -= 0.5 * (x.T @ (p - labels) / len(labels) + l2 * np.r_[w[:-1], 0])
+        w[:-1] = np.maximum(w[:-1], 0)
     return mean, scale, w
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Scores every whole text: the transducers' matches, weighted as the labelled documents teach.
+    """Scores every whole text: its clauses that the composed transducer matches, weighted as the labelled documents teach.
 
     Learned from at most ``MAX_LABELLED`` labelled documents with crc32(doc_id as text) mod 5 other than 0: insult terms that
-    extend the fixed classes, and the weights of the matches. Null or empty text: the score of a text without matches. No usable
+    extend the fixed classes, and the weights of the matches. A label given twice: the higher one. Null doc_id: not held out, never learned from. Null or empty text: the score of a text without matches. No usable
     label, or labels of one kind: only the fixed classes and given weights. Very long text: whole. Repeated rows: scored alike. Empty table: no rows. Extra
     columns are ignored. Returns doc_id, held_out, score, predicted (1 from 0.5 on).
     """
@@ -167,8 +303,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if len(y) and 0 < y.sum() < len(y):
         mean, scale, w = fit_weights(np.array([r.x for r in taught]), y)
     else:
-        n = len(PATTERNS) + 3
-        mean, scale, w = np.zeros(n), np.ones(n), np.r_[0.0, 0.0, 3.0, 2.0, 1.0, 1.0, 0.0, 1.0, -3.0]
+        mean, scale, w = np.zeros(FEATURES), np.ones(FEATURES), np.array(GIVEN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
