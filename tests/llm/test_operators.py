@@ -389,12 +389,62 @@ def test_surrogates(spark, docs):
     assert new("Мария Иванова").split()[0] in pii.GIVEN["female cyrillic"].split()
     assert pii._iban_left(new("DE89 3704 0044 0532 0130 00")) == 1
     assert new("version 4.0. of 2024") == "version 4.0. of 2024"
+    assert new("IBAN DE89 3704 0044 0532 0130 00, card 4111 1111 1111 1112") .endswith("card 4111 1111 1111 1112")
     out = pii.pseudonymise(docs, b"key")
     assert pii.colliding_surrogates(out).count() == 0
     before = {r.doc_id: r.text for r in docs.collect()}
     for r in out.collect():
         assert r.n_entities == len(r.entities) and (r.n_entities or r.text == before[r.doc_id])
         assert all(e.original not in r.text for e in r.entities if e.kind in ("email", "card", "secret"))
+        assert all(e.original != e.surrogate for e in r.entities)
+
+
+def formats(rng):
+    """Random entities of every kind, as they stand in texts."""
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    card = next(c for c in iter(lambda: "4" + digits(15), "") if pii._luhn(c))
+    names = [n for names in pii.GIVEN.values() for n in names.split()]
+    surname = rng.choice(["Smith", "Quark", "Петрова", "Иванов", "Παπαδόπουλος", "王", "李", "Müller", "García", "שרון"])
+    yield "email", f"{rng.choice('abc')}{digits(2)}@{rng.choice(['foo', 'bar', 'mail'])}.{rng.choice(['org', 'com'])}"
+    yield "secret", hexes(40)
+    yield "card", card
+    yield "ip", ".".join(str(rng.randrange(256)) for _ in range(4))
+    yield "ipv6", "2001:db8::" + ":".join(hexes(rng.choice([3, 4])) for _ in range(3))
+    yield "phone", rng.choice([f"+1 ({digits(3)}) 555-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}"])
+    yield "ssn", f"{digits(3)}-{digits(2)}-{digits(4)}"
+    yield "key", "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16))
+    yield "name", f"{rng.choice(names)} {surname}"
+    yield "name", f"{rng.choice(['Mr', 'Dr', 'Frau', 'Госпожа'])} {rng.choice([*names, 'Zelda', 'Yolanda', '伟'])} {surname}"
+
+
+def test_surrogates_are_others_and_distinct():
+    rng = random.Random(14)
+    images: dict = {}
+    for _ in range(3000):
+        for kind, value in formats(rng):
+            out, found = pii.replace(b"key", f"so {value} it is")
+            assert [(f[0], f[3]) for f in found] == [(kind, value)], (kind, value, found)
+            new = found[0][4]
+            assert new != value and out == f"so {new} it is" and len(new.split()) == len(value.split())
+            assert images.setdefault((kind, new), value) == value
+    for kind in pii.GIVEN:
+        names = pii.GIVEN[kind].split()
+        assert sorted(pii._given(b"key", n) for n in names) == sorted(names) and all(pii._given(b"key", n) != n for n in names)
+    assert all(pii.permute(b"k", "t", i, n) != i for n in (2, 3, 10, 100) for i in range(n))
+
+
+def test_names_refer_to_one_person():
+    new = lambda t: pii.replace(b"key", t)[0].replace(";", "").replace(".", "").split()
+    w = new("Dr Zelda Quark and Frau Zelda Quark; Quark left. Zelda stays")
+    assert w[1:3] == w[5:7] and w[7] == w[2] and w[9] == w[1] and "Zelda" not in w and "Quark" not in w
+    w = new("Elena Petrova came. Petrova went. John Smith and Smith")
+    assert w[1] == w[3] and w[1].endswith("a") and w[6] == w[8] and not {"Elena", "Petrova", "John", "Smith"} & set(w)
+    out = pii.replace(b"key", "Mr 王伟 spoke, 王伟说")[0]
+    assert "王" not in out and "伟" not in out and out[3:5] == out[-3:-1]
+    boxes = pii.replace(b"key", "a1@corp.org b2@corp.org")[0].split()
+    assert boxes[0].split("@")[1] == boxes[1].split("@")[1] != "corp.org"
+    assert pii.replace(b"key", "at 12:30:45 std::string a::b ::1 version 1.2.3")[1] == []
 
 
 def test_rules_reject_boilerplate(spark):

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,8 +23,10 @@ DEMO_KEY = b"surrogates"
 # Letters by kind: a letter is replaced by one of its own row and case. Fixed values.
 LETTERS = [
     "aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóú", "àèìòù", "âêîôû", "äëïöü", "ãõ", "çñ",
-    "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ",
+    "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "іїєґ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "άέήίόύώ", "אבגדהוזחטיכלמנסעפצקרשת", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي",
 ]
+# Scripts whose letters are replaced within the whole run of their code points: first and last. Fixed values.
+SCRIPTS = [("अ", "ह"), ("ก", "ฮ"), ("ぁ", "ゖ"), ("ァ", "ヺ"), ("一", "龥"), ("가", "힣"), ("Ա", "Ֆ"), ("ա", "ֆ"), ("ა", "ჰ")]
 DIGITS = "0123456789"
 # Given names by gender and script, replaced by another of their own list. Fixed values.
 GIVEN = {
@@ -34,6 +37,8 @@ GIVEN = {
     "female greek": "Μαρία Ελένη Σοφία Άννα Κατερίνα",
     "male greek": "Γιώργος Νίκος Δημήτρης Κώστας Γιάννης",
 }
+# Endings that tell a name's gender; they stay. Fixed values.
+ENDINGS = ("ская", "ский", "ова", "ева", "ина", "ová", "ской", "ов", "ев", "ин", "ός", "ης", "ου", "ос")
 # Titles before a name, with the gender they give it. Fixed values.
 TITLES = {
     "male": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин"],
@@ -43,22 +48,26 @@ TITLES = {
 
 _GIVEN_LIST = {name: kind for kind, names in GIVEN.items() for name in names.split()}
 _TITLE_GENDER = {t: g for g, ts in TITLES.items() for t in ts}
-_CAPITAL = r"[^\W\d_a-zà-ÿа-яα-ω][^\W\d_]*"
+#: A word that begins with a capital, or one of a script without capitals.
+_CAPITAL = r"[^\W\d_a-zß-öø-ÿа-џα-ώա-ֆ][^\W\d_]*"
 _GAP = r"\W{1,5}?"
+_HEX = "[0-9A-Fa-f]{1,4}"
 #: Kinds of entities, the first that matches at a place counts. Signs stuck to the parts of a number do not hide it.
 KINDS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9]{20,64}\b|\bxox[abprs]-[A-Za-z0-9-]{10,72}\b|\bAIza[A-Za-z0-9_-]{35}(?![\w-])",
     "secret": r"\b(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\d)",
+    "ipv6": rf"(?<![\w:.])(?:{_HEX}(?::{_HEX}){{7}}|(?:{_HEX}(?::{_HEX}){{0,5}})?::(?:{_HEX}(?::{_HEX}){{0,5}})?)(?![\w:])",
     "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])",
-    "phone": rf"\+\d{{1,3}}{_GAP}\d{{2,4}}{_GAP}\d{{3}}{_GAP}\d{{3,4}}(?!\d)|\(\d{{3}}\){_GAP}\d{{3}}{_GAP}\d{{4}}(?!\d)|\+\d{{8,15}}(?!\d)",
+    "phone": rf"\+\d{{1,3}}{_GAP}\d{{2,4}}{_GAP}\d{{3}}{_GAP}\d{{3,4}}(?!\d)|\(\d{{3}}\){_GAP}\d{{3}}{_GAP}\d{{4}}(?!\d)|\+\d{{8,15}}(?!\d)|(?<![\w.-])\d{{3}}([-.])\d{{3}}\1\d{{4}}(?![\w-]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "name": rf"\b(?:{'|'.join(_TITLE_GENDER)})\b\.? {_CAPITAL}(?: {_CAPITAL})?|\b(?:{'|'.join(_GIVEN_LIST)}) {_CAPITAL}",
 }
-_ENTITY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items()))
+_ENTITY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items()).replace(r"\1", "(?P=sep)").replace("([-.])", "(?P<sep>[-.])"))
 #: Texts without any of these hold no entity; the search for them is quicker than the patterns.
-_MAYBE = re.compile(rf"@|\d{{3}}|\d\.\d|[0-9a-fA-F]{{32}}|\b(?:{'|'.join([*_TITLE_GENDER, *_GIVEN_LIST])})\b")
+_MAYBE = re.compile(rf"@|\d{{3}}|\d\.\d|[0-9a-fA-F]{{32}}|:[0-9a-fA-F]{{0,4}}:|\b(?:{'|'.join([*_TITLE_GENDER, *_GIVEN_LIST])})\b|AKIA|ASIA|gh[pousr]_|sk-|xox|AIza")
 
 
 def _digest(key: bytes, *parts: object) -> int:
@@ -66,13 +75,22 @@ def _digest(key: bytes, *parts: object) -> int:
 
 
 def permute(key: bytes, tweak: str, value: int, size: int) -> int:
-    """A keyed permutation of ``range(size)``: a Feistel network over the next even number of bits, walked until within."""
+    """The value after ``value`` on a keyed cycle through all of ``range(size)``: one-to-one, and never the value itself unless it is the only one.
+    The cycle's order is a Feistel network over the next even number of bits, walked until within."""
+    place = _walk(key, tweak, value, size, back=True)
+    return _walk(key, tweak, (place + 1) % size, size, back=False)
+
+
+def _walk(key: bytes, tweak: str, value: int, size: int, back: bool) -> int:
     half = max(1, (size - 1).bit_length() + 1 >> 1)
     mask = (1 << half) - 1
     while True:
         left, right = value >> half, value & mask
-        for turn in range(6):
-            left, right = right, left ^ (_wide(key, tweak, turn, right, half) & mask)
+        for turn in reversed(range(6)) if back else range(6):
+            if back:
+                left, right = right ^ (_wide(key, tweak, turn, left, half) & mask), left
+            else:
+                left, right = right, left ^ (_wide(key, tweak, turn, right, half) & mask)
         value = left << half | right
         if value < size:
             return value
@@ -89,10 +107,25 @@ def _wide(key: bytes, tweak: str, turn: int, value: int, bits: int) -> int:
 _ROW = {c: row for row in LETTERS for c in row} | {c: DIGITS for c in DIGITS}
 
 
+class _Run(str):
+    """All characters between two, as a row of letters that finds a place without a search."""
+
+    def index(self, c: str) -> int:  # noqa: D102
+        return ord(c) - ord(self[0])
+
+
+_RUNS = [_Run("".join(map(chr, range(ord(a), ord(z) + 1)))) for a, z in SCRIPTS]
+
+
+def _row(c: str) -> str:
+    return _ROW.get(c) or next((run for run in _RUNS if run[0] <= c <= run[-1]), "")
+
+
 def _keep_format(key: bytes, tweak: str, text: str) -> str:
-    """``text`` with every letter and digit replaced by one of its own kind and case, all else as it is. One-to-one."""
+    """``text`` with every letter and digit replaced by one of its own kind, script and case, all else as it is. One-to-one, and other than ``text`` if
+    it has any letter or digit that has others of its kind."""
     low = [c.lower() if len(c.lower()) == 1 else c for c in text]
-    rows = [_ROW.get(c, "") for c in low]
+    rows = [_row(c) for c in low]
     shape = "".join(row[0] if row else c for c, row in zip(low, rows, strict=True))
     size, value = 1, 0
     for c, row in zip(low, rows, strict=True):
@@ -114,13 +147,13 @@ def _luhn(digits: str) -> bool:
 
 
 def _numbers(key: bytes, kind: str, text: str, fixed: int) -> str:
-    """New digits in the old layout, but for the first ``fixed``; what passes the Luhn check goes on passing it, what fails, failing."""
+    """New digits in the old layout, but for the first ``fixed``; a card's go on passing the Luhn check."""
     digits = re.sub(r"\D", "", text)
     head, rest = digits[:fixed], digits[fixed:]
     new = rest
     while True:
         new = f"{permute(key, f'{kind}:{head}:{len(rest)}', int(new), 10 ** len(rest)):0{len(rest)}}"
-        if kind != "card" or _luhn(head + new) == _luhn(digits):
+        if kind != "card" or _luhn(head + new):
             break
     fresh = iter(head + new)
     return re.sub(r"\d", lambda _: next(fresh), text)
@@ -157,40 +190,85 @@ def _iban(key: bytes, text: str) -> str:
 
 
 def _word(key: bytes, tweak: str, word: str) -> str:
-    """A name outside the lists, in its own format; never one that the lists use as a surrogate."""
+    """A name outside the lists, in its own script and format, with the ending that tells its gender; never one that the lists use as a surrogate."""
+    tail = next((e for e in ENDINGS if len(word) > len(e) + 1 and word.endswith(e)), "")
+    if not tail and len(word) > 2 and word[-1].lower() in "aeoаяαη":
+        tail = word[-1]
     while True:
-        word = _keep_format(key, tweak, word)
+        word = _keep_format(key, f"{tweak}:{tail}", word[: len(word) - len(tail)]) + tail
         if word not in _GIVEN_LIST:
             return word
 
 
-def _given(key: bytes, name: str, gender: str) -> str:
+@lru_cache(maxsize=64)
+def _cycle(key: bytes, kind: str) -> dict[str, str]:
+    """Every name of a list and the one that replaces it: the next in a keyed order, so that none replaces itself."""
+    names = sorted(GIVEN[kind].split(), key=lambda n: _digest(key, kind, n))
+    return dict(zip(names, names[1:] + names[:1], strict=True))
+
+
+def _given(key: bytes, name: str) -> str:
     kind = _GIVEN_LIST.get(name)
-    if kind is None:
-        return _word(key, f"given:{gender}", name)
-    names = GIVEN[kind].split()
-    return names[permute(key, kind, names.index(name), len(names))]
+    return _word(key, "given", name) if kind is None else _cycle(key, kind)[name]
+
+
+def _surname(key: bytes, name: str) -> str:
+    return _given(key, name) if name in _GIVEN_LIST else _word(key, "surname", name)
+
+
+def _name_parts(key: bytes, text: str) -> list[tuple[str, str]]:
+    """The words of a name with their replacements; a title stays."""
+    words = text.split(" ")
+    parts = [(words[0], words[0])] if words[0].rstrip(".") in _TITLE_GENDER else []
+    own = words[len(parts) :]
+    return parts + [(w, _given(key, w)) for w in own[:-1]] + [(own[-1], _surname(key, own[-1]))]
 
 
 def _name(key: bytes, text: str) -> str:
-    parts = text.split(" ")
-    title = parts[0].rstrip(".")
-    if title in _TITLE_GENDER:
-        own = parts[1:]
-        given = [_given(key, own[0], _TITLE_GENDER[title])] if len(own) > 1 else []
-        return " ".join([parts[0], *given, _word(key, "surname", own[-1]) if own[-1] not in _GIVEN_LIST else _given(key, own[-1], "")])
-    return " ".join([_given(key, parts[0], ""), _word(key, "surname", parts[1]) if parts[1] not in _GIVEN_LIST else _given(key, parts[1], "")])
+    return " ".join(new for _, new in _name_parts(key, text))
+
+
+def _ipv6(key: bytes, text: str) -> str:
+    """Another address written alike; its first group stays, which tells the kind of network."""
+    first = re.match(r"[0-9A-Fa-f]{0,4}", text)[0]
+    rest = text[len(first) :]
+    digits = re.sub("[^0-9A-Fa-f]", "", rest)
+    if not digits:
+        return text
+    large = text != text.lower()
+    new = iter(f"{permute(key, f'ipv6:{first.lower()}:' + re.sub('[0-9A-Fa-f]', 'x', rest), int(digits, 16), 16 ** len(digits)):0{len(digits)}x}")
+    out = re.sub("[0-9A-Fa-f]", lambda _: next(new), rest)
+    return first + (out.upper() if large else out)
+
+
+def _key(key: bytes, text: str) -> str:
+    """An access key of the same issuer: its prefix stays, capitals, small letters and digits are replaced by their like."""
+    prefix = re.match(r"AKIA|ASIA|gh._|sk-|xox.-|AIza", text)[0]
+    rest = text[len(prefix) :]
+    kinds = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", DIGITS)
+    rows = [next((k for k in kinds if c in k), "") for c in rest]
+    size, value = 1, 0
+    for c, row in zip(rest, rows, strict=True):
+        if row:
+            value, size = value * len(row) + row.index(c), size * len(row)
+    value = permute(key, f"key:{prefix}:" + "".join(row[0] if row else c for c, row in zip(rest, rows, strict=True)), value, size)
+    out = []
+    for c, row in zip(reversed(rest), reversed(rows), strict=True):
+        if row:
+            value, k = divmod(value, len(row))
+            c = row[k]
+        out.append(c)
+    return prefix + "".join(reversed(out))
 
 
 def _email(key: bytes, text: str) -> str:
-    """A new mailbox; the domain's own labels are replaced too, its top level and reserved example domains stay."""
+    """A new mailbox in a new domain, the same one for all its mailboxes; the top level and reserved example domains stay."""
     box, _, domain = text.rpartition("@")
     labels = domain.split(".")
     keep = 2 if len(labels) > 1 and labels[-2].lower() == "example" else 1
-    own = ".".join(labels[:-keep])
-    tail = ".".join(labels[-keep:])
-    new = _keep_format(key, f"email:{tail.lower()}", f"{box}@{own}" if own else f"{box}@")
-    return f"{new}.{tail}" if own else new + tail
+    own, tail = ".".join(labels[:-keep]), ".".join(labels[-keep:])
+    new = _keep_format(key, f"domain:{tail.lower()}", own) + "." if own else ""
+    return f"{_keep_format(key, f'mailbox:{domain.lower()}', box)}@{new}{tail}"
 
 
 @lru_cache(maxsize=100_000)
@@ -205,6 +283,10 @@ def surrogate(key: bytes, kind: str, text: str) -> str:
         return out.upper() if text.upper() == text and text.lower() != text else out
     if kind == "ip":
         return _ip(key, text)
+    if kind == "ipv6":
+        return _ipv6(key, text)
+    if kind == "key":
+        return _key(key, text)
     if kind == "card":
         return _numbers(key, kind, text, 1)
     if kind == "phone":
@@ -217,16 +299,45 @@ def surrogate(key: bytes, kind: str, text: str) -> str:
     return _name(key, text)
 
 
+def _holds(kind: str, text: str) -> bool:
+    """Whether what looks like an entity is one: numbers with a check digit have to pass it, addresses to parse."""
+    if kind == "card":
+        return _luhn(re.sub(r"\D", "", text))
+    if kind == "ipv6":
+        try:
+            return int(ipaddress.IPv6Address(text)) > 1 and sum(c not in ":" for c in text) > 2 and any(map(str.isdigit, text))
+        except ValueError:
+            return False
+    return True
+
+
 def replace(key: bytes, text: str | None) -> tuple[str | None, list[tuple[str, int, int, str, str]]]:
-    """The text with surrogates, and per entity its kind, span in the given text, value and surrogate."""
+    """The text with surrogates, and per entity its kind, span in the given text, value and surrogate. A name that is found once is
+    known in all of its text: its parts are replaced wherever they stand alone."""
     if not text or not _MAYBE.search(text):
         return text, []
-    out, found, at = [], [], 0
+    found, known = [], {}
     for m in _ENTITY.finditer(text):
-        new = surrogate(key, m.lastgroup, m[0])
-        out += [text[at : m.start()], new]
-        found.append((m.lastgroup, m.start(), m.end(), m[0], new))
-        at = m.end()
+        if _holds(m.lastgroup if m.lastgroup != "sep" else "phone", m[0]):
+            kind = "phone" if m.lastgroup == "sep" else m.lastgroup
+            found.append((kind, m.start(), m.end(), m[0], surrogate(key, kind, m[0])))
+            if kind == "name":
+                known |= {old: new for old, new in _name_parts(key, m[0]) if old != new}
+    if known:
+        # Scripts that part no words have no borders to ask for.
+        bounded = [re.escape(n) if isinstance(_row(n[0]), _Run) else rf"\b{re.escape(n)}\b" for n in sorted(known, key=len, reverse=True)]
+        alone = re.compile("|".join(bounded))
+        taken, at = [], 0
+        for kind, start, end, value, new in [*found, ("", len(text), len(text), "", "")]:
+            taken += [("name", at + m.start(), at + m.end(), m[0], known[m[0]]) for m in alone.finditer(text[at:start])]
+            if kind:
+                taken.append((kind, start, end, value, new))
+            at = end
+        found = taken
+    out, at = [], 0
+    for _, start, end, _, new in found:
+        out += [text[at:start], new]
+        at = end
     return ("".join(out) + text[at:], found) if found else (text, [])
 
 
@@ -238,9 +349,10 @@ def fingerprint_of(key: bytes, value: str) -> str:
 def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """Replaces every detected entity of every whole text by its surrogate.
 
-    Under one key an entity has one surrogate in all documents, and two entities of a kind and format never share one: each replacement is a
-    permutation of the values of that format, so that no table of entities is gathered and any executor can do it again.
-    ``colliding_surrogates`` checks that over a table. Null text: null. Empty text or none found: as it is. Very long text: whole. Repeated rows: alike. Empty
+    Under one key an entity has one surrogate in all documents, other than itself, and two entities of a kind and format never share one: each
+    replacement is a one-to-one step through the values of that format, so that no table of entities is gathered and any executor can do it again.
+    ``colliding_surrogates`` checks that over a table. Names keep title, script and gender; the parts of a name are the same for one person under
+    any title, also where they stand alone in that text. Cards have to pass their check digit. Null doc_id: as it is. Null text: null. Empty text or none found: as it is. Very long text: whole. Repeated rows: alike. Empty
     table: no rows. Returns all columns with ``text`` replaced, and n_entities and entities (kind, start, end, original, surrogate), of which the last is
     for audits only; those two names are overwritten.
     """
