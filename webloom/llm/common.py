@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +65,17 @@ def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df
 
+
+
+def light_slices(batch: pa.RecordBatch, text: int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows whose texts (column ``text``) have about ``most`` bytes together, or one longer text, so that what a worker
+    makes of texts at once is bounded by bytes, not by rows."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+    first, held = 0, 0
+    for k, size in enumerate(sizes):
+        if held and held + size > most:
+            yield batch.slice(first, k - first)
+            first, held = k, 0
+        held += size
+    if first < len(sizes):
+        yield batch.slice(first)

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import materialise, own_columns, small_batches, table
+from webloom.llm.common import light_slices, materialise, own_columns, salted_join, small_batches, table
 
 BITS = 64
 #: Buckets of up to so many distinct fingerprints compare all their pairs; larger ones go another, exact way.
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, words_each: int = 3) -> DataFrame:
     """doc_id and the 64-bit fingerprint (a long) of every whole text; no words: 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in light_slices(whole, 1)):
             values, bounds = [], [0]
             for text in batch.column(1).to_pylist():
                 values.append(np.array(_shingle_hashes(text, words_each), np.uint64))
@@ -156,7 +156,7 @@ def near_duplicates(docs: DataFrame, words_each: int = 3) -> DataFrame:
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     component = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = materialise(named.join(component, "root").select("fp", "component_id"))
-    return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
+    return salted_join(prints, of_print, ["fp"]).select("doc_id", "fp", "component_id")
 
 
 _PUNCTUATION = re.compile(rb"[^\w\x80-\xff]+")
@@ -177,7 +177,7 @@ def text_sets(docs: DataFrame, words_each: int = 5, repeated: bool = False) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         n_held = 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in light_slices(whole, 2)):
             values, bounds, sets, sizes = [], [0], [], []
             for text in batch.column(2).to_pylist():
                 words = _PUNCTUATION.sub(b" ", (text or "").encode().lower()).split()
@@ -210,7 +210,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, words_each: int) -> DataFr
     """(node, shingles) of the texts in ``wanted`` (node, text_hash), one text a node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in light_slices(whole, 1)):
             sets = [np.unique(np.array(_shingle_hashes(t, words_each), np.uint64).astype(np.uint32)).view(np.int32) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["node", "shingles"])
 
@@ -247,7 +247,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return salted_join(pairs, one, ["a"]).join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _near_texts(docs: DataFrame, nodes: DataFrame, masks: list[int], radius: int, similarity: float, words_each: int) -> DataFrame:
@@ -299,7 +299,7 @@ def _prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], smallest
     listed, counts = frequent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in light_slices(whole, 0)):
             nodes, sizes, common, keys = [], [], [], []
             for text in batch.column(0).to_pylist():
                 own = np.unique(np.array(_shingle_hashes(text, words_each), np.uint64))
@@ -391,7 +391,7 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 6, similarity: float = 0
     edges = _near_texts(docs, alive, covering_masks(min(radius, 6))[:FIRST_MASKS], radius, similarity, words_each)
     roots = components(edges.union(_missing_links(docs, alive, edges, frequent, radius, similarity, words_each)))
     # The text that leads a group is its least node.
-    leading = figures.join(roots.where("node <> root"), "node", "left_anti")
+    leading = salted_join(figures, roots.where("node <> root").select("node"), ["node"], "left_anti")
     stays = materialise(
         leading.groupBy("node")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("s"))
