@@ -162,67 +162,58 @@ def near_duplicates(docs: DataFrame, words_each: int = 3) -> DataFrame:
 _PUNCTUATION = re.compile(rb"[^\w\x80-\xff]+")
 
 
+_SETS = "doc_id long, text_hash long, fp long, node long, size long, shingles array<int>"
+
+
 def _repeated(sets: list[np.ndarray]) -> pa.RecordBatch:
     """Rows of ``text_sets`` for the shingles in more than one of ``sets``: the shingle as text_hash, the count as fp, size -1."""
     values, counts = np.unique(np.concatenate(sets), return_counts=True)
     values, counts = values[counts > 1].view(np.int64), counts[counts > 1].astype(np.int64)
     none = pa.nulls(len(values), pa.int64())
-    return pa.RecordBatch.from_arrays([none, pa.array(values), pa.array(counts), none, pa.array(np.full(len(values), -1))], names=["doc_id", "text_hash", "fp", "node", "size"])
+    return _rows(none, pa.array(values), pa.array(counts), none, pa.array(np.full(len(values), -1)), pa.nulls(len(values), pa.list_(pa.int32())))
+
+
+def _rows(*columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns), names=["doc_id", "text_hash", "fp", "node", "size", "shingles"])
 
 
 def text_sets(docs: DataFrame, words_each: int = 5, repeated: bool = False) -> DataFrame:
-    """Per text: doc_id, text_hash, a fingerprint of its distinct word pairs without punctuation, a hash of its set of word
-    shingles, and the set's size. With ``repeated`` also the rows of ``_repeated`` for every COUNTED shingles of distinct sets."""
+    """Per text: doc_id, text_hash, a fingerprint of its distinct word pairs without punctuation, a hash of its set of word shingles, the set's size
+    and the set, 32 bits a shingle. With ``repeated`` also the rows of ``_repeated`` for every COUNTED shingles of distinct sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         n_held = 0
-        for batch in (part for whole in batches for part in light_slices(whole, 2)):
-            values, bounds, sets, sizes = [], [0], [], []
+        for batch in (part for whole in batches for part in light_slices(whole, 2, 500_000)):
+            values, bounds, nodes, sets = [], [0], [], []
             for text in batch.column(2).to_pylist():
                 words = _PUNCTUATION.sub(b" ", (text or "").encode().lower()).split()
                 twos = set(map(b" ".join, zip(words, words[1:], strict=False))) or set(words)
                 values.append(np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in twos), np.uint64, len(twos)))
                 bounds.append(bounds[-1] + len(twos))
                 own = np.unique(np.array(_shingle_hashes(text, words_each), np.uint64))
-                sets.append(xxhash.xxh64_intdigest(own.tobytes()) - 2**63)
-                sizes.append(len(own))
-                if repeated and len(own) and sets[-1] not in held:
-                    held[sets[-1]] = own
+                sets.append(own)
+                nodes.append(xxhash.xxh64_intdigest(own.tobytes()) - 2**63)
+                if repeated and len(own) and nodes[-1] not in held:
+                    held[nodes[-1]] = own
                     n_held += len(own)
                     if n_held >= COUNTED:
                         yield _repeated(list(held.values()))
                         held, n_held = {}, 0
-            all_values = np.concatenate(values) if values else np.zeros(0, np.uint64)
-            fp = _bits_set(all_values, np.array(bounds)).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(fp), pa.array(sets, pa.int64()), pa.array(sizes, pa.int64())],
-                names=["doc_id", "text_hash", "fp", "node", "size"],
-            )
+            fp = _bits_set(np.concatenate(values), np.array(bounds)).view(np.int64)
+            ends = np.cumsum([0, *map(len, sets)])
+            shingles = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).astype(np.uint32).view(np.int32)))
+            yield _rows(batch.column(0), batch.column(1), pa.array(fp), pa.array(nodes, pa.int64()), pa.array(np.diff(ends)), shingles)
         if held:
             yield _repeated(list(held.values()))
 
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long, node long, size long")
+    return rows.mapInArrow(run, _SETS)
 
 
-def _shingle_sets(docs: DataFrame, wanted: DataFrame, words_each: int) -> DataFrame:
-    """(node, shingles) of the texts in ``wanted`` (node, text_hash), one text a node."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in light_slices(whole, 1)):
-            sets = [np.unique(np.array(_shingle_hashes(t, words_each), np.uint64).astype(np.uint32)).view(np.int32) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["node", "shingles"])
-
-    marks = wanted.select(F.pmod("text_hash", F.lit(2**18)).alias("mark")).distinct()
-    texts = (
-        docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
-        .withColumn("mark", F.pmod("text_hash", F.lit(2**18)))
-        .join(F.broadcast(marks), "mark", "left_semi")
-        .groupBy("text_hash")
-        .agg(F.first("text").alias("text"))
-    )
-    return wanted.join(texts, "text_hash").select("node", "text").mapInArrow(run, "node long, shingles array<int>")
+def _shingle_sets(figures: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, shingles) of the nodes in ``wanted``, once each; copies are one before the shuffle."""
+    return figures.select("node", "shingles").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 def _least(crowd: DataFrame, n: int) -> DataFrame:
@@ -235,23 +226,14 @@ def _least(crowd: DataFrame, n: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose shingle sets have at least that Jaccard similarity."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return salted_join(pairs, one, ["a"]).join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    both = F.size(F.array_intersect("x", "y"))
+    return salted_join(pairs, one, ["a"]).join(other, "b").where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def _near_texts(docs: DataFrame, nodes: DataFrame, masks: list[int], radius: int, similarity: float, words_each: int) -> DataFrame:
-    """Verified edges (a, b), a < b, among nodes (node, fp, text_hash) that share a bucket of ``masks``; see ``drop_near_duplicates`` for what crowded
+def _near_texts(figures: DataFrame, nodes: DataFrame, masks: list[int], radius: int, similarity: float) -> DataFrame:
+    """Verified edges (a, b), a < b, among nodes (node, fp) that share a bucket of ``masks``; see ``drop_near_duplicates`` for what crowded
     buckets compare."""
     entries = _buckets(nodes, masks, ["node", "fp"])
     # Always a shuffle of both sides, whatever their sizes here: the plan that large inputs get.
@@ -259,9 +241,9 @@ def _near_texts(docs: DataFrame, nodes: DataFrame, masks: list[int], radius: int
     alive = materialise(entries.join(counted, "key").select("key", "node", "fp", "n"))
     small = materialise(_pairs_of(alive.where(F.col("n") <= SMALL_BUCKET), radius))
     crowd, leaders = alive.where(F.col("n") > SMALL_BUCKET).select("key", "node", "fp"), 1
-    # Only texts within the radius of another, or in a crowd, are read again.
+    # Only the sets of texts within the radius of another, or in a crowd, go on.
     wanted = small.select(F.col("a").alias("node")).union(small.select("b")).union(crowd.select("node")).distinct()
-    sets = materialise(_shingle_sets(docs, wanted.join(nodes, "node").select("node", "text_hash"), words_each))
+    sets = materialise(_shingle_sets(figures, wanted))
     check = lambda pairs: materialise(_verified(pairs, sets, similarity))
     found = [check(small)]
     while not crowd.isEmpty():
@@ -299,7 +281,7 @@ def _prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], smallest
     listed, counts = frequent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in light_slices(whole, 0)):
+        for batch in (part for whole in batches for part in light_slices(whole, 0, 500_000)):
             nodes, sizes, common, keys = [], [], [], []
             for text in batch.column(0).to_pylist():
                 own = np.unique(np.array(_shingle_hashes(text, words_each), np.uint64))
@@ -329,8 +311,8 @@ def _with_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _missing_links(docs: DataFrame, nodes: DataFrame, edges: DataFrame, frequent: tuple[np.ndarray, np.ndarray], radius: int, similarity: float, words_each: int) -> DataFrame:
-    """What ``edges`` lack: verified edges with which they connect exactly what all pairs of nodes (node, fp, text_hash) within the similarity and the
+def _missing_links(docs: DataFrame, figures: DataFrame, nodes: DataFrame, edges: DataFrame, frequent: tuple[np.ndarray, np.ndarray], radius: int, similarity: float, words_each: int) -> DataFrame:
+    """What ``edges`` lack: verified edges with which they connect exactly what all pairs of nodes (node, fp) within the similarity and the
     radius connect. A pair is compared if its sets share a shingle of their prefixes and the two are not connected yet. Crowded buckets first
     compare all nodes with the one that has most of its shingles in common with others, which connects a group of edited copies."""
     smallest = _smallest(similarity)
@@ -338,25 +320,25 @@ def _missing_links(docs: DataFrame, nodes: DataFrame, edges: DataFrame, frequent
     facts = materialise(_with_roots(prefixes.select("node", "size", "common").join(nodes, "node"), edges))
     keyed = prefixes.select("node", F.posexplode("keys").alias("at", "key"))
     rooted = facts.select("node", "root").join(prefixes.select("node", "keys"), "node").select("root", F.explode("keys").alias("key"))
-    mixed = lambda rows: rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "n").hint("merge")
-    entries = materialise(keyed.join(mixed(rooted), "key").join(facts.drop("text_hash"), "node"))
+    mixed = lambda rows: rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key").hint("merge")
+    entries = materialise(keyed.join(mixed(rooted), "key").join(facts, "node"))
 
     def check(pairs: DataFrame) -> DataFrame:
         pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        sets = materialise(_shingle_sets(docs, wanted.join(nodes, "node").select("node", "text_hash"), words_each))
+        sets = materialise(_shingle_sets(figures, wanted))
         return materialise(_verified(pairs, sets, similarity))
 
     # Sets of this similarity differ in size by that factor at most.
     near = (F.col("x.root") != F.col("y.root")) & (F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size") - 1e-6)
     if radius < BITS:
         near &= F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= radius
-    crowd = entries.where(F.col("n") > SMALL_BUCKET)
+    crowd = entries.join(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SMALL_BUCKET).select("key"), "key", "left_semi")
     fields = F.struct("node", "root", "size", "fp")
     lead = crowd.groupBy("key").agg(F.max_by(fields, F.struct("common", "node")).alias("x"))
     stars = check(crowd.select("key", fields.alias("y")).join(lead, "key").where(near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
     now = materialise(_with_roots(facts.select("node"), edges.union(stars)))
-    entries = materialise(entries.drop("root", "n").join(now, "node"))
+    entries = materialise(entries.drop("root").join(now, "node"))
     entries = materialise(entries.join(mixed(entries), "key"))
     # In the bucket of the first shingle that two similar sets share, enough of both follows.
     follows = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at"))
@@ -386,10 +368,10 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 6, similarity: float = 0
     columns = own_columns(docs)
     both = materialise(text_sets(docs, words_each, repeated=True))
     figures, frequent = both.where("size >= 0"), _frequent(both.where("size < 0"))
-    nodes = figures.groupBy("node").agg(F.min("fp").alias("fp"), F.max("size").alias("size"), F.min("text_hash").alias("text_hash"))
+    nodes = figures.groupBy("node").agg(F.min("fp").alias("fp"), F.max("size").alias("size"))
     alive = materialise(nodes.where(F.col("size") >= _smallest(similarity)).drop("size"))
-    edges = _near_texts(docs, alive, covering_masks(min(radius, 6))[:FIRST_MASKS], radius, similarity, words_each)
-    roots = components(edges.union(_missing_links(docs, alive, edges, frequent, radius, similarity, words_each)))
+    edges = _near_texts(figures, alive, covering_masks(min(radius, 6))[:FIRST_MASKS], radius, similarity)
+    roots = components(edges.union(_missing_links(docs, figures, alive, edges, frequent, radius, similarity, words_each)))
     # The text that leads a group is its least node.
     leading = salted_join(figures, roots.where("node <> root").select("node"), ["node"], "left_anti")
     stays = materialise(
