@@ -8,7 +8,7 @@ import re
 from collections import Counter
 from urllib.parse import urljoin, urlsplit
 
-from webloom.dom.tree import Node, SelectorError, parse, select, select_first
+from webloom.dom.tree import Node, SelectorError, firsts, fits_any, parse, select, to_html
 
 # Tags and selectors of page furniture, and where main content is looked for, in order. Fixed values.
 ALWAYS_DROP = "script style noscript iframe svg canvas template object embed form button input select textarea".split()
@@ -27,6 +27,8 @@ MAIN_CONTENT = [
     "main[role='main']", "main#content", "main.content", "main", "article.post-content", "article.entry-content", "article.content", "article", "[role='main']",
     "#main-content", "#content", "#main", "#article", "#post", ".main-content", ".content", ".post-content", ".article-content", ".entry-content", ".page-content", ".body-content",
 ]
+CLEAN_DROP = "script style nav footer header noscript iframe".split()
+CLEAN_MAIN = ["main", "article", "[role='main']", ".content", "#content"]
 GENERIC_FONTS = {"serif", "sans-serif", "monospace", "cursive", "fantasy", "system-ui"}
 COLOR_ROLES = [
     ("primary", ["primary", "main", "brand"]), ("secondary", ["secondary", "accent-2"]), ("accent", ["accent", "highlight"]),
@@ -254,8 +256,7 @@ def color_scheme(root: Node, css: str) -> str:
 
 def logo(root: Node, base: str) -> str | None:
     """The likeliest logo: named images, an image that links home, named backgrounds, then the page's own picture."""
-    for s in LOGO_IMAGES:
-        n = select_first(root, s)
+    for n in firsts(root, LOGO_IMAGES):
         if n:
             src = n.attrs.get("src") or next((i.attrs.get("src") for i in n.every("img")), None)
             if src and not src.startswith("data:"):
@@ -263,8 +264,8 @@ def logo(root: Node, base: str) -> str | None:
     for a in root.every("a"):
         if a.attrs.get("href") == "/" and (src := next((i.attrs.get("src") for i in a.every("img")), None)) and not src.startswith("data:"):
             return _resolved(base, src)
-    for s in (".logo", "#logo", "[class*='logo']", ".navbar-brand", ".site-logo"):
-        if (n := select_first(root, s)) and (m := _BACKGROUND.search(n.attrs.get("style", ""))):
+    for n in firsts(root, [".logo", "#logo", "[class*='logo']", ".navbar-brand", ".site-logo"]):
+        if n and (m := _BACKGROUND.search(n.attrs.get("style", ""))):
             return _resolved(base, m[2].strip())
     if og := open_graph(root).get("og:image"):
         return _resolved(base, og)
@@ -278,15 +279,47 @@ def words_in(node: Node) -> int:
 def drop_furniture(root: Node) -> None:
     """Takes scripts, menus, banners and the like out of the tree, but not what is named like main content."""
     protected = lambda n: any(p in f"{n.attrs.get('id', '')} {n.attrs.get('class', '')} {n.attrs.get('role', '')}".lower() for p in PROTECTED)
-    for n in root.every(*ALWAYS_DROP):
-        n.remove()
-    for n in root.every(*STRUCTURAL_DROP):
-        if not protected(n):
-            n.remove()
-    for s in BOILERPLATE:
-        for n in select(root, s):
-            if not protected(n):
-                n.remove()
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        kept = []
+        for n in node.children:
+            if isinstance(n, Node):
+                # All of the listed selectors ask for an attribute.
+                if n.name in ALWAYS_DROP or ((n.name in STRUCTURAL_DROP or (n.attrs and fits_any(n, BOILERPLATE))) and not protected(n)):
+                    n.parent = None
+                    continue
+                stack.append(n)
+            kept.append(n)
+        node.children = kept
+
+
+def cleaned(root: Node, only_main: bool = True, include: list[str] | None = None, exclude: list[str] | None = None) -> str:
+    """The page's markup without scripts, frames and page furniture: of the included elements in one wrapper if any match, else of the main content, else of
+    the body. The tree stays as it is."""
+    out = set()
+    for s in exclude or []:
+        try:
+            out.update(map(id, select(root, s)))
+        except SelectorError:
+            continue
+    gone = lambda n: n.name in CLEAN_DROP or id(n) in out
+    there = lambda n: not gone(n) and not any(map(gone, n.ancestors()))
+    if include:
+        wanted = set()
+        for s in include:
+            try:
+                wanted.update(id(n) for n in select(root, s) if there(n))
+            except SelectorError:
+                continue
+        found = [n for n in root.walk() if id(n) in wanted and not any(id(a) in wanted for a in n.ancestors())]
+        if found:
+            return f"<div>{''.join(to_html(n, gone) for n in found)}</div>"
+    if only_main:
+        for s in CLEAN_MAIN:
+            if n := next((n for n in select(root, s) if there(n)), None):
+                return to_html(n, gone)
+    return to_html(root.first("body") or root, gone)
 
 
 def exclude(root: Node, selectors: list[str]) -> None:
@@ -373,8 +406,7 @@ def main_content(root: Node, mode: float = 0.5, query: str | None = None) -> Nod
     """The first main-content match that is dense enough, else the body's longer sections; then the query's sections only."""
     mode = min(1.0, max(0.0, mode))
     found = None
-    for s in MAIN_CONTENT:
-        n = select_first(root, s)
+    for n in firsts(root, MAIN_CONTENT):
         if n is not None and dense(n, mode):
             found = n
             break

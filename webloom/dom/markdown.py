@@ -21,17 +21,29 @@ def convert(html: str | None, base: str = "", only_main: bool = True, include: l
     """A page as markdown: exclusions first, then the included elements if any match, else main content or the whole body."""
     root = parse(html)
     prepare(root)
+    if only_main or include:
+        return main_markdown(root, base, only_main, include, exclude, mode, query)
+    E.exclude(root, exclude or [])
+    return full_markdown(root, base)
+
+
+def full_markdown(root: Node, base: str = "") -> str:
+    """The whole body of a prepared tree, which loses its scripts and styles."""
+    for n in root.every("script", "style", "noscript", "template"):
+        n.remove()
+    return to_markdown(root.first("body") or root, base)
+
+
+def main_markdown(root: Node, base: str = "", only_main: bool = True, include: list[str] | None = None, exclude: list[str] | None = None, mode: float = 0.5, query: str | None = None) -> str:
+    """The included elements of a prepared tree, else its main content; the tree loses exclusions and furniture."""
     E.exclude(root, exclude or [])
     picked = E.include(root, include) if include else None
-    if picked is None:
-        if only_main:
-            E.drop_furniture(root)
-            picked = E.main_content(root, mode, query)
-        else:
-            for n in root.every("script", "style", "noscript", "template"):
-                n.remove()
-            picked = root.first("body") or root
-    return to_markdown(picked, base)
+    if picked is not None:
+        return to_markdown(picked, base)
+    if not only_main:
+        return full_markdown(root, base)
+    E.drop_furniture(root)
+    return to_markdown(E.main_content(root, mode, query), base)
 
 
 #: (detects, rewrites) of site kinds whose markup hides structure; extend by appending.

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from html import escape
 from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -105,6 +107,25 @@ def parse(html: str | None) -> Node:
     return builder.root
 
 
+def to_html(node: Node, without: Callable[[Node], bool] = lambda n: False) -> str:
+    """The markup of an element and all below, but for elements ``without`` which it is asked for; of the document what is below only."""
+    out, stack = [], [node]
+    while stack:
+        c = stack.pop()
+        if isinstance(c, tuple):
+            out.append(c[0])
+        elif isinstance(c, str):
+            out.append(escape(c, quote=False))
+        elif not without(c):
+            if c.name != "[document]":
+                out.append(f"<{c.name}" + "".join(f' {k}="{escape(v)}"' for k, v in c.attrs.items()) + ">")
+                if c.name in VOID:
+                    continue
+                stack.append((f"</{c.name}>",))
+            stack.extend(reversed(c.children))
+    return "".join(out).strip()
+
+
 _SIMPLE = re.compile(
     r"""(?P<tag>^[a-zA-Z][\w-]*|^\*)|\#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)"""
     r"""|\[\s*(?P<attr>[\w:-]+)\s*(?:(?P<op>[*^$~|]?=)\s*(?:"(?P<d>[^"]*)"|'(?P<s>[^']*)'|(?P<b>[^\s\]]+))\s*(?P<i>i)?\s*)?\]"""
@@ -123,6 +144,7 @@ class SelectorError(ValueError):
     """A selector outside the supported grammar."""
 
 
+@lru_cache(maxsize=2000)
 def compile_selector(text: str) -> list[list[tuple[str, list]]]:
     """Comma list of chains; a chain is (combinator, tests) from left to right. Tags, ids, classes, attributes, descendants and children."""
     out = []
@@ -181,6 +203,20 @@ def select(root: Node, selector: str) -> list[Node]:
     return [n for n in root.walk() if any(_fits(n, c) for c in chains)]
 
 
+def fits_any(node: Node, selectors: list[str]) -> bool:
+    return any(_fits(node, c) for s in selectors for c in compile_selector(s))
+
+
+def firsts(root: Node, selectors: list[str]) -> list[Node | None]:
+    """The first match of each selector, found in one walk."""
+    chains, found = [compile_selector(s) for s in selectors], [None] * len(selectors)
+    for n in root.walk():
+        for k, own in enumerate(chains):
+            if found[k] is None and any(_fits(n, c) for c in own):
+                found[k] = n
+    return found
+
+
 def select_first(root: Node, selector: str) -> Node | None:
     chains = compile_selector(selector)
     return next((n for n in root.walk() if any(_fits(n, c) for c in chains)), None)

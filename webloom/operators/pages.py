@@ -1,4 +1,4 @@
-"""One fused pass over raw pages: a page is parsed once for all the formats asked for."""
+"""One fused pass over raw pages: a page is parsed once for all the formats asked for (once more where selectors cut the markdown)."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.dom import extract as E
-from webloom.dom.markdown import convert
+from webloom.dom.markdown import convert, full_markdown, main_markdown, prepare
 from webloom.dom.tree import SelectorError, parse, select
 
 _META = ["title", "description", "language", "keywords", "robots", "canonical_url", "og_title", "og_description", "og_image", "og_url", "og_site_name", "timezone"]
@@ -24,41 +24,53 @@ _TYPES = {
 FORMATS = tuple(_TYPES)
 
 
-def scrape(pages: DataFrame, formats: tuple[str, ...] = ("markdown", "links", "metadata"), key: str = "page_id", only_main: bool = True, include: list[str] | None = None, exclude: list[str] | None = None, mode: float = 0.5, query: str | None = None) -> DataFrame:
-    """(key, url, html) to key, url and the named formats, no others being computed. Structured data and branding are JSON texts.
-
-    Null html is an empty page; a null url resolves no links. Repeated rows: each."""
-
-    def one(url: str, html: str) -> dict:
-        out: dict = {}
-        for f in formats:
-            if f in ("markdown", "full_markdown"):
-                main = only_main and f == "markdown"
-                out[f] = convert(html, url, main, include if main else None, exclude, mode, query)
-            elif f == "metadata":
-                out[f] = E.metadata(html)
-            else:
-                root = parse(html)
-                if f == "links":
-                    out[f] = E.links(root, url)
-                elif f == "images":
-                    out[f] = E.images(root, url)
-                elif f == "structured_data":
-                    out[f] = json.dumps(E.structured_data(root, url), sort_keys=True, ensure_ascii=False)
-                elif f == "branding":
-                    out[f] = json.dumps(E.branding(root, url), sort_keys=True, ensure_ascii=False)
-                else:
-                    E.drop_furniture(root)
-                    out[f] = E.main_content(root, mode).text(" ", strip=True)
-        return out
+def _one(url: str, html: str, formats: tuple[str, ...], only_main: bool, include: list[str] | None, exclude: list[str] | None, mode: float, query: str | None) -> dict:
+    """The formats of a page from one tree: first those that only read it, then those that cut it, from the least cut to the most."""
+    out: dict = {}
+    root = parse(html)
+    if "metadata" in formats:
+        out["metadata"] = E.metadata(html)
+    if "links" in formats:
+        out["links"] = E.links(root, url)
+    if "images" in formats:
+        out["images"] = E.images(root, url)
+    if "structured_data" in formats:
+        out["structured_data"] = json.dumps(E.structured_data(root, url), sort_keys=True, ensure_ascii=False)
+    if "branding" in formats:
+        out["branding"] = json.dumps(E.branding(root, url), sort_keys=True, ensure_ascii=False)
+    markdown, full, cleaned = "markdown" in formats, "full_markdown" in formats, "html" in formats
+    # A site's preprocessor rewrites the tree for markdown only; a caller's selectors take a tree that has lost nothing yet.
+    if cleaned:
+        out["html"] = E.cleaned(root, only_main, include, exclude)
+    prepare(root)
+    if full:
+        out["full_markdown"] = full_markdown(root, url)
+    if markdown and (include or exclude):
+        root = parse(html)
+        prepare(root)
+        out["markdown"] = main_markdown(root, url, only_main, include, exclude, mode, query)
+    elif markdown and only_main:
+        out["markdown"] = main_markdown(root, url, True, None, None, mode, query)
+    elif markdown:
+        out["markdown"] = out["full_markdown"] if full else convert(html, url, False)
+    return out
+
+
+def scrape(pages: DataFrame, formats: tuple[str, ...] = ("markdown", "links", "metadata"), key: str = "page_id", only_main: bool = True, include: list[str] | None = None, exclude: list[str] | None = None, mode: float = 0.5, query: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, url, html) to key, url, the columns to ``carry`` along and the named formats, no others being computed. Structured data and branding are
+    JSON texts, html is the main content's cleaned markup.
+
+    Null html is an empty page; a null url resolves no links. Repeated rows: each. Null keys: kept."""
+    first = list(dict.fromkeys([key, "url", *carry]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [one(u or "", h or "") for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([r[f] for r in rows], _TYPES[f][0]) for f in formats]], names=[key, "url", *formats])
+            rows = [_one(u or "", h or "", formats, only_main, include, exclude, mode, query) for u, h in zip(batch.column(at).to_pylist(), batch.column(len(first)).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(first)], *[pa.array([r[f] for r in rows], _TYPES[f][0]) for f in formats]], names=[*first, *formats])
 
-    kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, "url", "html").mapInArrow(run, f"`{key}` {kind}, url string, " + ", ".join(f"{f} {_TYPES[f][1]}" for f in formats))
+    at = first.index("url")
+    kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in first)
+    return pages.select(*first, F.col("html").alias("__html")).mapInArrow(run, f"{kinds}, " + ", ".join(f"{f} {_TYPES[f][1]}" for f in formats))
 
 
 def recovered(scraped: DataFrame, floor: int = 50, ratio: int = 3) -> DataFrame:

@@ -20,12 +20,12 @@ LADDER = [(None, False), ("playwright", True), ("camoufox", False)]
 def scrape(raw: DataFrame, formats: tuple[str, ...] = ("markdown", "links", "metadata"), key: str = "page_id", **options) -> DataFrame:  # noqa: ANN003
     """Pages (key, url, html, status) with the formats and an assessment: words, verdict, score, success, error and suggestion.
 
-    Formats are parsed in one pass; the rest are expressions, so that a filter on the verdict prunes them."""
+    Formats are parsed in one pass, which carries the key, status and html along, so that nothing is joined back: repeated rows and null keys stay as they
+    are. The rest are expressions."""
     wanted = tuple(dict.fromkeys([*formats, "markdown"]))
-    parsed = pages.scrape(raw, wanted, key, **options)
-    joined = parsed.join(raw.select(key, "status", F.col("html").alias("raw_html")), key)
-    words, md = T.word_count(F.col("markdown")), F.col("markdown")
-    out = joined.withColumn("word_count", words).withColumn("verdict", Q.page_verdict(F.col("status"), F.col("raw_html"), F.col("word_count")))
+    out = pages.scrape(raw.withColumn("raw_html", F.col("html")), wanted, key, carry=("status", "raw_html"), **options)
+    md = F.col("markdown")
+    out = out.withColumn("word_count", T.word_count(md)).withColumn("verdict", Q.page_verdict(F.col("status"), F.col("raw_html"), F.col("word_count")))
     score = Q.reference_free_score(F.col("word_count"), T.structure(md)["links"], T.word_spacing(md))
     out = out.withColumn("score", Q.capped(score, F.col("verdict"))).withColumn("success", Q.usable(F.col("verdict")))
     out = out.withColumn("error", Q.error_message(F.col("verdict"), F.array().cast("array<string>"))).withColumn("suggestion", F.when(F.col("verdict") != "ok", Q.suggestion(F.col("verdict"))))
@@ -33,13 +33,16 @@ def scrape(raw: DataFrame, formats: tuple[str, ...] = ("markdown", "links", "met
 
 
 def batch(urls: DataFrame, raw: DataFrame, **options) -> DataFrame:  # noqa: ANN003
-    """Results in the order of the list (ordinal, url); a url without a page fails."""
-    done = scrape(raw, key="url_key", **options).drop("url")
-    return urls.join(done, urls.url == done.url_key, "left").withColumn("success", F.coalesce("success", F.lit(False))).drop("url_key").orderBy("ordinal")
+    """Results in the order of the list (ordinal, url) over any pages (url, html, status); a url without a page fails. Only listed pages are parsed, a
+    page that is there more than once counts once, a url listed more than once gets a result each time."""
+    listed = raw.join(urls.select("url").distinct(), "url", "left_semi").dropDuplicates(["url"])
+    done = scrape(listed, key="url", **options)
+    out = urls.join(done, "url", "left").withColumn("success", F.coalesce("success", F.lit(False)))
+    return out.withColumn("error", F.when(F.col("verdict").isNull(), "No page was fetched for this url.").otherwise(F.col("error"))).orderBy("ordinal")
 
 
-def discover(raw: DataFrame, start: str, sitemap: DataFrame | None = None, depth: int = 3, limit: int = 200, search_text: str | None = None, subdomains: bool = False, ignore_query: bool = False) -> DataFrame:
-    """Urls within the start's domain: crawled to ``depth``, listed in sitemaps, limited in url order, then searched."""
+def discover(raw: DataFrame, start: str, sitemap: DataFrame | None = None, depth: int = 3, limit: int | None = 200, search_text: str | None = None, subdomains: bool = False, ignore_query: bool = False) -> DataFrame:
+    """Urls within the start's domain: crawled to ``depth``, listed in sitemaps, limited in url order (None: all), then searched."""
     base = U.hostname(F.lit(start))
     links = discovery.page_links(raw)
     seeds = raw.sparkSession.range(1).select(F.lit(start).alias("url"))
@@ -50,11 +53,11 @@ def discover(raw: DataFrame, start: str, sitemap: DataFrame | None = None, depth
         found = found.select(U.without_query(F.col("url")).alias("url"), "depth").groupBy("url").agg(F.min("depth").alias("depth"))
     host = U.hostname(F.col("url"))
     scoped = found.where((host == base) | (host.endswith(F.concat(F.lit("."), base)) if subdomains else F.lit(False)))
-    first = scoped.orderBy("url").limit(limit)
+    first = scoped if limit is None else scoped.orderBy("url").limit(limit)
     return first.where(F.contains(F.lower("url"), F.lit(search_text.lower()))) if search_text else first
 
 
-def crawl(found: DataFrame, raw: DataFrame, rules: DataFrame | None = None, include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), done: DataFrame | None = None, dedupe_similar: bool = False, limit: int = 100, **options) -> DataFrame:  # noqa: ANN003
+def crawl(found: DataFrame, raw: DataFrame, rules: DataFrame | None = None, include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), done: DataFrame | None = None, dedupe_similar: bool = False, limit: int | None = 100, **options) -> DataFrame:  # noqa: ANN003
     """Discovered urls, through patterns, robots rules, what is done already and similar forms, to scraped pages."""
     wanted = found.where(U.matches(F.col("url"), list(include), list(exclude)))
     if dedupe_similar:
@@ -63,7 +66,8 @@ def crawl(found: DataFrame, raw: DataFrame, rules: DataFrame | None = None, incl
         wanted = search.unfinished(wanted, done)
     if rules is not None:
         wanted = discovery.allowed_by_robots(wanted, rules).where("allowed").select(*wanted.columns)
-    return scrape(raw.join(wanted.orderBy("url").limit(limit).select("url"), "url", "left_semi"), **options)
+    first = wanted if limit is None else wanted.orderBy("url").limit(limit)
+    return scrape(raw.join(first.select("url"), "url", "left_semi"), **options)
 
 
 def search_and_scrape(responses: DataFrame, raw: DataFrame, limit: int = 5, **options) -> DataFrame:  # noqa: ANN003
@@ -138,6 +142,28 @@ def extract_with(scraped: DataFrame, model: Callable[[Column], Column], prompt:
 
 
 def compile_results(gathered: DataFrame, cut: int = 50_000) -> DataFrame:
-    """What an agent gathered (position, data), as one JSON of items, in order, cut to what a prompt may hold."""
-    items = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "data"))), lambda x: x["data"]), ",")
-    return gathered.agg(F.substring(F.concat(F.lit('{"items":['), items, F.lit("]}")), 1, cut).alias("compiled"))
+    """What an agent gathered (position, data), as one JSON of items, in order: as many whole items as ``cut`` characters hold, so that it
+    parses. No more than ``cut`` items can fit, and only so many first ones, found by each task for itself, come together."""
+    first = gathered.where(F.length("data") > 0).orderBy("position").limit(cut)
+    both = F.transform(F.array_sort(F.collect_list(F.struct("position", "data"))), lambda x: x["data"])
+    fitting = F.aggregate(
+        both,
+        F.struct(F.lit(12).alias("n"), F.lit(True).alias("open"), F.array().cast("array<string>").alias("items")),
+        lambda s, x: F.struct(
+            (s["n"] + F.length(x) + 1).alias("n"), (s["open"] & (s["n"] + F.length(x) + 1 <= cut)).alias("open"),
+            F.when(s["open"] & (s["n"] + F.length(x) + 1 <= cut), F.concat(s["items"], F.array(x))).otherwise(s["items"]).alias("items"),
+        ),
+    )
+    return first.agg(F.concat(F.lit('{"items":['), F.array_join(fitting["items"], ","), F.lit("]}")).alias("compiled"))
+
+
+#: What a page action may carry.
+ACTION = "array<struct<type:string,selector:string,milliseconds:int,text:string,direction:string,key:string,script:string,fullPage:boolean>>"
+
+
+def page_actions(text: Column) -> Column:
+    """A JSON list of page actions as structs; entries without a type go, a screenshot is of the full page unless it says otherwise."""
+    return F.transform(
+        F.filter(F.from_json(text, ACTION), lambda x: F.coalesce(x["type"], F.lit("")) != ""),
+        lambda x: F.struct(*[x[k].alias(k) for k in ("type", "selector", "milliseconds", "text", "direction", "key", "script")], F.coalesce(x["fullPage"], F.lit(True)).alias("full_page")),
+    )

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from webloom.functions import detection as D
 from webloom.functions import quality as Q
 from webloom.functions import text as T
+from webloom.functions import urls as U
+from webloom.operators import discovery
 from webloom.operators import pages as P
+from webloom.operators import services as S
+from webloom.plans.addresses import ROBOTS
 from webloom.session import table
 
 #: Signs of walls, frameworks and logins, a status, and an extraction that came out as the bare title for every third page, alike in both engines.
@@ -18,6 +22,13 @@ STATUS = "CAST(CASE page_id % 7 WHEN 1 THEN 404 WHEN 2 THEN 403 WHEN 3 THEN 503
 _TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw pages. To parse a page costs far more than to move it, so a table of fewer files than cores is dealt out to all of them."""
+    p = table(spark, sf_dir, "pages")
+    cores = spark.sparkContext.defaultParallelism
+    return p.repartition(cores) if len(p.inputFiles()) < cores else p
+
+
 def dressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select("page_id", "url", F.expr(HTML).alias("html"), F.expr(STATUS).alias("status"), F.expr(_TITLE).alias("title"))
     return p.withColumn("markdown", F.when(F.col("page_id") % 3 == 0, F.col("title")).otherwise(D.visible_text(F.col("html"))))
@@ -69,11 +80,10 @@ def page_diagnose(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_captcha(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kind and site key of a CAPTCHA widget."""
-    h = F.col("html")
-    key = F.nullif(F.regexp_extract(h, r"""(?i)data-sitekey=["']([^"']+)["']""", 1), F.lit(""))
-    kind = F.when(key.isNotNull() & h.rlike("grecaptcha.execute|data-size=\"invisible\"|recaptcha/api.js\\?render="), "recaptcha_v3").when(h.contains("g-recaptcha") & key.isNotNull(), "recaptcha_v2")
-    kind = kind.when(h.contains("h-captcha"), "hcaptcha").when(h.contains("cf-turnstile"), "turnstile")
-    return dressed(spark, sf_dir).select("page_id", kind.alias("kind"), key.alias("sitekey"))
+    more = F.expr("""html || CASE page_id % 6 WHEN 0 THEN '' WHEN 1 THEN '<b data-sitekey="k2">' WHEN 2 THEN '<script>grecaptcha.execute("k3", {action: "buy"})</script>' WHEN 3 THEN '<i class="cf-turnstile">'
+ WHEN 4 THEN '<i data-sitekey="k4" data-size="invisible">' ELSE '<script>grecaptcha.render(x, {"sitekey": "k5"})</script>' END""")
+    got = D.captcha_widget(F.col("more"))
+    return dressed(spark, sf_dir).withColumn("more", more).select("page_id", *[c.alias(k) for k, c in got.items()])
 
 
 def page_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,13 +105,13 @@ def page_expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title, language and number of links by the tree, of which the twin knows the markup."""
-    got = P.scrape(table(spark, sf_dir, "pages"), ("metadata", "links"))
+    got = P.scrape(pages(spark, sf_dir), ("metadata", "links"))
     return got.select("page_id", F.col("metadata.title").alias("title"), F.col("metadata.language").alias("language"), F.size("links").cast("long").alias("links"))
 
 
 def page_scrape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole extraction: markdown with recovery of thin pages, clean text, images, structured data, branding."""
-    got = P.recovered(P.scrape(table(spark, sf_dir, "pages"), P.FORMATS))
+    """The whole extraction: markdown with recovery of thin pages, cleaned html, images, structured data, branding."""
+    got = P.recovered(P.scrape(pages(spark, sf_dir), P.FORMATS))
     return got.select("page_id", "url", "markdown", "html", "links", "images", F.col("metadata.title").alias("title"), "structured_data", "branding")
 
 
@@ -113,11 +123,53 @@ def page_sections_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", P.matches_selector(F.col("html"), F.lit("article p, nav > a[href^='/']")).alias("found"))
+    return pages(spark, sf_dir).select("page_id", P.matches_selector(F.col("html"), F.lit("article p, nav > a[href^='/']")).alias("found"))
+
+
+def page_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of page actions, some entries without a type."""
+    text = F.expr("""'[{"type":"wait","milliseconds":' || page_id || '},{"selector":"x"},{"type":"click","selector":"#b' || page_id % 5 || '"},{"type":"screenshot","fullPage":' || (page_id % 2 = 0) || '}]'""")
+    acted = table(spark, sf_dir, "pages").select("page_id", F.posexplode(S.page_actions(text)).alias("place", "a"))
+    return acted.select("page_id", "place", "a.type", "a.selector", "a.milliseconds", "a.full_page")
+
+
+def _fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).select("page_id", "url", "html", F.expr(STATUS).alias("status"))
+
+
+def service_scrape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scrape service over all pages with their statuses: what failed, why, and that content came of the rest."""
+    got = S.scrape(_fetched(spark, sf_dir))
+    failure = F.when(~F.col("success"), F.col("verdict"))
+    return got.select("page_id", "url", "success", failure.alias("failure"), F.col("error").isNotNull().alias("told"), (F.col("word_count") > 0).alias("words"), F.size("links").cast("long").alias("links"))
+
+
+def service_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch service over a list of all urls, each once more, and urls that no page is there for."""
+    p = table(spark, sf_dir, "pages")
+    urls = p.selectExpr("page_id AS ordinal", "url").union(p.selectExpr("page_id + 1000000", "url")).union(p.selectExpr("page_id + 2000000", "url || '/missing'"))
+    return S.batch(urls, _fetched(spark, sf_dir)).select("ordinal", "url", "success", F.col("error").isNotNull().alias("told"))
+
+
+def service_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The crawl service: all urls through patterns, robots rules and a list of what is done, to scraped pages."""
+    p = table(spark, sf_dir, "pages")
+    files = p.select(U.origin(F.col("url")).alias("origin")).distinct().withColumn("content", F.lit(ROBOTS))
+    found, done = p.select("url").distinct(), p.where("page_id % 11 = 0").select("url")
+    got = S.crawl(found, _fetched(spark, sf_dir), discovery.robots_rules(files), include=("*/en/*", "*/fr/*", "*/de/*"), exclude=("*utm_*",), done=done, limit=None)
+    return got.select("page_id", "url", "success")
+
+
+def service_diagnose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The diagnosis service over dressed pages and headers."""
+    headers = F.expr("CASE page_id % 5 WHEN 0 THEN map('Server', 'AkamaiGHost') WHEN 1 THEN map('CF-Ray', 'x') ELSE map('Server', 'nginx') END")
+    got = S.diagnose(dressed(spark, sf_dir).withColumn("headers", headers))
+    return got.select("page_id", "cdn", "framework", "requires_js", "engine", "stealth_mode", "wait_for", "captcha_solving", "proxy", "auth_required", "reason")
 
 
 QUERIES = {f.__name__: f for f in (
     page_detectors, page_quality, page_verdicts, page_javascript, page_cdn, page_diagnose, page_captcha, page_failures, page_expectations, page_titles, page_scrape, page_sections_bm25, page_selector,
+    page_actions, service_scrape, service_batch, service_crawl, service_diagnose,
 )}
 
 _VIEW = f"""WITH p0 AS (SELECT page_id, {HTML} AS html, {STATUS} AS status, {_TITLE} AS title FROM pages), p1 AS (SELECT *, lower(html) AS low, CASE WHEN page_id % 3 = 0 THEN title ELSE
@@ -131,6 +183,12 @@ _VERDICT = """v AS (SELECT *, CASE WHEN status IN (403, 429, 503) THEN 'bot_chal
  WHEN words < 50 AND captcha_present THEN 'captcha' WHEN words < 50 AND (challenge_detected OR access_denied) THEN 'bot_challenge' WHEN words = 0 THEN 'empty' WHEN words < 50 AND framework IS NOT NULL THEN 'js_shell'
  WHEN words < 50 AND login THEN 'paywall' WHEN words < 50 THEN 'thin' ELSE 'ok' END AS verdict FROM p)"""
 
+_JS = r"""b AS (SELECT *, regexp_extract(html, '(?is)<body[^>]*>(.*?)</body>', 1) AS body FROM p),
+ t AS (SELECT *, length(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(body, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>', '', 'g'), '^\s+|\s+$', '', 'g'))) AS shown,
+ coalesce(list_sum(list_transform(list_filter(list_zip(regexp_extract_all(body, '(?is)<script([^>]*)>(.*?)</script>', 1), regexp_extract_all(body, '(?is)<script([^>]*)>(.*?)</script>', 2)),
+ lambda x: NOT regexp_matches(x[1], '(?i)\s+type\s*=\s*["''][^"'']*(json|template)[^"'']*["'']')), lambda x: length(x[2]))), 0) AS scripts FROM b),
+ j AS (SELECT *, (framework IS NOT NULL AND length(html) < 5000) OR (regexp_matches(html, '(?is)<body[^>]*>.*?</body>') AND (shown < 100 OR (shown < 500 AND scripts >= 3 * shown))) AS needs_js FROM t)"""
+
 ORACLES = {
     "page_detectors": rf"""{_VIEW} SELECT page_id, captcha_present, challenge_detected, access_denied, framework, login,
  regexp_matches(low, 'g-recaptcha|grecaptcha|recaptcha/api|data-sitekey|h-captcha|hcaptcha.com|cf-turnstile|challenges.cloudflare.com/turnstile|iframe[^>]*captcha') AS captcha_like,
@@ -149,7 +207,24 @@ ORACLES = {
  captcha_present AS captcha_solving, access_denied AS proxy, login AS auth_required, coalesce(nullif(concat_ws('; ', 'JavaScript rendering required (' || framework || ' detected)',
  CASE WHEN cdn = 'akamai' THEN 'Akamai bot manager detected' WHEN stealth THEN 'Bot protection detected' END, CASE WHEN captcha_present THEN 'CAPTCHA detected' END, CASE WHEN access_denied THEN 'Access denied' END,
  CASE WHEN login THEN 'Login appears required' END), ''), 'No issues detected') AS reason FROM s""",
-    "page_captcha": f"{_VIEW} SELECT page_id, CASE page_id % 9 WHEN 2 THEN 'recaptcha_v2' WHEN 5 THEN 'hcaptcha' END AS kind, CASE page_id % 9 WHEN 2 THEN 'k1' END AS sitekey FROM p",
+    "page_captcha": """WITH k AS (SELECT page_id, page_id % 9 = 2 AS first, page_id % 9 = 5 AS h, page_id % 6 AS m, CASE WHEN page_id % 9 = 2 THEN 'k1' ELSE CASE page_id % 6 WHEN 1 THEN 'k2' WHEN 2 THEN 'k3' WHEN 4 THEN 'k4' WHEN 5 THEN 'k5' END END AS sitekey FROM pages)
+ SELECT page_id, CASE WHEN sitekey IS NOT NULL THEN CASE WHEN m IN (2, 4) THEN 'recaptcha_v3' ELSE 'recaptcha_v2' END WHEN h THEN 'hcaptcha' WHEN m = 3 THEN 'turnstile' END AS kind, sitekey, CASE WHEN m = 2 THEN 'buy' END AS action FROM k""",
+    "page_javascript": f"{_VIEW}, {_JS} SELECT page_id, needs_js FROM j",
+    "page_actions": """SELECT page_id, unnest([0, 1, 2])::INT AS place, unnest(['wait', 'click', 'screenshot']) AS type, unnest([NULL, '#b' || page_id % 5, NULL]) AS selector, unnest([page_id, NULL, NULL])::INT AS milliseconds,
+ unnest([true, true, page_id % 2 = 0]) AS full_page FROM pages""",
+    "service_scrape": f"""WITH s AS (SELECT *, {STATUS} AS status FROM pages) SELECT page_id, url, coalesce(status, 200) = 200 AS success, CASE status WHEN 404 THEN 'error_status' WHEN 403 THEN 'bot_challenge' WHEN 503 THEN 'bot_challenge' END AS failure,
+ coalesce(status, 200) <> 200 AS told, true AS words, len(list_filter(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1), lambda h: h LIKE '/%' OR h LIKE 'http%' OR h LIKE '#%'))::BIGINT AS links FROM s""",
+    "service_batch": f"""WITH s AS (SELECT page_id, url, coalesce({STATUS}, 200) = 200 AS ok FROM pages), l AS (SELECT page_id AS ordinal, url, ok FROM s UNION ALL SELECT page_id + 1000000, url, ok FROM s UNION ALL SELECT page_id + 2000000, url || '/missing', false FROM s)
+ SELECT ordinal, url, ok AS success, NOT ok AS told FROM l""",
+    "service_crawl": rf"""WITH r(kind, v, re) AS (VALUES ('disallow', '/en/', '^/en/'), ('allow', '/en/1', '^/en/1'), ('disallow', '/*.html$', '^/.*\.html$'), ('allow', '/fr/', '^/fr/'), ('disallow', '/fr/*/', '^/fr/.*/')),
+ p AS (SELECT page_id, url, regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1) AS path, coalesce({STATUS}, 200) = 200 AS success FROM pages WHERE page_id % 11 <> 0 AND regexp_matches(url, '/(en|fr|de)/') AND NOT contains(url, 'utm_')),
+ m AS (SELECT page_id, coalesce(max(length(v)) FILTER (kind = 'allow' AND regexp_matches(path, re)), -1) AS la, coalesce(max(length(v)) FILTER (kind = 'disallow' AND regexp_matches(path, re)), -1) AS ld FROM p, r GROUP BY page_id)
+ SELECT page_id, url, success FROM p JOIN m USING (page_id) WHERE ld = -1 OR la >= ld""",
+    "service_diagnose": f"""{_VIEW}, {_JS}, c AS (SELECT *, CASE page_id % 5 WHEN 0 THEN 'akamai' WHEN 1 THEN 'cloudflare' END AS cdn FROM j), s AS (SELECT *, coalesce(cdn IN ('akamai', 'cloudflare'), false) OR challenge_detected AS stealth, needs_js OR framework IS NOT NULL AS js FROM c)
+ SELECT page_id, cdn, framework, needs_js AS requires_js, CASE WHEN cdn = 'akamai' THEN 'camoufox' END AS engine, stealth AS stealth_mode, greatest(CASE WHEN js THEN 3000 ELSE 0 END, CASE WHEN stealth THEN 5000 ELSE 0 END)::INT AS wait_for,
+ captcha_present AS captcha_solving, access_denied AS proxy, login AS auth_required, coalesce(nullif(concat_ws('; ', CASE WHEN js THEN 'JavaScript rendering required' || coalesce(' (' || framework || ' detected)', '') END,
+ CASE WHEN cdn = 'akamai' THEN 'Akamai bot manager detected' WHEN stealth THEN 'Bot protection detected' END, CASE WHEN captcha_present THEN 'CAPTCHA detected' END, CASE WHEN access_denied THEN 'Access denied' END,
+ CASE WHEN login THEN 'Login appears required' END), ''), 'No issues detected') AS reason FROM s""",
     "page_failures": f"""WITH e(k, error, verdict, family) AS (VALUES (0, 'HTTP 403 Forbidden', 'bot_challenge', NULL), (1, 'net::ERR_NAME_NOT_RESOLVED', 'empty', 'dns'), (2, 'Timeout 30000ms exceeded', 'empty', 'timeout'),
  (3, 'Browser closed', 'infrastructure', NULL), (4, '404 not found', 'empty', 'not_found'), (5, 'SSL certificate expired', 'empty', 'certificate'), (6, 'request was Blocked', 'bot_challenge', NULL))
  SELECT page_id, verdict, family, 'No usable content (' || verdict || '): ' || error || '. ' || CASE verdict WHEN 'bot_challenge' THEN '{Q.SUGGESTIONS["bot_challenge"]}' WHEN 'empty' THEN '{Q.SUGGESTIONS["empty"]}' ELSE '{Q.SUGGESTIONS["infrastructure"]}' END AS message
