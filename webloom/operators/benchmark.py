@@ -16,21 +16,48 @@ ROUGE_TOKENS = 4000
 WEIGHTS = {"char_coverage": 0.30, "token_f1": 0.25, "expect_hit": 0.15, "clean": 0.15, "expect_absent_ok": 0.10, "density": 0.05, "word_spacing": 0.10}
 
 
+def _in_common(x: np.ndarray | None, y: np.ndarray | None) -> int:
+    """How many elements two bags have in common, an element as often as both have it."""
+    if x is None or y is None or not len(x) or not len(y):
+        return 0
+    a, n = np.unique(x, return_counts=True)
+    b, m = np.unique(y, return_counts=True)
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    return int(np.minimum(n[i], m[j]).sum())
+
+
+def _overlap(left: Column, right: Column) -> Column:
+    @F.pandas_udf("long")
+    def count(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series([_in_common(x, y) for x, y in zip(xs, ys, strict=True)], dtype="int64")
+
+    return count(left, right)
+
+
+def _ids(tokens: Column) -> Column:
+    """Tokens as 64-bit hashes, which cost less to hand on than strings."""
+    return F.transform(tokens, lambda t: F.xxhash64(t))
+
+
+def prf(extracted: Column, gold: Column) -> Column:
+    """A struct of the sizes, precision, recall and F1 of two token bags: a token counts as often as both sides have it. Both sides of a case are in one
+    row, so nothing is shuffled. No tokens on a side, or null: all 0."""
+    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+    return F.struct(size(extracted).alias("n_extracted"), size(gold).alias("n_gold"), _overlap(_ids(extracted), _ids(gold)).alias("overlap"))
+
+
 def token_prf(pairs: DataFrame, key: str, extracted: Column, gold: Column) -> DataFrame:
-    """Per ``key`` the precision, recall and F1 of token bags: a token counts as often as both sides have it.
-
-    Both sides go through one aggregation by (key, token), so no side is joined to the other and long texts are spread. No tokens on a side: all 0."""
-    sides = F.array(F.struct(F.lit(1).alias("e"), F.lit(0).alias("g"), extracted.alias("t")), F.struct(F.lit(0).alias("e"), F.lit(1).alias("g"), gold.alias("t")))
-    tokens = pairs.select(key, F.explode(sides).alias("s")).select(key, "s.e", "s.g", F.explode_outer("s.t").alias("token"))
-    real = F.col("token").isNotNull().cast("int")
-    counts = tokens.groupBy(key, "token").agg(F.sum(F.col("e") * real).alias("e"), F.sum(F.col("g") * real).alias("g"))
-    totals = counts.groupBy(key).agg(F.sum("e").alias("n_extracted"), F.sum("g").alias("n_gold"), F.sum(F.least("e", "g")).alias("overlap"))
-    p = F.when(F.col("overlap") > 0, F.col("overlap") / F.col("n_extracted")).otherwise(0.0)
-    r = F.when(F.col("overlap") > 0, F.col("overlap") / F.col("n_gold")).otherwise(0.0)
-    return totals.select(
-        key, "n_extracted", "n_gold", p.alias("precision"), r.alias("recall"),
-        F.when(F.col("overlap") > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"),
-    )
+    """Per row its ``key`` and the measures of ``prf``."""
+    return _rates(pairs.select(key, prf(extracted, gold).alias("bags"))).select(key, "n_extracted", "n_gold", "precision", "recall", "f1")
+
+
+def _rates(rows: DataFrame) -> DataFrame:
+    """``rows`` with the struct ``bags`` of ``prf`` taken apart, and the rates."""
+    rows = rows.select("*", "bags.*").drop("bags")
+    share = lambda n: F.when(F.col("overlap") > 0, F.col("overlap") / n).otherwise(0.0)
+    rows = rows.withColumn("precision", share(F.col("n_extracted"))).withColumn("recall", share(F.col("n_gold")))
+    p, r = F.col("precision"), F.col("recall")
+    return rows.withColumn("f1", F.when(F.col("overlap") > 0, 2 * p * r / (p + r)).otherwise(0.0))
 
 
 def lcs_length(a: list, b: list) -> int:
@@ -57,18 +84,18 @@ def rouge_l(extracted: Column, gold: Column) -> Column:
             out = np.zeros(len(xs))
             for k, (x, y) in enumerate(zip(xs, ys, strict=True)):
                 if x is not None and y is not None and len(x) and len(y):
-                    n = lcs_length(list(x), list(y))
+                    n = lcs_length(x.tolist(), y.tolist())
                     out[k] = 2 * n / (len(x) + len(y))
             yield pd.Series(out)
 
-    return score(F.slice(extracted, 1, ROUGE_TOKENS), F.slice(gold, 1, ROUGE_TOKENS))
+    return score(_ids(F.slice(extracted, 1, ROUGE_TOKENS)), _ids(F.slice(gold, 1, ROUGE_TOKENS)))
 
 
 def composite(success: Column, parts: dict[str, Column]) -> Column:
     """Weighted mean of the parts that are there, 0-100 to one decimal; failures 0, nothing to score 50."""
     weight = sum((F.when(v.isNotNull(), F.lit(WEIGHTS[k])).otherwise(0.0) for k, v in parts.items()), F.lit(0.0))
     total = sum((F.coalesce(F.lit(WEIGHTS[k]) * v, F.lit(0.0)) for k, v in parts.items()), F.lit(0.0))
-    return F.when(~success, 0.0).when(weight == 0, 50.0).otherwise(F.round(100.0 * total / weight, 1))
+    return F.when(~success, 0.0).when(weight == 0, 50.0).otherwise(F.bround(100.0 * total / weight, 1))
 
 
 def degenerate(words: Column, reference_words: Column) -> Column:
@@ -81,14 +108,14 @@ def score_cases(cases: DataFrame) -> DataFrame:
 
     Reference metrics are null for PDFs, failures and failed references; F1 and noise also for degenerate references."""
     plain = F.col("plain")
-    base = cases.withColumn("plain", T.strip_markdown(F.coalesce("markdown", F.lit(""))))
     compared = F.col("success") & F.col("reference").isNotNull() & ~F.col("reference_error") & (F.col("content_type") != "pdf")
-    prf = token_prf(base.where(compared), "case_id", T.tokenize(plain), T.tokenize(F.col("reference")))
+    base = cases.withColumn("plain", T.strip_markdown(F.coalesce("markdown", F.lit("")))).withColumn("compared", compared)
+    # Only compared cases have tokens to hand on.
+    base = base.withColumn("own", T.tokenize(plain)).withColumn("bags", prf(F.when(F.col("compared"), F.col("own")), F.when(F.col("compared"), T.tokenize(F.col("reference")))))
     links = T.structure(F.col("markdown"))["links"]
     m = (
-        base.join(prf, "case_id", "left")
-        .withColumn("compared", compared)
-        .withColumn("markdown_words", F.regexp_count(plain, F.lit(T.TOKEN)))
+        _rates(base)
+        .withColumn("markdown_words", F.size("own"))
         .withColumn("markdown_chars", F.length(plain))
         .withColumn("reference_words", F.when(F.col("compared"), F.col("n_gold")))
         .withColumn("char_coverage", F.when(F.col("compared"), F.when(F.length("reference") > 0, F.least(F.lit(1.0), F.length(plain) / F.length("reference"))).otherwise(0.0)))
@@ -97,7 +124,7 @@ def score_cases(cases: DataFrame) -> DataFrame:
         .withColumn("noise", F.when(F.col("compared") & ~F.col("reference_degenerate") & (F.col("n_extracted") > 0), 1.0 - F.col("precision")))
         .withColumn("expect_hit", T.hit_rate(F.col("markdown"), F.col("expect")))
         .withColumn("expect_absent_ok", T.absent_rate(F.col("markdown"), F.col("expect_absent")))
-        .withColumn("word_spacing", T.word_spacing(F.col("markdown")))
+        .withColumn("word_spacing", F.when(F.col("markdown").isNotNull(), T.word_spacing(F.col("markdown"), plain=plain)))
         .withColumn("link_density", F.when(F.col("success"), T.link_density(links, F.col("markdown_words"))))
     )
     parts = {
@@ -118,16 +145,16 @@ def aggregate_run(metrics: DataFrame) -> DataFrame:
     return metrics.groupingSets([[], ["category"]], "category").agg(
         F.count("*").alias("total_cases"),
         F.count_if(scored).alias("scored_cases"),
-        F.round(F.avg(F.when(scored, F.col("quality"))), 1).alias("quality"),
-        F.round(F.avg(F.col("success").cast("double")), 6).alias("success_rate"),
-        F.round(F.avg("latency_ms"), 4).alias("mean_latency_ms"),
+        F.bround(F.avg(F.when(scored, F.col("quality"))), 1).alias("quality"),
+        F.bround(F.avg(F.col("success").cast("double")), 6).alias("success_rate"),
+        F.bround(F.avg("latency_ms"), 4).alias("mean_latency_ms"),
     )
 
 
 def compare_runs(old: DataFrame, new: DataFrame, step: float = 5.0) -> DataFrame:
     """Per case of the new run: the change of quality, whether it got worse or better by ``step`` or more, whether it newly fails."""
     before = old.select("case_id", F.col("quality").alias("old_quality"), F.col("success").alias("old_success"))
-    delta = F.round(F.col("quality") - F.col("old_quality"), 1)
+    delta = F.bround(F.col("quality") - F.col("old_quality"), 1)
     return new.join(before, "case_id", "left").select(
         "case_id", "scored", "quality", "old_quality", delta.alias("delta"),
         F.coalesce(delta <= -step, F.lit(False)).alias("regression"),

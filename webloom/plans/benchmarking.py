@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import text as T
 from webloom.operators import benchmark as B
+from webloom.operators import services as S
 from webloom.plans.documents import _STRIP, MARKDOWN
 from webloom.session import table
 
@@ -47,11 +48,19 @@ def bench_aggregate_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.aggregate_run(B.score_cases(cases(spark, sf_dir)))
 
 
+def service_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark service: cases, what a provider gave and the references as three tables; the roll-up."""
+    c = cases(spark, sf_dir)
+    outputs, references = c.select("case_id", "success", "markdown", "latency_ms"), c.select("case_id", "reference", "reference_error")
+    return S.run_benchmark(c.select("case_id", "category", "scored", "content_type", "expect", "expect_absent"), outputs, references)[1]
+
+
 def _two_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Run A scores documents by length; run B shifts the scores and fails a few."""
     d = table(spark, sf_dir, "documents")
-    a = d.select(F.col("doc_id").alias("case_id"), F.expr("CAST(n_chars % 101 AS DOUBLE)").alias("quality"), (F.col("doc_id") % 5 != 0).alias("success"), (F.col("doc_id") % 3 != 0).alias("scored"))
-    b = d.where("doc_id % 19 <> 0").select(
+    # Run A lacks the cases of one language, so that every document is compared and some have nothing to be compared with.
+    a = d.where("lang <> 'es'").select(F.col("doc_id").alias("case_id"), F.expr("CAST(n_chars % 101 AS DOUBLE)").alias("quality"), (F.col("doc_id") % 5 != 0).alias("success"), (F.col("doc_id") % 3 != 0).alias("scored"))
+    b = d.select(
         F.col("doc_id").alias("case_id"),
         F.when(F.col("doc_id") % 23 != 0, F.expr("CAST(n_chars % 101 + (doc_id % 21) - 10 AS DOUBLE)")).alias("quality"),
         ((F.col("doc_id") % 5 != 0) & (F.col("doc_id") % 7 != 0)).alias("success"), (F.col("doc_id") % 3 != 0).alias("scored"),
@@ -94,6 +103,7 @@ QUERIES = {
     "bench_worst_cases": bench_worst_cases,
     "bench_select_cases": bench_select_cases,
     "bench_rouge_l": bench_rouge_l,
+    "service_bench": service_bench,
 }
 
 _PRF = rf"""c AS ({_CASES}), s AS (SELECT *, {_STRIP} AS plain FROM c),
@@ -116,18 +126,20 @@ _SCORE = rf"""WITH {_PRF}, m AS (SELECT s.*, f.*, success AND NOT reference_erro
   CASE WHEN words >= 50 THEN greatest(0.0, 1.0 - (fused::DOUBLE / words) / 0.05) END AS word_spacing FROM r),
  q AS (SELECT *, list_filter([[0.30, char_coverage], [0.25, token_f1], [0.15, expect_hit], [0.15, 1.0 - noise], [0.10, expect_absent_ok],
   [0.05, CASE WHEN link_density IS NOT NULL THEN greatest(0.0, 1.0 - link_density / 50.0) END], [0.10, word_spacing]], lambda p: p[2] IS NOT NULL) AS parts FROM k),
- z AS (SELECT *, CASE WHEN NOT success THEN 0.0 ELSE round(100.0 * list_sum(list_transform(parts, lambda p: p[1] * p[2])) / list_sum(list_transform(parts, lambda p: p[1])), 1) END AS quality FROM q)"""
-_RUNS = """WITH a AS (SELECT doc_id AS case_id, (n_chars % 101)::DOUBLE AS quality, doc_id % 5 <> 0 AS success FROM documents),
+ z AS (SELECT *, CASE WHEN NOT success THEN 0.0 ELSE round_even(100.0 * list_sum(list_transform(parts, lambda p: p[1] * p[2])) / list_sum(list_transform(parts, lambda p: p[1])), 1) END AS quality FROM q)"""
+_RUNS = """WITH a AS (SELECT doc_id AS case_id, (n_chars % 101)::DOUBLE AS quality, doc_id % 5 <> 0 AS success FROM documents WHERE lang <> 'es'),
  b AS (SELECT doc_id AS case_id, CASE WHEN doc_id % 23 <> 0 THEN (n_chars % 101 + (doc_id % 21) - 10)::DOUBLE END AS quality, doc_id % 5 <> 0 AND doc_id % 7 <> 0 AS success, doc_id % 3 <> 0 AS scored
-  FROM documents WHERE doc_id % 19 <> 0),
- c AS (SELECT b.case_id, b.scored, b.quality, a.quality AS old_quality, round(b.quality - a.quality, 1) AS delta, coalesce(a.success, false) AND NOT b.success AS newly_failing FROM b LEFT JOIN a USING (case_id))"""
+  FROM documents),
+ c AS (SELECT b.case_id, b.scored, b.quality, a.quality AS old_quality, round_even(b.quality - a.quality, 1) AS delta, coalesce(a.success, false) AND NOT b.success AS newly_failing FROM b LEFT JOIN a USING (case_id))"""
 
 ORACLES = {
     "bench_token_prf": f"WITH {_PRF} SELECT case_id, n_extracted, n_gold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM f",
     "bench_score_cases": f"""{_SCORE} SELECT case_id, success, reference_degenerate, markdown_words::BIGINT AS markdown_words, reference_words::BIGINT AS reference_words,
  round(char_coverage, 5) AS char_coverage, round(token_f1, 5) AS token_f1, round(noise, 5) AS noise, round(link_density, 5) AS link_density, round(expect_hit::DOUBLE, 5) AS expect_hit,
  round(expect_absent_ok::DOUBLE, 5) AS expect_absent_ok, round(word_spacing, 5) AS word_spacing, round(quality, 5) AS quality FROM z""",
-    "bench_aggregate_run": f"""{_SCORE} SELECT category, count(*) AS total_cases, count(*) FILTER (scored) AS scored_cases, round(avg(quality) FILTER (scored), 1) AS quality,
+    "bench_aggregate_run": f"""{_SCORE} SELECT category, count(*) AS total_cases, count(*) FILTER (scored) AS scored_cases, round_even(avg(quality) FILTER (scored), 1) AS quality,
+ round(avg(success::INT), 6) AS success_rate, round(avg(latency_ms)::DOUBLE, 4) AS mean_latency_ms FROM z GROUP BY GROUPING SETS ((), (category))""",
+    "service_bench": f"""{_SCORE} SELECT category, count(*) AS total_cases, count(*) FILTER (scored) AS scored_cases, round_even(avg(quality) FILTER (scored), 1) AS quality,
  round(avg(success::INT), 6) AS success_rate, round(avg(latency_ms)::DOUBLE, 4) AS mean_latency_ms FROM z GROUP BY GROUPING SETS ((), (category))""",
     "bench_compare_runs": f"""{_RUNS} SELECT case_id, quality, old_quality, delta, coalesce(delta <= -5, false) AS regression, coalesce(delta >= 5, false) AS improvement, newly_failing FROM c""",
     "bench_compare_rollup": f"""{_RUNS} SELECT count(*) FILTER (delta <= -5) AS regressions, count(*) FILTER (delta >= 5) AS improvements, count(*) FILTER (newly_failing) AS newly_failing,
