@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Patterns of markdown elements. Fixed values.
 IMAGE = r"!\[[^\]]*\]\([^)]*\)"
 LINK = r"\[[^\]]*\]\([^)]*\)"
 FENCE = r"(?md)^\s{0,3}```"
@@ -33,7 +34,7 @@ def tokenize(text: Column, markdown: bool = False) -> Column:
 
 def word_count(text: Column) -> Column:
     """White-space separated words, by the Unicode notion of white space."""
-    return F.when(F.coalesce(text, F.lit("")) == "", F.lit(0)).otherwise(F.regexp_count(text, F.lit(r"(?U)\S+")))
+    return F.when(F.coalesce(text, F.lit("")) == "", F.lit(0)).otherwise(F.regexp_count(text, F.lit(r"(?U)[^\s\x1C-\x1F]+")))
 
 
 def structure(markdown: Column) -> dict[str, Column]:
@@ -53,10 +54,10 @@ def link_density(links: Column, words: Column) -> Column:
     return F.when(words > 0, links * 1000.0 / words).otherwise(F.lit(0.0))
 
 
-def word_spacing(markdown: Column, minimum: int = 50, full_penalty: float = 0.05) -> Column:
+def word_spacing(markdown: Column, minimum: int = 50, full_penalty: float = 0.05, plain: Column | None = None) -> Column:
     """1 where words are well apart, down to 0 as the share of fused runs (over 30 ASCII letters) reaches ``full_penalty``; null
-    below ``minimum`` tokens."""
-    text = strip_markdown(markdown)
+    below ``minimum`` tokens. ``plain``: the stripped markdown, where a column has it already."""
+    text = strip_markdown(markdown) if plain is None else plain
     tokens = F.regexp_count(text, F.lit(TOKEN))
     fused = F.regexp_count(text, F.lit(r"(?<![\p{L}\p{N}_])[A-Za-z]{31,}(?![\p{L}\p{N}_])"))
     return F.when(tokens >= minimum, F.greatest(F.lit(0.0), 1.0 - (fused / tokens) / full_penalty))

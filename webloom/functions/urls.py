@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webloom.functions.addresses import refused
+
 # Query parameters that say where a visitor came from. Fixed values.
 TRACKING = ["_ga", "_gl", "fbclid", "gclid", "msclkid", "igshid", "mc_cid", "mc_eid", "ref", "ref_src", "source", "share"]
 CACHE_TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "dclid", "msclkid", "ref", "source"]
@@ -74,9 +76,9 @@ def strip_fragment(url: Column) -> Column:
     return _join(url, part(url, 4))
 
 
-def normalise(url: Column) -> Column:
-    """Without fragment and tracking parameters."""
-    return strip_tracking(strip_fragment(url))
+def normalise(url: Column, link: Column | None = None) -> Column:
+    """Without fragment and tracking parameters; of a page's canonical ``link``, where it has one."""
+    return strip_tracking(strip_fragment(url if link is None else canonical(url, link)))
 
 
 def normalise_for_dedupe(url: Column) -> Column:
@@ -221,11 +223,27 @@ def blocked_ipv4(host: Column, strict: Column) -> Column:
 
 
 def safe_url(url: Column, strict: Column) -> Column:
-    """No backslash or control characters, http or https, an ASCII host that is not refused."""
+    """No backslash or control characters, http or https, an ASCII host that is not refused: IPv4 by an expression, IPv6 (which may carry an IPv4 address) by
+    ``addresses.refused``, to which all other hosts go as null."""
     host = hostname(url)
+    six = F.when(F.contains(host, F.lit(":")) | host.startswith("["), host)
     return (
         ~url.rlike(r"[\\\x00-\x1F\x7F]")
         & F.lower(part(url, 1)).isin("http", "https")
         & ~host.rlike(r"[^\x00-\x7F]")
         & ~blocked_ipv4(host, strict)
+        & ~F.coalesce(refused(six, strict), F.lit(False))
+    )
+
+
+def canonical(url: Column, link: Column) -> Column:
+    """The page's canonical link, where it has one, as an absolute url: full ones as they are, those without scheme, host or path completed from the page's."""
+    scheme, netloc = F.lower(part(url, 1)), part(url, 2)
+    root = F.concat(scheme, F.lit("://"), netloc)
+    folder = F.regexp_replace(path_of(url), r"[^/]*$", "")
+    bare = F.trim(link)
+    full = (
+        F.when(bare.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), bare).when(bare.startswith("//"), F.concat(scheme, F.lit(":"), bare)).when(bare.startswith("/"), F.concat(root, bare))
+        .when(bare.startswith("?"), F.concat(root, path_of(url), bare)).otherwise(F.concat(root, folder, bare))
     )
+    return F.when(F.coalesce(bare, F.lit("")) == "", url).otherwise(full)

@@ -19,7 +19,7 @@ def summary(log: DataFrame) -> DataFrame:
     """One row: counts of both kinds, success and escalation rates of scrapes (null without any)."""
     scrape = F.col("kind") == "scrape"
     n = F.count_if(scrape)
-    rate = lambda c: F.round(F.try_divide(F.count_if(scrape & F.coalesce(c, F.lit(False))), n), 3)
+    rate = lambda c: F.bround(F.try_divide(F.count_if(scrape & F.coalesce(c, F.lit(False))), n), 3)
     return log.agg(
         n.alias("scrapes"), F.count_if(F.col("kind") == "search").alias("searches"),
         rate(F.col("success")).alias("success_rate"), rate(F.col("escalated")).alias("escalation_rate"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import urls as U
 from webloom.operators import discovery as D
+from webloom.operators import services as S
 from webloom.session import table
 
 #: Dresses the table's urls with the forms that the normalisers tell apart, alike in both engines.
@@ -99,6 +100,27 @@ def url_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Hosts that are IPv6 addresses, and whether they are refused: always, and in strict mode. Fixed values.
+SIX = [("[fe80::1]", True, True), ("[::ffff:169.254.169.254]", True, True), ("[64:ff9b::a9fe:a9fe]", True, True), ("[2002:a9fe:a9fe::]", True, True), ("[::1]", False, True), ("[::ffff:10.0.0.1]", False, True), ("[fc00::7]", False, True),
+       ("[::]", False, True), ("[2001:4860:4860::8888]", False, False), ("[::ffff:8.8.8.8]", False, False)]
+
+
+def url_guard_six(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Safe-url verdicts for IPv6 hosts, among them forms that carry an IPv4 address, with and without a port."""
+    host = F.element_at(F.array(*[F.lit(h) for h, _, _ in SIX]), (F.col("page_id") % len(SIX) + 1).cast("int"))
+    u = F.concat(F.lit("http://"), host, F.when(F.col("page_id") % 3 == 0, ":80").otherwise(""), F.lit("/x"))
+    return table(spark, sf_dir, "pages").select("page_id", u.alias("url")).select(
+        "page_id", U.safe_url(F.col("url"), F.lit(False)).alias("safe"), U.safe_url(F.col("url"), F.lit(True)).alias("safe_strict")
+    )
+
+
+def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normal forms of pages that name a canonical link in one of its forms, or none."""
+    link = F.expr("CASE page_id % 6 WHEN 0 THEN 'https://c.example/p?utm_source=x&a=' || page_id WHEN 1 THEN '//d.example/q' WHEN 2 THEN '/root/' || page_id || '#f' WHEN 3 THEN '?only=1' WHEN 4 THEN '' END")
+    url = F.concat(F.lit("https://h.example/dir/"), F.col("page_id").cast("string"), F.lit(".html?ref=a&k=1#frag"))
+    return table(spark, sf_dir, "pages").select("page_id", U.normalise(url, link).alias("normal"))
+
+
 def locale_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     country = F.substring(F.upper("n_name"), 1, 2)
     got = U.accept_language(country)
@@ -106,7 +128,7 @@ def locale_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def map_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Discovery: breadth-first over the pages' own links to depth 3, joined with a sitemap, scoped, limited by url, then searched."""
+    """Discovery: breadth-first over the pages' own links to depth 3, joined with a sitemap. Scope, limit and search are ``service_map``'s."""
     links = D.page_links(table(spark, sf_dir, "pages"))
     seeds = links.groupBy().agg(F.min("src").alias("url"))
     reached = D.reachable(links, seeds, max_depth=3)
@@ -114,7 +136,15 @@ def map_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.discovered(reached, sitemap).select("url", "depth")
 
 
+def service_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The map service: from the first page, with a sitemap of all pages, its domain and those below, the first 300 urls, searched for a text."""
+    p = table(spark, sf_dir, "pages")
+    sitemap = p.select(U.strip_fragment(F.col("url")).alias("url"))
+    return S.discover(p, "https://example.com/", sitemap, limit=300, search_text="EN/", subdomains=True)
+
+
 QUERIES = {
+    "service_map": service_map,
     "url_normalise": url_normalise,
     "url_parts": url_parts,
     "url_cache_key": url_cache_key,
@@ -123,6 +153,8 @@ QUERIES = {
     "url_robots": url_robots,
     "robots_parse": robots_parse,
     "url_guard": url_guard,
+    "url_guard_six": url_guard_six,
+    "url_canonical": url_canonical,
     "locale_defaults": locale_defaults,
     "map_urls": map_urls,
 }
@@ -145,6 +177,12 @@ _IP = "(a * 16777216 + b * 65536 + c * 256 + d)"
 _PATH = "regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1)"
 
 ORACLES = {
+    "service_map": r"""WITH RECURSIVE l AS (SELECT DISTINCT src, dst FROM (
+ SELECT regexp_extract(url, '^([^#]*)', 1) AS src, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || unnest(regexp_extract_all(html, 'href="(/[^"#]*)', 1)) AS dst FROM pages)),
+ r(url, depth) AS (SELECT 'https://example.com/', 0 UNION SELECT dst, depth + 1 FROM r JOIN l ON l.src = r.url WHERE depth < 3),
+ a AS (SELECT url, min(depth)::INT AS depth FROM (SELECT * FROM r UNION ALL SELECT regexp_extract(url, '^([^#]*)', 1), 0 FROM pages) GROUP BY url),
+ f AS (SELECT * FROM a WHERE regexp_matches(url, '^[a-z]+://([^/?#]*\.)?example\.com([/?#]|$)') ORDER BY url LIMIT 300)
+ SELECT url, depth FROM f WHERE contains(lower(url), 'en/')""",
     "url_normalise": f"{_SPLIT} SELECT page_id, stripped, normal, dedupe, cache FROM n",
     "url_parts": rf"""{_VIEW} SELECT page_id, CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END AS path, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS netloc, {_HOST} AS host,
  split_part(url, ':', 1) || '://' || {_HOST} || CASE split_part(url, ':', 1) WHEN 'https' THEN ':443' ELSE ':80' END AS origin,
@@ -171,6 +209,9 @@ ORACLES = {
  s AS (SELECT page_id, page_id % 5 <> 0 AND page_id % 9 <> 0 AS base, coalesce(a = 169 AND b = 254, false) AS link,
  coalesce(a IN (10, 127, 0) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 100 AND b BETWEEN 64 AND 127), false) AS private FROM o)
  SELECT page_id, base AND NOT link AS safe, base AND NOT link AND NOT private AS safe_strict FROM s""",
+    "url_guard_six": f"""WITH s(k, safe, safe_strict) AS (VALUES {", ".join(f"({k}, {not a}, {not b})" for k, (_, a, b) in enumerate(SIX))}) SELECT page_id, safe, safe_strict FROM pages JOIN s ON page_id % {len(SIX)} = k""",
+    "url_canonical": """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'https://c.example/p?a=' || page_id WHEN 1 THEN 'https://d.example/q' WHEN 2 THEN 'https://h.example/root/' || page_id WHEN 3 THEN 'https://h.example/dir/' || page_id || '.html?only=1'
+ ELSE 'https://h.example/dir/' || page_id || '.html?k=1' END AS normal FROM pages""",
     "locale_defaults": f"""WITH c(country, language, timezone) AS (VALUES {", ".join(f"('{k}', '{a}', '{b}')" for k, (a, b) in U.COUNTRIES.items())}),
  n AS (SELECT n_nationkey, upper(substr(n_name, 1, 2)) AS country FROM nation)
  SELECT n_nationkey, n.country, coalesce(language, 'en-US') AS language, coalesce(timezone, 'UTC') AS timezone,

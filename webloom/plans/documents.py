@@ -45,11 +45,13 @@ def text_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     md = F.col("md")
-    return markdown(spark, sf_dir).select(
-        "doc_id", "lang", "source", "md",
+    # Stripped once; what is counted in it is a column of its own before anything is made of it.
+    stripped = markdown(spark, sf_dir).withColumn("plain", T.strip_markdown(md))
+    return stripped.select(
+        "doc_id", "lang", "source",
         T.word_count(md).cast("long").alias("words"),
         T.structure(md)["links"].alias("links"),
-        T.word_spacing(md).alias("spacing"),
+        T.word_spacing(md, plain=F.col("plain")).alias("spacing"),
     )
 
 
