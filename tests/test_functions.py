@@ -1,12 +1,14 @@
 """Functions and operators on hand-made cases."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from webloom.dom import extract as E
 from webloom.dom.markdown import convert
 from webloom.dom.tree import SelectorError, compile_selector, parse, select
-from webloom.functions import arguments, urls
+from webloom.functions import arguments, detection, text, urls
 from webloom.functions.addresses import is_refused, refused
 from webloom.operators import benchmark, discovery, folds, pages, search, services, versions
 from webloom.sources import readers, writers
@@ -151,3 +153,43 @@ def test_champion_by_hand(spark):
 def test_recovery(spark):
     frame = spark.createDataFrame([("short", "long " * 60), ("short", "still short"), (None, None)], "markdown string, full_markdown string")
     assert [(r.markdown or "")[:5] for r in pages.recovered(frame).collect()] == ["long ", "short", ""]
+
+
+def test_services_keep_every_row(spark):
+    html = "<html><body><article><p>" + "word " * 80 + "</p></article></body></html>"
+    raw = spark.createDataFrame([(1, "u", html, 200), (1, "u", html, 200), (1, "u", html, 200), (None, "v", html, 404), (2, None, None, None)], "page_id long, url string, html string, status int")
+    got = services.scrape(raw).collect()
+    assert sorted((r.page_id or 0, r.success) for r in got) == [(0, False), (1, True), (1, True), (1, True), (2, False)]
+    urls = spark.createDataFrame([(1, "v"), (2, "u"), (3, "w"), (4, "u"), (5, None)], "ordinal long, url string")
+    done = services.batch(urls, raw, formats=("markdown",)).collect()
+    assert [(r.ordinal, r.success, r.error is None) for r in done] == [(1, False, False), (2, True, True), (3, False, False), (4, True, True), (5, False, False)]
+    gathered = spark.createDataFrame([(k, f'{{"k":{k}}}') for k in range(100)], "position int, data string")
+    compiled = services.compile_results(gathered, 100).first().compiled
+    assert len(compiled) <= 100 and [x["k"] for x in json.loads(compiled)["items"]] == list(range(10))
+
+
+def test_page_formats_from_one_tree():
+    for options in ((True, None, None), (False, None, None), (True, ["h1"], None), (True, None, ["h1", "footer"])):
+        got = pages._one("https://x.example/a/", PAGE, pages.FORMATS, *options, 0.5, None)
+        alone = {f: pages._one("https://x.example/a/", PAGE, (f,), *options, 0.5, None)[f] for f in pages.FORMATS}
+        assert got == alone and got["markdown"] == convert(PAGE, "https://x.example/a/", *options)
+    cleaned = E.cleaned(parse(PAGE))
+    assert cleaned.startswith("<article>") and "<b>bold</b>" in cleaned and "<script" not in cleaned
+    assert E.cleaned(parse(PAGE), only_main=False).startswith("<body>") and "foot" not in E.cleaned(parse(PAGE), only_main=False)
+    assert E.cleaned(parse(PAGE), include=["h1", "b", "???"]) == "<div><h1>Title</h1><b>bold</b></div>" and "Title" not in E.cleaned(parse(PAGE), exclude=["h1"])
+
+
+@pytest.mark.parametrize(("error", "family"), [
+    ("timeout resolving dns", "timeout"), ("Could not resolve host", "dns"), ("nodename nor servname provided", "dns"), ("net::ERR_CONNECTION_CLOSED", "connection"),
+    ("SSL certificate expired", "certificate"), ("502 Bad Gateway", "server"), ("dns", None),
+])
+def test_error_families(spark, error, family):
+    row = spark.range(1).select(detection.first_of(F.lower(F.lit(error)), detection.ERROR_FAMILIES).alias("f"), detection.remediation_hint(F.lit(error)).alias("h")).first()
+    assert row.f == family and (row.h is None) == (family is None)
+
+
+def test_words_and_dates(spark):
+    row = spark.range(1).select(text.word_count(F.lit("a\x1cb c")).alias("n"), F.bround(F.lit(72.25), 1).alias("half")).first()
+    assert (row.n, row.half) == (3, 72.2)
+    entries = spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("b", "2024-03-01 00:00:00"), ("c", None)], "loc string, t string").selectExpr("loc", "CAST(t AS TIMESTAMP) AS lastmod")
+    assert [r.loc for r in discovery.modified_since(entries, "2024-02-01").collect()] == ["b"]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import urls as U
+from webloom.session import written
 
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)$"
 
@@ -86,12 +87,13 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 def reachable(links: DataFrame, seeds: DataFrame, max_depth: int = 3) -> DataFrame:
     """Breadth-first levels from ``seeds`` (url) over ``links`` (src, dst): (url, depth) with the least depth. The depth is a bound of
-    the crawl, so the plan is that many joins, without a loop over collected rows; each level leaves out what is known."""
-    known = seeds.select("url").distinct().withColumn("depth", F.lit(0))
-    frontier = known
+    the crawl, so there are that many joins, without a loop over collected rows; each level leaves out what is known and is written, so that no level is
+    worked out again for the next."""
+    links = written(links.select("src", "dst"))
+    known = frontier = written(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
     for depth in range(1, max_depth + 1):
         step = frontier.join(links, frontier.url == links.src).select(F.col("dst").alias("url")).distinct()
-        frontier = step.join(known.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth))
+        frontier = written(step.join(known.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)))
         known = known.unionByName(frontier)
     return known
 
@@ -124,13 +126,19 @@ def parse_lastmod(text: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
 
 
-def sitemap_urls(files: DataFrame, roots: DataFrame, limit: int = SITEMAP_LIMIT, depth: int = SITEMAP_DEPTH) -> DataFrame:
-    """Pages listed by ``roots`` (url) and by the index files below them, to ``depth``; the first ``limit`` by url."""
-    entries = sitemap_entries(files)
+def sitemap_urls(files: DataFrame, roots: DataFrame, limit: int | None = SITEMAP_LIMIT, depth: int = SITEMAP_DEPTH) -> DataFrame:
+    """Pages listed by ``roots`` (url) and by the index files below them, to ``depth``; the first ``limit`` by url (None: all)."""
+    entries = written(sitemap_entries(files))
     level, pages = roots.select("url").distinct(), None
     for _ in range(depth + 1):
         here = entries.join(level, "url", "left_semi")
         own = here.where("kind = 'page'").drop("url", "kind")
         pages = own if pages is None else pages.unionByName(own)
-        level = here.where("kind = 'index'").select(F.col("loc").alias("url")).distinct()
-    return pages.dropDuplicates(["loc"]).orderBy("loc").limit(limit)
+        level = written(here.where("kind = 'index'").select(F.col("loc").alias("url")).distinct())
+    once = pages.dropDuplicates(["loc"])
+    return once if limit is None else once.orderBy("loc").limit(limit)
+
+
+def modified_since(entries: DataFrame, since: str) -> DataFrame:
+    """Sitemap entries last modified at ``since`` or later; those without a date go."""
+    return entries.where(F.col("lastmod") >= F.lit(since).cast("timestamp"))

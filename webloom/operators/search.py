@@ -98,8 +98,11 @@ def items(responses: DataFrame, limit: int = 10) -> DataFrame:
 
 
 def enriched(found: DataFrame, scraped: DataFrame) -> DataFrame:
-    """Web items with the columns that scraping added, by url; others and their order as they were."""
-    return found.join(scraped.withColumn("source_type", F.lit("web")), ["url", "source_type"], "left")
+    """Web items with the columns that scraping added, by url; others and their order as they were. A url scraped more than once counts once,
+    so that no item is multiplied."""
+    rest = [c for c in scraped.columns if c != "url"]
+    once = scraped.where(F.col("url").isNotNull()).groupBy("url").agg(F.first(F.struct(*rest)).alias("r")).select("url", "r.*", F.lit("web").alias("source_type"))
+    return found.join(once, ["url", "source_type"], "left")
 
 
 def bucketed(found: DataFrame) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.operators import discovery as D
 from webloom.operators import search as S
+from webloom.operators import services as Services
+from webloom.plans.webpages import pages
 from webloom.session import table
 
 _TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
@@ -45,7 +49,8 @@ def search_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items with what scraping added, and how many each search has of which."""
     found = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS search", "l_linenumber AS ordinal", "'u' || l_partkey % 500 AS url", "CASE l_linenumber % 3 WHEN 0 THEN 'images' WHEN 1 THEN 'web' ELSE 'news' END AS source_type")
-    scraped = table(spark, sf_dir, "part").where("p_partkey < 400").selectExpr("'u' || p_partkey AS url", "p_name AS markdown")
+    # Keys above 1000 stand for repeated urls, and urls from u400 to u499 were never scraped.
+    scraped = table(spark, sf_dir, "part").selectExpr("'u' || CASE WHEN p_partkey % 1000 < 400 THEN p_partkey % 1000 ELSE p_partkey + 1000000 END AS url", "p_name AS markdown")
     return S.enriched(found, scraped).groupBy("search").agg(F.count("*").alias("items"), F.count("markdown").alias("scraped"))
 
 
@@ -130,12 +135,46 @@ def sitemap_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     maps = p.groupBy("lang").agg(F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join(F.collect_list("e"), ""), F.lit("</urlset>")).alias("xml")).select(F.concat(F.lit("https://x.example/"), F.col("lang"), F.lit(".xml")).alias("url"), "xml")
     index = maps.agg(F.concat(F.lit("<sm:sitemapindex xmlns:sm='s'>"), F.array_join(F.collect_list(F.concat(F.lit("<sm:sitemap><sm:loc>"), F.col("url"), F.lit("</sm:loc></sm:sitemap>"))), ""), F.lit("</sm:sitemapindex>")).alias("xml")).select(F.lit("https://x.example/index.xml").alias("url"), "xml")
     roots = index.select("url")
-    return D.sitemap_urls(maps.unionByName(index), roots).select("loc", F.date_format("lastmod", "yyyy-MM-dd HH:mm:ss").alias("lastmod"), "priority")
+    return D.sitemap_urls(maps.unionByName(index), roots, limit=None).select("loc", F.date_format("lastmod", "yyyy-MM-dd HH:mm:ss").alias("lastmod"), "priority")
+
+
+def search_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of every provider and source that the engine knows, from answers made by its own table of fields."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    known = list(S.PROVIDERS.items())
+    which = F.col("page_id") % len(known)
+    body = None
+    for k, ((_, _), (path, fields)) in enumerate(known):
+        item: dict = {}
+        for name, place in fields.items():
+            at, parts = item, place.split(".")
+            for part in parts[:-1]:
+                at = at.setdefault(part, {})
+            at[parts[-1]] = "7" if name.startswith("image_") else f"{name}@URL"
+        answer = [item, item]
+        for part in reversed(path.split(".")[1:]):
+            answer = {part: answer}
+        text = F.replace(F.lit(json.dumps(answer)), F.lit("@URL"), F.concat(F.lit("-"), F.col("url")))
+        body = F.when(which == k, text) if body is None else body.when(which == k, text)
+    at = lambda n: F.element_at(F.array(*[F.lit(key[n]) for key, _ in known]), (which + 1).cast("int"))
+    responses = p.select(F.col("page_id").alias("search"), at(0).alias("provider"), at(1).alias("source"), body.alias("body"))
+    return S.items(responses)
+
+
+def service_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search service: items of stored answers, web items with their page's markdown."""
+    responses = table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("search"), F.lit("duckduckgo").alias("provider"), F.lit("web").alias("source"),
+        F.to_json(F.struct(F.array(F.struct(F.col("url").alias("href"), F.lit("t").alias("title")), F.struct(F.lit("https://none.example/").alias("href"), F.lit("u").alias("title"))).alias("results"))).alias("body"),
+    )
+    fetched = pages(spark, sf_dir).withColumn("status", F.lit(200))
+    got = Services.search_and_scrape(responses, fetched)
+    return got.select("search", "ordinal", "url", "title", (F.col("word_count") > 0).alias("scraped"))
 
 
 QUERIES = {f.__name__: f for f in (
     search_filters, search_year, search_items, search_enriched, search_buckets, provider_chain, low_credit, json_salvage, pdf_helpers, pdf_headings, header_handling, batch_results, batch_paths, crawl_resume,
-    map_selection, job_pages, job_status, sitemap_pages,
+    map_selection, job_pages, job_status, sitemap_pages, search_sources, service_search,
 )}
 
 ORACLES = {
@@ -146,7 +185,11 @@ ORACLES = {
  SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'best tools 2026 ' || page_id WHEN 1 THEN q || ' 2026' WHEN 5 THEN q || ' 2026' ELSE q END AS query, 'mes bud ' || trim(regexp_replace(lower(q), '\s+', ' ', 'g')) AS prompt_query FROM q""",
     "search_items": f"""WITH p AS (SELECT page_id, url, {_TITLE} AS title, page_id % 4 AS k FROM pages), o AS (SELECT page_id, 0 AS ordinal FROM p UNION ALL SELECT page_id, 1 FROM p WHERE k = 0)
  SELECT page_id AS search, ['brave', 'serper', 'exa', 'tavily'][k + 1] AS provider, ordinal, url, title, ['d', 's', 't', 'c'][k + 1] AS description FROM p JOIN o USING (page_id)""",
-    "search_enriched": """SELECT l_orderkey AS search, count(*) AS items, count(*) FILTER (l_linenumber % 3 = 1 AND l_partkey % 500 IN (SELECT p_partkey FROM part WHERE p_partkey < 400)) AS scraped FROM lineitem GROUP BY 1""",
+    "search_sources": f"""WITH s(k, provider, source_type, fields) AS (VALUES {", ".join(f"({k}, '{p}', '{s}', {list(f)})" for k, ((p, s), (_, f)) in enumerate(S.PROVIDERS.items()))})
+ SELECT page_id AS search, provider, source_type, unnest([0, 1])::INT AS ordinal, {", ".join(f"CASE WHEN list_contains(fields, '{c}') THEN {'7' if c.startswith('image_') else f"'{c}-' || url"} END AS {c}" for c in S.ITEM)}
+ FROM pages JOIN s ON page_id % {len(S.PROVIDERS)} = k""",
+    "service_search": """SELECT page_id AS search, unnest([0, 1])::INT AS ordinal, unnest([url, 'https://none.example/']) AS url, unnest(['t', 'u']) AS title, unnest([true, NULL]) AS scraped FROM pages""",
+    "search_enriched": """SELECT l_orderkey AS search, count(*) AS items, count(*) FILTER (l_linenumber % 3 = 1 AND l_partkey % 500 IN (SELECT p_partkey % 1000 FROM part WHERE p_partkey % 1000 < 400)) AS scraped FROM lineitem GROUP BY 1""",
     "search_buckets": """SELECT l_orderkey AS search, coalesce(string_agg('u' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) FILTER (l_linenumber % 3 = 1), '') AS web,
  coalesce(string_agg('u' || l_partkey, ',' ORDER BY l_linenumber, l_partkey) FILTER (l_linenumber % 3 = 0), '') AS images, count(*) FILTER (l_linenumber % 3 = 2) AS news FROM lineitem GROUP BY 1""",
     "provider_chain": """SELECT n_name AS name, n_nationkey::BIGINT AS position FROM nation WHERE n_nationkey % 3 <> 0 AND (n_nationkey % 4 <> 1 OR n_nationkey % 7 = 5)""",
