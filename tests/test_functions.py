@@ -10,8 +10,9 @@ from webloom.dom.markdown import convert
 from webloom.dom.tree import SelectorError, compile_selector, parse, select
 from webloom.functions import arguments, detection, text, urls
 from webloom.functions.addresses import is_refused, refused
-from webloom.operators import benchmark, discovery, folds, pages, search, services, versions
+from webloom.operators import benchmark, discovery, folds, outputs, pages, requests, search, services, telemetry, versions
 from webloom.sources import readers, writers
+from webloom.streaming import streams
 
 PAGE = """<html lang="en"><head><title> A &amp; B </title><meta name="description" content="d"><meta property="og:image" content="/i.png"><link rel="canonical" href="/c">
 <script type="application/ld+json">{"@graph":[{"@type":"X","timezone":"Europe/Paris"},{"a":1}]}</script><script type="application/ld+json">{broken</script>
@@ -193,3 +194,54 @@ def test_words_and_dates(spark):
     assert (row.n, row.half) == (3, 72.2)
     entries = spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("b", "2024-03-01 00:00:00"), ("c", None)], "loc string, t string").selectExpr("loc", "CAST(t AS TIMESTAMP) AS lastmod")
     assert [r.loc for r in discovery.modified_since(entries, "2024-02-01").collect()] == ["b"]
+
+
+def test_files_are_written_one_a_row(spark, tmp_path):
+    files = spark.createDataFrame([("a.md", "x"), ("b_1.html", "<p>é"), ("c.md", None)], "file string, content string")
+    outputs.write_files(files, f"file://{tmp_path}/out")
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.md", "b_1.html"] and (tmp_path / "out" / "b_1.html").read_text() == "<p>é"
+
+
+def test_replay_stops_at_the_first_failure(spark):
+    log = spark.createDataFrame([(k, "scrape" if k % 3 else "search", f"2024-01-0{1 + k % 3} 00:00:00") for k in range(40)], "event_id long, kind string, ts string")
+    got: list = []
+    done = telemetry.replay(log, lambda p: got.append(p) or 204, "j", batch=10)
+    assert done == {"sent": 40, "complete": True, "last": {"ok": True, "status": 204, "detail": "ok"}} and all(len(p["streams"][0]["values"]) <= 10 for p in got)
+    got.clear()
+    done = telemetry.replay(log, lambda p: got.append(p) or (200 if len(got) < 3 else 401), "j", batch=10)
+    assert (done["complete"], done["last"]["status"], len(got)) == (False, 401, 3) and done["sent"] == sum(len(p["streams"][0]["values"]) for p in got[:2])
+
+    def broken(_: dict) -> int:
+        raise OSError("no route")
+
+    assert telemetry.check(broken, "j", 1) == {"ok": False, "status": None, "detail": "no route"}
+
+
+def test_flush_in_parts(spark, tmp_path):
+    spark.range(60).coalesce(1).write.parquet(f"{tmp_path}/in")
+    sizes: list = []
+    streams.flush(spark.readStream.schema("id long").parquet(f"{tmp_path}/in"), lambda part: sizes.append(part.count()), checkpoint=f"{tmp_path}/state", at_exit=True).awaitTermination()
+    assert sum(sizes) == 60 and len(sizes) == 3
+
+
+def test_token_bucket(spark):
+    asked = spark.createDataFrame([("p", k, 0.0, 10.0) for k in range(6)] + [("q", 1, 5.0, 1.0)], "provider string, seq long, arrival double, duration double")
+    got = {(r.provider, r.seq): r.started for r in requests.token_bucket(asked, interval=1.0, burst=3, patience=11.5).collect()}
+    assert got == {("p", 0): 0.0, ("p", 1): 1.0, ("p", 2): 2.0, ("p", 3): 10.0, ("p", 4): 11.0, ("p", 5): None, ("q", 1): 5.0}
+
+
+def test_more_arguments():
+    assert arguments.urls(["https://a.example"]) == ["https://a.example"] and arguments.steps(99) == 50 and arguments.timeout(None) == 30_000 and arguments.timeout(5) == 1_000
+    for bad in ([], "x", ["ftp://a"]):
+        with pytest.raises(arguments.ArgumentError):
+            arguments.urls(bad)
+
+
+def test_health_and_run_names(spark):
+    parts = spark.createDataFrame([("browser", True, True), ("search", False, False)], "part string, needed boolean, ok boolean")
+    assert tuple(requests.health(parts).first()) == ("degraded", ["search"])
+    answers = spark.createDataFrame([("a", True, 5, None), ("b", True, 1, None), ("c", None, None, "x")], "provider string, success boolean, results int, error string")
+    assert [r.ok for r in requests.probe(answers).collect()] == [True, False, False]
+    moment = F.lit("2026-06-14 08:30:12").cast("timestamp")
+    row = spark.range(1).select(requests.run_id(moment, F.lit("a1b2c3d4")).alias("a"), requests.run_id(moment, F.lit(None).cast("string")).alias("b")).first()
+    assert tuple(row) == ("20260614T083012-a1b2c3d4", "20260614T083012")

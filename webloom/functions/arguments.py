@@ -42,3 +42,22 @@ def subset(values: list[str], field: str, known: set[str]) -> list[str]:
     if unknown or not values:
         raise ArgumentError(field, values, f"needs some of {', '.join(sorted(known))}")
     return list(dict.fromkeys(values))
+
+
+def urls(values: list[str], field: str = "urls", least: int = 1, most: int = 100) -> list[str]:
+    if not isinstance(values, list) or not least <= len(values) <= most:
+        raise ArgumentError(field, values, f"needs a list of {least} to {most} addresses")
+    return [url(v, f"{field}[{k}]") for k, v in enumerate(values)]
+
+
+def prompt(value: str, field: str = "prompt", most: int = 10_000) -> str:
+    return query(value, field, 1, most)
+
+
+def steps(value: int, field: str = "max_steps", most: int = 50) -> int:
+    return number(value, field, 1, most)
+
+
+def timeout(value: int | None, field: str = "timeout", default: int = 30_000, least: int = 1_000, most: int = 300_000) -> int:
+    """Milliseconds, held within bounds; none named: the default."""
+    return default if value is None else number(value, field, least, most)

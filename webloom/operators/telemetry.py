@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,3 +76,41 @@ def private(log: DataFrame, url: str | None = None, query: str | None = None) ->
     if query:
         log = log.withColumn("query_hash", F.substring(F.sha2(query, 256), 1, 12)).drop(query)
     return log
+
+
+#: What the answer of a log store means. Texts of our own.
+ANSWERS = {400: "the payload was refused", 401: "the credentials were not accepted", 403: "the credentials may not write", 404: "there is no such endpoint", 429: "too many requests"}
+
+
+def answer_of(status: int | None, failure: str | None = None) -> dict:
+    """A log store's answer as ok, status and detail."""
+    if status is None:
+        return {"ok": False, "status": None, "detail": (failure or "no answer")[:200]}
+    if status < 300:
+        return {"ok": True, "status": status, "detail": "ok"}
+    return {"ok": False, "status": status, "detail": ANSWERS.get(status, "the server failed" if status >= 500 else f"unexpected status {status}")}
+
+
+def send(payload: dict, post: Callable[[dict], int]) -> dict:
+    """Hands a payload to ``post`` (which returns a status) and tells how it went; it never raises."""
+    try:
+        return answer_of(post(payload))
+    except Exception as e:  # noqa: BLE001 - telemetry must not break what it reports on
+        return answer_of(None, str(e))
+
+
+def check(post: Callable[[dict], int], job: str, now_ns: int) -> dict:
+    """Sends one diagnostic event, to see whether a log store takes any."""
+    return send({"streams": [{"stream": {"job": job, "kind": "diagnostic"}, "values": [[str(now_ns), '{"kind":"diagnostic"}']]}]}, post)
+
+
+def replay(log: DataFrame, post: Callable[[dict], int], job: str, batch: int = 500, ordinal: str = "event_id") -> dict:
+    """Sends a whole log in payloads of at most ``batch`` events of a kind, one after another, and stops at the first that fails. The driver holds a partition of
+    payloads at a time. Returns how many events went out, whether all did, and what the last answer was."""
+    sent, last = 0, answer_of(200)
+    for row in stream_batches(log, job, batch, ordinal).orderBy("kind", "batch").toLocalIterator():
+        last = send({"streams": [{"stream": dict(row.stream), "values": [list(v) for v in row["values"]]}]}, post)
+        if not last["ok"]:
+            break
+        sent += row.n
+    return {"sent": sent, "complete": last["ok"], "last": last}

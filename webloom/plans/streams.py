@@ -37,9 +37,30 @@ def stream_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.drain(streams.recent_stream(s), _place(spark))
 
 
-QUERIES = {f.__name__: f for f in (stream_hourly, stream_changes, stream_recent)}
+def _outcomes(rows: DataFrame) -> DataFrame:
+    return rows.selectExpr("user_id AS provider", "event_id AS seq", "CASE event_type WHEN 'error' THEN 'failure' WHEN 'view' THEN 'empty' ELSE 'success' END AS outcome")
+
+
+def stream_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.drain(streams.health_stream(_outcomes(_stream(spark, sf_dir, "events"))), _place(spark)).select("provider", "seq", "failures", "status")
+
+
+def stream_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _stream(spark, sf_dir, "events").selectExpr("user_id AS host", "event_id AS ordinal", "CAST(event_id % 50 AS DOUBLE) AS arrival", "CAST(0.5 AS DOUBLE) AS delay")
+    return streams.drain(streams.throttle_stream(a), _place(spark)).select("host", "ordinal", F.round("granted", 6).alias("granted"))
+
+
+QUERIES = {f.__name__: f for f in (stream_hourly, stream_changes, stream_recent, stream_health, stream_throttle)}
 
 ORACLES = {
+    "stream_health": """WITH e AS (SELECT user_id AS provider, event_id AS seq, CASE event_type WHEN 'error' THEN 'failure' WHEN 'view' THEN 'empty' ELSE 'success' END AS o FROM events),
+ g AS (SELECT *, count(*) FILTER (o <> 'failure') OVER w AS fg, count(*) FILTER (o = 'success') OVER w AS sg FROM e WINDOW w AS (PARTITION BY provider ORDER BY seq)),
+ r AS (SELECT *, count(*) FILTER (o = 'failure') OVER (PARTITION BY provider, fg ORDER BY seq) AS failures, count(*) FILTER (o = 'empty') OVER (PARTITION BY provider, sg ORDER BY seq) AS empties FROM g),
+ s AS (SELECT *, CASE WHEN o = 'success' THEN 'healthy' WHEN o = 'failure' AND failures >= 3 THEN 'unavailable' WHEN o = 'failure' THEN 'degraded' WHEN empties >= 3 THEN 'degraded' END AS own FROM r),
+ p AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY provider ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s)
+ SELECT provider, seq, CASE WHEN o = 'failure' THEN failures ELSE 0 END::BIGINT AS failures, coalesce(own, CASE before WHEN 'unavailable' THEN 'degraded' ELSE before END, 'healthy') AS status FROM p""",
+    "stream_throttle": """WITH a AS (SELECT user_id AS host, event_id AS ordinal, (event_id % 50)::DOUBLE AS arrival, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events)
+ SELECT host, ordinal, round(max(arrival - i * 0.5) OVER (PARTITION BY host ORDER BY ordinal) + i * 0.5, 6) AS granted FROM a""",
     # In append mode an hour is written once the watermark has passed it.
     "stream_hourly": """WITH h AS (SELECT date_trunc('hour', ts) AS hour, CASE WHEN event_type IN ('view', 'click') THEN 'search' ELSE 'scrape' END AS kind, count(*) AS n, count(*) FILTER (event_type <> 'error') AS succeeded FROM events GROUP BY 1, 2)
  SELECT strftime(hour, '%Y-%m-%d %H') AS hour, kind, n, succeeded FROM h WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",

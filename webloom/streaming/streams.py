@@ -63,7 +63,55 @@ def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def flush(stream: DataFrame, push: Callable[[DataFrame], None], every: str = "5 seconds", checkpoint: str | None = None):  # noqa: ANN201
-    """Hands each micro-batch to ``push`` (a remote sink); the checkpoint replays a batch that failed."""
-    writer = stream.writeStream.foreachBatch(lambda batch, _: push(batch)).trigger(processingTime=every)
+def flush(stream: DataFrame, push: Callable[[DataFrame], None], every: str = "5 seconds", checkpoint: str | None = None, most: int = 25, at_exit: bool = False):  # noqa: ANN201
+    """Hands each micro-batch to ``push`` (a remote sink), in parts of about ``most`` events; the checkpoint replays a batch that failed. ``at_exit``: what is there now,
+    once, and an end, as a process does before it goes."""
+
+    def parts(batch: DataFrame, _: int) -> None:
+        kept = batch.persist()
+        n = -(-kept.count() // most)
+        for part in kept.randomSplit([1.0] * n, 1) if n > 1 else [kept] * n:
+            push(part)
+        kept.unpersist()
+
+    writer = stream.writeStream.foreachBatch(parts)
+    writer = writer.trigger(availableNow=True) if at_exit else writer.trigger(processingTime=every)
     return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+
+
+def health_stream(outcomes: DataFrame, unavailable: int = 3, degraded: int = 3) -> DataFrame:
+    """The status of a provider after each outcome (provider, seq, outcome in success, empty, failure) as it comes; the state is two counts and the status."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        failures, empties, status = state.get if state.exists else (0, 0, "healthy")
+        out = []
+        for r in pd.concat(batches).sort_values("seq").itertuples():
+            if r.outcome == "success":
+                failures, empties, status = 0, 0, "healthy"
+            elif r.outcome == "failure":
+                failures += 1
+                status = "unavailable" if failures >= unavailable else "degraded"
+            else:
+                failures, empties = 0, empties + 1
+                status = "degraded" if empties >= degraded or status == "unavailable" else status
+            out.append((key[0], r.seq, failures, empties, status))
+        state.update((failures, empties, status))
+        yield pd.DataFrame(out, columns=["provider", "seq", "failures", "empties", "status"])
+
+    schema = "provider long, seq long, failures long, empties long, status string"
+    return outcomes.groupBy("provider").applyInPandasWithState(step, schema, "failures long, empties long, status string", "append", GroupStateTimeout.NoTimeout)
+
+
+def throttle_stream(arrivals: DataFrame) -> DataFrame:
+    """When each request (host, ordinal, arrival, delay) may start, as they come; the state is the last start."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else float("-inf")
+        out = []
+        for r in pd.concat(batches).sort_values("ordinal").itertuples():
+            last = max(r.arrival, last + r.delay)
+            out.append((key[0], r.ordinal, last))
+        state.update((last,))
+        yield pd.DataFrame(out, columns=["host", "ordinal", "granted"])
+
+    return arrivals.groupBy("host").applyInPandasWithState(step, "host long, ordinal long, granted double", "last double", "append", GroupStateTimeout.NoTimeout)
