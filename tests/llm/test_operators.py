@@ -464,6 +464,54 @@ def test_urls_learned(spark):
     assert [r.verdict for r in url_filter.filter_urls(pages, url_filter.default_labels(spark), rules=()).orderBy("page_id").collect()] == ["block", "block", "allow", "allow"]
 
 
+def url_score_by_hand(url, weights):
+    """Host, path and score of a url, character by character."""
+    rest = url.partition("://")[2] if url and "://" in url else ""
+    cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+    host, tail = rest[:cut], rest[cut:]
+    path = tail[: min([tail.find(c) for c in "?#" if c in tail], default=len(tail))]
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    z = weights[-1]
+    for text, mark, share in ((host, "h", url_filter.HOST_SHARE), (path, "p", url_filter.PATH_SHARE)):
+        chars = f"^{text}$"
+        grams = [mark + chars[i : i + n] for n in (3, 4) for i in range(len(chars) - n + 1)]
+        buckets = [(xxhash.xxh64_intdigest(g, 42) ^ 2**63) - 2**63 for g in grams]
+        if buckets:
+            z += share * sum(weights[b % (len(weights) - 1)] for b in buckets) / len(buckets) ** 0.5
+    return host, path, 1 / (1 + np.exp(-z))
+
+
+def test_urls_against_brute_force(spark):
+    labels = url_filter.default_labels(spark)
+    weights = url_filter.fit_url_model(labels)
+    odd = [None, "", "x", "://", "http://A.B?c/d", "HTTP://É.example/ü?#", "https://h#f?/x", "a://b/c://d/e", "http://" + "x" * 3000]
+    urls = odd + [r.url for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.filter_urls(pages, labels, rules=()).collect()}
+    for k, url in enumerate(urls):
+        host, path, score = url_score_by_hand(url, weights)
+        assert (got[k].host, got[k].path) == (host, path) and abs(got[k].score - score) < 1e-6 and got[k].verdict == ("block" if got[k].score >= 0.5 else "allow")
+    ruled = {r.page_id: r for r in url_filter.filter_urls(pages, labels).collect()}
+    for k, url in enumerate(urls):
+        host, path, _ = url_score_by_hand(url, weights)
+        fits = [(a, r) for a, r in url_filter.RULES if f".{host}".endswith("." + r.partition("/")[0]) and path.startswith("/" + r.partition("/")[2])]
+        action, rule = max(fits, key=lambda x: len(x[1]), default=(None, None))
+        assert ruled[k].rule == rule and ruled[k].verdict == (action or got[k].verdict)
+
+
+def test_urls_held_out(spark):
+    """By four folds of its small table the cautious prior blocks 2 of 44 ordinary urls and misses 12 of 35 others; it should not get worse."""
+    rows = sorted((r.url, r.label) for r in url_filter.default_labels(spark).collect())
+    false, missed = 0, 0
+    for fold in range(4):
+        taught = spark.createDataFrame([r for k, r in enumerate(rows) if k % 4 != fold], "url string, label int")
+        weights = url_filter.fit_url_model(taught)
+        for u, y in (r for k, r in enumerate(rows) if k % 4 == fold):
+            blocked = url_score_by_hand(u, weights)[2] >= 0.5
+            false, missed = false + (blocked and not y), missed + (y and not blocked)
+    assert false <= 2 and missed <= 12
+
+
 def test_shards_are_even(docs):
     rows = sharding.shard_by_size(docs).collect()
     total = sum(r["size"] for r in rows)
@@ -480,10 +528,3 @@ def test_overfull_ranges_are_subdivided(docs):
     for s in range(3):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
     assert len(rows) == 40 + docs.count()
-
-
-def test_pipeline(spark):
-    rows = corpus_pipeline.run(spark, SF).collect()
-    kept = {r.doc_id for r in rows}
-    assert 0 < len(kept) < 200
-    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_classifier", "line_dedup", "simhash_near_dedup", "benchmark_decontamination", "packing"]

@@ -282,7 +282,11 @@ def scorer(vectors: np.ndarray, network: Network | float):
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The documents that score ``threshold`` or more, with all their columns; see ``score_quality``."""
+    """The documents that score ``threshold`` or more, with all their columns; see ``score_quality``.
+
+    Null and empty texts: judged by the score of zero vectors, all alike. Null doc_id: judged by its text, never learned from. Repeated rows and ties: judged
+    alike, all stay or all go. Very long texts: whole. No labels, or labels of one kind: that share is every score, so all stay or all go. Empty table: no
+    rows. Columns of any names are kept as they are."""
     score = scorer(*train(docs, labels))
     place = docs.columns.index("text")
 
