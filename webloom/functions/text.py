@@ -12,6 +12,7 @@ FENCE = r"(?md)^\s{0,3}```"
 HEADING = r"(?md)^\s{0,3}#{1,6}\s+\S"
 TABLE_ROW = r"(?md)^\s{0,3}\|.*\|\s*$"
 TOKEN = r"[\p{L}\p{N}_]+"
+FUSED = r"(?<![\p{L}\p{N}_])[A-Za-z]{31,}(?![\p{L}\p{N}_])"
 
 
 def count_of(text: Column, pattern: str) -> Column:
@@ -58,9 +59,10 @@ def word_spacing(markdown: Column, minimum: int = 50, full_penalty: float = 0.05
     """1 where words are well apart, down to 0 as the share of fused runs (over 30 ASCII letters) reaches ``full_penalty``; null
     below ``minimum`` tokens. ``plain``: the stripped markdown, where a column has it already."""
     text = strip_markdown(markdown) if plain is None else plain
-    tokens = F.regexp_count(text, F.lit(TOKEN))
-    fused = F.regexp_count(text, F.lit(r"(?<![\p{L}\p{N}_])[A-Za-z]{31,}(?![\p{L}\p{N}_])"))
-    return F.when(tokens >= minimum, F.greatest(F.lit(0.0), 1.0 - (fused / tokens) / full_penalty))
+    # The lambda binds the two counts, which would else be taken again for each mention.
+    counts = F.array(F.struct(F.regexp_count(text, F.lit(TOKEN)).alias("t"), F.regexp_count(text, F.lit(FUSED)).alias("f")))
+    spacing = F.transform(counts, lambda c: F.when(c["t"] >= minimum, F.greatest(F.lit(0.0), 1.0 - (c["f"] / c["t"]) / full_penalty)))
+    return F.get(spacing, 0)
 
 
 def hit_rate(text: Column, needles: Column) -> Column:
