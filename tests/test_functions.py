@@ -245,3 +245,14 @@ def test_health_and_run_names(spark):
     moment = F.lit("2026-06-14 08:30:12").cast("timestamp")
     row = spark.range(1).select(requests.run_id(moment, F.lit("a1b2c3d4")).alias("a"), requests.run_id(moment, F.lit(None).cast("string")).alias("b")).first()
     assert tuple(row) == ("20260614T083012-a1b2c3d4", "20260614T083012")
+
+
+def test_folds_in_slices_are_the_same(spark):
+    """A history in many slices gives what it gives in one, also for a key that has nearly all rows."""
+    rows = spark.range(3000).selectExpr("IF(id % 10 = 0, id % 7, 99) AS provider", "id AS seq", "timestamp_seconds(id) AS ts", "element_at(array('success', 'empty', 'failure', 'failure', 'empty'), CAST(pmod(xxhash64(id), 5) + 1 AS INT)) AS outcome")
+    together = lambda frame: sorted(map(tuple, frame.collect()), key=repr)
+    assert together(folds.provider_health(rows)) == together(folds.provider_health(rows, rows_per_slice=100))
+    arrivals = rows.selectExpr("provider AS host", "seq AS ordinal", "CAST(pmod(xxhash64(seq), 900) AS DOUBLE) AS arrival", "CAST(0.25 AS DOUBLE) AS delay")
+    assert together(folds.throttle(arrivals)) == together(folds.throttle(arrivals, rows_per_slice=100))
+    made = rows.selectExpr("provider AS key", "seq AS version", "CAST(pmod(xxhash64(seq), 3) AS STRING) AS content_hash", "outcome <> 'failure' AS success")
+    assert together(versions.change_status(made)) == together(versions.change_status(made, rows_per_slice=100))

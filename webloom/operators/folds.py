@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from webloom.operators.prefixes import ROWS_PER_SLICE, prefixes, sliced
+
 # Parameters of the remembered strategy. Fixed values.
 ALPHA, SLACK, MIN_SCORE, TTL_DAYS = 0.5, 5.0, 40, 14
 #: Failures in a row that make a provider unavailable; empty answers in a row that make it degraded; seconds until it is tried again.
@@ -59,32 +61,27 @@ def seeds(champions: DataFrame, now: Column, explore: float = 0.0, seed: int = 0
     )
 
 
-def provider_health(outcomes: DataFrame) -> DataFrame:
+def provider_health(outcomes: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Per outcome (provider, seq, ts, outcome in success, empty, failure) the runs of failures and empty answers so far and the status.
 
-    Runs are closed forms: rows since the last outcome that resets them. The status after an empty answer below the
-    threshold is what it was before it, except that unavailable becomes degraded."""
-    w = Window.partitionBy("provider").orderBy("seq")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    o = F.col("outcome")
-    at = outcomes.withColumn("i", F.row_number().over(w))
-    at = at.withColumn("not_failure", F.coalesce(F.max(F.when(o != "failure", F.col("i"))).over(upto), F.lit(0)))
-    # An empty run is broken by success only; failures in between leave it as it is.
-    at = at.withColumn("segment", F.coalesce(F.max(F.when(o == "success", F.col("i"))).over(upto), F.lit(0)))
-    in_segment = Window.partitionBy("provider", "segment").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    at = at.withColumn("failures", F.when(o == "failure", F.col("i") - F.col("not_failure")).otherwise(0)).withColumn(
-        "empties", F.count_if(o == "empty").over(in_segment)
-    )
+    Runs are closed forms: rows since the last outcome that resets them; an empty run is broken by success only, failures in between leave it as it is. The status
+    after an empty answer below the threshold is what it was before it, except that unavailable becomes degraded. A provider's history is
+    read in slices."""
+    o, i = F.col("outcome"), F.col("i")
+    rows = sliced(outcomes.select("provider", "seq", "ts", "outcome"), "seq", rows_per_slice)
+    run = lambda frame, values, itself=True: prefixes(frame, "provider", "seq", values, itself)
+    at = run(rows, {"i": ("sum", F.lit(1)), "empty": ("sum", (o == "empty").cast("int")), "last_failure": ("max", F.when(o == "failure", F.col("ts")))})
+    at = run(at, {"answered": ("max", F.when(o != "failure", i)), "reset": ("max", F.when(o == "success", F.col("empty")))})
+    at = at.withColumn("failures", F.when(o == "failure", i - F.coalesce("answered", F.lit(0))).otherwise(0)).withColumn("empties", F.col("empty") - F.coalesce("reset", F.lit(0)))
     own = (
         F.when(o == "success", "healthy")
         .when((o == "failure") & (F.col("failures") >= UNAVAILABLE), "unavailable")
         .when(o == "failure", "degraded")
         .when(F.col("empties") >= DEGRADED, "degraded")
     )
-    at = at.withColumn("own", own).withColumn("before", F.last("own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    at = run(at.withColumn("own", own), {"before": ("last", F.col("own"))}, itself=False)
     status = F.coalesce("own", F.when(F.col("before") == "unavailable", "degraded").otherwise(F.col("before")), F.lit("healthy"))
-    last_failure = F.max(F.when(o == "failure", F.col("ts"))).over(upto)
-    return at.select("provider", "seq", "ts", "outcome", F.col("failures").cast("long").alias("failures"), F.col("empties").cast("long").alias("empties"), status.alias("status"), last_failure.alias("last_failure"))
+    return at.select("provider", "seq", "ts", "outcome", F.col("failures").cast("long").alias("failures"), F.col("empties").cast("long").alias("empties"), status.alias("status"), "last_failure")
 
 
 def skipped(health: DataFrame, now: Column) -> DataFrame:
@@ -100,14 +97,14 @@ def recent_window(searches: DataFrame, size: int = 5) -> DataFrame:
     return searches.select("scope", "seq", n.alias("recent"), empty.alias("recent_empty"), ((n == size) & (empty == size)).alias("all_recent_empty"))
 
 
-def throttle(arrivals: DataFrame) -> DataFrame:
+def throttle(arrivals: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """When each request (host, ordinal, arrival, delay) may start: at its arrival or ``delay`` after the one before on its host.
 
-    Closed form: the greatest of (arrival - i * delay) so far, plus i * delay."""
-    w = Window.partitionBy("host").orderBy("ordinal")
-    i = F.row_number().over(w)
-    slack = F.max(F.col("arrival") - F.col("i") * F.col("delay")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return arrivals.withColumn("i", i).withColumn("granted", slack + F.col("i") * F.col("delay")).select("host", "ordinal", "arrival", "delay", "granted")
+    Closed form: the greatest of (arrival - i * delay) so far, plus i * delay. A host's requests are read in slices."""
+    rows = sliced(arrivals.select("host", "ordinal", "arrival", "delay"), "ordinal", rows_per_slice)
+    placed = prefixes(rows, "host", "ordinal", {"i": ("sum", F.lit(1))})
+    slack = prefixes(placed, "host", "ordinal", {"slack": ("max", F.col("arrival") - F.col("i") * F.col("delay"))})
+    return slack.withColumn("granted", F.col("slack") + F.col("i") * F.col("delay")).select("host", "ordinal", "arrival", "delay", "granted")
 
 
 def best_attempts(attempts: DataFrame) -> DataFrame:

@@ -6,9 +6,11 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.operators.prefixes import ROWS_PER_SLICE, prefixes, sliced
+
 
 def newest_entries(cache: DataFrame) -> DataFrame:
     """The last version of each key: an upsert-by-append cache as its readers see it."""
@@ -40,17 +42,18 @@ def unexpired(cache: DataFrame, now: Column) -> DataFrame:
     return cache.where(F.col("expires_at") >= now)
 
 
-def change_status(versions: DataFrame) -> DataFrame:
-    """Per version (key, version, content_hash, success) against the last successful one before it: new, same, changed; removed for a failure after a success."""
-    w = Window.partitionBy("key").orderBy("version")
-    before = F.last(F.when(F.col("success"), F.struct("content_hash", "version")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+def change_status(versions: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """Per version (key, version, content_hash, success) against the last successful one before it: new, same, changed; removed for a failure after a success.
+    A key's versions are read in slices."""
+    seen = F.when(F.col("success"), F.struct("content_hash", "version"))
+    rows = prefixes(sliced(versions, "version", rows_per_slice), "key", "version", {"p": ("last", seen)}, itself=False)
     status = (
         F.when(~F.col("success"), F.when(F.col("p").isNotNull(), "removed"))
         .when(F.col("p").isNull(), "new")
         .when(F.col("p.content_hash") == F.col("content_hash"), "same")
         .otherwise("changed")
     )
-    return versions.withColumn("p", before).select(*versions.columns, F.col("p.version").alias("previous"), status.alias("status"))
+    return rows.select(*versions.columns, F.col("p.version").alias("previous"), status.alias("status"))
 
 
 def change_summary(statuses: DataFrame) -> DataFrame:
