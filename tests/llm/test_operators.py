@@ -11,7 +11,7 @@ from tests.conftest import SF
 from tests.helpers import same_rows
 
 import corpus_pipeline
-from webloom.llm import decontamination, line_dedup, packing, pii, quality_model, quality_rules, registry, sharding, simhash, toxicity, url_filter
+from webloom.llm import common, decontamination, line_dedup, packing, pii, quality_model, quality_rules, registry, sharding, simhash, toxicity, url_filter
 
 
 @pytest.fixture(scope="module")
@@ -24,6 +24,19 @@ def test_twin(spark, duck, name):
     same_rows(registry.QUERIES[name](spark, SF), duck, registry.ORACLES[name])
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_anti"])
+def test_salted_join_is_a_join(spark, monkeypatch, how):
+    """With so few rows to a key that most keys are hot."""
+    many = common.materialise(spark.range(400).selectExpr("IF(id % 3 = 0, 1, id % 11) AS k", "IF(id % 50 = 0, NULL, id % 2) AS g", "id AS v"))
+    few = spark.createDataFrame([(1, 0, "a"), (1, 0, "b"), (1, 1, "c"), (2, 0, "d"), (99, 0, "e")], "k long, g long, name string")
+    monkeypatch.setattr(common, "HOT", 5)
+    if how == "left_anti":
+        few = few.drop("name")
+    got, plain = common.salted_join(many, few, ["k", "g"], how), many.join(few, ["k", "g"], how)
+    assert got.columns == plain.columns and sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+    assert common.hot_keys(many.groupBy("k", "g").count(), ["k", "g"], "count").count() > 2
+
+
 def test_masks_cover():
     rng = random.Random(1)
     for radius in (0, 1, 2, 6):

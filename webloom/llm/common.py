@@ -34,9 +34,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame) -> DataFrame:
     """Writes ``df`` once into the shared folder and reads it back, so that a lost executor never
-    repeats the work above it and values that depend on row order stay as they were."""
+    repeats the work above it and values that depend on row order stay as they were. The table goes when the driver's process ends."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/webloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(place)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
