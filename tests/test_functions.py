@@ -256,3 +256,24 @@ def test_folds_in_slices_are_the_same(spark):
     assert together(folds.throttle(arrivals)) == together(folds.throttle(arrivals, rows_per_slice=100))
     made = rows.selectExpr("provider AS key", "seq AS version", "CAST(pmod(xxhash64(seq), 3) AS STRING) AS content_hash", "outcome <> 'failure' AS success")
     assert together(versions.change_status(made)) == together(versions.change_status(made, rows_per_slice=100))
+
+
+def test_search_source(spark):
+    from webloom.sources.providers import SearchSource
+
+    class Stub(SearchSource):
+        @classmethod
+        def name(cls):
+            return "tavily"
+
+        @staticmethod
+        def is_available():
+            return True
+
+        @staticmethod
+        def search_web(query, limit):
+            return '{"results":[{"url":"https://a.example/%s","title":"%d"}]}' % (query, limit)
+
+    spark.dataSource.register(Stub)
+    got = search.items(spark.read.format("tavily").option("queries", "x\n\ny").option("limit", "3").load()).orderBy("search").collect()
+    assert [(r.search, r.provider, r.url, r.title) for r in got] == [(0, "tavily", "https://a.example/x", "3"), (1, "tavily", "https://a.example/y", "3")]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import detection as D
@@ -157,6 +157,21 @@ def compile_results(gathered: DataFrame, cut: int = 50_000) -> DataFrame:
     return first.agg(F.concat(F.lit('{"items":['), F.array_join(fitting["items"], ","), F.lit("]}")).alias("compiled"))
 
 
+def agent(responses: DataFrame, raw: DataFrame, model: Callable[[Column], Column], prompt: str, steps: int = 10, urls: tuple[str, ...] = ()) -> DataFrame:
+    """What an agent does between its live calls: the query it asks is ``search.prompt_query`` of its prompt; of the answers (or of ``urls``, where given) it visits the
+    first ``steps`` pages, has the model read each, and compiles what came of it, in the order of visits."""
+    spark = raw.sparkSession
+    if urls:
+        visits = spark.createDataFrame(list(enumerate(urls)), "position int, url string")
+    else:
+        found = search.items(responses).where("source_type = 'web' AND url IS NOT NULL")
+        visits = found.groupBy("url").agg(F.min(F.struct("search", "ordinal")).alias("at")).orderBy("at", "url").limit(steps)
+        visits = visits.select(F.row_number().over(Window.orderBy("at", "url")).alias("position"), "url")
+    first = visits.where(F.col("position") <= steps)
+    read = extract_with(batch(first.withColumnRenamed("position", "ordinal"), raw, formats=("markdown",)).where("success"), model, prompt).where("success")
+    return compile_results(read.join(first, "url").select("position", F.to_json(F.struct("url", "data")).alias("data")))
+
+
 #: What a page action may carry.
 ACTION = "array<struct<type:string,selector:string,milliseconds:int,text:string,direction:string,key:string,script:string,fullPage:boolean>>"
 

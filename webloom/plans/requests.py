@@ -10,6 +10,7 @@ from webloom.functions import urls as U
 from webloom.operators import benchmark as B
 from webloom.operators import discovery, outputs
 from webloom.operators import requests as R
+from webloom.operators import services as S
 from webloom.plans.addresses import ROBOTS
 from webloom.plans.benchmarking import _SCORE, cases
 from webloom.session import table
@@ -123,8 +124,19 @@ def scrape_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", of).select("page_id", "f.*")
 
 
+def service_agent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The agent over stored answers; its model gives a page's number of words back, and one page cannot be had."""
+    p = table(spark, sf_dir, "pages")
+    responses = p.select(F.col("page_id").alias("search"), F.lit("tavily").alias("provider"), F.lit("web").alias("source"), F.expr("""'{"results":[{"url":"' || url || '","title":"t"}]}'""").alias("body"))
+    raw = p.select("url", "html", F.expr("IF(page_id % 4 = 2, 404, 200)").alias("status"))
+    compiled = S.agent(responses, raw, lambda text: F.concat(F.lit('{"n": '), (F.length(text) > 0).cast("int").cast("string"), F.lit("}")), "Count the words")
+    items = F.from_json(F.get_json_object("compiled", "$.items"), "array<struct<url:string,data:string>>")
+    return compiled.select(F.posexplode(items).alias("place", "x")).select("place", "x.url", "x.data")
+
+
 QUERIES = {f.__name__: f for f in (
     request_frames, request_rules, request_errors, request_config, request_alerts, request_queue, request_sources, search_heads, sitemap_places, sitemap_recent, job_admission, bench_report, crawl_output, scrape_output,
+    service_agent,
 )}
 
 _ORIGIN = "regexp_extract(url, '^([a-z]+)', 1) || '://' || lower(regexp_replace(regexp_replace(regexp_extract(url, '://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', '')) || CASE regexp_extract(url, '^([a-z]+)', 1) WHEN 'https' THEN ':443' ELSE ':80' END"
@@ -147,6 +159,8 @@ ORACLES = {
     "search_heads": """SELECT page_id AS search, CASE WHEN page_id % 4 <> 0 AND page_id % 5 <> 0 THEN 'text/html' END AS content_type, CASE WHEN page_id % 4 <> 0 AND page_id % 5 <> 0 AND page_id % 3 <> 0 THEN page_id END AS content_length FROM pages""",
     "sitemap_places": f"""WITH s AS (SELECT DISTINCT {_ORIGIN} AS origin FROM pages) SELECT origin, unnest(['https://x.example/sitemap.xml', 'https://x.example/news.xml']) AS url FROM s WHERE length(origin) % 2 = 0
  UNION ALL SELECT origin, origin || CASE WHEN length(origin) % 3 = 0 THEN '/sitemap.xml' ELSE '/sitemap_index.xml' END FROM s WHERE length(origin) % 2 <> 0""",
+    "service_agent": """WITH u AS (SELECT url, min(page_id) AS page_id FROM pages GROUP BY url ORDER BY 2 LIMIT 10)
+ SELECT (row_number() OVER (ORDER BY page_id) - 1)::INT AS place, url, '{"n": 1}' AS data FROM u WHERE page_id % 4 <> 2""",
     "sitemap_recent": "SELECT o_orderkey AS loc FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderdate >= TIMESTAMP '1996-06-01'",
     "job_admission": """WITH a AS (SELECT count(*) FILTER (event_type IN ('view', 'click')) AS active FROM events WHERE ts + INTERVAL 86400 SECONDS > TIMESTAMP '2024-01-16') SELECT active, active < 3 AS may_start FROM a""",
     "bench_report": f"{_SCORE} SELECT coalesce(category, 'overall') AS category, count(*) AS cases, count(*) FILTER (scored) AS scored FROM z GROUP BY GROUPING SETS ((), (category))",

@@ -32,9 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read back: what is above it is never worked out again."""
+    """``df`` written once to the shared folder and read back: what is above it is never worked out again. The table goes when the driver's process ends."""
     path = f"{shared_dir(df.sparkSession)}/webloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(place)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

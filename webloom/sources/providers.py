@@ -40,3 +40,49 @@ class PageSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
         return FetchReader(self.options.get("urls", "").split(), int(self.options.get("parts", "8")), self.fetch)
+
+
+class _Asked(InputPartition):
+    def __init__(self, queries: list[tuple[int, str]]):
+        self.queries = queries
+
+
+class SearchReader(DataSourceReader):
+    def __init__(self, source: SearchSource, queries: list[str], parts: int, kind: str, limit: int):
+        self.source, self.kind, self.limit, self.parts = source, kind, limit, max(1, parts)
+        self.asked = list(enumerate(queries))
+
+    def partitions(self) -> list[InputPartition]:
+        return [_Asked(self.asked[k :: self.parts]) for k in range(self.parts) if self.asked[k :: self.parts]]
+
+    def read(self, partition: _Asked) -> Iterator[tuple]:
+        ask = {"web": self.source.search_web, "images": self.source.search_images, "news": self.source.search_news}[self.kind]
+        for number, query in partition.queries:
+            yield number, self.source.name(), self.kind, ask(query, self.limit)
+
+
+class SearchSource(DataSource):
+    """Answers of a search provider to the queries in option ``queries`` (a line each), in the shape that ``operators.search.items`` reads: search (the query's number),
+    provider, source, body (the provider's JSON). A subclass names the provider, says whether it can be asked, and asks it; option ``source`` is web,
+    images or news, option ``limit`` how many results are wanted. A provider that cannot be asked answers nothing."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "search"
+
+    @staticmethod
+    def is_available() -> bool:
+        return False
+
+    @staticmethod
+    def search_web(query: str, limit: int) -> str:
+        raise NotImplementedError("a subclass asks")
+
+    search_images = search_news = search_web
+
+    def schema(self) -> str:
+        return "search long, provider string, source string, body string"
+
+    def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
+        queries = [q for q in self.options.get("queries", "").split("\n") if q.strip()] if self.is_available() else []
+        return SearchReader(self, queries, int(self.options.get("parts", "4")), self.options.get("source", "web"), int(self.options.get("limit", "5")))
