@@ -116,6 +116,22 @@ def platform(html: Column) -> Column:
     return F.coalesce(*[F.when(html.rlike(p), F.lit(name)) for name, (p, _) in PLATFORMS.items()])
 
 
+def expectation_met(html: Column, markdown: Column, expect: Column) -> Column:
+    """Whether a page shows what a caller expects: a least number of words (digits only), else an element for a css selector, else a text, whatever the case. Null
+    expects nothing. Only pages with an expectation that is no number are parsed."""
+    text = F.coalesce(markdown, D.visible_text(html), F.lit(""))
+    digits = expect.rlike("^[0-9]+$")
+    selected = pages.matches_selector(F.when(~digits, html), F.when(~digits, expect))
+    return F.when(expect.isNull(), True).when(digits, T.word_count(text) >= expect.try_cast("int")).otherwise(selected | F.contains(F.lower(text), F.lower(expect)))
+
+
+def with_expectation(scraped: DataFrame, met: Column) -> DataFrame:
+    """Scraped pages (expect, success, error, ...), of which those that came without what was expected fail; their verdict stays."""
+    unmet = F.col("success") & F.col("expect").isNotNull() & ~met
+    told = F.concat(F.lit("The page loaded, but not with what was expected ("), F.col("expect"), F.lit("); wait longer or use a stronger engine."))
+    return scraped.withColumns({"success": F.col("success") & ~unmet, "error": F.when(unmet, told).otherwise(F.col("error"))})
+
+
 def keep_best(attempts: DataFrame) -> DataFrame:
     return folds.best_attempts(attempts)
 

@@ -66,7 +66,10 @@ def telemetry_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 def telemetry_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = telemetry.stream_batches(log(spark, sf_dir), "engine")
     first = F.element_at("values", 1)[0]
-    return out.select("kind", F.col("batch").cast("long").alias("batch"), "n", first.alias("first_ns"), F.element_at("values", -1)[0].alias("last_ns"))
+    return out.select(
+        "kind", F.col("batch").cast("long").alias("batch"), "n", first.alias("first_ns"), F.element_at("values", -1)[0].alias("last_ns"),
+        F.md5(F.array_join(F.transform("values", lambda v: F.concat(v[0], F.lit(" "), F.get_json_object(v[1], "$.event_id"), F.lit(" "), F.get_json_object(v[1], "$.kind"))), ",")).alias("lines"),
+    )
 
 
 def telemetry_private(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +234,8 @@ ORACLES = {
     "telemetry_tail": f"{_L} SELECT event_id, kind, domain FROM l ORDER BY event_id DESC LIMIT 20",
     "telemetry_prune": f"{_L}, k AS (SELECT * FROM l WHERE ts >= '{SINCE}' ORDER BY event_id DESC LIMIT 2500) SELECT count(*) AS kept, min(event_id) AS oldest, max(event_id) AS newest FROM k",
     "telemetry_payload": f"""{_L}, r AS (SELECT *, (row_number() OVER (PARTITION BY kind ORDER BY ts, event_id) - 1) // 500 AS batch FROM l)
- SELECT kind, batch, count(*) AS n, min(epoch_us(ts))::VARCHAR || '000' AS first_ns, max(epoch_us(ts))::VARCHAR || '000' AS last_ns FROM r GROUP BY 1, 2""",
+ SELECT kind, batch, count(*) AS n, min(epoch_us(ts))::VARCHAR || '000' AS first_ns, max(epoch_us(ts))::VARCHAR || '000' AS last_ns,
+ md5(string_agg(epoch_us(ts)::VARCHAR || '000 ' || event_id || ' ' || kind, ',' ORDER BY ts, event_id)) AS lines FROM r GROUP BY 1, 2""",
     "telemetry_private": r"""SELECT page_id, regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\.', '') AS domain,
  substr(sha256(regexp_extract(html, '<title>(.*?)</title>', 1)), 1, 12) AS query_hash FROM pages""",
     "fold_champions": f"{_FOLD} SELECT domain, engine, stealth, only_main, round(ewma, 6) AS ewma, samples FROM c",

@@ -96,11 +96,10 @@ def page_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assertions on pages: a least number of words, or a text."""
-    p = dressed(spark, sf_dir).withColumn("expect", F.expr("CASE page_id % 3 WHEN 1 THEN '120' WHEN 2 THEN 'AND THE' ELSE 'there' END"))
-    digits = F.col("expect").rlike("^[0-9]+$")
-    met = F.when(digits, T.word_count(F.col("markdown")) >= F.col("expect").try_cast("int")).otherwise(F.contains(F.lower("markdown"), F.lower("expect")))
-    return p.select("page_id", met.alias("met"))
+    """Assertions on pages: a least number of words, a selector, or a text; and what they make of a success."""
+    p = dressed(spark, sf_dir).withColumn("expect", F.expr("CASE page_id % 6 WHEN 1 THEN '120' WHEN 2 THEN 'AND THE' WHEN 3 THEN 'article p' WHEN 4 THEN '.not-there' WHEN 5 THEN 'there' END"))
+    p = p.withColumn("met", S.expectation_met(F.col("html"), F.col("markdown"), F.col("expect"))).withColumn("success", F.col("page_id") % 5 != 0).withColumn("error", F.lit(None).cast("string"))
+    return S.with_expectation(p, F.col("met")).select("page_id", "met", "success", F.col("error").isNotNull().alias("told"))
 
 
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,7 +228,8 @@ ORACLES = {
  (3, 'Browser closed', 'infrastructure', NULL), (4, '404 not found', 'empty', 'not_found'), (5, 'SSL certificate expired', 'empty', 'certificate'), (6, 'request was Blocked', 'bot_challenge', NULL))
  SELECT page_id, verdict, family, 'No usable content (' || verdict || '): ' || error || '. ' || CASE verdict WHEN 'bot_challenge' THEN '{Q.SUGGESTIONS["bot_challenge"]}' WHEN 'empty' THEN '{Q.SUGGESTIONS["empty"]}' ELSE '{Q.SUGGESTIONS["infrastructure"]}' END AS message
  FROM pages JOIN e ON page_id % 7 = k""",
-    "page_expectations": f"{_VIEW} SELECT page_id, CASE page_id % 3 WHEN 1 THEN words >= 120 WHEN 2 THEN contains(lower(markdown), 'and the') ELSE contains(lower(markdown), 'there') END AS met FROM p",
+    "page_expectations": f"""{_VIEW}, m AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN true WHEN 1 THEN words >= 120 WHEN 2 THEN contains(lower(markdown), 'and the') WHEN 3 THEN regexp_matches(html, '(?s)<article.*<p') WHEN 4 THEN false ELSE contains(lower(markdown), 'there') END AS met FROM p)
+ SELECT page_id, met, page_id % 5 <> 0 AND met AS success, page_id % 5 <> 0 AND NOT met AS told FROM m""",
     "page_titles": r"""SELECT page_id, nullif(trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')), '') AS title, nullif(regexp_extract(html, '<html[^>]* lang="([^"]*)"', 1), '') AS language,
  len(list_filter(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1), lambda h: h LIKE '/%' OR h LIKE 'http%' OR h LIKE '#%'))::BIGINT AS links FROM pages""",
     "page_sections_bm25": r"""WITH s AS (SELECT doc_id AS page, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS section, unnest(string_split(text, chr(10))) AS text FROM documents),
