@@ -172,8 +172,10 @@ class Classes:
             return CLAUSE_END
         bare = _EDGES.sub("", word.lower())
         code = self.fixed.get(bare, OTHER)
-        if code == OTHER and (f"={bare}" in self.learned or any(bare[:k] in self.learned for k in PREFIXES if len(bare) >= k)):
-            code = b"I"
+        if code == OTHER and self.learned:
+            sure = max([self.learned.get(f"={bare}", 0.0), *[self.learned.get(bare[:k], 0.0) for k in PREFIXES if len(bare) >= k]])
+            # What could have been learned by accident convicts nobody alone: a doubtful word.
+            code = b"I" if sure >= 1 else b"A" if sure > 0 else OTHER
         return code + CLAUSE_END if word[-1] in ".!?;:" else code
 
     def __call__(self, text: str | None) -> bytes:
@@ -225,10 +227,11 @@ def _labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     return materialise(docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id"))
 
 
-def learn_terms(labelled: DataFrame, chance: float = 1e-3) -> dict[str, float]:
-    """Words (after ``=``) and word beginnings that mark label 1: found in it almost only, and so much more often than in label 0
-    that of all the terms there are ``chance`` at most would by accident be. The weight is the log odds. Their number is bounded by the sample
-    (``MAX_LABELLED`` documents) alone. A beginning counts if several words have it."""
+def learn_terms(labelled: DataFrame, accidents: float = 20.0, sure: float = 1e-3) -> dict[str, float]:
+    """Words (after ``=``) and word beginnings that mark label 1: found in it almost only, and so much more often than in label 0 that of all the terms
+    there are ``accidents`` at most are expected to reach as much by accident, however many terms there are. The value is 1 or more where not even
+    ``sure`` of them is expected to, less for the others. Their number is bounded by the sample (``MAX_LABELLED`` documents) alone. A beginning counts if
+    several words have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,12 +262,14 @@ def learn_terms(labelled: DataFrame, chance: float = 1e-3) -> dict[str, float]:
     counted = labelled.select("text", "label").mapInArrow(run, "term string, one long, zero long, low string, high string")
     counted = counted.groupBy("term").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero"), F.min("low").alias("low"), F.max("high").alias("high"))
     counted = materialise(counted)
-    # G-test of the split against the base rate, one degree of freedom: P(G > g) is about exp(-g / 2), to be below chance / number of terms.
-    least = 2 * math.log(max(1, counted.count()) / chance)
+    # G-test of the split against the base rate, one degree of freedom: a term reaches g by accident in about exp(-g / 2) of cases.
     share = n1 / (n1 + n0)
     gain = F.expr(f"2 * one * ln(one / ((one + zero) * {share})) + CASE WHEN zero > 0 THEN 2 * zero * ln(zero / ((one + zero) * {1 - share})) ELSE 0 END")
-    rows = counted.where("one > 0 AND zero <= 0.05 * one AND (low IS NULL OR low < high)").withColumn("gain", gain).where(F.col("gain") > least).collect()
-    return {r.term: math.log((r.one + 0.5) / (r.zero + 0.5) * n0 / n1) for r in rows}
+    marked = counted.where("one > 0 AND zero <= 0.05 * one AND (low IS NULL OR low < high)").withColumn("gain", gain)
+    terms = counted.count()
+    least, certain = 2 * math.log(max(1.0, terms / accidents)), 2 * math.log(max(1, terms) / sure)
+    rows = marked.where(F.col("gain") > least).collect()
+    return {r.term: r.gain / certain for r in rows}
 
 
 def fit_weights(features: np.ndarray, labels: np.ndarray, epochs: int = 400, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
