@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from webloom.llm import alignment, decontamination, line_dedup, packing, pii, quality_model, quality_rules, sharding, simhash, toxicity, url_filter, whitening
+from webloom.llm import alignment, decontamination, line_dedup, packing, pii, quality_model, quality_rules, repeats, sharding, simhash, toxicity, url_filter, whitening
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_repeats": repeats.op11_repeats,
     "op12_whitening": whitening.op12_whitening,
     "op13_alignment": alignment.op13_alignment,
 }
