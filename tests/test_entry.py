@@ -17,16 +17,18 @@ def test_registry(spark):
 
 def test_imports_without_llm(tmp_path):
     copy = tmp_path / "repo"
+    # The caller's own path stays: packages may come from it.
+    env = os.environ | {"PYTHONPATH": os.pathsep.join([str(copy), *filter(None, [os.environ.get("PYTHONPATH")]), *sys.path[1:]])}
     shutil.copytree(REPO, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "spark-warehouse"))
     code = "import __spark_entry__ as e; q = e.queries(); assert not any(n.startswith('op') or n == 'pipeline' for n in q), q; assert set(e.oracle_sql()) <= set(q); print(len(q))"
-    done = subprocess.run([sys.executable, "-c", code], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True)
+    done = subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
     # What a deletion can leave behind must not matter, and the rest's own tests pass.
     (copy / "webloom" / "llm" / "__pycache__").mkdir(parents=True)
-    done = subprocess.run([sys.executable, "-c", code], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True)
+    done = subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
     some = [sys.executable, "-m", "pytest", "-q", "-x", "tests/test_twins.py", "-k", "url_parts or service_batch or telemetry_summary"]
-    done = subprocess.run(some, cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True)
+    done = subprocess.run(some, cwd=copy, env=env, capture_output=True, text=True)
     assert done.returncode == 0, done.stdout
 
 

@@ -8,6 +8,7 @@ import re
 from collections import Counter
 from urllib.parse import urljoin, urlsplit
 
+from webloom.dom import readable
 from webloom.dom.tree import Node, SelectorError, firsts, fits_any, parse, select, to_html
 
 # Tags and selectors of page furniture, and where main content is looked for, in order. Fixed values.
@@ -276,10 +277,10 @@ def words_in(node: Node) -> int:
     return len(node.text(" ").split())
 
 
-def drop_furniture(root: Node) -> None:
-    """Takes scripts, menus, banners and the like out of the tree, but not what is named like main content."""
+def drop_furniture(root: Node) -> list[tuple[Node, list]]:
+    """Takes scripts, menus, banners and the like out of the tree, but not what is named like main content. Returns what ``put_back`` needs."""
     protected = lambda n: any(p in f"{n.attrs.get('id', '')} {n.attrs.get('class', '')} {n.attrs.get('role', '')}".lower() for p in PROTECTED)
-    stack = [root]
+    stack, before = [root], []
     while stack:
         node = stack.pop()
         kept = []
@@ -291,7 +292,18 @@ def drop_furniture(root: Node) -> None:
                     continue
                 stack.append(n)
             kept.append(n)
-        node.children = kept
+        if len(kept) < len(node.children):
+            before.append((node, node.children))
+            node.children = kept
+    return before
+
+
+def put_back(before: list[tuple[Node, list]]) -> None:
+    for node, children in before:
+        node.children = children
+        for n in children:
+            if isinstance(n, Node):
+                n.parent = node
 
 
 def cleaned(root: Node, only_main: bool = True, include: list[str] | None = None, exclude: list[str] | None = None) -> str:
@@ -402,18 +414,21 @@ def keep_sections(parts: list[Node], mode: float, query: str | None) -> list[Nod
     return kept or parts
 
 
-def main_content(root: Node, mode: float = 0.5, query: str | None = None) -> Node:
-    """The first main-content match that is dense enough, else the body's longer sections; then the query's sections only."""
+def main_content(root: Node, mode: float = 0.5, query: str | None = None) -> tuple[Node, str]:
+    """The main content of a whole tree, and how it was found: the first main-content match that is dense enough without the page's furniture
+    (selector); else what reads like an article on the whole page, from LEAST_WORDS words (readable); else the longer sections of the body without
+    furniture (body). Then the query's sections only. The tree loses what is not main content."""
     mode = min(1.0, max(0.0, mode))
-    found = None
-    for n in firsts(root, MAIN_CONTENT):
-        if n is not None and dense(n, mode):
-            found = n
-            break
+    before = drop_furniture(root)
+    how, found = "selector", next((n for n in firsts(root, MAIN_CONTENT) if n is not None and dense(n, mode)), None)
     if found is None:
-        found = root.first("body") or root
-        found = _joined(found, keep_sections(sections(found), mode, None))
-    return _joined(found, keep_sections(sections(found), mode, query)) if query else found
+        put_back(before)
+        how, found = "readable", readable.summary(root)
+        if found is None or words_in(found) < readable.LEAST_WORDS:
+            drop_furniture(root)
+            how, found = "body", root.first("body") or root
+            found = _joined(found, keep_sections(sections(found), mode, None))
+    return (_joined(found, keep_sections(sections(found), mode, query)) if query else found), how
 
 
 def _joined(whole: Node, kept: list[Node]) -> Node:

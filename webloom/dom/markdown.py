@@ -22,7 +22,7 @@ def convert(html: str | None, base: str = "", only_main: bool = True, include: l
     root = parse(html)
     prepare(root)
     if only_main or include:
-        return main_markdown(root, base, only_main, include, exclude, mode, query)
+        return main_markdown(root, base, only_main, include, exclude, mode, query)[0]
     E.exclude(root, exclude or [])
     return full_markdown(root, base)
 
@@ -34,16 +34,17 @@ def full_markdown(root: Node, base: str = "") -> str:
     return to_markdown(root.first("body") or root, base)
 
 
-def main_markdown(root: Node, base: str = "", only_main: bool = True, include: list[str] | None = None, exclude: list[str] | None = None, mode: float = 0.5, query: str | None = None) -> str:
-    """The included elements of a prepared tree, else its main content; the tree loses exclusions and furniture."""
+def main_markdown(root: Node, base: str = "", only_main: bool = True, include: list[str] | None = None, exclude: list[str] | None = None, mode: float = 0.5, query: str | None = None) -> tuple[str, str]:
+    """The included elements of a prepared tree, else its main content, and how it was found (``E.main_content``; include and page where the
+    caller's selectors or the whole page decide); the tree loses exclusions and furniture."""
     E.exclude(root, exclude or [])
     picked = E.include(root, include) if include else None
     if picked is not None:
-        return to_markdown(picked, base)
+        return to_markdown(picked, base), "include"
     if not only_main:
-        return full_markdown(root, base)
-    E.drop_furniture(root)
-    return to_markdown(E.main_content(root, mode, query), base)
+        return full_markdown(root, base), "page"
+    found, how = E.main_content(root, mode, query)
+    return to_markdown(found, base), how
 
 
 #: (detects, rewrites) of site kinds whose markup hides structure; extend by appending.

@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.dom import extract as E
-from webloom.dom.markdown import convert, full_markdown, main_markdown, prepare
+from webloom.dom.markdown import full_markdown, main_markdown, prepare
 from webloom.dom.tree import SelectorError, parse, select
 
 _META = ["title", "description", "language", "keywords", "robots", "canonical_url", "og_title", "og_description", "og_image", "og_url", "og_site_name", "timezone"]
 _TEXTS, _TEXT = pa.list_(pa.string()), pa.string()
 _TYPES = {
-    "markdown": (_TEXT, "string"), "full_markdown": (_TEXT, "string"), "html": (_TEXT, "string"), "links": (_TEXTS, "array<string>"), "images": (_TEXTS, "array<string>"),
+    "markdown": (_TEXT, "string"), "strategy": (_TEXT, "string"), "full_markdown": (_TEXT, "string"), "html": (_TEXT, "string"), "links": (_TEXTS, "array<string>"), "images": (_TEXTS, "array<string>"),
     "metadata": (pa.struct([(k, _TEXT) for k in _META]), "struct<" + ",".join(f"{k}:string" for k in _META) + ">"),
     "structured_data": (_TEXT, "string"), "branding": (_TEXT, "string"),
 }
@@ -38,7 +38,7 @@ def _one(url: str, html: str, formats: tuple[str, ...], only_main: bool, include
         out["structured_data"] = json.dumps(E.structured_data(root, url), sort_keys=True, ensure_ascii=False)
     if "branding" in formats:
         out["branding"] = json.dumps(E.branding(root, url), sort_keys=True, ensure_ascii=False)
-    markdown, full, cleaned = "markdown" in formats, "full_markdown" in formats, "html" in formats
+    markdown, full, cleaned = "markdown" in formats or "strategy" in formats, "full_markdown" in formats, "html" in formats
     # A site's preprocessor rewrites the tree for markdown only; a caller's selectors take a tree that has lost nothing yet.
     if cleaned:
         out["html"] = E.cleaned(root, only_main, include, exclude)
@@ -48,17 +48,17 @@ def _one(url: str, html: str, formats: tuple[str, ...], only_main: bool, include
     if markdown and (include or exclude):
         root = parse(html)
         prepare(root)
-        out["markdown"] = main_markdown(root, url, only_main, include, exclude, mode, query)
+        out["markdown"], out["strategy"] = main_markdown(root, url, only_main, include, exclude, mode, query)
     elif markdown and only_main:
-        out["markdown"] = main_markdown(root, url, True, None, None, mode, query)
+        out["markdown"], out["strategy"] = main_markdown(root, url, True, None, None, mode, query)
     elif markdown:
-        out["markdown"] = out["full_markdown"] if full else convert(html, url, False)
+        out["markdown"], out["strategy"] = out["full_markdown"] if full else full_markdown(root, url), "page"
     return out
 
 
 def scrape(pages: DataFrame, formats: tuple[str, ...] = ("markdown", "links", "metadata"), key: str = "page_id", only_main: bool = True, include: list[str] | None = None, exclude: list[str] | None = None, mode: float = 0.5, query: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """(key, url, html) to key, url, the columns to ``carry`` along and the named formats, no others being computed. Structured data and branding are
-    JSON texts, html is the main content's cleaned markup.
+    JSON texts, html is the main content's cleaned markup, strategy how the markdown's part of the page was found: selector, readable, body, include, page.
 
     Null html is an empty page; a null url resolves no links. Repeated rows: each. Null keys: kept."""
     first = list(dict.fromkeys([key, "url", *carry]))

@@ -111,7 +111,15 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_scrape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole extraction: markdown with recovery of thin pages, cleaned html, images, structured data, branding."""
     got = P.recovered(P.scrape(pages(spark, sf_dir), P.FORMATS))
-    return got.select("page_id", "url", "markdown", "html", "links", "images", F.col("metadata.title").alias("title"), "structured_data", "branding")
+    return got.select("page_id", "url", "markdown", "strategy", "html", "links", "images", F.col("metadata.title").alias("title"), "structured_data", "branding")
+
+
+def page_readable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the main content is found on pages whose article is unmarked, whose menus stand in plain boxes, or that are listings."""
+    unmarked = F.regexp_replace(F.regexp_replace("html", "<(/?)(article|main)", "<$1div"), "<(/?)nav", "<$1div")
+    bare = F.when(F.col("page_id") % 4 == 3, F.regexp_replace(unmarked, "<p>[^<]*</p>", "<li><a href='/x'>item</a></li>")).when(F.col("page_id") % 4 > 0, unmarked).otherwise(F.col("html"))
+    got = P.scrape(pages(spark, sf_dir).withColumn("html", bare), ("markdown", "strategy"))
+    return got.select("page_id", "strategy", T.word_count(F.col("markdown")).alias("words"))
 
 
 def page_sections_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +175,7 @@ def service_diagnose(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    page_detectors, page_quality, page_verdicts, page_javascript, page_cdn, page_diagnose, page_captcha, page_failures, page_expectations, page_titles, page_scrape, page_sections_bm25, page_selector,
+    page_detectors, page_quality, page_verdicts, page_javascript, page_cdn, page_diagnose, page_captcha, page_failures, page_expectations, page_titles, page_scrape, page_readable, page_sections_bm25, page_selector,
     page_actions, service_scrape, service_batch, service_crawl, service_diagnose,
 )}
 
