@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 from tests.conftest import SF
 
 from webloom.llm import alignment
@@ -69,5 +70,5 @@ def test_nothing(spark):
 
 
 def test_groups_and_links():
-    a, b = [(1, 2), (2, 3), (3, 1)], [(7, 2), (8, 1), (9, 3)]
-    assert alignment.groups_and_links(a, b) == ([([1], [7]), ([2, 3], [8, 9])], [(1, 7), (2, 8), (2, 9), (3, 9)])
+    groups, shared, of_a, of_b = alignment.groups_and_links([1, 2, 3], np.array([2, 5, 6]), [7, 8, 9], np.array([2, 3, 6]))
+    assert (groups, shared.tolist(), of_a.tolist(), of_b.tolist()) == (["1|7", "2,3|8,9"], [2, 6], [0, 1, 1, 2], [0, 1, 2, 2])

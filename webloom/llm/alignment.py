@@ -6,10 +6,10 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import groupby, islice
+from itertools import chain, groupby, islice
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,8 @@ BLOCK_BYTES = 8_000_000
 STRIPE = 64
 #: Cells that one task counts or scores before a stripe is dealt to more of them.
 CELLS = 2**25
-#: Words whose encoding a worker remembers, and the longest of them; it forgets all when there are more.
-MEMO, MEMO_CHARS = 200_000, 64
+#: Words whose encoding a worker remembers, in two halves of so many, and the longest of them; it forgets the half not met of late when there are more.
+MEMO, MEMO_CHARS = 150_000, 64
 #: What no cut may stand beside: white space by any definition in use, and the sign that stands for a space.
 SPACES = "\\s\u180e\u2581"
 UNSAFE = re.compile(f"[{SPACES}][{SPACES}]|^[{SPACES}]|[{SPACES}]$|[^\\S \n]|[\u180e\u2581]")
@@ -40,42 +40,27 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
-def groups_and_links(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-    """For tokens (id, bytes) of the same bytes: the ids between shared ends, and the pair (A id, B id) of every overlap."""
-    groups, links, i, j, end_a, end_b = [([], [])], [], 0, 0, 0, 0
-    while i < len(a):
-        if end_a == end_b:
-            if groups[-1][0]:
-                groups.append(([], []))
-            end_a, end_b = end_a + a[i][1], end_b + b[j][1]
-            groups[-1][0].append(a[i][0])
-            groups[-1][1].append(b[j][0])
-        elif end_a < end_b:
-            i += 1
-            end_a += a[i][1]
-            groups[-1][0].append(a[i][0])
-        else:
-            j += 1
-            end_b += b[j][1]
-            groups[-1][1].append(b[j][0])
-        links.append((a[i][0], b[j][0]))
-        if end_a == end_b:
-            i, j = i + 1, j + 1
-    return groups, links
-
-
-class Aligned:
+class Aligned(NamedTuple):
     """A stretch of text that both tokenizers cut off: counts, its groups as text and its links as codes ``B id * width + A id``, 8 bytes each.
     ``fits`` is false where bytes are lost."""
 
-    __slots__ = ("fits", "groups", "links", "n_a", "n_b", "n_groups")
+    fits: bool
+    n_a: int = 0
+    n_b: int = 0
+    n_groups: int = 0
+    groups: str = ""
+    links: bytes = b""
 
-    def __init__(self, a: list[int], a_bytes: list[bytes], b: list[int], b_bytes: list[bytes], raw: bytes, width: int):
-        self.fits = b"".join(a_bytes) == raw == b"".join(b_bytes)
-        groups, links = groups_and_links(list(zip(a, map(len, a_bytes), strict=True)), list(zip(b, map(len, b_bytes), strict=True))) if self.fits else ([], [])
-        self.n_a, self.n_b, self.n_groups = len(a), len(b), len(groups)
-        self.groups = ";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups])
-        self.links = array("q", [y * width + x for x, y in links]).tobytes()
+
+def groups_and_links(a_ids: list[int], a_ends: np.ndarray, b_ids: list[int], b_ends: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """For tokens of the same bytes, by ids and where each ends: the groups between shared ends as text and where they end, and for every stretch between
+    two ends of either side the one A and the one B token that overlap there, as places in ``a_ids`` and ``b_ids``."""
+    shared = np.intersect1d(a_ends, b_ends, assume_unique=True)
+    a_text, b_text = list(map(str, a_ids)), list(map(str, b_ids))
+    a_cuts, b_cuts = ((np.searchsorted(ends, shared) + 1).tolist() for ends in (a_ends, b_ends))
+    groups = [f"{','.join(a_text[i:j])}|{','.join(b_text[k:m])}" for i, j, k, m in zip([0, *a_cuts], a_cuts, [0, *b_cuts], b_cuts, strict=False)]
+    ends = np.union1d(a_ends, b_ends)
+    return groups, shared, np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
 
 
 class Aligner:
@@ -91,29 +76,56 @@ class Aligner:
         letters = byte_alphabet()
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.a_bytes = {i: bytes(letters.get(c, 63) for c in t) for t, i in self.a.get_vocab().items()}
+        vocabulary = self.a.get_vocab()
+        self.width = max(vocabulary.values()) + 1
+        self.a_bytes = [b""] * self.width
+        for t, i in vocabulary.items():
+            self.a_bytes[i] = bytes(letters.get(c, 63) for c in t)
         self.b = SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(pieces)]
-        self.width = max(self.a_bytes) + 1
-        self.memo: dict[str | tuple[str], Aligned] = {}
+        self.a_sizes, self.b_sizes = (np.array([len(t) for t in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+        #: Words met since half of the memo was last dropped, and those met before and not since.
+        self.young: dict[str | tuple[str], Aligned] = {}
+        self.old: dict[str | tuple[str], Aligned] = {}
+
+    def together(self, a: list[list[int]], b: list[list[int]], raws: list[bytes]) -> list[Aligned]:
+        """The words of which both sides' tokens are given, aligned by one pass over all of their tokens."""
+        a_ids, b_ids = list(chain.from_iterable(a)), list(chain.from_iterable(b))
+        if not b"".join(map(self.a_bytes.__getitem__, a_ids)) == b"".join(raws) == b"".join(map(self.b_bytes.__getitem__, b_ids)):
+            fits = [b"".join(map(self.a_bytes.__getitem__, x)) == raw == b"".join(map(self.b_bytes.__getitem__, y)) for x, y, raw in zip(a, b, raws, strict=True)]
+            if not all(fits):
+                good = iter(self.together(*[[v for v, f in zip(side, fits, strict=True) if f] for side in (a, b, raws)]))
+                return [next(good) if f else Aligned(False) for f in fits]
+        if not raws:
+            return []
+        a_ends, b_ends, ends = np.cumsum(self.a_sizes[a_ids]), np.cumsum(self.b_sizes[b_ids]), np.cumsum([len(r) for r in raws])
+        groups, shared, of_a, of_b = groups_and_links(a_ids, a_ends, b_ids, b_ends)
+        codes = np.array(b_ids, np.int64)[of_b] * self.width + np.array(a_ids, np.int64)[of_a]
+        # A link lies where the nearer of its tokens' ends is.
+        link_cuts = 8 * (np.searchsorted(np.minimum(a_ends[of_a], b_ends[of_b]), ends) + 1)
+        group_cuts, link_cuts, codes = (np.searchsorted(shared, ends) + 1).tolist(), link_cuts.tolist(), codes.tobytes()
+        return [
+            Aligned(True, len(x), len(y), g1 - g0, ";".join(groups[g0:g1]), codes[c0:c1])
+            for x, y, g0, g1, c0, c1 in zip(a, b, [0, *group_cuts], group_cuts, [0, *link_cuts], link_cuts, strict=False)
+        ]
 
     def look_up(self, keys: list[str | tuple[str]]) -> list[Aligned]:
         """The words of ``keys``, from the memo or encoded together."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        missing = [k for k in keys if k not in self.memo]
+        if len(self.young) > MEMO:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        young.update({k: old[k] for k in keys if k in old})
+        missing = [k for k in keys if k not in young]
         texts = [k[0] if isinstance(k, tuple) else k for k in missing]
         after_line = [t is k and t.startswith("\n") for k, t in zip(missing, texts, strict=True)]
         whole = [t if line else " " + t for t, line in zip(texts, after_line, strict=True)]
-        made, a_bytes, b_bytes = {}, self.a_bytes, self.b_bytes
-        for k, text, line, a, b in zip(missing, whole, after_line, self.a.encode_batch(whole, add_special_tokens=False), self.b.encode(texts, num_threads=1), strict=True):
-            a = a.ids
-            if line:  # B puts a space before all it gets; a line end never merges with it
-                b = b[1:]
-            made[k] = Aligned(a, [a_bytes[i] for i in a], b, [b_bytes[i] for i in b], text.encode(), self.width)
-        out = [made.get(k) or self.memo[k] for k in keys]
-        self.memo |= {k: v for (k, v), t in zip(made.items(), texts, strict=True) if len(t) <= MEMO_CHARS}
+        a = [x.ids for x in self.a.encode_batch(whole, add_special_tokens=False)]
+        # B puts a space before all it gets; a line end never merges with it.
+        b = [x[1:] if line else x for x, line in zip(self.b.encode(texts, num_threads=1), after_line, strict=True)]
+        made = dict(zip(missing, self.together(a, b, [t.encode() for t in whole]), strict=True))
+        out = [made.get(k) or young[k] for k in keys]
+        young.update({k: v for (k, v), t in zip(made.items(), texts, strict=True) if len(t) <= MEMO_CHARS})
         return out
 
     @staticmethod
