@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from webloom.dom import extract as E
 from webloom.dom.markdown import convert
 from webloom.dom.tree import SelectorError, compile_selector, parse, select
-from webloom.functions import arguments, detection, text, urls
+from webloom.functions import arguments, detection, edits, text, urls
 from webloom.functions.addresses import is_refused, refused
 from webloom.operators import benchmark, discovery, folds, outputs, pages, requests, search, services, telemetry, versions
 from webloom.sources import readers, writers
@@ -140,7 +140,7 @@ def test_files(spark, tmp_path):
 
 def test_diff(spark):
     frame = spark.createDataFrame([("a\nb\n", "a\nc\n"), ("x", "x"), (None, "n")], "a string, b string")
-    got = [r.d for r in frame.select(versions.unified_diff(F.col("a"), F.col("b")).alias("d")).collect()]
+    got = [r.d for r in frame.select(edits.unified_diff(F.col("a"), F.col("b")).alias("d")).collect()]
     assert got[0] == "--- previous\n+++ current\n@@ -1,2 +1,2 @@\n a\n-b\n+c\n" and got[1] is None and got[2].endswith("+n")
 
 

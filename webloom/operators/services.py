@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import detection as D
+from webloom.functions import edits
 from webloom.functions import quality as Q
 from webloom.functions import text as T
 from webloom.functions import urls as U
@@ -84,7 +85,7 @@ def track_changes(scraped: DataFrame, history: DataFrame, modes: tuple[str, ...]
     status = F.when(~F.col("success"), F.when(known, "removed")).when(~known, "new").when(F.col("p_hash") == F.col("content_hash"), "same").otherwise("changed")
     out = now.join(last, "cache_key", "left").withColumn("change_status", status)
     if "git-diff" in modes:
-        out = out.withColumn("diff", F.when(F.col("change_status") == "changed", versions.unified_diff(F.col("p_markdown"), F.col("markdown"))))
+        out = out.withColumn("diff", F.when(F.col("change_status") == "changed", edits.unified_diff(F.col("p_markdown"), F.col("markdown"))))
     return out.drop("p_hash", "p_markdown")
 
 

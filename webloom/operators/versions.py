@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,21 +57,6 @@ def change_summary(statuses: DataFrame) -> DataFrame:
     return statuses.where("status IS NOT NULL").groupBy("status").agg(F.count("*").alias("n"))
 
 
-def unified_diff(previous: Column, current: Column) -> Column:
-    """The unified diff from the first text to the second, null for equal ones; nulls count as empty."""
-
-    @F.pandas_udf("string")
-    def diff(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for old, new in parts:
-            out = []
-            for a, b in zip(old.fillna(""), new.fillna(""), strict=True):
-                lines = difflib.unified_diff(a.splitlines(keepends=True), b.splitlines(keepends=True), fromfile="previous", tofile="current")
-                out.append("".join(lines) or None)
-            yield pd.Series(out, dtype=object)
-
-    return diff(previous, current)
-
-
 def field_changes(previous: Column, current: Column) -> Column:
     """Keys of two string maps whose values differ, with both values; a key that one lacks differs."""
     empty = F.create_map().cast("map<string,string>")

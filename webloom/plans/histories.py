@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom.functions import edits
 from webloom.operators import folds, telemetry, versions
 from webloom.session import table
 
@@ -152,7 +153,19 @@ def change_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def change_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _versions(spark, sf_dir)
     pairs = v.alias("a").join(v.alias("b"), F.expr("a.key = b.key AND a.version + 1 = b.version"))
-    return pairs.select(F.col("b.key"), F.col("b.version"), versions.unified_diff(F.col("a.text"), F.col("b.text")).alias("diff"))
+    return pairs.select(F.col("b.key"), F.col("b.version"), edits.unified_diff(F.col("a.text"), F.col("b.text")).alias("diff"))
+
+
+#: A document's lines by their first two letters, so that many are equal, and an edited copy of them: lines gone, doubled and moved.
+_LINES = "transform(split(text, '\n'), l -> left(l, 2))"
+_EDITED = """flatten(transform(sequence(1, size(a)), k -> CASE (doc_id + k * k) % 6 WHEN 0 THEN array() WHEN 1 THEN array(a[k - 1], a[k - 1]) WHEN 2 THEN array('+' || a[k - 1]) WHEN 3 THEN array(a[size(a) - k]) ELSE array(a[k - 1]) END))"""
+
+
+def change_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much a shortest edit script between a document's lines and an edited copy of them removes and adds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(_LINES).alias("a"))
+    texts = docs.select("doc_id", *[F.concat(F.array_join(c, "\n"), F.lit("\n")).alias(n) for c, n in ((F.col("a"), "old"), (F.expr(_EDITED), "new"))])
+    return texts.select("doc_id", edits.edit_sizes(F.col("old"), F.col("new")).alias("e")).select("doc_id", "e.removed", "e.added")
 
 
 def change_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +205,7 @@ def cache_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     telemetry_events, telemetry_summary, telemetry_top_domains, telemetry_by_verdict, telemetry_kinds, telemetry_tail, telemetry_prune, telemetry_payload, telemetry_private,
     fold_champions, fold_seeds, fold_provider_health, fold_recent_window, fold_throttle, fold_best_attempts, fold_retries, fold_fallback_chain, fold_escalations,
-    change_tracking, change_summary, change_diff, change_fields, cache_stats, cache_fresh, cache_prune,
+    change_tracking, change_summary, change_diff, change_edits, change_fields, cache_stats, cache_fresh, cache_prune,
 )}
 
 _L = f"WITH l AS (SELECT {_LOG} FROM events)"
@@ -256,6 +269,15 @@ ORACLES = {
  SELECT search, CASE WHEN got IS NOT NULL THEN 'results' WHEN banked IS NOT NULL THEN 'empty' ELSE 'error' END AS answer, coalesce(got, banked) AS provider, tried FROM b""",
     "fold_escalations": """SELECT event_id, (user_id % 11 = 0 OR (event_id % 7 <> 0 AND (event_type IN ('error', 'view') OR user_id % 4 = 0))) AND event_id % 5 < 3 AS escalate FROM events""",
     "change_tracking": f"{_T} SELECT key, version, previous, status FROM s",
+    # The length of a longest common subsequence, a row of its table at a time.
+    "change_edits": """WITH RECURSIVE d AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda l: left(l, 2)) AS a FROM documents),
+ e AS (SELECT doc_id, a, flatten(list_transform(range(1, len(a) + 1), lambda k: CASE (doc_id + k * k) % 6 WHEN 0 THEN [] WHEN 1 THEN [a[k], a[k]] WHEN 2 THEN ['+' || a[k]] WHEN 3 THEN [a[len(a) - k + 1]] ELSE [a[k]] END)) AS b FROM d),
+ -- An empty copy still has its last line's end.
+ f AS (SELECT doc_id, a, CASE WHEN len(b) = 0 THEN [''] ELSE b END AS b FROM e),
+ r AS (SELECT doc_id, a, b, 0 AS i, list_transform(b, lambda x: 0) AS t FROM f
+ UNION ALL SELECT doc_id, a, b, i + 1, list_transform(range(1, len(u) + 1), lambda j: list_max(u[1:j])) FROM
+ (SELECT *, list_transform(range(1, len(b) + 1), lambda j: CASE WHEN a[i + 1] = b[j] THEN greatest(t[j], 1 + CASE WHEN j > 1 THEN t[j - 1] ELSE 0 END) ELSE t[j] END) AS u FROM r WHERE i < len(a)))
+ SELECT doc_id, (len(a) - t[len(b)])::BIGINT AS removed, (len(b) - t[len(b)])::BIGINT AS added FROM r WHERE i = len(a)""",
     "change_summary": f"{_T} SELECT status, count(*) AS n FROM s WHERE status IS NOT NULL GROUP BY 1",
     "change_fields": """WITH o AS (SELECT o_orderkey, o_orderstatus AS s, o_orderpriority AS p, lag(o_orderstatus) OVER w AS s0, lag(o_orderpriority) OVER w AS p0, lag(o_orderkey) OVER w AS k0 FROM orders
  WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) SELECT o_orderkey, 'status' AS field, s0 AS previous, s AS current FROM o WHERE k0 IS NOT NULL AND s0 <> s
