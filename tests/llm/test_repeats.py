@@ -60,6 +60,7 @@ def test_planted(spark, monkeypatch):
     assert result(frame) == want
     monkeypatch.setattr(common, "HOT", 3)
     monkeypatch.setattr(repeats, "PIECE", 64)
+    monkeypatch.setattr(repeats, "CHUNK", 777)
     assert result(frame) == want
 
 
@@ -80,8 +81,7 @@ def test_cover():
 def test_hashes_and_sliding():
     rng = np.random.default_rng(4)
     data = rng.integers(0, 3, 500).astype(np.uint8)
-    roll = repeats.rolling(9)
-    grams = roll.grams(roll.sums(data), 5)
+    grams = repeats.Rolling(data, 9).grams(5)
     by = {}
     for k in range(496):
         by.setdefault(data[k : k + 5].tobytes(), set()).add(int(grams[k]))

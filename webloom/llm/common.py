@@ -42,6 +42,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table of ``materialise`` that nothing reads any more, and lets the driver's JVM collect the plans made of it, whose shuffle files Spark
+    then drops."""
+    files = df.inputFiles()
+    if files:
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+    df.sparkSession._jvm.System.gc()
+
+
 def hot_keys(counted: DataFrame, keys: list[str], n: str) -> DataFrame:
     """The keys of ``counted`` with more than HOT rows, and in how many more slices each is to be dealt. At most a HOT-th of the rows."""
     return materialise(counted.where(F.col(n) > HOT).select(*keys, F.floor(F.col(n) / HOT).alias("__slices")))

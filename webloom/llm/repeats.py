@@ -12,50 +12,51 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.common import hot_keys, light_slices, materialise, salted_join, small_batches, table
+from webloom.llm.common import discard, hot_keys, light_slices, materialise, salted_join, small_batches, table
 
 #: Length of the repeats that go, in bytes.
 WINDOW = 200
 #: A perfect difference cover. Every number modulo PERIOD is the difference of two of these.
-PERIOD, COVER = 57, (0, 1, 3, 13, 32, 36, 43, 52)
+PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 #: Any window of the text has a gram of this many bytes that is the least of SPREAD neighbours, which finds the regions worth a suffix.
 GRAM, SPREAD = 64, 96
-#: Windows that are looked at together; longer texts and regions are taken in pieces that overlap by a window.
-PIECE = 1 << 16
+#: Positions that are hashed together, and the most windows of a region; longer ones are cut into several that overlap by a window.
+CHUNK, PIECE = 1 << 18, 1 << 16
 #: Names one text: its hash and its length.
 TEXT = ["key", "size"]
-TEXT_TYPES = "key long, size long"
+#: What hashes are for; each kind has random values of its own for the bytes.
+MARK, BLOCK, STRETCH, SUFFIX, SUFFIX_TOO = range(5)
 
 
-class Rolling:
-    """Hashes of all stretches of up to PIECE + WINDOW bytes from sums over their beginnings."""
+@lru_cache(maxsize=1)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A random odd number's powers up to the n-th, and their inverses, modulo 2 ** 64."""
+    factor = int(np.random.default_rng(11).integers(2**61)) * 8 + 5
+    return tuple(np.cumprod(np.r_[np.uint64(1), np.full(n, f, np.uint64)]) for f in (factor, pow(factor, -1, 2**64)))
+
+
+@lru_cache(maxsize=8)
+def byte_values(kind: int) -> np.ndarray:
+    return np.random.default_rng(kind).integers(2**64, size=256, dtype=np.uint64)
 
-    def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        n = PIECE + 2 * WINDOW
-        factor = int(rng.integers(2**61)) * 8 + 5
-        self.of_byte = rng.integers(2**64, size=256, dtype=np.uint64)
-        self.powers, self.inverse = (np.cumprod(np.r_[np.uint64(1), np.full(n, f, np.uint64)]) for f in (factor, pow(factor, -1, 2**64)))
 
-    def sums(self, data: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.of_byte[data] * self.powers[: len(data)], out=out[1:])
-        return out
+class Rolling:
+    """Hashes of any stretches of a few bytes from sums over their beginnings."""
+
+    def __init__(self, data: np.ndarray, kind: int):
+        by, self.inverse = powers(max(len(data), CHUNK + 2 * WINDOW))
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(byte_values(kind)[data] * by[: len(data)], out=self.sums[1:])
 
-    def between(self, sums: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    def between(self, first: np.ndarray | slice, stop: np.ndarray | slice) -> np.ndarray:
         """Hashes of the stretches from ``first`` to ``stop``."""
-        h = (sums[stop] - sums[first]) * self.inverse[first]
+        h = (self.sums[stop] - self.sums[first]) * self.inverse[first]
         h ^= h >> np.uint64(32)
         h *= np.uint64(0x9E3779B97F4A7C15)
         return h ^ h >> np.uint64(29)
 
-    def grams(self, sums: np.ndarray, length: int) -> np.ndarray:
-        return self.between(sums, slice(0, len(sums) - length), slice(length, None))
-
-
-@lru_cache(maxsize=8)
-def rolling(seed: int) -> Rolling:
-    return Rolling(seed)
+    def grams(self, length: int) -> np.ndarray:
+        return self.between(slice(0, len(self.sums) - length), slice(length, len(self.sums)))
 
 
 def sliding(values: np.ndarray, width: int, pick: np.ufunc, rest: int) -> np.ndarray:
@@ -69,175 +70,212 @@ def sliding(values: np.ndarray, width: int, pick: np.ufunc, rest: int) -> np.nda
     return pick(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def least_grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all grams, and the least of every SPREAD neighbours."""
-    roll = rolling(1)
-    grams = roll.grams(roll.sums(data), GRAM)
-    return grams, sliding(grams, SPREAD, np.minimum, 2**64 - 1)
+def runs_of(flags: np.ndarray) -> np.ndarray:
+    """Where flags are set: rows (first, stop)."""
+    return np.flatnonzero(np.diff(np.r_[False, flags, False].astype(np.int8))).reshape(-1, 2)
 
 
-def pieces(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """The windows of a text, PIECE at a time: where the first begins, and the bytes that they cover."""
-    for first in range(0, len(data) - WINDOW + 1, PIECE):
-        yield first, data[first : first + PIECE + WINDOW - 1]
+def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A binary column without nulls as one array, and where each value begins, with the end."""
+    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    return data, bounds - bounds[0]
 
 
-def marked_grams(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The grams that are the least around them, and how often each is in the text. Equal windows have the same ones. The overlap of
-    pieces counts twice, which only makes more regions worth a look."""
-    found = [np.zeros(0, np.uint64)]
-    for _, data in pieces(np.frombuffer(text, np.uint8)):
-        grams, least = least_grams(data)
-        # Each gram's greatest least value: its own if it is the least of some neighbourhood. Beyond both ends there is none.
-        beyond = np.zeros(SPREAD - 1, np.uint64)
-        found.append(grams[grams == sliding(np.r_[beyond, least, beyond], SPREAD, np.maximum, 0)])
-    return np.unique(np.concatenate(found), return_counts=True)
+def lists_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A column of lists of longs without nulls: all values, and for each the row it is in."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False))
 
 
-def runs_of(flags: np.ndarray) -> np.ndarray:
-    """Where flags are set: rows (first, stop)."""
-    return np.flatnonzero(np.diff(np.r_[False, flags, False].astype(np.int8))).reshape(-1, 2)
+def in_row(values: np.ndarray, rows: np.ndarray, known: np.ndarray, known_rows: np.ndarray) -> np.ndarray:
+    """Whether each value is among those known in its row."""
+    mixed = lambda v, r: v.view(np.uint64) + r.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return np.isin(mixed(values, rows), mixed(known, known_rows))
+
+
+def chunks(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """The texts' bytes, the starts of CHUNK windows at a time: where a part begins, its bytes, the row of each, and how many bytes its row goes on."""
+    for first in range(0, max(0, len(data) - WINDOW + 1), CHUNK):
+        stop = min(len(data), first + CHUNK + WINDOW - 1)
+        place = np.arange(first, stop)
+        row = np.searchsorted(bounds, place, side="right") - 1
+        yield first, data[first:stop], row, bounds[row + 1] - place
+
 
+def least_grams(data: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all grams, and the least of every SPREAD neighbours; 0 for neighbours that are not in one text."""
+    grams = Rolling(data, MARK).grams(GRAM)
+    least = sliding(grams, SPREAD, np.minimum, 2**64 - 1)
+    return grams, np.where(ahead[: len(least)] >= GRAM + SPREAD - 1, least, np.uint64(0))
 
-def regions_of(text: bytes, repeated: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """The regions of a text all of whose windows have nothing but ``repeated`` marked grams: where each begins, and its bytes."""
+
+def marked_grams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The grams that are the least around them: row, hash, and how often the row has each. Equal windows have the same ones. What lies in two
+    chunks counts twice, which only makes more regions worth a look."""
+    rows, names = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for _, part, row, ahead in chunks(data, bounds):
+        grams, least = least_grams(part, ahead)
+        # Each gram's greatest least value: its own if it is the least of some neighbourhood. Beyond both ends there is none.
+        beyond = np.zeros(SPREAD - 1, np.uint64)
+        at = np.flatnonzero((grams == sliding(np.r_[beyond, least, beyond], SPREAD, np.maximum, 0)) & (grams != 0))
+        rows.append(row[at])
+        names.append(grams[at].view(np.int64))
+    row, name = np.concatenate(rows), np.concatenate(names)
+    order = np.lexsort((name, row))
+    row, name = row[order], name[order]
+    first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (name[1:] != name[:-1])][: len(row)])
+    return row[first], name[first], np.diff(np.r_[first, len(row)])
+
+
+def regions_of(data: np.ndarray, bounds: np.ndarray, repeated: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """The regions all of whose windows have nothing but marked grams that are ``repeated`` (by row): row, where it begins there, and its bytes."""
     inside = WINDOW - GRAM - SPREAD + 2  # neighbourhoods of a window
-    for start, data in pieces(np.frombuffer(text, np.uint8)):
-        least = least_grams(data)[1]
-        change = np.r_[0, np.flatnonzero(least[1:] != least[:-1]) + 1]
-        known = np.repeat(np.isin(least[change], repeated), np.diff(np.r_[change, len(least)]))
+    for start, part, row, ahead in chunks(data, bounds):
+        least = least_grams(part, ahead)[1]
+        change = np.r_[0, np.flatnonzero((least[1:] != least[:-1]) | (row[1 : len(least)] != row[: len(least) - 1])) + 1]
+        known = np.repeat(in_row(least[change].view(np.int64), row[change], repeated, rows) & (least[change] != 0), np.diff(np.r_[change, len(least)]))
         so_far = np.r_[0, np.cumsum(~known)]
-        for first, stop in runs_of(so_far[inside:] == so_far[:-inside]):
-            yield start + int(first), data[first : stop + WINDOW - 1].tobytes()
+        for first, stop in runs_of((so_far[inside:] == so_far[:-inside]) & (ahead[: len(least) + 1 - inside] >= WINDOW)):
+            for k in range(int(first), int(stop), PIECE):
+                end = min(int(stop), k + PIECE) + WINDOW - 1
+                yield int(row[k]), int(start + k - bounds[row[k]]), part[k:end].tobytes()
 
 
-def cover_blocks(start: int, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The cover's positions in a region that begins at ``start``: the rank of the block of ``WINDOW - PERIOD + 1`` bytes there, the rank of the stretch
-    that any window with that block among its first PERIOD positions lies in, and that stretch's ends. A rank is a hash: equal for equal bytes."""
+def cover_blocks(data: np.ndarray, bounds: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The cover's positions in regions that begin at ``starts``: the region, the rank of the block of ``WINDOW - PERIOD + 1`` bytes there, the rank of the
+    stretch that any window with that block among its first PERIOD positions lies in, and that stretch's ends. A rank is a hash: equal for equal bytes."""
     block = WINDOW - PERIOD + 1
-    at = np.flatnonzero(np.isin((start + np.arange(len(data) - block + 1)) % PERIOD, COVER))
-    first, stop = np.maximum(at - PERIOD + 1, 0), np.minimum(at + WINDOW, len(data))
-    names, stretches = rolling(2), rolling(3)
-    return names.between(names.sums(data), at, at + block).view(np.int64), stretches.between(stretches.sums(data), first, stop).view(np.int64), first, stop
-
-
-def settled(start: int, data: np.ndarray, stretches: list[tuple[int, tuple[bool, bool]]]) -> tuple[np.ndarray, np.ndarray]:
-    """Flags of a region's windows: known to be repeated, as they lie in a repeated stretch; and to be compared as suffixes. ``stretches`` has
-    ranks of stretches, whether each is repeated, and whether its windows have to be compared."""
-    _, own, first, stop = cover_blocks(start, data)
-    out = []
-    for k in range(2):
-        change = np.zeros(len(data) + 2, np.int64)
-        flagged = np.isin(own, [r for r, flags in stretches if flags[k]]) & (stop - first >= WINDOW)
-        np.add.at(change, first[flagged], 1)
-        np.add.at(change, stop[flagged] - WINDOW + 1, -1)
-        out.append(np.cumsum(change)[: len(data) - WINDOW + 1] > 0)
-    return out[0], out[1]
-
-
-def _rows(columns: list[np.ndarray | list], schema: str) -> pa.RecordBatch:
-    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    place = np.arange(len(data))
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    covered = np.isin(np.arange(PERIOD), COVER)
+    at = np.flatnonzero(covered[(starts[row] + place - bounds[row]) % PERIOD] & (bounds[row + 1] - place >= block))
+    row = row[at]
+    first, stop = np.maximum(at - PERIOD + 1, bounds[row]), np.minimum(at + WINDOW, bounds[row + 1])
+    long_enough = stop - first >= WINDOW
+    row, at, first, stop = (v[long_enough] for v in (row, at, first, stop))
+    return row, Rolling(data, BLOCK).between(at, at + block).view(np.int64), Rolling(data, STRETCH).between(first, stop).view(np.int64), first, stop
+
+
+def within(n: int, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Of n window starts those whose window lies in one of the stretches."""
+    change = np.bincount(first, minlength=n + 1) - np.bincount(stop - WINDOW + 1, minlength=n + 1)
+    return np.cumsum(change)[:n] > 0
+
+
+MARKS = "key long, size long, name long, n long"
+REGIONS = "key long, size long, start long, body binary"
+STRETCHES = "region long, name long, stretch long, n long"
+SUFFIXES = "key long, size long, first long, stop long, one long, two int, n long, asks boolean"
+KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
+
+
+def _rows(schema: str, *columns: np.ndarray | list) -> pa.RecordBatch:
     names = [part.split() for part in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(columns, names, strict=True)], names=[n for n, _ in names])
+    return pa.RecordBatch.from_arrays([pa.array(c, KINDS[t]) for c, (_, t) in zip(columns, names, strict=True)], names=[n for n, _ in names])
 
 
-MARKS = f"{TEXT_TYPES}, name long, n long"
-REGIONS = f"{TEXT_TYPES}, start long, body binary"
-STRETCHES = f"{TEXT_TYPES}, start long, name long, stretch long, n long"
-SUFFIXES = f"{TEXT_TYPES}, first long, stop long, one long, two int, n long"
+def _parts(batches: Iterator[pa.RecordBatch], texts: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Batches in runs of about a chunk of bytes, with the bytes of column ``texts`` and their bounds."""
+    for whole in batches:
+        for batch in light_slices(whole, texts, CHUNK):
+            yield batch, *bytes_of(batch.column(texts))
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (part for whole in batches for part in light_slices(whole, 2)):
-        out = [[np.zeros(0, np.int64)] for _ in range(4)]
-        for key, size, text in zip(*[c.to_pylist() for c in batch.columns[:3]], strict=True):
-            if size >= WINDOW:
-                names, n = marked_grams(text)
-                for column, value in zip(out, (np.full(len(n), key), np.full(len(n), size), names.view(np.int64), n), strict=True):
-                    column.append(value)
-        yield _rows([np.concatenate(c) for c in out], MARKS)
+    for batch, data, bounds in _parts(batches, 2):
+        row, name, n = marked_grams(data, bounds)
+        key, size = (batch.column(k).to_numpy() for k in (0, 1))
+        yield _rows(MARKS, key[row], size[row], name, n)
 
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (part for whole in batches for part in light_slices(whole, 2)):
-        for key, size, text, names in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            found = list(regions_of(text, np.array(names, np.int64).view(np.uint64)))
-            if found:
-                yield _rows([[key] * len(found), [size] * len(found), [f for f, _ in found], [b for _, b in found]], REGIONS)
+    for batch, data, bounds in _parts(batches, 2):
+        found = list(regions_of(data, bounds, *lists_of(batch.column(3))))
+        rows = [r for r, _, _ in found]
+        key, size = (batch.column(k).to_numpy() for k in (0, 1))
+        yield _rows(REGIONS, key[rows], size[rows], [s for _, s, _ in found], [b for _, _, b in found])
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (part for whole in batches for part in light_slices(whole, 3)):
-        out = [[np.zeros(0, np.int64)] for _ in range(6)]
-        for key, size, start, body, copies in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            name, stretch, first, stop = cover_blocks(start, np.frombuffer(body, np.uint8))
-            order = np.lexsort((first, stretch, name))
-            name, stretch, first = (v[order][(stop - first >= WINDOW)[order]] for v in (name, stretch, first))
-            if len(name):
-                # A stretch counts once a place: at a region's ends several blocks can have the same one.
-                new = np.r_[True, (name[1:] != name[:-1]) | (stretch[1:] != stretch[:-1])]
-                at = np.flatnonzero(new)
-                n = np.add.reduceat(new | np.r_[True, first[1:] != first[:-1]], at, dtype=np.int64)
-                for column, value in zip(out, (*[np.full(len(at), v) for v in (key, size, start)], name[at], stretch[at], n * copies), strict=True):
-                    column.append(value)
-        yield _rows([np.concatenate(c) for c in out], STRETCHES)
+    for batch, data, bounds in _parts(batches, 2):
+        region, start, copies = (batch.column(k).to_numpy() for k in (0, 1, 3))
+        row, name, stretch, first, _ = cover_blocks(data, bounds, start)
+        order = np.lexsort((first, stretch, name, row))
+        row, name, stretch, first = (v[order] for v in (row, name, stretch, first))
+        # A stretch counts once a place: at a region's ends several blocks can have the same one.
+        new = np.r_[True, (row[1:] != row[:-1]) | (name[1:] != name[:-1]) | (stretch[1:] != stretch[:-1])][: len(row)]
+        at = np.flatnonzero(new)
+        n = np.add.reduceat(new | np.r_[True, first[1:] != first[:-1]][: len(row)], at, dtype=np.int64) if len(at) else np.zeros(0, np.int64)
+        yield _rows(STRETCHES, region[row[at]], name[at], stretch[at], n * copies[row[at]])
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (part for whole in batches for part in light_slices(whole, 3)):
-        out = [[np.zeros(0, np.int64)] for _ in range(7)]
-        for key, size, start, body, copies, ranks in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            data = np.frombuffer(body, np.uint8)
-            sure, open_ = settled(start, data, [(r["stretch"], (r["repeated"], r["compare"])) for r in ranks])
-            runs, at = runs_of(sure), np.flatnonzero(open_)
-            hashes = [rolling(k).between(rolling(k).sums(data), at, at + WINDOW).view(np.int64) for k in (4, 5)]
-            nothing = np.zeros(len(runs), np.int64)
-            parts = (start + np.r_[runs[:, 0], at], start + np.r_[runs[:, 1], at + 1], np.r_[nothing, hashes[0]], np.r_[nothing, hashes[1] >> 32], np.r_[nothing, np.full(len(at), copies)])
-            for column, value in zip(out, (np.full(len(parts[0]), key), np.full(len(parts[0]), size), *parts), strict=True):
-                column.append(value)
-        yield _rows([np.concatenate(c) for c in out], SUFFIXES)
-
-
-def _written(df: DataFrame) -> DataFrame:
-    """``materialise``, and a hint to the driver's JVM that the shuffles below can go: Spark drops their files once the plan is collected as garbage."""
+    for batch, data, bounds in _parts(batches, 3):
+        key, size, start, copies = (batch.column(k).to_numpy() for k in (0, 1, 2, 4))
+        row, _, stretch, first, stop = cover_blocks(data, bounds, start)
+        flags = []
+        for k in (5, 6):
+            chosen = in_row(stretch, row, *lists_of(batch.column(k)))
+            flags.append(within(len(data), first[chosen], stop[chosen]))
+        settled, compared = flags
+        runs, at = runs_of(settled), np.flatnonzero(compared)
+        one, two = (Rolling(data, kind).between(at, at + WINDOW).view(np.int64) for kind in (SUFFIX, SUFFIX_TOO))
+        own = np.searchsorted(bounds, np.r_[runs[:, 0], at], side="right") - 1
+        shift = start[own] - bounds[own]
+        none = np.zeros(len(runs), np.int64)
+        yield _rows(
+            SUFFIXES, key[own], size[own], np.r_[runs[:, 0], at] + shift, np.r_[runs[:, 1], at + 1] + shift, np.r_[none, one], np.r_[none, two >> 32], np.r_[none, copies[own[len(runs) :]]],
+            np.r_[none > 0, ~settled[at]],
+        )
+
+
+def _written(df: DataFrame, *used: DataFrame) -> DataFrame:
+    """``materialise``; the tables ``used`` for it go."""
     out = materialise(df)
-    df.sparkSession._jvm.System.gc()
+    for old in used:
+        discard(old)
     return out
 
 
 def repeated_windows(texts: DataFrame) -> DataFrame:
     """Runs of window starts (key, size, first, stop) whose WINDOW bytes start more than once in ``texts`` (key, size, text as binary, row to tell copies
-    apart by); a row is a text of its own. Runs may overlap. Complete and, but for equal hashes of different bytes (64 bits inside a block's bucket, 96 bits elsewhere), exact."""
+    apart by); a row is a text of its own. Runs may overlap. Complete and, but for equal hashes of different bytes (64 bits inside a block's bucket, 96 bits elsewhere), exact.
+
+    Every step's rows are written and its sources deleted, so that the shared folder never holds more than two steps."""
     marks = _written(small_batches(texts).select(*TEXT, "text").mapInArrow(_mark, MARKS))
     names = _written(marks.groupBy("name").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).where("n > 1"))
     own = salted_join(marks.select(*TEXT, "name"), names.select("name"), ["name"], hot=hot_keys(names, ["name"], "rows"))
-    own = _written(own.groupBy(*TEXT).agg(F.collect_set("name").alias("names")))
+    own = _written(own.groupBy(*TEXT).agg(F.collect_set("name").alias("names")), marks, names)
     found = small_batches(salted_join(texts, own, TEXT)).select(*TEXT, "text", "names").mapInArrow(_regions, REGIONS)
     # Copies of a text have the same regions; one stands for all from here on.
-    body = F.xxhash64("body").alias("body_hash")
-    regions = _written(found.groupBy(*TEXT, "start", body).agg(F.any_value("body").alias("body"), F.count("*").alias("copies")).drop("body_hash"))
-    stretches = _written(small_batches(regions).mapInArrow(_stretches, STRETCHES))
-    ranks = _written(stretches.groupBy("name", "stretch").agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.min(F.struct(*TEXT, "start")).alias("one")))
-    blocks = _written(ranks.groupBy("name").agg(F.sum("n").alias("n_block"), F.count("*").alias("stretches")).where("n_block > 1"))
-    ranks = salted_join(ranks, blocks, ["name"], hot=hot_keys(blocks, ["name"], "stretches"))
-    ranks = _written(ranks.select("name", "stretch", "rows", "one", (F.col("n") > 1).alias("repeated"), (F.col("stretches") > 1).alias("shared")))
+    copies = found.groupBy(*TEXT, "start", F.xxhash64("body").alias("hash")).agg(F.any_value("body").alias("body"), F.count("*").alias("copies"))
+    regions = _written(copies.select(F.monotonically_increasing_id().alias("region"), *TEXT, "start", "body", "copies"), own)
+
+    stretches = small_batches(regions).select("region", "start", "body", "copies").mapInArrow(_stretches, STRETCHES)
+    ranks = _written(stretches.groupBy("name", "stretch").agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.min("region").alias("one")))
+    shared = _written(ranks.groupBy("name").agg(F.count("*").alias("stretches")).where("stretches > 1"))
+    ranks_of = salted_join(ranks, shared, ["name"], "left", hot=hot_keys(shared, ["name"], "stretches")).where("n > 1 OR stretches > 1")
+    told = _written(ranks_of.select("name", "stretch", "rows", "one", (F.col("n") > 1).alias("repeated"), F.col("stretches").isNotNull().alias("shared")), ranks, shared)
     # A repeated stretch settles its windows. Where a block is in several stretches, those that are there once, and one of each that is repeated, are compared.
-    joined = salted_join(stretches, ranks.drop("rows"), ["name", "stretch"], hot=hot_keys(ranks, ["name", "stretch"], "rows"))
-    compare = F.col("shared") & (~F.col("repeated") | (F.col("one") == F.struct(*TEXT, "start")))
-    of_region = joined.groupBy(*TEXT, "start").agg(F.collect_set(F.struct("stretch", "repeated", compare.alias("compare"))).alias("ranks"))
-    suffixes = small_batches(regions.join(_written(of_region), [*TEXT, "start"])).select(*TEXT, "start", "body", "copies", "ranks").mapInArrow(_suffixes, SUFFIXES)
-    suffixes = _written(suffixes)
+    joined = salted_join(stretches.select("region", "name", "stretch"), told.drop("rows"), ["name", "stretch"], hot=hot_keys(told, ["name", "stretch"], "rows"))
+    compare = F.col("shared") & (~F.col("repeated") | (F.col("one") == F.col("region")))
+    of_region = joined.groupBy("region").agg(F.collect_set(F.when(F.col("repeated"), F.col("stretch"))).alias("settle"), F.collect_set(F.when(compare, F.col("stretch"))).alias("compare"))
+    of_region = _written(of_region, told)
+    taken = small_batches(regions.join(of_region, "region")).select(*TEXT, "start", "body", "copies", "settle", "compare")
+    suffixes = _written(taken.mapInArrow(_suffixes, SUFFIXES), regions, of_region)
+
     bucket = suffixes.where("n > 0")
-    equal = _written(bucket.groupBy("one", "two").agg(F.sum("n").alias("all"), F.count("*").alias("rows")).where("all > 1"))
-    hits = salted_join(bucket.drop("n"), equal.select("one", "two"), ["one", "two"], hot=hot_keys(equal, ["one", "two"], "rows"))
-    return suffixes.where("n = 0").select(*TEXT, "first", "stop").unionByName(hits.select(*TEXT, "first", "stop"))
+    equal = bucket.groupBy("one", "two").agg(F.sum("n").alias("all"), F.count_if("asks").alias("rows")).where("all > 1 AND rows > 0")
+    equal = _written(equal)
+    hits = salted_join(bucket.where("asks").select(*TEXT, "first", "stop", "one", "two"), equal.select("one", "two"), ["one", "two"], hot=hot_keys(equal, ["one", "two"], "rows"))
+    return _written(suffixes.where("n = 0").select(*TEXT, "first", "stop").unionByName(hits.select(*TEXT, "first", "stop")), suffixes, equal)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Takes every byte out of the texts that a passage of WINDOW bytes covers which also starts elsewhere, in the same text or another.
 
     Texts are their UTF-8 bytes; passages are judged on the input and never cross texts. Null text: empty. Texts shorter than a passage: untouched.
-    Very long texts: in pieces of PIECE windows. Null doc_id, ties and repeated rows: a row each; equal texts are each other's repeats.
+    Very long texts: in chunks, and in regions of at most PIECE windows. Null doc_id, ties and repeated rows: a row each; equal texts are each other's repeats.
     Empty table: no rows. Extra columns are ignored. A text or passage that a third of all rows have is dealt to several tasks.
     Returns a row a document: doc_id, n_bytes, spans (removed runs as start and stop), kept (the bytes that are left; a cut may part a letter).
     """
@@ -245,7 +283,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.select("doc_id", "text", F.xxhash64("text").alias("key"), F.octet_length("text").cast("long").alias("size"), F.monotonically_increasing_id().alias("row"))
     runs = repeated_windows(rows.where(F.col("size") >= WINDOW))
-    of_text = _written(runs.groupBy(*TEXT).agg(F.collect_list(F.struct("first", "stop")).alias("runs")))
+    of_text = _written(runs.groupBy(*TEXT).agg(F.collect_list(F.struct("first", "stop")).alias("runs")), runs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in light_slices(whole, 1)):
