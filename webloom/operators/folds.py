@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.operators.prefixes import ROWS_PER_SLICE, prefixes, sliced
+from webloom.session import written
 
 # Parameters of the remembered strategy. Fixed values.
 ALPHA, SLACK, MIN_SCORE, TTL_DAYS = 0.5, 5.0, 40, 14
@@ -18,38 +19,53 @@ def engine_cost(engine: Column, stealth: Column) -> Column:
     return F.when(engine.isNull() | (engine == "playwright"), stealth.cast("int")).otherwise(2)
 
 
-def champions(observations: DataFrame) -> DataFrame:
+CHAMPION = "struct<engine:string,stealth:boolean,wait_for:int,only_main:boolean,ewma:double,samples:int,ts:timestamp>"
+
+
+def _challenge(champion: Column, o: Column) -> Column:
+    """The champion after one observation that can change it."""
+    seen = F.struct(
+        o["engine"].alias("engine"), o["stealth"].alias("stealth"), o["wait_for"].cast("int").alias("wait_for"), o["only_main"].alias("only_main"),
+        o["score"].cast("double").alias("ewma"), F.lit(1).alias("samples"), o["ts"].cast("timestamp").alias("ts"),
+    )
+    same = champion["engine"].eqNullSafe(o["engine"]) & (champion["stealth"] == o["stealth"])
+    kept = F.struct(
+        champion["engine"].alias("engine"), champion["stealth"].alias("stealth"), champion["wait_for"].alias("wait_for"), champion["only_main"].alias("only_main"),
+        (ALPHA * o["score"] + (1 - ALPHA) * champion["ewma"]).alias("ewma"), (champion["samples"] + 1).alias("samples"), o["ts"].cast("timestamp").alias("ts"),
+    )
+    cheaper = (engine_cost(o["engine"], o["stealth"]) < engine_cost(champion["engine"], champion["stealth"])) & (o["score"] >= champion["ewma"] - SLACK)
+    better = o["score"] > champion["ewma"] + SLACK
+    return (
+        F.when(o["verdict"] != "ok", F.when(~(champion.isNotNull() & same), champion))
+        .when(champion.isNull(), seen)
+        .when(same, kept)
+        .when(cheaper | better, seen)
+        .otherwise(champion)
+    )
+
+
+def champions(observations: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """The remembered strategy per domain after all its observations (domain, seq, engine, stealth, wait_for, only_main, verdict, score, ts).
 
     A hard block of the champion's own strategy evicts it; only clean results of ``MIN_SCORE`` or more are remembered; the champion's
-    score is a moving average; a cheaper one that is about as good, or a clearly better one, takes its place. Only the observations that can
-    change the state are gathered (a key's history is one row: this is an inherently sequential fold)."""
-    state = "struct<engine:string,stealth:boolean,wait_for:int,only_main:boolean,ewma:double,samples:int,ts:timestamp>"
+    score is a moving average; a cheaper one that is about as good, or a clearly better one, takes its place. Observations that cannot
+    change the state are left out. The fold is sequential by nature, so it goes through the history a slice at a time: what a slice leaves of each
+    domain, one struct, is what the next one starts from, and no row holds more of a domain than a slice has."""
     counts = observations.where(F.col("verdict").isin("bot_challenge", "captcha") | ((F.col("verdict") == "ok") & (F.col("score") >= MIN_SCORE)))
-    history = counts.groupBy("domain").agg(F.sort_array(F.collect_list(F.struct("seq", "engine", "stealth", "wait_for", "only_main", "verdict", "score", "ts"))).alias("h"))
-
-    def step(champion: Column, o: Column) -> Column:
-        seen = F.struct(
-            o["engine"].alias("engine"), o["stealth"].alias("stealth"), o["wait_for"].cast("int").alias("wait_for"), o["only_main"].alias("only_main"),
-            o["score"].cast("double").alias("ewma"), F.lit(1).alias("samples"), o["ts"].cast("timestamp").alias("ts"),
-        )
-        same = champion["engine"].eqNullSafe(o["engine"]) & (champion["stealth"] == o["stealth"])
-        kept = F.struct(
-            champion["engine"].alias("engine"), champion["stealth"].alias("stealth"), champion["wait_for"].alias("wait_for"), champion["only_main"].alias("only_main"),
-            (ALPHA * o["score"] + (1 - ALPHA) * champion["ewma"]).alias("ewma"), (champion["samples"] + 1).alias("samples"), o["ts"].cast("timestamp").alias("ts"),
-        )
-        cheaper = (engine_cost(o["engine"], o["stealth"]) < engine_cost(champion["engine"], champion["stealth"])) & (o["score"] >= champion["ewma"] - SLACK)
-        better = o["score"] > champion["ewma"] + SLACK
-        return (
-            F.when(o["verdict"] != "ok", F.when(~(champion.isNotNull() & same), champion))
-            .when(champion.isNull(), seen)
-            .when(same, kept)
-            .when(cheaper | better, seen)
-            .otherwise(champion)
-        )
-
-    champion = F.aggregate("h", F.lit(None).cast(state), step)
-    return history.select("domain", champion.alias("c")).where("c IS NOT NULL").select("domain", "c.*")
+    rows = sliced(counts.select("domain", "seq", "engine", "stealth", "wait_for", "only_main", "verdict", "score", "ts"), "seq", rows_per_slice, folders=True)
+    one = rows.schema["slice"].metadata.get("whole")
+    state = None
+    for k in [0] if one else sorted(r.slice for r in rows.select("slice").distinct().collect()):
+        own = rows.where(F.col("slice") == k).groupBy("domain").agg(F.sort_array(F.collect_list(F.struct("seq", "engine", "stealth", "wait_for", "only_main", "verdict", "score", "ts"))).alias("h"))
+        if state is None:
+            state = own.select("domain", F.aggregate("h", F.lit(None).cast(CHAMPION), _challenge).alias("c"))
+        else:
+            # A domain that a slice does not have keeps its champion.
+            both = own.join(state.withColumnRenamed("domain", "known"), F.expr("domain <=> known"), "full")
+            state = both.select(F.coalesce("domain", "known").alias("domain"), F.when(F.col("h").isNull(), F.col("c")).otherwise(F.aggregate(F.coalesce("h", F.array()), F.col("c"), _challenge)).alias("c"))
+        state = state.where("c IS NOT NULL")
+        state = state if one else written(state)
+    return state.select("domain", "c.*")
 
 
 def seeds(champions: DataFrame, now: Column, explore: float = 0.0, seed: int = 0) -> DataFrame:
@@ -90,11 +106,25 @@ def skipped(health: DataFrame, now: Column) -> DataFrame:
     return latest.select("provider", ((F.col("s.status") == "unavailable") & (F.unix_seconds(now) - F.unix_seconds("s.last_failure") < COOLDOWN)).alias("skip"))
 
 
-def recent_window(searches: DataFrame, size: int = 5) -> DataFrame:
-    """Per search (seq, empty) how many of the last ``size`` were empty, and whether a full window was empty throughout."""
-    w = Window.partitionBy("scope").orderBy("seq").rowsBetween(-(size - 1), 0)
+def recent_window(searches: DataFrame, size: int = 5, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """Per search (scope, seq, empty) how many of the last ``size`` were empty, and whether a full window was empty throughout. A scope is read in slices: each
+    gets the last rows that a scope has before it, which is all that a window can reach back to."""
+    rows = sliced(searches.select("scope", "seq", F.col("empty").cast("boolean").alias("empty")), "seq", rows_per_slice)
+    if not rows.schema["slice"].metadata.get("whole"):
+        last = F.slice(F.sort_array(F.collect_list(F.struct("seq", "empty")), asc=False), 1, size - 1)
+        newest = Window.partitionBy("scope", "slice").orderBy(F.desc("seq"))
+        ends = rows.withColumn("place", F.row_number().over(newest)).where(F.col("place") < size).groupBy("scope", "slice").agg(last.alias("ends"))
+        earlier = Window.partitionBy("scope").orderBy("slice").rowsBetween(-(size - 1), -1)
+        # Each slice a scope has holds a row of it at least, so that so many slices before it are enough.
+        before = ends.select("scope", "slice", F.slice(F.sort_array(F.flatten(F.collect_list("ends").over(earlier)), asc=False), 1, size - 1).alias("ends"))
+        carried = before.select("scope", "slice", F.explode("ends").alias("e")).select("scope", "e.seq", "e.empty", "slice", F.lit(True).alias("carried"))
+        rows = rows.select("scope", "seq", "empty", "slice", F.lit(False).alias("carried")).unionByName(carried)
+    else:
+        rows = rows.withColumn("carried", F.lit(False))
+    w = Window.partitionBy("scope", "slice").orderBy("seq").rowsBetween(-(size - 1), 0)
     n, empty = F.count("*").over(w), F.count_if("empty").over(w)
-    return searches.select("scope", "seq", n.alias("recent"), empty.alias("recent_empty"), ((n == size) & (empty == size)).alias("all_recent_empty"))
+    out = rows.select("scope", "seq", n.alias("recent"), empty.alias("recent_empty"), ((n == size) & (empty == size)).alias("all_recent_empty"), "carried")
+    return out.where(~F.col("carried")).drop("carried")
 
 
 def throttle(arrivals: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:

@@ -11,14 +11,14 @@ from webloom.session import written
 ROWS_PER_SLICE, MOST = 1_000_000, 4096
 
 
-def sliced(rows: DataFrame, order: str, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def sliced(rows: DataFrame, order: str, rows_per_slice: int = ROWS_PER_SLICE, folders: bool = False) -> DataFrame:
     """``rows`` with ``slice``, which grows with the numeric column ``order``: cut at its quantiles, so that a slice holds about so many rows of all keys.
-    A table of one slice is left as it is; a larger one is written, as each prefix reads it twice."""
+    A table of one slice is left as it is; a larger one is written, as each prefix reads it twice, with ``folders`` each slice by itself."""
     n = min(MOST, rows.count() // rows_per_slice + 1)
     if n == 1:
         return rows.withColumn("slice", F.lit(0).alias("slice", metadata={"whole": True}))
     cuts = sorted(set(rows.approxQuantile(order, [k / n for k in range(1, n)], 0.1 / n)))
-    return written(rows.withColumn("slice", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order)))))
+    return written(rows.withColumn("slice", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order)))), ("slice",) if folders else ())
 
 
 def prefixes(rows: DataFrame, key: str, order: str, values: dict[str, tuple[str, Column]], itself: bool = True) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from webloom.functions import detection as D
 from webloom.functions import urls as U
+from webloom.operators.prefixes import ROWS_PER_SLICE, prefixes, sliced
+from webloom.session import written
 
 # Hosts whose frames are never expanded: advertising, tracking, CAPTCHA. Fixed values.
 BLOCKED_FRAMES = [
@@ -94,18 +96,34 @@ def sitemap_candidates(sites: DataFrame, rules: DataFrame, answers: DataFrame) -
     return named.unionByName(there)
 
 
-def alerts(failures: DataFrame) -> DataFrame:
-    """Which account failures (provider, seq, ts) warn: the first of a provider, then each that comes DEBOUNCE seconds or more after the last that did. Only the
-    providers' account failures are gathered, which are rare; the fold is sequential by nature."""
-    history = failures.groupBy("provider").agg(F.array_sort(F.collect_list(F.struct("seq", F.unix_seconds("ts").alias("at")))).alias("h"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<seq:bigint,alert:boolean>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        fires = s["last"].isNull() | (x["at"] - s["last"] >= DEBOUNCE)
-        told = F.array(F.struct(x["seq"].cast("long").alias("seq"), fires.alias("alert")))
-        return F.struct(F.when(fires, x["at"]).otherwise(s["last"]).alias("last"), F.concat(s["out"], told).alias("out"))
-
-    return history.select("provider", F.explode(F.aggregate("h", start, step)["out"]).alias("o")).select("provider", "o.*")
+def alerts(failures: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """Which account failures (provider, seq, ts) warn: the first of a provider, then each that comes DEBOUNCE seconds or more after the last that did. Failures are in the
+    order of their time, then of ``seq``, which is unique in a provider.
+
+    A failure after a silence of DEBOUNCE seconds warns whatever came before. From there on each warning has one successor, the first failure DEBOUNCE
+    seconds on, and pointers to it are joined with themselves: after k rounds those warnings are known that are under 2 ** k steps from a silence.
+    A provider's history is read in slices and never gathered."""
+    rows = failures.select("provider", "seq", F.unix_seconds("ts").alias("at")).withColumn("one", F.struct("at", "seq"))
+    # Points in time a debounce after each failure, among the failures, read backwards: the last failure passed is the first one from there on.
+    points = rows.select("provider", "seq", (F.col("at") + DEBOUNCE).alias("at"), F.lit(None).cast(rows.schema["one"].dataType).alias("one"))
+    backwards = sliced(rows.unionByName(points).withColumn("back", -F.col("at")), "back", rows_per_slice)
+    ahead = prefixes(backwards.withColumn("order", F.struct("back", F.col("one").isNull().alias("point"), F.when(F.col("one").isNotNull(), -F.col("seq")).alias("later"))), "provider", "order", {"next": ("last", F.col("one"))})
+    ahead = ahead.where("one IS NULL").select("provider", "seq", F.col("next.seq").alias("next"))
+    forwards = sliced(rows, "at", rows_per_slice).withColumn("order", F.col("one"))
+    placed = prefixes(forwards, "provider", "order", {"before": ("last", F.col("at"))}, itself=False)
+    known = written(placed.select("provider", "seq", F.col("before").isNull().alias("first"), (F.col("before").isNull() | (F.col("at") - F.col("before") >= DEBOUNCE)).alias("alert")).join(ahead, ["provider", "seq"]))
+    sure = known.where("alert").select("provider", "seq")
+    # A step to a failure after a silence leads to nothing new.
+    steps = known.where("next IS NOT NULL").select("provider", "seq", "next")
+    steps = written(steps.join(sure.withColumnRenamed("seq", "next"), ["provider", "next"], "left_anti").select("provider", "seq", "next"))
+    while True:
+        more = written(steps.join(sure, ["provider", "seq"]).select("provider", F.col("next").alias("seq")).join(sure, ["provider", "seq"], "left_anti").distinct())
+        if more.isEmpty():
+            break
+        sure = written(sure.union(more))
+        far = steps.select("provider", F.col("seq").alias("next"), F.col("next").alias("far"))
+        steps = written(steps.join(far, ["provider", "next"]).select("provider", "seq", F.col("far").alias("next")))
+    return known.select("provider", F.col("seq").cast("long").alias("seq")).join(sure.withColumn("alert", F.lit(True)), ["provider", "seq"], "left").select("provider", "seq", F.coalesce("alert", F.lit(False)).alias("alert"))
 
 
 def token_bucket(requests: DataFrame, interval: float = 1.0, burst: int = 3, patience: float = 30.0) -> DataFrame:

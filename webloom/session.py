@@ -31,10 +31,11 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints").rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read back: what is above it is never worked out again. The table goes when the driver's process ends."""
+def written(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` written once to the shared folder and read back: what is above it is never worked out again. With ``by``, in a folder for each value, so that a
+    filter on it reads no others. The table goes when the driver's process ends."""
     path = f"{shared_dir(df.sparkSession)}/webloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(place)
     return df.sparkSession.read.schema(df.schema).parquet(path)
