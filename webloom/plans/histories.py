@@ -12,7 +12,7 @@ from webloom.session import table
 _LOG = """event_id, ts, CASE WHEN event_type IN ('view', 'click') THEN 'search' ELSE 'scrape' END AS kind,
  CASE WHEN user_id % 13 = 0 THEN NULL ELSE 'site' || user_id % 40 || '.example' END AS domain, event_type <> 'error' AS success,
  CASE event_type WHEN 'error' THEN 'bot_challenge' WHEN 'signup' THEN NULL ELSE 'ok' END AS verdict, value > 60 AS escalated, value AS latency_ms"""
-_OBSERVED = """'d' || user_id % 60 AS domain, event_id AS seq, CASE event_id % 3 WHEN 0 THEN 'camoufox' WHEN 1 THEN 'playwright' END AS engine, event_id % 2 = 0 AS stealth,
+OBSERVED = """'d' || user_id % 60 AS domain, event_id AS seq, CASE event_id % 3 WHEN 0 THEN 'camoufox' WHEN 1 THEN 'playwright' END AS engine, event_id % 2 = 0 AS stealth,
  1000 AS wait_for, event_id % 5 <> 0 AS only_main, CASE event_type WHEN 'error' THEN 'captcha' WHEN 'view' THEN 'thin' ELSE 'ok' END AS verdict,
  CAST(event_id % 67 + 34 AS INT) AS score, ts"""
 _OUTCOMES = "'p' || user_id % 30 AS provider, event_id AS seq, ts, CASE event_type WHEN 'error' THEN 'failure' WHEN 'signup' THEN 'failure' WHEN 'view' THEN 'empty' WHEN 'click' THEN 'empty' ELSE 'success' END AS outcome"
@@ -20,10 +20,10 @@ SINCE = "2024-01-15 00:00:00"
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(*_columns(_LOG))
+    return table(spark, sf_dir, "events").selectExpr(*columns(_LOG))
 
 
-def _columns(text: str) -> list[str]:
+def columns(text: str) -> list[str]:
     """Splits a select list at its outer commas."""
     out, depth, part = [], 0, ""
     for c in text:
@@ -79,17 +79,17 @@ def telemetry_private(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fold_champions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = folds.champions(table(spark, sf_dir, "events").selectExpr(*_columns(_OBSERVED)))
+    c = folds.champions(table(spark, sf_dir, "events").selectExpr(*columns(OBSERVED)))
     return c.select("domain", "engine", "stealth", "only_main", F.round("ewma", 6).alias("ewma"), F.col("samples").cast("long").alias("samples"))
 
 
 def fold_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = folds.champions(table(spark, sf_dir, "events").selectExpr(*_columns(_OBSERVED)))
+    c = folds.champions(table(spark, sf_dir, "events").selectExpr(*columns(OBSERVED)))
     return folds.seeds(c, F.lit("2024-02-12 00:00:00").cast("timestamp")).select("domain", "engine", "stealth", "only_main")
 
 
 def fold_provider_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.provider_health(table(spark, sf_dir, "events").selectExpr(*_columns(_OUTCOMES))).select("provider", "seq", "failures", "empties", "status")
+    return folds.provider_health(table(spark, sf_dir, "events").selectExpr(*columns(_OUTCOMES))).select("provider", "seq", "failures", "empties", "status")
 
 
 def fold_recent_window(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,7 +210,7 @@ QUERIES = {f.__name__: f for f in (
 
 _L = f"WITH l AS (SELECT {_LOG} FROM events)"
 # The champion fold as a recursion over each domain's numbered observations.
-_FOLD = f"""WITH RECURSIVE o0 AS (SELECT {_OBSERVED} FROM events), o AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY seq) AS i,
+FOLD = f"""WITH RECURSIVE o0 AS (SELECT {OBSERVED} FROM events), o AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY seq) AS i,
  CASE WHEN engine IS NULL OR engine = 'playwright' THEN stealth::INT ELSE 2 END AS cost FROM o0),
  f(domain, i, has, engine, stealth, only_main, ewma, samples, ts, cost) AS (
   SELECT domain, 0::BIGINT, false, NULL::VARCHAR, false, false, 0.0::DOUBLE, 0::BIGINT, NULL::TIMESTAMP, 0 FROM (SELECT DISTINCT domain FROM o)
@@ -251,8 +251,8 @@ ORACLES = {
  md5(string_agg(epoch_us(ts)::VARCHAR || '000 ' || event_id || ' ' || kind, ',' ORDER BY ts, event_id)) AS lines FROM r GROUP BY 1, 2""",
     "telemetry_private": r"""SELECT page_id, regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\.', '') AS domain,
  substr(sha256(regexp_extract(html, '<title>(.*?)</title>', 1)), 1, 12) AS query_hash FROM pages""",
-    "fold_champions": f"{_FOLD} SELECT domain, engine, stealth, only_main, round(ewma, 6) AS ewma, samples FROM c",
-    "fold_seeds": f"{_FOLD} SELECT domain, engine, stealth, only_main FROM c WHERE ts >= TIMESTAMP '2024-02-12 00:00:00' - INTERVAL 14 DAY",
+    "fold_champions": f"{FOLD} SELECT domain, engine, stealth, only_main, round(ewma, 6) AS ewma, samples FROM c",
+    "fold_seeds": f"{FOLD} SELECT domain, engine, stealth, only_main FROM c WHERE ts >= TIMESTAMP '2024-02-12 00:00:00' - INTERVAL 14 DAY",
     "fold_provider_health": f"{_HEALTH} SELECT provider, seq, failures, empties, status FROM h WHERE i > 0",
     "fold_recent_window": """WITH s AS (SELECT user_id AS scope, event_id AS seq, count(*) OVER w AS recent, count(*) FILTER (event_type IN ('view', 'click', 'error')) OVER w AS recent_empty FROM events
  WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS 4 PRECEDING)) SELECT scope, seq, recent, recent_empty, recent = 5 AND recent_empty = 5 AS all_recent_empty FROM s""",

@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom.plans import histories
 from webloom.session import shared_dir, table
-from webloom.streaming import streams
+from webloom.streaming import stateful, streams
 
 
 def _place(spark: SparkSession) -> str:
@@ -50,9 +51,59 @@ def stream_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.drain(streams.throttle_stream(a), _place(spark)).select("host", "ordinal", F.round("granted", 6).alias("granted"))
 
 
-QUERIES = {f.__name__: f for f in (stream_hourly, stream_changes, stream_recent, stream_health, stream_throttle)}
+def stream_champions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is remembered of each domain once the log is through, by the changes that the stream reported."""
+    told = streams.drain(stateful.champion_stream(_stream(spark, sf_dir, "events").selectExpr(*histories.columns(histories.OBSERVED))), _place(spark))
+    last = told.groupBy("domain").agg(F.max_by(F.struct("known", "engine", "stealth", "only_main", "ewma", "samples"), F.struct("at", "seq")).alias("c")).where("c.known")
+    return last.select("domain", "c.engine", "c.stealth", "c.only_main", F.round("c.ewma", 6).alias("ewma"), F.col("c.samples").cast("long").alias("samples"))
+
+
+_JOB = "CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'error' WHEN 'signup' THEN 'started' ELSE 'page' END"
+_CRAWL = "CASE WHEN event_type IN ('view', 'signup') THEN 'found' WHEN event_type = 'error' THEN 'error' WHEN event_id % 5 = 0 THEN 'done' ELSE 'page' END"
+_CHANGE = "CASE WHEN event_type IN ('click', 'purchase') THEN CASE event_id % 4 WHEN 0 THEN 'new' WHEN 1 THEN 'same' WHEN 2 THEN 'changed' END END"
+
+
+def stream_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events play a job's: status and counts after each, and when the job is gone."""
+    e = _stream(spark, sf_dir, "events").selectExpr("user_id AS job", "event_id AS seq", "ts", f"{_JOB} AS kind")
+    return streams.drain(stateful.job_stream(e), _place(spark)).select("job", "seq", "status", "pages", "errors")
+
+
+def stream_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events play those of crawls, one after the other; some are given up."""
+    e = _stream(spark, sf_dir, "events").selectExpr("'c' || user_id AS crawl", "event_id AS seq", "ts", f"{_CRAWL} AS kind", f"{_CHANGE} AS change")
+    return streams.drain(stateful.crawl_stream(e), _place(spark)).select("crawl", "seq", "type", "completed", "total", "changes")
+
+
+QUERIES = {f.__name__: f for f in (stream_hourly, stream_changes, stream_recent, stream_health, stream_throttle, stream_champions, stream_jobs, stream_crawl)}
+
+#: The watermark that the stream ends with.
+_END = "(SELECT epoch_ms(max(ts)) - 600000 FROM events)"
 
 ORACLES = {
+    "stream_champions": histories.FOLD.replace("f.has", "(f.has AND epoch_ms(o.ts) - epoch_ms(f.ts) < 1209600000)").replace("SELECT * FROM f WHERE has", f"SELECT * FROM f WHERE has AND epoch_ms(ts) + 1209600000 > {_END}")
+    + " SELECT domain, engine, stealth, only_main, round(ewma, 6) AS ewma, samples FROM c",
+    "stream_jobs": f"""WITH e AS (SELECT user_id AS job, event_id AS seq, epoch_ms(ts) AS ms, {_JOB} AS kind FROM events),
+ s AS (SELECT *, coalesce(ms - lag(ms) OVER w >= 86400000, false)::INT AS brk FROM e WINDOW w AS (PARTITION BY job ORDER BY seq)),
+ r AS (SELECT *, sum(brk) OVER (PARTITION BY job ORDER BY seq) AS run FROM s),
+ t AS (SELECT *, count(*) FILTER (kind = 'completed') OVER w AS ends, count(*) FILTER (kind = 'completed') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended FROM r WINDOW w AS (PARTITION BY job, run ORDER BY seq)),
+ c AS (SELECT *, count(*) FILTER (kind = 'page' AND ended = 0) OVER w AS pages, count(*) FILTER (kind = 'error' AND ended = 0) OVER w AS errors, row_number() OVER (PARTITION BY job, run ORDER BY seq DESC) AS back,
+ max(run) OVER (PARTITION BY job) AS last FROM t WINDOW w AS (PARTITION BY job, run ORDER BY seq))
+ SELECT job, seq, CASE WHEN ends > 0 THEN 'completed' ELSE 'scraping' END AS status, pages, errors FROM c
+ UNION ALL SELECT job, NULL, 'expired', pages, errors FROM c WHERE back = 1 AND (run < last OR ms + 86400000 <= {_END})""",
+    "stream_crawl": f"""WITH e AS (SELECT 'c' || user_id AS crawl, event_id AS seq, epoch_ms(ts) AS ms, {_CRAWL} AS kind, {_CHANGE} AS change FROM events),
+ s AS (SELECT *, (coalesce(lag(kind) OVER w = 'done', false) OR coalesce(ms - lag(ms) OVER w >= 172800000, false))::INT AS brk FROM e WINDOW w AS (PARTITION BY crawl ORDER BY seq)),
+ r AS (SELECT *, sum(brk) OVER (PARTITION BY crawl ORDER BY seq) AS run FROM s),
+ c AS (SELECT *, count(*) FILTER (kind = 'found') OVER w AS found, count(*) FILTER (kind IN ('page', 'error')) OVER w AS done, row_number() OVER (PARTITION BY crawl, run ORDER BY seq DESC) AS back, max(run) OVER (PARTITION BY crawl) AS last,
+ concat_ws(',', CASE WHEN count(*) FILTER (kind = 'page' AND change = 'changed') OVER w > 0 THEN 'changed:' || count(*) FILTER (kind = 'page' AND change = 'changed') OVER w END,
+ CASE WHEN count(*) FILTER (kind = 'page' AND change = 'new') OVER w > 0 THEN 'new:' || count(*) FILTER (kind = 'page' AND change = 'new') OVER w END,
+ CASE WHEN count(*) FILTER (kind = 'page' AND change = 'same') OVER w > 0 THEN 'same:' || count(*) FILTER (kind = 'page' AND change = 'same') OVER w END) AS told FROM r WINDOW w AS (PARTITION BY crawl, run ORDER BY seq))
+ SELECT crawl, seq, 'mapping' AS type, found AS completed, 0 AS total, NULL AS changes FROM c WHERE kind = 'found'
+ UNION ALL SELECT crawl, seq, 'progress', 0, found, NULL FROM c WHERE kind IN ('page', 'error') AND done = 1
+ UNION ALL SELECT crawl, seq, kind, done, found, NULL FROM c WHERE kind IN ('page', 'error')
+ UNION ALL SELECT crawl, seq, 'progress', done, found, NULL FROM c WHERE kind IN ('page', 'error')
+ UNION ALL SELECT crawl, seq, 'complete', done, found, told FROM c WHERE kind = 'done'
+ UNION ALL SELECT crawl, NULL, 'error', done, found, told FROM c WHERE back = 1 AND kind <> 'done' AND (run < last OR ms + 172800000 <= {_END})""",
     "stream_health": """WITH e AS (SELECT user_id AS provider, event_id AS seq, CASE event_type WHEN 'error' THEN 'failure' WHEN 'view' THEN 'empty' ELSE 'success' END AS o FROM events),
  g AS (SELECT *, count(*) FILTER (o <> 'failure') OVER w AS fg, count(*) FILTER (o = 'success') OVER w AS sg FROM e WINDOW w AS (PARTITION BY provider ORDER BY seq)),
  r AS (SELECT *, count(*) FILTER (o = 'failure') OVER (PARTITION BY provider, fg ORDER BY seq) AS failures, count(*) FILTER (o = 'empty') OVER (PARTITION BY provider, sg ORDER BY seq) AS empties FROM g),
