@@ -165,13 +165,13 @@ def within(n: int, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
 MARKS = "key long, size long, name long, n long"
 REGIONS = "key long, size long, start long, body binary"
 STRETCHES = "region long, name long, stretch long, n long"
-SUFFIXES = "key long, size long, first long, stop long, one long, two int, n long, asks boolean"
+SUFFIXES = "key long, size long, first int, stop int, one long, two int, n int, asks boolean"
 KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
 
 
 def _rows(schema: str, *columns: np.ndarray | list) -> pa.RecordBatch:
     names = [part.split() for part in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, KINDS[t]) for c, (_, t) in zip(columns, names, strict=True)], names=[n for n, _ in names])
+    return pa.RecordBatch.from_arrays([c.cast(KINDS[t]) if isinstance(c, pa.Array) else pa.array(c, KINDS[t]) for c, (_, t) in zip(columns, names, strict=True)], names=[n for n, _ in names])
 
 
 def _parts(batches: Iterator[pa.RecordBatch], texts: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -222,10 +222,13 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = (Rolling(data, kind).between(at, at + WINDOW).view(np.int64) for kind in (SUFFIX, SUFFIX_TOO))
         own = np.searchsorted(bounds, np.r_[runs[:, 0], at], side="right") - 1
         shift = start[own] - bounds[own]
-        none = np.zeros(len(runs), np.int64)
+        none, of_run = np.zeros(len(runs), np.int64), shift[: len(runs)]
+        # A run has no hashes, a suffix no end: what is null takes no room.
+        ends, hashes = pa.array(runs[:, 1] + of_run, pa.int32()), (np.r_[none, v] for v in (one, two >> 32))
+        mask = np.arange(len(own)) < len(runs)
         yield _rows(
-            SUFFIXES, key[own], size[own], np.r_[runs[:, 0], at] + shift, np.r_[runs[:, 1], at + 1] + shift, np.r_[none, one], np.r_[none, two >> 32], np.r_[none, copies[own[len(runs) :]]],
-            np.r_[none > 0, ~settled[at]],
+            SUFFIXES, key[own], size[own], np.r_[runs[:, 0], at] + shift, pa.concat_arrays([ends, pa.nulls(len(at), pa.int32())]), *[pa.array(v, mask=mask) for v in hashes],
+            np.r_[none, copies[own[len(runs) :]]], np.r_[none > 0, ~settled[at]],
         )
 
 
@@ -264,11 +267,11 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     taken = small_batches(regions.join(of_region, "region")).select(*TEXT, "start", "body", "copies", "settle", "compare")
     suffixes = _written(taken.mapInArrow(_suffixes, SUFFIXES), regions, of_region)
 
-    bucket = suffixes.where("n > 0")
+    bucket = suffixes.where("stop IS NULL")
     equal = bucket.groupBy("one", "two").agg(F.sum("n").alias("all"), F.count_if("asks").alias("rows")).where("all > 1 AND rows > 0")
     equal = _written(equal)
-    hits = salted_join(bucket.where("asks").select(*TEXT, "first", "stop", "one", "two"), equal.select("one", "two"), ["one", "two"], hot=hot_keys(equal, ["one", "two"], "rows"))
-    return _written(suffixes.where("n = 0").select(*TEXT, "first", "stop").unionByName(hits.select(*TEXT, "first", "stop")), suffixes, equal)
+    hits = salted_join(bucket.where("asks").select(*TEXT, "first", "one", "two"), equal.select("one", "two"), ["one", "two"], hot=hot_keys(equal, ["one", "two"], "rows"))
+    return _written(suffixes.where("stop IS NOT NULL").select(*TEXT, "first", "stop").unionByName(hits.select(*TEXT, "first", (F.col("first") + 1).alias("stop"))), suffixes, equal)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
