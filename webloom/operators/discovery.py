@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import gzip
+import re
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,16 +111,44 @@ def discovered(reached: DataFrame, sitemap: DataFrame) -> DataFrame:
 SITEMAP_LIMIT, SITEMAP_DEPTH = 10_000, 3
 
 
+_SITEMAP = "url array<struct<loc:string,lastmod:string,changefreq:string,priority:string>>, sitemap array<struct<loc:string>>, broken string"
+
+
+def sitemap_text(body: Column) -> Column:
+    """Sitemap files as text: unpacked where they are gzip, whatever they are called, as UTF-8 or what their XML declaration names; null for what cannot be read."""
+
+    @F.pandas_udf("string")
+    def read(bodies: pd.Series) -> pd.Series:
+        return pd.Series([_decoded(b) for b in bodies], dtype=object)
+
+    return read(body)
+
+
+def _decoded(body: bytes | None) -> str | None:
+    if body is None:
+        return None
+    try:
+        if body[:2] == b"\x1f\x8b":
+            body = gzip.decompress(body)
+        named = re.match(rb"\s*<\?xml[^>]*?encoding\s*=\s*[\"']([\w.:-]+)", body)
+        return body.decode(named[1].decode() if named else "utf-8-sig")
+    except (OSError, EOFError, zlib.error, LookupError, UnicodeDecodeError):
+        return None
+
+
 def sitemap_entries(files: DataFrame) -> DataFrame:
-    """Rows of sitemap documents (url, xml), whatever their namespace: kind (page or index), loc, lastmod, changefreq, priority."""
-    plain = F.regexp_replace(F.regexp_replace("xml", r"\sxmlns(:\w+)?=(\"[^\"]*\"|'[^']*')", ""), r"(</?)\w+:", "$1")
-    kind = F.when(plain.rlike(r"<sitemapindex[\s>]"), "index").otherwise("page")
-    entry = F.explode(F.regexp_extract_all(plain, F.lit(r"(?s)<(?:url|sitemap)>(.*?)</(?:url|sitemap)>"), F.lit(1)))
-    field = lambda name: F.nullif(F.trim(F.regexp_extract("entry", rf"(?s)<{name}>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</{name}>", 1)), F.lit(""))
-    rows = files.select("url", kind.alias("kind"), entry.alias("entry"))
-    text = lambda c: F.replace(F.replace(F.replace(c, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
+    """Rows of sitemap documents (url, xml), whatever their namespace: kind (page or index, by the root element), loc, lastmod, changefreq, priority. Documents that are no well-formed XML
+    or have another root give none."""
+    root = F.lower(F.regexp_extract("xml", r"(?s)^\x{FEFF}?(?:\s|<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>\[]*(?:\[.*?\]\s*)?>)*<(?:[\w.-]+:)?([\w.-]+)", 1))
+    options = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "ignoreSurroundingSpaces": "true", "columnNameOfCorruptRecord": "broken"}
+    read = files.select("url", root.alias("root"), F.from_xml("xml", _SITEMAP, options).alias("x")).where("x.broken IS NULL")
+    nothing = F.lit(None).cast("string")
+    listed = F.transform("x.sitemap", lambda s: F.struct(s["loc"].alias("loc"), nothing.alias("lastmod"), nothing.alias("changefreq"), nothing.alias("priority")))
+    kind = F.when(F.col("root") == "sitemapindex", "index").when(F.col("root") == "urlset", "page")
+    rows = read.withColumn("kind", kind).select("url", "kind", F.explode(F.when(F.col("kind") == "index", listed).when(F.col("kind") == "page", F.col("x.url"))).alias("e"))
+    field = lambda name: F.nullif(F.trim(f"e.{name}"), F.lit(""))
     return rows.select(
-        "url", "kind", text(field("loc")).alias("loc"), parse_lastmod(field("lastmod")).alias("lastmod"), field("changefreq").alias("changefreq"),
+        "url", "kind", field("loc").alias("loc"), parse_lastmod(field("lastmod")).alias("lastmod"), field("changefreq").alias("changefreq"),
         field("priority").try_cast("double").alias("priority"),
     ).where("loc IS NOT NULL")
 

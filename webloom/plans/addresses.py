@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import urls as U
 from webloom.operators import discovery as D
+from webloom.operators import redirects
 from webloom.operators import services as S
 from webloom.session import table
 
@@ -114,6 +115,25 @@ def url_guard_six(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: What a page's url answers: most lead to the next page's, some back, to a refused address or to a place without an answer; some end there.
+_ANSWERS = """CASE WHEN n % 37 = 0 THEN 200 WHEN n % 2 = 0 THEN 301 ELSE 302 END AS status, CASE WHEN n % 37 = 0 THEN 'https://not.followed.example/' WHEN n % 29 = 7 THEN 'http://169.254.169.254/latest'
+ WHEN n % 13 = 4 THEN '/moved?x=' || n || '#f' WHEN n % 23 = 5 THEN back WHEN n % 31 = 3 THEN ' ' ELSE ahead END AS location"""
+
+
+def url_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the urls of all pages end by redirects, each hop judged."""
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("n"), "url")
+    near = p.join(p.selectExpr("n - 1 AS n", "url AS ahead"), "n", "left").join(p.selectExpr("n + 1 AS n", "url AS back"), "n", "left")
+    answers = near.select(U.strip_fragment(F.col("url")).alias("url"), *[F.expr(c) for c in _split(_ANSWERS)])
+    return redirects.follow(answers.select("url").distinct(), answers)
+
+
+def _split(pair: str) -> list[str]:
+    """The two expressions of the answers."""
+    first, second = pair.split(" AS status, ")
+    return [f"{first} AS status", second]
+
+
 def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normal forms of pages that name a canonical link in one of its forms, or none."""
     link = F.expr("CASE page_id % 6 WHEN 0 THEN 'https://c.example/p?utm_source=x&a=' || page_id WHEN 1 THEN '//d.example/q' WHEN 2 THEN '/root/' || page_id || '#f' WHEN 3 THEN '?only=1' WHEN 4 THEN '' END")
@@ -154,6 +174,7 @@ QUERIES = {
     "robots_parse": robots_parse,
     "url_guard": url_guard,
     "url_guard_six": url_guard_six,
+    "url_redirects": url_redirects,
     "url_canonical": url_canonical,
     "locale_defaults": locale_defaults,
     "map_urls": map_urls,
@@ -210,6 +231,13 @@ ORACLES = {
  coalesce(a IN (10, 127, 0) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 100 AND b BETWEEN 64 AND 127), false) AS private FROM o)
  SELECT page_id, base AND NOT link AS safe, base AND NOT link AND NOT private AS safe_strict FROM s""",
     "url_guard_six": f"""WITH s(k, safe, safe_strict) AS (VALUES {", ".join(f"({k}, {not a}, {not b})" for k, (_, a, b) in enumerate(SIX))}) SELECT page_id, safe, safe_strict FROM pages JOIN s ON page_id % {len(SIX)} = k""",
+    "url_redirects": f"""WITH RECURSIVE p AS (SELECT page_id AS n, url FROM pages),
+ a AS (SELECT regexp_replace(p.url, '#.*$', '') AS url, {_ANSWERS} FROM p LEFT JOIN (SELECT n - 1 AS n, url AS ahead FROM p) USING (n) LEFT JOIN (SELECT n + 1 AS n, url AS back FROM p) USING (n)),
+ o AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY url ORDER BY status, location NULLS FIRST) = 1),
+ w AS (SELECT url, status, CASE WHEN status IN (301, 302) AND trim(location) <> '' THEN regexp_replace(CASE WHEN starts_with(location, '/') THEN regexp_extract(url, '^[a-z]+://[^/?#]*') || location ELSE location END, '#.*$', '') END AS next FROM o),
+ c(url, final, hops) AS (SELECT url, url, 0 FROM o UNION ALL SELECT c.url, w.next, c.hops + 1 FROM c JOIN w ON w.url = c.final WHERE w.next IS NOT NULL AND c.hops < 10),
+ l AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY url ORDER BY hops DESC) = 1)
+ SELECT l.url, l.final, l.hops, w.status, CASE WHEN contains(l.final, '169.254.169.254') THEN 'refused' WHEN w.next IS NOT NULL THEN 'too_many' ELSE 'ok' END AS outcome FROM l LEFT JOIN w ON w.url = l.final""",
     "url_canonical": """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'https://c.example/p?a=' || page_id WHEN 1 THEN 'https://d.example/q' WHEN 2 THEN 'https://h.example/root/' || page_id WHEN 3 THEN 'https://h.example/dir/' || page_id || '.html?only=1'
  ELSE 'https://h.example/dir/' || page_id || '.html?k=1' END AS normal FROM pages""",
     "locale_defaults": f"""WITH c(country, language, timezone) AS (VALUES {", ".join(f"('{k}', '{a}', '{b}')" for k, (a, b) in U.COUNTRIES.items())}),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,6 +140,26 @@ def sitemap_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.sitemap_urls(maps.unionByName(index), roots, limit=None).select("loc", F.date_format("lastmod", "yyyy-MM-dd HH:mm:ss").alias("lastmod"), "priority")
 
 
+#: A page as a sitemap file: packed, with prefixes, character data, a picture's address beside the page's, another encoding; or broken, another document, half a packed file.
+_FILE = """CASE page_id % 8 WHEN 1 THEN '<?xml version="1.0"?><!-- c --><sm:urlset xmlns:sm="s"><sm:url><sm:loc> ' || e || ' </sm:loc></sm:url></sm:urlset>'
+ WHEN 2 THEN '<urlset><url><loc><![CDATA[' || url || ']]></loc><priority>0.5</priority></url></urlset>' WHEN 3 THEN '<urlset><url><loc>' || e || '</loc></url>' WHEN 4 THEN '<html><url><loc>' || e || '</loc></url></html>'
+ WHEN 5 THEN '<urlset xmlns:image="i"><url><image:image><image:loc>https://i.example/p.png</image:loc></image:image><loc>' || e || '</loc></url><url><lastmod>2024-01-01</lastmod></url></urlset>'
+ WHEN 6 THEN '<?xml version="1.0" encoding="ISO-8859-1"?><urlset><url><loc>' || e || '/é</loc></url></urlset>' ELSE '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>' || e || '</loc></url></urlset>' END"""
+
+
+def sitemap_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of sitemap files in bytes, some packed, some that cannot be read."""
+
+    @F.pandas_udf("binary")
+    def packed(texts: pd.Series, pages: pd.Series) -> pd.Series:
+        whole = [t.encode("iso-8859-1" if k % 8 == 6 else "utf-8") for t, k in zip(texts, pages, strict=True)]
+        return pd.Series([gzip.compress(b) if k % 8 == 0 else gzip.compress(b)[:-12] if k % 8 == 7 else b for b, k in zip(whole, pages, strict=True)])
+
+    made = table(spark, sf_dir, "pages").withColumn("e", F.replace("url", F.lit("&"), F.lit("&amp;"))).select("page_id", F.expr(_FILE).alias("text"))
+    files = made.select(F.col("page_id").alias("url"), D.sitemap_text(packed(F.col("text"), F.col("page_id"))).alias("xml"))
+    return D.sitemap_entries(files).select(F.col("url").alias("page_id"), "kind", "loc", "priority")
+
+
 def search_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of every provider and source that the engine knows, from answers made by its own table of fields."""
     p = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -174,7 +196,7 @@ def service_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     search_filters, search_year, search_items, search_enriched, search_buckets, provider_chain, low_credit, json_salvage, pdf_helpers, pdf_headings, header_handling, batch_results, batch_paths, crawl_resume,
-    map_selection, job_pages, job_status, sitemap_pages, search_sources, service_search,
+    map_selection, job_pages, job_status, sitemap_pages, sitemap_files, search_sources, service_search,
 )}
 
 ORACLES = {
@@ -208,5 +230,6 @@ ORACLES = {
     "job_pages": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 40",
     "job_status": """WITH g AS (SELECT user_id AS job, count(*) FILTER (event_type = 'view') AS pages, count(*) FILTER (event_type = 'error') AS errors, CASE WHEN count(*) FILTER (event_type = 'signup') > 0 THEN 'completed' ELSE 'running' END AS never FROM events GROUP BY 1)
  SELECT job, pages, errors, CASE WHEN errors > 0 THEN 'failed' ELSE never END AS any_error, CASE WHEN pages = 0 AND errors > 0 THEN 'failed' ELSE never END AS no_success, never FROM g""",
+    "sitemap_files": "SELECT page_id, 'page' AS kind, url || CASE page_id % 8 WHEN 6 THEN '/é' ELSE '' END AS loc, CASE page_id % 8 WHEN 2 THEN 0.5::DOUBLE END AS priority FROM pages WHERE page_id % 8 NOT IN (3, 4, 7)",
     "sitemap_pages": """SELECT DISTINCT url AS loc, CASE page_id % 4 WHEN 0 THEN '2024-01-02 00:00:00' WHEN 1 THEN '2024-01-02 03:04:05' WHEN 2 THEN '2024-01-02 01:04:05' END AS lastmod, (page_id % 10) / 10.0::DOUBLE AS priority FROM pages""",
 }
