@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -58,7 +59,8 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         body = word.rstrip(SIGNS)
-        if body is not word and body.isalpha():
+        # In the tokenizer's normal form a letter may end in a mark, which goes with the signs behind it.
+        if body is not word and body.isalpha() and unicodedata.normalize("NFC", body).lower()[-1].isalpha():
             ids = self.bodies[body] + self.bodies[word[len(body) :]]
         else:
             ids = self.bodies[word]
