@@ -52,6 +52,14 @@ def discard(df: DataFrame) -> None:
     df.sparkSession._jvm.System.gc()
 
 
+def one_text_an_id(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, text and the other columns of ``wanted`` (doc_id once each, few enough to send to all executors) of the documents that it names: one row an id,
+    however many rows have it, of different texts that of the least hash. So the rows are as bounded as the ids."""
+    own = [c for c in wanted.columns if c != "doc_id"]
+    found = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
+    return found.groupBy("doc_id", *own).agg(F.min_by(F.struct("text"), F.struct(F.xxhash64("text"), "text")).alias("t")).select("doc_id", "t.text", *own)
+
+
 def hot_keys(counted: DataFrame, keys: list[str], n: str) -> DataFrame:
     """The keys of ``counted`` with more than HOT rows, and in how many more slices each is to be dealt. At most a HOT-th of the rows."""
     return materialise(counted.where(F.col(n) > HOT).select(*keys, F.floor(F.col(n) / HOT).alias("__slices")))

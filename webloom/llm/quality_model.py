@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.common import small_batches, table
+from webloom.llm.common import one_text_an_id, small_batches, table
 
 #: Hashed vocabulary, vector length, neighbours on each side, nonzero entries of an index vector.
 WORDS, DIMS, REACH, NONZERO = 8192, 32, 2, 2
@@ -237,8 +237,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[n
                 rows = list(pooled(own, vectors))
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float32())), batch.column(1).slice(first, len(rows))], names=["x", "label"])
 
-    # At most MAX_LABELLED ids are sent to the executors, rather than all texts to each other.
-    rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("text", "label").mapInArrow(describe, "x array<float>, label double").collect()
+    # At most MAX_LABELLED ids are sent to the executors, rather than all texts to each other, and as many rows come back.
+    rows = one_text_an_id(docs, wanted).select("text", "label").mapInArrow(describe, "x array<float>, label double").collect()
     # Their order decides the split and the batches.
     rows.sort(key=lambda r: (r.x, r.label))
     y = np.array([r.label for r in rows])
@@ -252,7 +252,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
 
     Word vectors come from all documents; the network is fitted on a bounded sample of labelled documents with
     crc32(doc_id as text) mod 5 other than 0. Null or empty text: the score of zero vectors. Very long text: whole. A label given twice:
-    the larger. No labels, or labels of one kind: their share as every score. Repeated rows: scored alike. Empty table: no rows. Extra columns
+    the larger; an id that several rows have: learned from one of them. No labels, or labels of one kind: their share as every score. Repeated rows: scored alike. Empty table: no rows. Extra columns
     are ignored. Returns doc_id, held_out, score, predicted (1 from ``threshold`` on).
     """
     score = scorer(*train(docs, labels))
