@@ -355,6 +355,10 @@ def test_grammar():
     assert kinds("a Zork and a blarney") == {"insult"}
     assert kinds("You went home. Trash lies there") == {"slight"}
     assert not kinds("a fine day")
+    assert kinds("you're an idiot") == kinds("You’re such a moron") == {"targeted"}
+    assert kinds("don’t be an idiot") == kinds("don't be an idiot") == kinds("you shouldn't call him an idiot") == {"negated"}
+    assert not kinds("she will hang her coat") and not kinds("They burn his letters") and kinds("I will hang her.") == {"threat"}
+    assert kinds("your stupid face") == {"targeted"}
     features = lambda t: toxicity._features(codes(t))
     assert not any(features("The pig ate trash in the garden") + features("He said that you are an idiot.") + features("You are not stupid."))
 
@@ -369,9 +373,11 @@ def clause_by_hand(symbols):
             plain.append(c)
             negated = 4 if c == "N" else max(0, negated - 1)
             reported |= c == "R"
-    near = lambda k, before, after: "T" in plain[max(0, k - before) : k] + plain[k + 1 : k + 1 + after]
+    near = lambda k, before, after: bool({"T", "P"} & {*plain[max(0, k - before) : k], *plain[k + 1 : k + 1 + after]})
     places = range(len(plain))
-    if "G" not in plain and any(plain[k] == "H" and near(k, 0, 3) for k in places):
+    # A possessive is threatened only as the last word.
+    threatened = [c if c != "P" or k == len(plain) - 1 else "." for k, c in enumerate(plain)]
+    if "G" not in plain and any(plain[k] == "H" and {"T", "P"} & set(threatened[k + 1 : k + 4]) for k in places):
         return "threat"
     if any(plain[k] in "IA" and near(k, 4, 4) for k in places):
         return "targeted"
@@ -382,7 +388,7 @@ def test_grammar_against_clauses_by_hand():
     rng = random.Random(13)
     seen = set()
     for _ in range(20_000):
-        symbols = "".join(rng.choice("IAHTNRG......") for _ in range(rng.randrange(1, 14)))
+        symbols = "".join(rng.choice("IAHTPNRG......") for _ in range(rng.randrange(1, 14)))
         assert toxicity.clause_kind(symbols) == clause_by_hand(symbols), symbols
         seen.add(clause_by_hand(symbols))
     assert seen == {None, *toxicity.KINDS}
