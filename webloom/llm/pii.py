@@ -3,6 +3,7 @@ keyed permutation of the values of one format, so different values stay differen
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import hmac
 import ipaddress
@@ -45,11 +46,27 @@ TITLES = {
     "female": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа"],
     "": ["Dr", "Prof"],
 }
+TITLES["male"] += ["السيد", "מר", "श्री"]
+TITLES["female"] += ["السيدة", "גברת", "श्रीमती"]
+# Words with a capital that follow a title or given name and are no names: function words, ranks, programs. Fixed values.
+NO_NAMES = frozenset("""the this that these those he she it they we you i a an and or but in on at of for to from with by as is was are were who when
+der die das den dem ein eine und er sie es wir ist war le la les un une et il elle nous el los las una y o
+president minister chairman chairwoman speaker secretary ambassador general judge mayor governor senator director professor doctor
+word excel office windows right wrong wonderful perfect universe world big best new""".split())
+# What names the person behind it, without a title. Fixed values.
+CALLS = """my name is|name:|Name:|signed by|Sincerely,|Best regards,|Kind regards,|Dear|Mein Name ist|Liebe|Lieber|je m'appelle|Je m'appelle|me llamo|Me llamo|Querido|Querida|меня зовут|Меня зовут""".split("|")
+# What stands before a date of birth. Fixed values.
+BORN = r"born(?: on)?|DOB|[Dd]ate of [Bb]irth|[Bb]irth ?date|geboren(?: am)?|geb\.|Geburtsdatum|née? le|[Dd]ate de naissance|nacid[oa] el|[Ff]echa de nacimiento|родил(?:ся|ась)"
+# Kinds of streets: after the name, as its ending, before it. Fixed values.
+STREETS = "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Court|Square|Terrace"
+STREET_ENDS = "straße|strasse|str\\.|weg|platz|allee|gasse"
+STREET_HEADS = "rue|avenue|boulevard|place|Rue|Calle|Avenida|Plaza"
 
 _GIVEN_LIST = {name: kind for kind, names in GIVEN.items() for name in names.split()}
 _TITLE_GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 #: A word that begins with a capital, or one of a script without capitals.
-_CAPITAL = r"[^\W\d_a-zß-öø-ÿа-џα-ώա-ֆ][^\W\d_]*"
+_MARKS = "\u0900-\u0903\u093a-\u094f"
+_CAPITAL = rf"[^\W\d_a-zß-öø-ÿа-џα-ώա-ֆ](?:[^\W\d_]|[{_MARKS}])*"
 _GAP = r"\W{1,5}?"
 _HEX = "[0-9A-Fa-f]{1,4}"
 #: Kinds of entities, the first that matches at a place counts. Signs stuck to the parts of a number do not hide it.
@@ -63,11 +80,13 @@ KINDS = {
     "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])",
     "phone": rf"\+\d{{1,3}}{_GAP}\d{{2,4}}{_GAP}\d{{3}}{_GAP}\d{{3,4}}(?!\d)|\(\d{{3}}\){_GAP}\d{{3}}{_GAP}\d{{4}}(?!\d)|\+\d{{8,15}}(?!\d)|(?<![\w.-])\d{{3}}([-.])\d{{3}}\1\d{{4}}(?![\w-]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "name": rf"\b(?:{'|'.join(_TITLE_GENDER)})\b\.? {_CAPITAL}(?: {_CAPITAL})?|\b(?:{'|'.join(_GIVEN_LIST)}) {_CAPITAL}",
+    "birth": rf"(?:\b(?:{BORN})\W{{1,3}})(?P<date>\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}[./]\d{{1,2}}[./]\d{{4}})(?!\d)",
+    "street": rf"(?<![\w.])\d{{1,5}} (?:{_CAPITAL} ){{1,2}}(?:{STREETS})\b|\b{_CAPITAL}(?:{STREET_ENDS}) \d{{1,4}}(?!\d)|(?<![\w.])\d{{1,4}},? (?:{STREET_HEADS}) (?:de la |de |du |des )?{_CAPITAL}|\b(?:{STREET_HEADS}) (?:de la |de |del )?{_CAPITAL},? \d{{1,4}}(?!\d)",
+    "name": rf"(?<!\w)(?:{'|'.join(_TITLE_GENDER)})(?!\w)\.? {_CAPITAL}(?: {_CAPITAL})?|\b(?:{'|'.join(_GIVEN_LIST)}) {_CAPITAL}|(?:{'|'.join(CALLS)}) (?P<called>{_CAPITAL} {_CAPITAL})",
 }
 _ENTITY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items()).replace(r"\1", "(?P=sep)").replace("([-.])", "(?P<sep>[-.])"))
 #: Texts without any of these hold no entity; the search for them is quicker than the patterns.
-_MAYBE = re.compile(rf"@|\d{{3}}|\d\.\d|[0-9a-fA-F]{{32}}|:[0-9a-fA-F]{{0,4}}:|\b(?:{'|'.join([*_TITLE_GENDER, *_GIVEN_LIST])})\b|AKIA|ASIA|gh[pousr]_|sk-|xox|AIza")
+_MAYBE = re.compile(rf"@|\d{{3}}|\d\.\d|[0-9a-fA-F]{{32}}|:[0-9a-fA-F]{{0,4}}:|(?<!\w)(?:{'|'.join([*_TITLE_GENDER, *_GIVEN_LIST])})(?!\w)|AKIA|ASIA|gh[pousr]_|sk-|xox|AIza|{'|'.join(CALLS)}|\d (?:{_CAPITAL} ){{1,2}}(?:{STREETS})\b|(?:{STREET_ENDS}|{STREET_HEADS}) \w")
 
 
 def _digest(key: bytes, *parts: object) -> int:
@@ -151,8 +170,10 @@ def _numbers(key: bytes, kind: str, text: str, fixed: int) -> str:
     digits = re.sub(r"\D", "", text)
     head, rest = digits[:fixed], digits[fixed:]
     new = rest
+    # A phone number is the same person's with and without its country's code.
+    of = "" if kind == "phone" else head
     while True:
-        new = f"{permute(key, f'{kind}:{head}:{len(rest)}', int(new), 10 ** len(rest)):0{len(rest)}}"
+        new = f"{permute(key, f'{kind}:{of}:{len(rest)}', int(new), 10 ** len(rest)):0{len(rest)}}"
         if kind != "card" or _luhn(head + new):
             break
     fresh = iter(head + new)
@@ -189,14 +210,19 @@ def _iban(key: bytes, text: str) -> str:
             return new
 
 
-def _word(key: bytes, tweak: str, word: str) -> str:
-    """A name outside the lists, in its own script and format, with the ending that tells its gender; never one that the lists use as a surrogate."""
+def _tail(word: str) -> str:
+    """The ending that tells a name's gender."""
     tail = next((e for e in ENDINGS if len(word) > len(e) + 1 and word.endswith(e)), "")
-    if not tail and len(word) > 2 and word[-1].lower() in "aeoаяαη":
-        tail = word[-1]
+    return tail or (word[-1] if len(word) > 2 and word[-1].lower() in "aeoаяαη" else "")
+
+
+def _word(key: bytes, tweak: str, word: str) -> str:
+    """A name outside the lists, in its own script and format, with the ending that tells its gender; never one that the lists use as a surrogate. Names of one
+    ending are permuted among themselves: a step that leaves them is followed by the next, until it is back among them."""
+    tail = _tail(word)
     while True:
         word = _keep_format(key, f"{tweak}:{tail}", word[: len(word) - len(tail)]) + tail
-        if word not in _GIVEN_LIST:
+        if word not in _GIVEN_LIST and _tail(word) == tail:
             return word
 
 
@@ -228,6 +254,54 @@ def _name(key: bytes, text: str) -> str:
     return " ".join(new for _, new in _name_parts(key, text))
 
 
+def _shape(text: str) -> tuple:
+    """What a date's surrogate keeps: order, signs and how many digits each part has; a date that two orders allow stays one."""
+    parts = re.split(r"\D", text)
+    both = "/" in text and max(int(parts[0]), int(parts[1])) <= 12
+    return *map(len, parts), "/" in text and int(parts[1]) > 12, both, *("0" == p[0] for p in parts)
+
+
+def _date_parts(text: str) -> tuple[int, int, int]:
+    a, b, c = map(int, re.split(r"\D", text))
+    return (a, b, c) if a > 31 else (c, a, b) if "/" in text and b > 12 else (c, b, a)
+
+
+def _birth(key: bytes, text: str) -> str:
+    """Another day of the years 1900 to 2029, written alike; what is no such day gets other digits that are none either."""
+    first, last = datetime.date(1900, 1, 1).toordinal(), datetime.date(2030, 1, 1).toordinal()
+    year, month, day = _date_parts(text)
+    shape = _shape(text)
+    try:
+        place = datetime.date(year, month, day).toordinal() - first
+    except ValueError:
+        place = -1
+    if not 0 <= place < last - first:
+        return _numbers(key, "birth!", text, 0)
+    sign = re.search(r"\D", text)[0]
+    while True:
+        place = permute(key, "birth", place, last - first)
+        d = datetime.date.fromordinal(first + place)
+        order = (d.year, d.month, d.day) if shape[0] == 4 else (d.month, d.day, d.year) if shape[3] else (d.day, d.month, d.year)
+        out = sign.join(f"{v:0{n}}" for v, n in zip(order, shape[:3], strict=True))
+        if _shape(out) == shape:
+            return out
+
+
+def _street(key: bytes, text: str) -> str:
+    """Another house number of as many digits, and other words for the street's name; what kind of street it is stays."""
+    def other(m: re.Match) -> str:
+        word = m[0]
+        if word.isdigit():
+            low = 10 ** (len(word) - 1) if word[0] != "0" else 0
+            return f"{low + permute(key, f'house:{low}', int(word) - low, 10 ** len(word) - low):0{len(word)}}"
+        end = re.search(rf"(?:{STREET_ENDS})$", word)
+        own = word[: end.start()] if end else word
+        kept = re.fullmatch(rf"{STREETS}|{STREET_HEADS}|de|du|des|del|la", word)
+        return word if kept or not own else _keep_format(key, "street", own) + word[len(own) :]
+
+    return re.sub(r"[^\W_]+\.?" if re.search(r"str\.", text) else r"[^\W_]+", other, text)
+
+
 def _ipv6(key: bytes, text: str) -> str:
     """Another address written alike; its first group stays, which tells the kind of network."""
     first = re.match(r"[0-9A-Fa-f]{0,4}", text)[0]
@@ -296,6 +370,10 @@ def surrogate(key: bytes, kind: str, text: str) -> str:
         return _numbers(key, kind, text, 0)
     if kind == "iban":
         return _iban(key, text)
+    if kind == "birth":
+        return _birth(key, text)
+    if kind == "street":
+        return _street(key, text)
     return _name(key, text)
 
 
@@ -311,18 +389,38 @@ def _holds(kind: str, text: str) -> bool:
     return True
 
 
+def _without_words(name: str, text: str) -> str:
+    """A found name without what is no name at its end: words that stand in NO_NAMES or in small letters in the same text. Empty if no name is left."""
+    words = name.split(" ")
+    titled = words[0].rstrip(".") in _TITLE_GENDER
+    for k, word in enumerate(words[titled:], titled):
+        low = word.lower()
+        if low in NO_NAMES or (low != word and word not in _GIVEN_LIST and re.search(rf"(?<!\w){re.escape(low)}(?!\w)", text)):
+            words = words[:k]
+            break
+    return " ".join(words) if len(words) > 1 else ""
+
+
 def replace(key: bytes, text: str | None) -> tuple[str | None, list[tuple[str, int, int, str, str]]]:
     """The text with surrogates, and per entity its kind, span in the given text, value and surrogate. A name that is found once is
     known in all of its text: its parts are replaced wherever they stand alone."""
     if not text or not _MAYBE.search(text):
         return text, []
-    found, known = [], {}
-    for m in _ENTITY.finditer(text):
-        if _holds(m.lastgroup if m.lastgroup != "sep" else "phone", m[0]):
-            kind = "phone" if m.lastgroup == "sep" else m.lastgroup
-            found.append((kind, m.start(), m.end(), m[0], surrogate(key, kind, m[0])))
+    found, known, at = [], {}, 0
+    while m := _ENTITY.search(text, at):
+        at = m.end()
+        kind = m.lastgroup if m.lastgroup != "sep" else "phone"
+        # Of a phrase that names a person or a day, those alone.
+        start, stop = next((m.span(part) for part in ("date", "called") if m[part] is not None), m.span())
+        if kind == "name":
+            stop = start + len(_without_words(text[start:stop], text))
+            # What was no name may still hold the beginning of something else.
+            at = max(stop, start + 1) if stop < m.end() else at
+        value = text[start:stop]
+        if value and _holds(kind, value):
+            found.append((kind, start, stop, value, surrogate(key, kind, value)))
             if kind == "name":
-                known |= {old: new for old, new in _name_parts(key, m[0]) if old != new}
+                known |= {old: new for old, new in _name_parts(key, value) if old != new}
     if known:
         # Scripts that part no words have no borders to ask for.
         bounded = [re.escape(n) if isinstance(_row(n[0]), _Run) else rf"\b{re.escape(n)}\b" for n in sorted(known, key=len, reverse=True)]
@@ -352,7 +450,7 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     Under one key an entity has one surrogate in all documents, other than itself, and two entities of a kind and format never share one: each
     replacement is a one-to-one step through the values of that format, so that no table of entities is gathered and any executor can do it again.
     ``colliding_surrogates`` checks that over a table. Names keep title, script and gender; the parts of a name are the same for one person under
-    any title, also where they stand alone in that text. Cards have to pass their check digit. Null doc_id: as it is. Null text: null. Empty text or none found: as it is. Very long text: whole. Repeated rows: alike. Empty
+    any title, also where they stand alone in that text; common words behind a title are no names. Phone numbers are one with and without a country's code. Cards have to pass their check digit. Null doc_id: as it is. Null text: null. Empty text or none found: as it is. Very long text: whole. Repeated rows: alike. Empty
     table: no rows. Returns all columns with ``text`` replaced, and n_entities and entities (kind, start, end, original, surrogate), of which the last is
     for audits only; those two names are overwritten.
     """
