@@ -43,13 +43,11 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Deletes a table of ``materialise`` that nothing reads any more, and lets the driver's JVM collect the plans made of it, whose shuffle files Spark
-    then drops."""
+    """Deletes a table of ``materialise`` that nothing reads any more."""
     files = df.inputFiles()
     if files:
         place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
         place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
-    df.sparkSession._jvm.System.gc()
 
 
 def one_text_an_id(docs: DataFrame, wanted: DataFrame) -> DataFrame:

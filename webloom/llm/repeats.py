@@ -233,10 +233,12 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _written(df: DataFrame, *used: DataFrame) -> DataFrame:
-    """``materialise``; the tables ``used`` for it go."""
+    """``materialise``; the tables ``used`` for it go, and so do its shuffle files, as soon as the driver's JVM has collected the plan: Spark drops them then, and
+    on a large driver heap that may otherwise be long after."""
     out = materialise(df)
     for old in used:
         discard(old)
+    df.sparkSession._jvm.System.gc()
     return out
 
 
