@@ -42,20 +42,20 @@ _BACKGROUND = re.compile(r"""background(?:-image)?\s*:[^;]*url\(\s*(['"]?)(.*?)\
 _ZONE = re.compile(r"\b(?:Africa|America|Antarctica|Arctic|Asia|Atlantic|Australia|Europe|Indian|Pacific)/[A-Z][a-zA-Z_]+(?:/[A-Z][a-zA-Z_]+)?\b")
 
 
-def metadata(html: str | None) -> dict[str, str | None]:
-    """Title, description and so on from the head: the page's own, then Open Graph, then Twitter."""
-    html = html or ""
-    end = html.lower().find("</head>")
-    head = parse(html if end < 0 else html[: end + 7])
+def metadata(page: str | Node | None) -> dict[str, str | None]:
+    """Title, description and so on from the head of a page's text or tree: the page's own, then Open Graph, then Twitter. Without a head element the whole
+    page is read."""
+    root = page if isinstance(page, Node) else parse(page)
+    head = root.first("head") or root
     metas = head.every("meta")
     by = lambda key, value: next((m.attrs.get("content") for m in metas if m.attrs.get(key) == value), None)
-    title, page = head.first("title"), head.first("html")
+    title, whole = head.first("title"), root.first("html")
     canonical = next((n for n in head.every("link") if "canonical" in n.attrs.get("rel", "").split()), None)
     own = title.text(strip=True) if title else None
     return {
         "title": own or by("property", "og:title") or by("name", "twitter:title"),
         "description": by("name", "description") or by("property", "og:description") or by("name", "twitter:description"),
-        "language": page.attrs.get("lang") if page else None,
+        "language": whole.attrs.get("lang") if whole else None,
         "keywords": by("name", "keywords"),
         "robots": by("name", "robots"),
         "canonical_url": canonical.attrs.get("href") if canonical else None,

@@ -55,16 +55,24 @@ def link_density(links: Column, words: Column) -> Column:
     return F.when(words > 0, links * 1000.0 / words).otherwise(F.lit(0.0))
 
 
-def word_spacing(markdown: Column, minimum: int = 50, full_penalty: float = 0.05, plain: Column | None = None) -> Column:
+def word_spacing(markdown: Column, minimum: int = 50, full_penalty: float = 0.05, plain: Column | None = None, tokens: Column | None = None) -> Column:
     """1 where words are well apart, down to 0 as the share of fused runs (over 30 ASCII letters) reaches ``full_penalty``; null
-    below ``minimum`` tokens. ``plain``: the stripped markdown, where a column has it already."""
+    below ``minimum`` tokens. ``plain`` and ``tokens``: the stripped markdown and how many tokens it has, where columns have them
+    already."""
     text = strip_markdown(markdown) if plain is None else plain
     # The lambda binds the two counts, which would else be taken again for each mention.
-    counts = F.array(F.struct(F.regexp_count(text, F.lit(TOKEN)).alias("t"), F.regexp_count(text, F.lit(FUSED)).alias("f")))
+    counts = F.array(F.struct((F.regexp_count(text, F.lit(TOKEN)) if tokens is None else tokens).alias("t"), F.regexp_count(text, F.lit(FUSED)).alias("f")))
     spacing = F.transform(counts, lambda c: F.when(c["t"] >= minimum, F.greatest(F.lit(0.0), 1.0 - (c["f"] / c["t"]) / full_penalty)))
     return F.get(spacing, 0)
 
 
+def trimmed_summary(text: Column, most: int = 500) -> Column:
+    """A summary of at most ``most`` characters: up to the last full stop within, else cut with dots."""
+    head = F.substring(text, 1, most)
+    whole = F.concat(F.regexp_replace(head, r"(?s)\.[^.]*$", ""), F.lit("."))
+    return F.when(F.length(text) > most, F.when(F.contains(head, F.lit(".")), whole).otherwise(F.concat(F.substring(text, 1, most - 3), F.lit("...")))).otherwise(text)
+
+
 def hit_rate(text: Column, needles: Column) -> Column:
     """Share of ``needles`` in the text, whatever the case; null for none."""
     hay = F.lower(text)

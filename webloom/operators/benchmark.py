@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,20 +18,41 @@ ROUGE_TOKENS = 4000
 WEIGHTS = {"char_coverage": 0.30, "token_f1": 0.25, "expect_hit": 0.15, "clean": 0.15, "expect_absent_ok": 0.10, "density": 0.05, "word_spacing": 0.10}
 
 
-def _in_common(x: np.ndarray | None, y: np.ndarray | None) -> int:
+_WORD = re.compile(r"\w+")
+
+
+def _bag(text: str | None) -> tuple[int, Counter]:
+    """How many tokens a text has, and its bag of them in small letters: ``T.tokenize`` on one text."""
+    words = _WORD.findall(text or "")
+    return len(words), Counter(map(str.lower, words))
+
+
+def _in_common(a: Counter, b: Counter) -> int:
     """How many elements two bags have in common, an element as often as both have it."""
-    if x is None or y is None or not len(x) or not len(y):
-        return 0
-    a, n = np.unique(x, return_counts=True)
-    b, m = np.unique(y, return_counts=True)
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    return int(np.minimum(n[i], m[j]).sum())
+    if len(b) < len(a):
+        a, b = b, a
+    return sum(min(n, b[t]) for t, n in a.items() if t in b)
+
+
+def text_prf(extracted: Column, gold: Column) -> Column:
+    """What ``prf`` gives, of two texts: tokens are taken and counted in one Arrow pass, and only three numbers come back. Null: no tokens."""
+
+    @F.pandas_udf("struct<n_extracted:long,n_gold:long,overlap:long>")
+    def count(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, y in zip(xs, ys, strict=True):
+            (n, a), (m, b) = _bag(x), _bag(y)
+            out.append((n, m, _in_common(a, b)))
+        return pd.DataFrame(out, columns=["n_extracted", "n_gold", "overlap"], dtype="int64")
+
+    return count(extracted, gold)
 
 
 def _overlap(left: Column, right: Column) -> Column:
     @F.pandas_udf("long")
     def count(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        return pd.Series([_in_common(x, y) for x, y in zip(xs, ys, strict=True)], dtype="int64")
+        some = lambda x: Counter([] if x is None else x.tolist())
+        return pd.Series([_in_common(some(x), some(y)) for x, y in zip(xs, ys, strict=True)], dtype="int64")
 
     return count(left, right)
 
@@ -110,12 +133,12 @@ def score_cases(cases: DataFrame) -> DataFrame:
     plain = F.col("plain")
     compared = F.col("success") & F.col("reference").isNotNull() & ~F.col("reference_error") & (F.col("content_type") != "pdf")
     base = cases.withColumn("plain", T.strip_markdown(F.coalesce("markdown", F.lit("")))).withColumn("compared", compared)
-    # Only compared cases have tokens to hand on.
-    base = base.withColumn("own", T.tokenize(plain)).withColumn("bags", prf(F.when(F.col("compared"), F.col("own")), F.when(F.col("compared"), T.tokenize(F.col("reference")))))
+    # Only compared cases have a reference to hand on.
+    base = base.withColumn("bags", text_prf(plain, F.when(F.col("compared"), F.col("reference"))))
     links = T.structure(F.col("markdown"))["links"]
     m = (
         _rates(base)
-        .withColumn("markdown_words", F.size("own"))
+        .withColumn("markdown_words", F.col("n_extracted").cast("int"))
         .withColumn("markdown_chars", F.length(plain))
         .withColumn("reference_words", F.when(F.col("compared"), F.col("n_gold")))
         .withColumn("char_coverage", F.when(F.col("compared"), F.when(F.length("reference") > 0, F.least(F.lit(1.0), F.length(plain) / F.length("reference"))).otherwise(0.0)))
@@ -124,7 +147,7 @@ def score_cases(cases: DataFrame) -> DataFrame:
         .withColumn("noise", F.when(F.col("compared") & ~F.col("reference_degenerate") & (F.col("n_extracted") > 0), 1.0 - F.col("precision")))
         .withColumn("expect_hit", T.hit_rate(F.col("markdown"), F.col("expect")))
         .withColumn("expect_absent_ok", T.absent_rate(F.col("markdown"), F.col("expect_absent")))
-        .withColumn("word_spacing", F.when(F.col("markdown").isNotNull(), T.word_spacing(F.col("markdown"), plain=plain)))
+        .withColumn("word_spacing", F.when(F.col("markdown").isNotNull(), T.word_spacing(F.col("markdown"), plain=plain, tokens=F.col("n_extracted"))))
         .withColumn("link_density", F.when(F.col("success"), T.link_density(links, F.col("markdown_words"))))
     )
     parts = {

@@ -29,7 +29,7 @@ def _one(url: str, html: str, formats: tuple[str, ...], only_main: bool, include
     out: dict = {}
     root = parse(html)
     if "metadata" in formats:
-        out["metadata"] = E.metadata(html)
+        out["metadata"] = E.metadata(root)
     if "links" in formats:
         out["links"] = E.links(root, url)
     if "images" in formats:

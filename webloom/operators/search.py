@@ -84,24 +84,27 @@ def clamp(limit: Column) -> Column:
 
 
 def items(responses: DataFrame, limit: int = 10) -> DataFrame:
-    """Stored answers (search, provider, source, body) as one row an item in one schema, with its place. Unknown providers give none."""
-    out = None
+    """Stored answers (search, provider, source, body) as one row an item in one schema, with its place. Unknown providers give none. Where an answer's items and
+    their fields are is looked up by provider and source, so that the answers are read once whatever providers there are."""
+    places = []
     for (provider, source), (path, fields) in PROVIDERS.items():
-        own = responses.where((F.col("provider") == provider) & (F.col("source") == source))
-        rows = own.select("search", "provider", "source", F.posexplode(F.from_json(F.get_json_object("body", path), "array<string>")).alias("ordinal", "item")).where(F.col("ordinal") < limit)
-        named = rows.select(
-            "search", "provider", F.col("source").alias("source_type"), "ordinal",
-            *[(F.get_json_object("item", f"$.{fields[k]}") if k in fields else F.lit(None).cast("string")).alias(k) for k in ITEM],
-        )
-        out = named if out is None else out.unionByName(named)
-    return out.withColumn("image_width", F.col("image_width").try_cast("int")).withColumn("image_height", F.col("image_height").try_cast("int"))
+        paths = [F.lit(f"$.{fields[k]}" if k in fields else None).cast("string").alias(k) for k in ITEM]
+        places += [F.lit(f"{provider} {source}"), F.struct(F.lit(path).alias("path"), *paths)]
+    at = F.try_element_at(F.create_map(*places), F.concat("provider", F.lit(" "), "source"))
+    known = responses.select("search", "provider", "source", "body", at.alias("at")).where("at IS NOT NULL")
+    listed = F.from_json(F.call_function("get_json_object", F.col("body"), F.col("at.path")), "array<string>")
+    rows = known.select("search", "provider", "source", "at", F.posexplode(listed).alias("ordinal", "item")).where(F.col("ordinal") < limit)
+    of = lambda k: F.call_function("get_json_object", F.col("item"), F.col(f"at.{k}"))
+    typed = {"image_width": "int", "image_height": "int"}
+    return rows.select("search", "provider", F.col("source").alias("source_type"), "ordinal", *[(of(k).try_cast(typed[k]) if k in typed else of(k)).alias(k) for k in ITEM])
 
 
 def enriched(found: DataFrame, scraped: DataFrame) -> DataFrame:
     """Web items with the columns that scraping added, by url; others and their order as they were. A url scraped more than once counts once,
-    so that no item is multiplied."""
+    so that no item is multiplied: the last by ``scraped_at`` where there is one, else the last by its columns' text."""
     rest = [c for c in scraped.columns if c != "url"]
-    once = scraped.where(F.col("url").isNotNull()).groupBy("url").agg(F.first(F.struct(*rest)).alias("r")).select("url", "r.*", F.lit("web").alias("source_type"))
+    order = F.struct(*[F.col(c) for c in rest if c == "scraped_at"], F.to_json(F.struct(*rest)).alias("text"))
+    once = scraped.where(F.col("url").isNotNull()).groupBy("url").agg(F.max_by(F.struct(*rest), order).alias("r")).select("url", "r.*", F.lit("web").alias("source_type"))
     return found.join(once, ["url", "source_type"], "left")
 
 

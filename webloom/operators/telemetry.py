@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.operators.prefixes import ROWS_PER_SLICE, prefixes, sliced
+
 
 def events(log: DataFrame, kind: str | None = None, since: str | None = None) -> DataFrame:
     """Events of a kind, from a moment on (inclusive). A ``ts`` that cannot be read counts as 1970."""
@@ -50,18 +52,15 @@ def nanoseconds(ts: Column) -> Column:
     return F.concat(F.unix_micros(ts.cast("timestamp")).cast("string"), F.lit("000"))
 
 
-def stream_batches(log: DataFrame, job: str, batch: int = 500, ordinal: str = "event_id") -> DataFrame:
+def stream_batches(log: DataFrame, job: str, batch: int = 500, ordinal: str = "event_id", rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Push payloads: per kind and run of ``batch`` events in time order one row with the sorted [time, line] values.
 
-    Places within a kind come from per-slice counts (a day a slice), so that no kind is ranked in one task; a payload holds at most ``batch`` events."""
+    Places within a kind come from slices of the log's time (``prefixes``), so that no kind is ranked in one task; a payload holds at most ``batch`` events."""
     line = F.to_json(F.struct(*[c for c in log.columns]))
-    rows = log.select("kind", F.date_trunc("day", "ts").alias("day"), nanoseconds(F.col("ts")).alias("ns"), F.col(ordinal).alias("ordinal"), line.alias("line"))
-    counts = rows.groupBy("kind", "day").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("kind").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("kind", "day", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    in_day = Window.partitionBy("kind", "day").orderBy("ns", "ordinal")
-    placed = rows.withColumn("place", F.row_number().over(in_day)).join(before, ["kind", "day"]).withColumn("batch", F.floor((F.col("place") + F.col("before") - 1) / batch))
-    values = F.transform(F.array_sort(F.collect_list(F.struct("ns", "ordinal", "line"))), lambda v: F.array(v["ns"], v["line"]))
+    rows = log.select("kind", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), nanoseconds(F.col("ts")).alias("ns"), F.col(ordinal).alias("ordinal"), line.alias("line"))
+    ordered = sliced(rows, "at", rows_per_slice).withColumn("order", F.struct("at", "ordinal"))
+    placed = prefixes(ordered, "kind", "order", {"place": ("sum", F.lit(1))}).withColumn("batch", F.floor((F.col("place") - 1) / batch))
+    values = F.transform(F.array_sort(F.collect_list(F.struct("at", "ordinal", "ns", "line"))), lambda v: F.array(v["ns"], v["line"]))
     return placed.groupBy("kind", "batch").agg(F.count("*").alias("n"), values.alias("values")).select(
         F.create_map(F.lit("job"), F.lit(job), F.lit("kind"), F.col("kind")).alias("stream"), "kind", "batch", "n", "values"
     )

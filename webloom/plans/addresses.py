@@ -148,11 +148,11 @@ def locale_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def map_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Discovery: breadth-first over the pages' own links to depth 3, joined with a sitemap. Scope, limit and search are ``service_map``'s."""
+    """Discovery: breadth-first over the pages' own links to depth 3, joined with a sitemap that lists every page. Scope, limit and search are ``service_map``'s."""
     links = D.page_links(table(spark, sf_dir, "pages"))
     seeds = links.groupBy().agg(F.min("src").alias("url"))
     reached = D.reachable(links, seeds, max_depth=3)
-    sitemap = table(spark, sf_dir, "pages").where(U.in_domain(F.col("url"), "example.org", True)).select(U.strip_fragment(F.col("url")).alias("url"))
+    sitemap = table(spark, sf_dir, "pages").select(U.strip_fragment(F.col("url")).alias("url"))
     return D.discovered(reached, sitemap).select("url", "depth")
 
 
@@ -247,6 +247,6 @@ ORACLES = {
     "map_urls": r"""WITH RECURSIVE l AS (SELECT DISTINCT src, dst FROM (
  SELECT regexp_extract(url, '^([^#]*)', 1) AS src, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || unnest(regexp_extract_all(html, 'href="(/[^"#]*)', 1)) AS dst FROM pages)),
  r(url, depth) AS (SELECT min(src), 0 FROM l UNION SELECT dst, depth + 1 FROM r JOIN l ON l.src = r.url WHERE depth < 3),
- s AS (SELECT regexp_extract(url, '^([^#]*)', 1) AS url, 0 AS depth FROM pages WHERE regexp_matches(url, '://([^/?#]*\.)?example\.org([/?#]|$)'))
+ s AS (SELECT regexp_extract(url, '^([^#]*)', 1) AS url, 0 AS depth FROM pages)
  SELECT url, min(depth)::INT AS depth FROM (SELECT * FROM r UNION ALL SELECT * FROM s) GROUP BY url""",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import quality as Q
 from webloom.functions import text as T
+from webloom.operators import outputs
 from webloom.session import table
 
 #: The tables hold plain prose; this dresses it as markdown and as badly read PDFs, alike in both engines, so that every branch occurs.
@@ -97,29 +98,18 @@ def text_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """YAML frontmatter: absent fields leave no line, quotes and backslashes are escaped."""
-    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
-    words = T.word_count(F.col("md"))
     title = F.concat(F.lit('A "'), F.col("source"), F.lit('" \\ '), F.col("doc_id").cast("string"))
-    text = F.concat_ws(
-        "\n",
-        F.lit("---"),
-        F.concat(F.lit('url: "https://x.example/'), F.col("doc_id").cast("string"), F.lit('"')),
-        F.concat(F.lit("title: "), quoted(title)),
-        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("provider: "), F.col("source"))),
-        F.when(F.col("lang") != "en", F.concat(F.lit("language: "), F.col("lang"))),
-        F.when(words > 0, F.concat(F.lit("word_count: "), words.cast("string"))),
-        F.lit("---"),
-    )
+    fields = {
+        "url": F.concat(F.lit("https://x.example/"), F.col("doc_id").cast("string")), "title": title, "provider": F.when(F.col("doc_id") % 3 == 0, F.col("source")),
+        "language": F.when(F.col("lang") != "en", F.col("lang")), "word_count": T.word_count(F.col("md")),
+    }
+    text = outputs.frontmatter(fields)
     return markdown(spark, sf_dir).select("doc_id", text.alias("frontmatter"))
 
 
 def text_summary_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A summary of at most 500 characters, cut at the last full stop or else with dots."""
-    head = F.substring("s", 1, 500)
-    cut = F.when(F.contains(head, F.lit(".")), F.concat(F.regexp_replace(head, r"(?s)\.[^.]*$", ""), F.lit("."))).otherwise(
-        F.concat(F.substring("s", 1, 497), F.lit("..."))
-    )
-    summary = F.when(F.length("s") > 500, cut).otherwise(F.col("s"))
+    summary = T.trimmed_summary(F.col("s"))
     return table(spark, sf_dir, "documents").select("doc_id", F.trim("text").alias("s")).select("doc_id", F.md5(summary).alias("summary_md5"), F.length(summary).cast("long").alias("chars"))
 
 

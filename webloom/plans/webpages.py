@@ -23,10 +23,10 @@ _TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw pages. To parse a page costs far more than to move it, so a table of fewer files than cores is dealt out to all of them."""
+    """The raw pages. To parse a page costs far more than to move it, so a table whose scan has fewer tasks than there are cores is dealt out to all of them."""
     p = table(spark, sf_dir, "pages")
     cores = spark.sparkContext.defaultParallelism
-    return p.repartition(cores) if len(p.inputFiles()) < cores else p
+    return p.repartition(cores) if p.rdd.getNumPartitions() < cores else p
 
 
 def dressed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,12 +20,18 @@ def write_map(urls: DataFrame, path: str, as_json: bool = True) -> None:
 
 
 def write_run(cases: DataFrame, run_id: str, path: str) -> None:
-    """A benchmark run: a row a case under metrics, a row for the run under index, both by run."""
+    """A benchmark run: a row a case under metrics, a row for the run under index, both by run; and runs/<id>.json, the run's roll-up and that of each category."""
     from webloom.operators.benchmark import aggregate_run
+    from webloom.operators.outputs import write_files
 
     cases.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").json(f"{path}/metrics")
-    overall = aggregate_run(cases).where("category IS NULL").drop("category")
-    overall.withColumn("run_id", F.lit(run_id)).write.mode("append").json(f"{path}/index")
+    rolled = aggregate_run(cases)
+    rolled.where("category IS NULL").drop("category").withColumn("run_id", F.lit(run_id)).write.mode("append").json(f"{path}/index")
+    figures = F.struct(*[c for c in rolled.columns if c != "category"])
+    overall = F.max(F.when(F.col("category").isNull(), figures)).alias("overall")
+    categories = F.array_sort(F.collect_list(F.when(F.col("category").isNotNull(), F.struct("category", *[c for c in rolled.columns if c != "category"])))).alias("categories")
+    whole = rolled.agg(overall, categories).select(F.to_json(F.struct(F.lit(run_id).alias("run_id"), "overall", "categories")).alias("content"))
+    write_files(whole.select(F.lit(f"{run_id}.json").alias("file"), "content"), f"{path}/runs")
 
 
 def list_runs(index: DataFrame, n: int | None = None) -> DataFrame:
@@ -37,11 +43,3 @@ def list_runs(index: DataFrame, n: int | None = None) -> DataFrame:
 def upsert_cache(entries: DataFrame, path: str) -> None:
     """Adds cache entries by the first two digits of their key; readers take the newest of a key."""
     entries.withColumn("prefix", F.substring("cache_key", 1, 2)).write.mode("append").partitionBy("prefix").parquet(path)
-
-
-def write_pages(scraped: DataFrame, path: str, content: str = "markdown") -> None:
-    """One file a page, below a folder named like its url (see ``operators.search.batch_paths``); pages without content leave none."""
-    from webloom.operators.search import batch_paths
-
-    named = batch_paths(scraped.select("ordinal", "url")).select("ordinal", "path")
-    scraped.where(F.coalesce(content, F.lit("")) != "").join(named, "ordinal").select("path", content).write.mode("append").partitionBy("path").text(path)

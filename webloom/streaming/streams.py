@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -20,6 +22,10 @@ def hourly(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     )
 
 
+def _type(rows: DataFrame, column: str) -> str:
+    return rows.schema[column].dataType.simpleString()
+
+
 def change_stream(versions: DataFrame) -> DataFrame:
     """New, same, changed or removed per version (key, version, content_hash, success), against the last successful one, which is the key's only state."""
 
@@ -38,7 +44,7 @@ def change_stream(versions: DataFrame) -> DataFrame:
             state.update((last,))
         yield pd.DataFrame(out, columns=["key", "version", "status"])
 
-    return versions.groupBy("key").applyInPandasWithState(step, "key long, version long, status string", "content_hash string", "append", GroupStateTimeout.NoTimeout)
+    return versions.groupBy("key").applyInPandasWithState(step, f"key {_type(versions, 'key')}, version long, status string", "content_hash string", "append", GroupStateTimeout.NoTimeout)
 
 
 def recent_stream(searches: DataFrame, size: int = 5) -> DataFrame:
@@ -53,7 +59,7 @@ def recent_stream(searches: DataFrame, size: int = 5) -> DataFrame:
         state.update((last,))
         yield pd.DataFrame(out, columns=["scope", "seq", "all_recent_empty"])
 
-    return searches.groupBy("scope").applyInPandasWithState(step, "scope long, seq long, all_recent_empty boolean", "last array<boolean>", "append", GroupStateTimeout.NoTimeout)
+    return searches.groupBy("scope").applyInPandasWithState(step, f"scope {_type(searches, 'scope')}, seq long, all_recent_empty boolean", "last array<boolean>", "append", GroupStateTimeout.NoTimeout)
 
 
 def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
@@ -64,17 +70,35 @@ def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
 
 
 def flush(stream: DataFrame, push: Callable[[DataFrame], None], every: str = "5 seconds", checkpoint: str | None = None, most: int = 25, at_exit: bool = False):  # noqa: ANN201
-    """Hands each micro-batch to ``push`` (a remote sink), in parts of about ``most`` events; the checkpoint replays a batch that failed. ``at_exit``: what is there now,
-    once, and an end, as a process does before it goes."""
+    """Hands each micro-batch to ``push`` (a remote sink), in parts of at most ``most`` events, each a job of its own; for sinks that take a table. The checkpoint replays a
+    batch that failed. ``at_exit``: what is there now, once, and an end, as a process does before it goes."""
 
     def parts(batch: DataFrame, _: int) -> None:
-        kept = batch.persist()
-        n = -(-kept.count() // most)
-        for part in kept.randomSplit([1.0] * n, 1) if n > 1 else [kept] * n:
-            push(part)
+        # A row's place in its partition is in the low bits of its number.
+        number = F.monotonically_increasing_id()
+        kept = batch.withColumn("__part", F.struct(F.shiftright(number, 33).alias("task"), F.floor(number.bitwiseAND(F.lit((1 << 33) - 1)) / most).alias("run"))).persist()
+        for part in sorted(r["__part"] for r in kept.select("__part").distinct().collect()):
+            push(kept.where((F.col("__part.task") == part.task) & (F.col("__part.run") == part.run)).drop("__part"))
         kept.unpersist()
 
-    writer = stream.writeStream.foreachBatch(parts)
+    return _started(stream.writeStream.foreachBatch(parts), every, checkpoint, at_exit)
+
+
+def send_rows(stream: DataFrame, send: Callable[[list[Row]], None], every: str = "5 seconds", checkpoint: str | None = None, most: int = 25, at_exit: bool = False, order: str | None = None):  # noqa: ANN201
+    """Hands each micro-batch's rows to ``send`` on the executors, at most ``most`` a call, in one pass over the batch: a job a batch however many calls it takes. Within a
+    task rows come by ``order``, where it is given. A call that fails fails the batch, which the checkpoint replays; so a sink has to bear what it had before."""
+
+    def some(rows: Iterator[Row]) -> None:
+        while part := list(islice(rows, most)):
+            send(part)
+
+    def deliver(batch: DataFrame, _: int) -> None:
+        (batch.sortWithinPartitions(order) if order else batch).foreachPartition(some)
+
+    return _started(stream.writeStream.foreachBatch(deliver), every, checkpoint, at_exit)
+
+
+def _started(writer: DataStreamWriter, every: str, checkpoint: str | None, at_exit: bool):  # noqa: ANN202
     writer = writer.trigger(availableNow=True) if at_exit else writer.trigger(processingTime=every)
     return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
 
@@ -98,7 +122,7 @@ def health_stream(outcomes: DataFrame, unavailable: int = 3, degraded: int = 3)
         state.update((failures, empties, status))
         yield pd.DataFrame(out, columns=["provider", "seq", "failures", "empties", "status"])
 
-    schema = "provider long, seq long, failures long, empties long, status string"
+    schema = f"provider {_type(outcomes, 'provider')}, seq long, failures long, empties long, status string"
     return outcomes.groupBy("provider").applyInPandasWithState(step, schema, "failures long, empties long, status string", "append", GroupStateTimeout.NoTimeout)
 
 
@@ -114,4 +138,4 @@ def throttle_stream(arrivals: DataFrame) -> DataFrame:
         state.update((last,))
         yield pd.DataFrame(out, columns=["host", "ordinal", "granted"])
 
-    return arrivals.groupBy("host").applyInPandasWithState(step, "host long, ordinal long, granted double", "last double", "append", GroupStateTimeout.NoTimeout)
+    return arrivals.groupBy("host").applyInPandasWithState(step, f"host {_type(arrivals, 'host')}, ordinal long, granted double", "last double", "append", GroupStateTimeout.NoTimeout)
