@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.dom import extract as E
+from webloom.dom import render as R
 from webloom.dom.markdown import full_markdown, main_markdown, prepare
 from webloom.dom.tree import SelectorError, parse, select
 
@@ -73,6 +74,23 @@ def scrape(pages: DataFrame, formats: tuple[str, ...] = ("markdown", "links", "m
     return pages.select(*first, F.col("html").alias("__html")).mapInArrow(run, f"{kinds}, " + ", ".join(f"{f} {_TYPES[f][1]}" for f in formats))
 
 
+REFERENCE = "reference string, full_text string, headings long, tables long, code long, images long, links long, reference_error boolean"
+
+
+def references(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """What stored pages (key, html) show: (key, reference, full_text, headings, tables, code, images, links, reference_error), the reference being the main text. It stands in for what a
+    browser would render, without what scripts add. No html is an error, with a null text. Repeated rows: each. Null keys: kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [R.reference(parse(h)) if h else dict.fromkeys(["main_text", "full_text", *R.COUNTED]) for h in batch.column(1).to_pylist()]
+            texts = [pa.array([m[k] for m in made], _TEXT) for k in ("main_text", "full_text")]
+            counts = [pa.array([m[k] for m in made], pa.int64()) for k in R.COUNTED]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *texts, *counts, pa.array([m["full_text"] is None for m in made])], names=[key, *[c.split()[0] for c in REFERENCE.split(", ")]])
+
+    return pages.select(key, "html").mapInArrow(run, f"`{key}` {pages.schema[key].dataType.simpleString()}, {REFERENCE}")
+
+
 def recovered(scraped: DataFrame, floor: int = 50, ratio: int = 3) -> DataFrame:
     """Full markdown instead of the main content's where that is thin and the full one is at least ``ratio`` times as long."""
     words = lambda c: F.regexp_count(F.coalesce(c, F.lit("")), F.lit(r"(?U)\S+"))

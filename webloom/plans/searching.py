@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.operators import discovery as D
+from webloom.operators import layout as L
 from webloom.operators import search as S
 from webloom.operators import services as Services
 from webloom.plans.webpages import pages
@@ -92,6 +93,16 @@ def pdf_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.heading_levels(chars).groupBy("doc", "level").agg(F.count("*").alias("n"))
 
 
+def pdf_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents laid out as glyphs and read again: their words, and how many are left where a gap of up to 3 points joins them; in every fourth document words are 2.5
+    points apart."""
+    chars = L.laid_out(table(spark, sf_dir, "documents"), F.when(F.col("doc_id") % 4 == 0, 2.5).otherwise(7.0))
+    keys = ["doc_id", "page"]
+    near, far = (L.page_text(L.words(chars, keys, x), keys) for x in (2.0, 3.0))
+    by_doc = near.groupBy("doc_id").agg(F.sum("n_words").alias("words"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n")).alias("text"))
+    return by_doc.join(far.groupBy("doc_id").agg(F.sum("n_words").alias("words_3")), "doc_id")
+
+
 def header_handling(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.array(F.concat(F.lit("X-Id: "), F.col("page_id").cast("string")), F.lit("Accept: a: b"), F.lit("broken"), F.lit("Accept: last"))
     headers = S.header_map(lines)
@@ -195,7 +206,7 @@ def service_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    search_filters, search_year, search_items, search_enriched, search_buckets, provider_chain, low_credit, json_salvage, pdf_helpers, pdf_headings, header_handling, batch_results, batch_paths, crawl_resume,
+    search_filters, search_year, search_items, search_enriched, search_buckets, provider_chain, low_credit, json_salvage, pdf_helpers, pdf_headings, pdf_layout, header_handling, batch_results, batch_paths, crawl_resume,
     map_selection, job_pages, job_status, sitemap_pages, sitemap_files, search_sources, service_search,
 )}
 
@@ -230,6 +241,10 @@ ORACLES = {
     "job_pages": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 40",
     "job_status": """WITH g AS (SELECT user_id AS job, count(*) FILTER (event_type = 'view') AS pages, count(*) FILTER (event_type = 'error') AS errors, CASE WHEN count(*) FILTER (event_type = 'signup') > 0 THEN 'completed' ELSE 'running' END AS never FROM events GROUP BY 1)
  SELECT job, pages, errors, CASE WHEN errors > 0 THEN 'failed' ELSE never END AS any_error, CASE WHEN pages = 0 AND errors > 0 THEN 'failed' ELSE never END AS no_success, never FROM g""",
+    "pdf_layout": r"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM documents),
+ w AS (SELECT doc_id, i, regexp_extract_all(line, '[^\s\p{Z}]+') AS words FROM l),
+ u AS (SELECT * FROM w WHERE len(words) > 0)
+ SELECT doc_id, sum(len(words))::BIGINT AS words, md5(string_agg(array_to_string(words, ' '), chr(10) ORDER BY i)) AS text, sum(CASE WHEN doc_id % 4 = 0 THEN 1 ELSE len(words) END)::BIGINT AS words_3 FROM u GROUP BY doc_id""",
     "sitemap_files": "SELECT page_id, 'page' AS kind, url || CASE page_id % 8 WHEN 6 THEN '/é' ELSE '' END AS loc, CASE page_id % 8 WHEN 2 THEN 0.5::DOUBLE END AS priority FROM pages WHERE page_id % 8 NOT IN (3, 4, 7)",
     "sitemap_pages": """SELECT DISTINCT url AS loc, CASE page_id % 4 WHEN 0 THEN '2024-01-02 00:00:00' WHEN 1 THEN '2024-01-02 03:04:05' WHEN 2 THEN '2024-01-02 01:04:05' END AS lastmod, (page_id % 10) / 10.0::DOUBLE AS priority FROM pages""",
 }

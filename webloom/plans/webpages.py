@@ -122,6 +122,26 @@ def page_readable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "strategy", T.word_count(F.col("markdown")).alias("words"))
 
 
+def page_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What pages show: counts of their structure, and the words of their main text."""
+    got = P.references(pages(spark, sf_dir))
+    return got.select("page_id", "headings", "tables", "code", "images", "links", T.word_count(F.col("reference")).cast("long").alias("words"), (F.length("full_text") >= F.length("reference")).alias("whole"))
+
+
+def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many headings, tables, code blocks, pictures and links the pages have in their trees."""
+    return P.references(pages(spark, sf_dir)).select("page_id", "headings", "tables", "code", "images", "links", "reference_error")
+
+
+def page_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark service over all pages: what is extracted of them against what they show."""
+    p = pages(spark, sf_dir)
+    cases = p.select(F.col("page_id").alias("case_id"), F.regexp_extract("url", r"example\.\w+/(\w\w)/", 1).alias("category"), F.lit(True).alias("scored"), F.lit("html").alias("content_type"), F.array().cast("array<string>").alias("expect"), F.array().cast("array<string>").alias("expect_absent"))
+    outputs = P.scrape(p, ("markdown",)).select(F.col("page_id").alias("case_id"), F.lit(True).alias("success"), "markdown", F.lit(0.0).alias("latency_ms"))
+    shown = P.references(p).select(F.col("page_id").alias("case_id"), "reference", "reference_error")
+    return S.run_benchmark(cases, outputs, shown)[1].select("category", "total_cases", "scored_cases", "quality", "success_rate")
+
+
 def page_sections_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document as sections, ranked for a query within the document."""
     docs = table(spark, sf_dir, "documents")
@@ -175,7 +195,7 @@ def service_diagnose(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    page_detectors, page_quality, page_verdicts, page_javascript, page_cdn, page_diagnose, page_captcha, page_failures, page_expectations, page_titles, page_scrape, page_readable, page_sections_bm25, page_selector,
+    page_detectors, page_quality, page_verdicts, page_javascript, page_cdn, page_diagnose, page_captcha, page_failures, page_expectations, page_titles, page_scrape, page_readable, page_reference, page_counts, page_bench, page_sections_bm25, page_selector,
     page_actions, service_scrape, service_batch, service_crawl, service_diagnose,
 )}
 
@@ -197,6 +217,9 @@ _JS = r"""b AS (SELECT *, regexp_extract(html, '(?is)<body[^>]*>(.*?)</body>', 1
  j AS (SELECT *, (framework IS NOT NULL AND length(html) < 5000) OR (regexp_matches(html, '(?is)<body[^>]*>.*?</body>') AND (shown < 100 OR (shown < 500 AND scripts >= 3 * shown))) AS needs_js FROM t)"""
 
 ORACLES = {
+    "page_counts": """WITH p AS (SELECT page_id, regexp_replace(html, '<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'gs') AS h FROM pages)
+ SELECT page_id, len(regexp_extract_all(h, '<h[1-6][ >]'))::BIGINT AS headings, len(regexp_extract_all(h, '<table[ >]'))::BIGINT AS tables, len(regexp_extract_all(h, '<(?:pre|code)[ >]'))::BIGINT AS code,
+ len(regexp_extract_all(h, '<img[ >]'))::BIGINT AS images, len(regexp_extract_all(h, '<a[ >]'))::BIGINT AS links, false AS reference_error FROM p""",
     "page_detectors": rf"""{_VIEW} SELECT page_id, captcha_present, challenge_detected, access_denied, framework, login,
  regexp_matches(low, 'g-recaptcha|grecaptcha|recaptcha/api|data-sitekey|h-captcha|hcaptcha.com|cf-turnstile|challenges.cloudflare.com/turnstile|iframe[^>]*captcha') AS captcha_like,
  coalesce(status IN (403, 429, 503), false) OR (regexp_matches(low, 'captcha|challenge|cloudflare|ddos.protection|access.denied|blocked|robot|bot.detection|verify.you.are.human|please.wait|checking.your.browser|just.a.moment|enable.javascript|ray.id')
