@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from webloom.dom import extract as E
+from webloom.dom.sites import PREPROCESSORS, prepare  # noqa: F401 - the list is what callers extend
 from webloom.dom.tree import Node, parse
 
 BLOCKS = frozenset("p div section article main body html header footer nav aside figure figcaption details summary address dl dt dd fieldset center [document]".split())
@@ -47,50 +48,6 @@ def main_markdown(root: Node, base: str = "", only_main: bool = True, include: l
     return to_markdown(found, base), how
 
 
-#: (detects, rewrites) of site kinds whose markup hides structure; extend by appending.
-PREPROCESSORS: list = []
-
-
-def prepare(root: Node) -> list[str]:
-    """Runs the site preprocessors that recognise the page; their names."""
-    done = []
-    for name, detects, rewrites in PREPROCESSORS:
-        if detects(root):
-            rewrites(root)
-            done.append(name)
-    return done
-
-
-def _generator(root: Node, mark: str) -> bool:
-    return any(m.attrs.get("name") == "generator" and mark in m.attrs.get("content", "").lower() for m in root.every("meta"))
-
-
-def _drop_anchor_marks(root: Node) -> None:
-    for n in root.every("a"):
-        if "headerlink" in n.classes():
-            n.remove()
-
-
-def _number_counters(root: Node) -> None:
-    """Lists numbered by css counters become ordered lists."""
-    for n in root.every("ul"):
-        if "counter-reset" in n.attrs.get("style", "") or "counter" in " ".join(n.classes()):
-            n.name = "ol"
-
-
-def _blocks_to_plain(root: Node) -> None:
-    for n in root.every("figure", "div"):
-        if any(c.startswith("wp-block-") for c in n.classes()):
-            n.name = "div"
-
-
-PREPROCESSORS += [
-    ("mkdocs", lambda r: _generator(r, "mkdocs") or any("md-content" in n.classes() for n in r.walk()), _drop_anchor_marks),
-    ("css_counters", lambda r: any("counter-reset" in n.attrs.get("style", "") or "counter" in " ".join(n.classes()) for n in r.every("ul")), _number_counters),
-    ("wordpress", lambda r: _generator(r, "wordpress") or any(c.startswith("wp-block-") for n in r.walk() for c in n.classes()), _blocks_to_plain),
-]
-
-
 #: Elements nested deeper than this are read as plain text.
 DEEPEST = 120
 

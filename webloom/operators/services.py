@@ -174,9 +174,10 @@ def compile_results(gathered: DataFrame, cut: int = 50_000) -> DataFrame:
     return first.agg(F.concat(F.lit('{"items":['), F.array_join(fitting["items"], ","), F.lit("]}")).alias("compiled"))
 
 
-def agent(responses: DataFrame, raw: DataFrame, model: Callable[[Column], Column], prompt: str, steps: int = 10, urls: tuple[str, ...] = ()) -> DataFrame:
-    """What an agent does between its live calls: the query it asks is ``search.prompt_query`` of its prompt; of the answers (or of ``urls``, where given) it visits the
-    first ``steps`` pages, has the model read each, and compiles what came of it, in the order of visits."""
+def agent(responses: DataFrame, raw: DataFrame, model: Callable[[Column], Column], prompt: str, steps: int = 10, urls: tuple[str, ...] = (), schema: str | None = None) -> DataFrame:
+    """What an agent does between its live calls: the query it asks is ``search.prompt_query`` of its prompt; of the answers (or of ``urls``, where given, each once) it visits the
+    first ``steps`` pages, has the model read each, and compiles what came of it, in the order of visits. With a JSON ``schema`` the model is told of it when it reads, and merges
+    what was gathered into one result of that form; where its answer is no JSON, the items stay as they are, and nothing gathered is an empty object."""
     spark = raw.sparkSession
     if urls:
         visits = spark.createDataFrame(list(enumerate(urls)), "position int, url string")
@@ -185,8 +186,14 @@ def agent(responses: DataFrame, raw: DataFrame, model: Callable[[Column], Column
         visits = found.groupBy("url").agg(F.min(F.struct("search", "ordinal")).alias("at")).orderBy("at", "url").limit(steps)
         visits = visits.select(F.row_number().over(Window.orderBy("at", "url")).alias("position"), "url")
     first = visits.where(F.col("position") <= steps)
-    read = extract_with(batch(first.withColumnRenamed("position", "ordinal"), raw, formats=("markdown",)).where("success"), model, prompt).where("success")
-    return compile_results(read.join(first, "url").select("position", F.to_json(F.struct("url", "data")).alias("data")))
+    conform = f"\n\nOutput must conform to this schema:\n{schema}" if schema else ""
+    read = extract_with(batch(first.withColumnRenamed("position", "ordinal"), raw, formats=("markdown",)).where("success"), model, prompt + conform).where("success")
+    compiled = compile_results(read.join(first, "url").select("position", F.to_json(F.struct("url", "data")).alias("data")))
+    if not schema:
+        return compiled
+    ask = f"Combine the data extracted from several pages into one result without repeats.{conform}\n\nObjective: {prompt}\n\nData:\n"
+    merged = F.coalesce(search.json_salvage(model(F.concat(F.lit(ask), F.col("compiled")))), F.col("compiled"))
+    return compiled.select(F.when(F.col("compiled") == '{"items":[]}', "{}").otherwise(merged).alias("compiled"))
 
 
 #: What a page action may carry.
