@@ -13,7 +13,13 @@ from webloom.streaming import stateful, streams
 
 
 def _place(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    """A folder for a stream's rows and state, which goes when the driver's process ends."""
+    path = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return path
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
