@@ -172,11 +172,11 @@ def probe(answers: DataFrame, least: int = 2) -> DataFrame:
     return answers.select("provider", F.coalesce(F.col("success") & (F.col("results") >= least), F.lit(False)).alias("ok"), F.coalesce("results", F.lit(0)).alias("result_count"), F.lit(least).alias("min_results"), "error")
 
 
-def health(parts: DataFrame) -> DataFrame:
-    """One row from the parts' states (part, needed, ok): healthy if all are, unhealthy if a needed one is not, degraded otherwise."""
+def health(parts: DataFrame, *keys: str) -> DataFrame:
+    """One row, or one for each value of ``keys``, from the parts' states (part, needed, ok): healthy if all are, unhealthy if a needed one is not, degraded otherwise."""
     broken = F.count_if(F.col("needed") & ~F.col("ok"))
     state = F.when(broken > 0, "unhealthy").when(F.count_if(~F.col("ok")) > 0, "degraded").otherwise("healthy")
-    return parts.agg(state.alias("status"), F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("part")))).alias("failing"))
+    return parts.groupBy(*keys).agg(state.alias("status"), F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("part")))).alias("failing"))
 
 
 def run_id(now: Column, sha: Column) -> Column:

@@ -118,9 +118,8 @@ def bucketed(found: DataFrame) -> DataFrame:
 
 def json_salvage(text: Column) -> Column:
     """The JSON of a model's answer: the whole of it, or a fenced block; null if none parses."""
-    whole = F.trim(F.regexp_replace(text, r"^\s+|\s+$", ""))
-    fenced = F.trim(F.regexp_extract(text, r"(?s)```json(.*?)```", 1))
-    plain = F.trim(F.regexp_extract(text, r"(?s)```[^\n]*\n(.*?)```", 1))
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    whole, fenced, plain = bare(text), bare(F.regexp_extract(text, r"(?s)```json(.*?)```", 1)), bare(F.regexp_extract(text, r"(?s)```[^\n]*\n(.*?)```", 1))
     ok = lambda c: F.when((c != "") & F.try_parse_json(c).isNotNull(), c)
     return F.coalesce(ok(whole), ok(fenced), ok(plain))
 
@@ -182,6 +181,11 @@ def page_of(rows: DataFrame, order: str, offset: int, size: int = 10) -> DataFra
     return rows.orderBy(order).offset(offset).limit(size)
 
 
+def next_page(totals: DataFrame, offset: int, size: int = 10, base_url: str = "") -> DataFrame:
+    """Jobs (job, total) with the address of the page behind that from ``offset``; null where there is none."""
+    return totals.select("job", "total", F.when(F.col("total") > offset + size, F.concat(F.lit(base_url), F.col("job").cast("string"), F.lit(f"?offset={offset + size}"))).alias("next"))
+
+
 def batch_rollup(results: DataFrame, continue_on_error: bool = True) -> DataFrame:
     failed = F.count_if(~F.col("success"))
     return results.agg(F.count_if("success").alias("succeeded"), failed.alias("failed"), (F.lit(continue_on_error) & (failed > 0)).alias("partial"), F.bool_and("success").alias("all_success"))

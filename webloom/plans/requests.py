@@ -10,6 +10,7 @@ from webloom.functions import urls as U
 from webloom.operators import benchmark as B
 from webloom.operators import discovery, outputs
 from webloom.operators import requests as R
+from webloom.operators import search as Search
 from webloom.operators import services as S
 from webloom.plans.addresses import ROBOTS
 from webloom.plans.benchmarking import _SCORE, cases
@@ -134,7 +135,55 @@ def service_agent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compiled.select(F.posexplode(items).alias("place", "x")).select("place", "x.url", "x.data")
 
 
+def request_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which calls may try a plain request before a browser; a line of an order is a call."""
+    c = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", "CASE l_partkey % 7 WHEN 0 THEN array('markdown', 'screenshot') WHEN 1 THEN array('pdf') ELSE array('markdown') END AS formats",
+        "CASE WHEN l_quantity < 5 THEN array('click') WHEN l_quantity < 10 THEN CAST(array() AS ARRAY<STRING>) END AS actions", "CASE l_returnflag WHEN 'A' THEN 'camoufox' WHEN 'R' THEN 'playwright' END AS engine",
+        "CASE l_linestatus WHEN 'F' THEN CASE WHEN l_tax > 0.06 THEN 'phone' END END AS device", "CASE WHEN l_discount > 0.08 THEN true WHEN l_discount > 0.04 THEN false END AS stealth",
+    )
+    return c.select("l_orderkey", "l_linenumber", S.http_first(*[F.col(k) for k in ("formats", "actions", "engine", "device", "stealth")]).alias("plain"))
+
+
+def request_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The health of every customer's engine: its parts are orders, urgent ones needed, open ones broken."""
+    o = table(spark, sf_dir, "orders").selectExpr("o_custkey", "CAST(o_orderkey AS STRING) AS part", "o_orderpriority LIKE '1%' AS needed", "o_orderstatus <> 'O' AS ok")
+    return R.health(o, "o_custkey").select("o_custkey", "status", F.size("failing").cast("long").alias("failing"))
+
+
+def search_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many results a search may ask for, of any number wished."""
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", Search.clamp((F.col("l_quantity") - 20).cast("int")).alias("results"))
+
+
+def bench_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A judge's raw scores, some out of range, held within it, with the mean by language."""
+    d = table(spark, sf_dir, "documents").select("lang", B.judge_score((F.col("n_chars") % 140 - 20).cast("double")).alias("score"))
+    return d.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.min("score").alias("least"), F.max("score").alias("most"))
+
+
+def service_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extraction over all documents; the model answers by a text's length: fenced, bare, or with no JSON at all."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("url"), F.col("text").alias("markdown"))
+    size = lambda text: F.length(text) - F.length(F.lit("Count\n\n"))
+    model = lambda text: F.when(size(text) % 3 == 0, F.concat(F.lit("Here:\n```json\n{\"n\": "), size(text).cast("string"), F.lit("}\n```"))).when(size(text) % 3 == 1, F.concat(F.lit(' {"n": '), size(text).cast("string"), F.lit("} "))).otherwise("none")
+    return S.extract_with(d, model, "Count").select("url", "data", "success")
+
+
+def service_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model is asked to summarise of every document."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("url"), F.col("text").alias("markdown"))
+    return S.summary_request(d, max_length=80, focus="prices").select("url", F.md5("prompt").alias("prompt"))
+
+
+def job_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every customer's next page of orders is, behind the first ten."""
+    totals = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("job")).agg(F.count("*").alias("total"))
+    return Search.next_page(totals, 0, 10, "https://x.example/v1/jobs/")
+
+
 QUERIES = {f.__name__: f for f in (
+    request_plain, request_health, search_limits, bench_judged, service_extract, service_summary, job_next,
     request_frames, request_rules, request_errors, request_config, request_alerts, request_queue, request_sources, search_heads, sitemap_places, sitemap_recent, job_admission, bench_report, crawl_output, scrape_output,
     service_agent,
 )}
@@ -143,6 +192,15 @@ _ORIGIN = "regexp_extract(url, '^([a-z]+)', 1) || '://' || lower(regexp_replace(
 _QUOTE = lambda s: "'" + s.replace("'", "''") + "'"
 
 ORACLES = {
+    "request_plain": """SELECT l_orderkey, l_linenumber, l_partkey % 7 > 1 AND l_quantity >= 5 AND l_returnflag <> 'A' AND NOT (l_linestatus = 'F' AND l_tax > 0.06) AND l_discount <= 0.08 AS plain FROM lineitem""",
+    "request_health": """SELECT o_custkey, CASE WHEN bool_or(o_orderpriority LIKE '1%' AND o_orderstatus = 'O') THEN 'unhealthy' WHEN bool_or(o_orderstatus = 'O') THEN 'degraded' ELSE 'healthy' END AS status,
+ count(*) FILTER (o_orderstatus = 'O') AS failing FROM orders GROUP BY 1""",
+    "search_limits": "SELECT l_orderkey, l_linenumber, least(10, greatest(1, trunc(l_quantity)::INT - 20)) AS results FROM lineitem",
+    "bench_judged": """WITH s AS (SELECT lang, least(100.0, greatest(0.0, n_chars % 140 - 20))::DOUBLE AS score FROM documents)
+ SELECT lang, count(*) AS n, round(avg(score), 6) AS mean, min(score) AS least, max(score) AS most FROM s GROUP BY 1""",
+    "service_extract": """SELECT doc_id::VARCHAR AS url, CASE WHEN length(text) % 3 < 2 THEN '{"n": ' || length(text) || '}' END AS data, length(text) % 3 < 2 AS success FROM documents""",
+    "service_summary": "SELECT doc_id AS url, md5('Summarise the content below in at most 80 words, with a focus on prices.' || chr(10) || chr(10) || left(text, 10000)) AS prompt FROM documents",
+    "job_next": "SELECT o_custkey AS job, count(*) AS total, CASE WHEN count(*) > 10 THEN 'https://x.example/v1/jobs/' || o_custkey || '?offset=10' END AS next FROM orders GROUP BY 1",
     "request_frames": f"""WITH f AS (SELECT user_id AS page, event_id AS ordinal, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS place FROM events
  WHERE event_id % 7 <> 0 AND event_id % 4 = 0 AND event_id % 11 <> 0 AND (event_id % 5 = 0 OR event_id % 40 > 5)) SELECT page, ordinal, place::INT AS place FROM f WHERE place <= {R.MAX_FRAMES}""",
     "request_rules": "SELECT page_id, page_id % 3 <> 0 AND page_id % 4 <> 0 AND page_id % 5 <> 0 AS memory, page_id % 2 = 1 AND page_id % 4 <> 0 AS cache FROM pages",

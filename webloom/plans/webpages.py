@@ -194,8 +194,13 @@ def service_diagnose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "cdn", "framework", "requires_js", "engine", "stealth_mode", "wait_for", "captcha_solving", "proxy", "auth_required", "reason")
 
 
+def page_platform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The site builder whose mark a page bears."""
+    return table(spark, sf_dir, "pages").select("page_id", S.platform(F.when(F.col("page_id") % 3 == 0, F.concat("html", F.lit('<script src="https://assets.Foleon.com/x.js">'))).otherwise(F.col("html"))).alias("platform"))
+
+
 QUERIES = {f.__name__: f for f in (
-    page_detectors, page_quality, page_verdicts, page_javascript, page_cdn, page_diagnose, page_captcha, page_failures, page_expectations, page_titles, page_scrape, page_readable, page_reference, page_counts, page_bench, page_sections_bm25, page_selector,
+    page_platform, page_detectors, page_quality, page_verdicts, page_javascript, page_cdn, page_diagnose, page_captcha, page_failures, page_expectations, page_titles, page_scrape, page_readable, page_reference, page_counts, page_bench, page_sections_bm25, page_selector,
     page_actions, service_scrape, service_batch, service_crawl, service_diagnose,
 )}
 
@@ -217,6 +222,7 @@ _JS = r"""b AS (SELECT *, regexp_extract(html, '(?is)<body[^>]*>(.*?)</body>', 1
  j AS (SELECT *, (framework IS NOT NULL AND length(html) < 5000) OR (regexp_matches(html, '(?is)<body[^>]*>.*?</body>') AND (shown < 100 OR (shown < 500 AND scripts >= 3 * shown))) AS needs_js FROM t)"""
 
 ORACLES = {
+    "page_platform": "SELECT page_id, CASE WHEN page_id % 3 = 0 OR regexp_matches(lower(html), 'foleon') THEN 'foleon' END AS platform FROM pages",
     "page_counts": """WITH p AS (SELECT page_id, regexp_replace(html, '<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'gs') AS h FROM pages)
  SELECT page_id, len(regexp_extract_all(h, '<h[1-6][ >]'))::BIGINT AS headings, len(regexp_extract_all(h, '<table[ >]'))::BIGINT AS tables, len(regexp_extract_all(h, '<(?:pre|code)[ >]'))::BIGINT AS code,
  len(regexp_extract_all(h, '<img[ >]'))::BIGINT AS images, len(regexp_extract_all(h, '<a[ >]'))::BIGINT AS links, false AS reference_error FROM p""",
