@@ -69,16 +69,16 @@ def hashed(words: list[bytes], memo: _Hashes) -> np.ndarray:
     return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 
-def seeds_of(tokens: np.ndarray, span: int) -> Iterator[np.ndarray]:
-    """Per mask the hashes of all windows of ``span`` tokens."""
-    n = len(tokens) - span + 1
-    if n <= 0:
+def seeds_of(tokens: np.ndarray, span: int, starts: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Per mask the hashes of the windows of ``span`` tokens that begin at ``starts`` (None: of all)."""
+    n = max(0, len(tokens) - span + 1)
+    if not (n if starts is None else len(starts)):
         return
     parts = []
     for block in blocks_of(span):
-        part = np.zeros(n, np.uint64)
+        part = np.zeros(n if starts is None else len(starts), np.uint64)
         for k in block:
-            part += tokens[k : k + n] * _FACTORS[k]
+            part += (tokens[k : k + n] if starts is None else tokens[starts + k]) * _FACTORS[k]
         parts.append(part)
     for number, mask in enumerate(masks_of(span)):
         out = parts[mask[0]] + np.uint64((span << 16 | number) * 0x9E3779B1)
@@ -87,12 +87,35 @@ def seeds_of(tokens: np.ndarray, span: int) -> Iterator[np.ndarray]:
         yield out * _MIX
 
 
-def whole_of(tokens: np.ndarray, span: int) -> np.ndarray:
-    """The hash of every window, no token left out."""
-    n = max(0, len(tokens) - span + 1)
-    out = np.full(n, span, np.uint64)
-    for k in range(span if n else 0):
-        out += tokens[k : k + n] * _FACTORS[k + 32]
+def run_of(span: int) -> int:
+    """So many tokens in a row are equal in any window with enough equal ones: the others part them into one run more than there are of them."""
+    return math.ceil(needed(span) / (span - needed(span) + 1))
+
+
+def grams_of(tokens: np.ndarray, span: int) -> np.ndarray:
+    """The hashes of all runs of ``run_of`` tokens, told apart by span."""
+    n = max(0, len(tokens) - run_of(span) + 1)
+    out = np.full(n, (span << 32) * 0x9E3779B1 % 2**64, np.uint64)
+    for k in range(run_of(span) if n else 0):
+        out += tokens[k : k + n] * _FACTORS[k + 16]
+    return out * _MIX
+
+
+def likely(tokens: np.ndarray, span: int, bits: int, filled: np.ndarray) -> np.ndarray:
+    """The windows that hold a run which the filter knows: all that can have enough equal tokens, and far fewer than all."""
+    n, reach = max(0, len(tokens) - span + 1), span - run_of(span)
+    change = np.zeros(len(tokens) + 2, np.int64)
+    at = _found(bits, filled, grams_of(tokens, span))
+    np.add.at(change, np.maximum(at - reach, 0), 1)
+    np.add.at(change, at + 1, -1)
+    return np.flatnonzero(np.cumsum(change)[:n] > 0)
+
+
+def whole_of(tokens: np.ndarray, span: int, starts: np.ndarray) -> np.ndarray:
+    """The hashes of the windows that begin at ``starts``, no token left out."""
+    out = np.full(len(starts), span, np.uint64)
+    for k in range(span if len(starts) else 0):
+        out += tokens[starts + k] * _FACTORS[k + 32]
     return out * _MIX
 
 
@@ -102,8 +125,8 @@ def _lists(rows: np.ndarray) -> pa.ListArray:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """Every window of every item: item_id, at, span, w (a hash of the tokens), tokens and seeds."""
-    names = ["item_id", "at", "span", "w", "tokens", "seeds"]
+    """Every window of every item: item_id, at, span, w (a hash of the tokens), tokens, seeds and grams (the window's runs)."""
+    names = ["item_id", "at", "span", "w", "tokens", "seeds", "grams"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Hashes()
@@ -116,14 +139,15 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
                 n = len(tokens) - span + 1
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([item] * n, pa.int64()), pa.array(np.arange(n)), pa.array(np.full(n, span, np.int32)), pa.array(whole_of(tokens, span).view(np.int64)),
+                        pa.array([item] * n, pa.int64()), pa.array(np.arange(n)), pa.array(np.full(n, span, np.int32)), pa.array(whole_of(tokens, span, np.arange(n)).view(np.int64)),
                         _lists(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(tokens, span))), _lists(np.stack(list(seeds_of(tokens, span)), axis=1)),
+                        _lists(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(grams_of(tokens, span), span - run_of(span) + 1))),
                     ],
                     names=names,
                 )
 
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    return rows.mapInArrow(run, "item_id long, at long, span int, w long, tokens array<long>, seeds array<long>")
+    return rows.mapInArrow(run, "item_id long, at long, span int, w long, tokens array<long>, seeds array<long>, grams array<long>")
 
 
 def _probes(seeds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,8 +156,8 @@ def _probes(seeds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def seed_filter(windows: DataFrame) -> np.ndarray:
-    """A Bloom filter of all seeds, eight bits a byte. The driver sees the filter's filled words only, never the seeds."""
-    seeds = windows.select(F.explode("seeds").alias("s"))
+    """A Bloom filter of all seeds and of the runs of tokens, eight bits a byte. The driver sees the filter's filled words only, never the seeds."""
+    seeds = windows.select(F.explode(F.concat("seeds", "grams")).alias("s"))
     n = seeds.count()
     bits = min(BLOOM, max(13, math.ceil(math.log2(n + 1)) + 8))
 
@@ -183,10 +207,10 @@ def document_windows(docs: DataFrame, spans: list[int], filled: np.ndarray) -> D
                 for span in spans:
                     for low in range(0, len(flat), CHUNK):
                         part = flat[low : low + CHUNK + span - 1]
-                        places, seeds = [], []
-                        for s in seeds_of(part, span):
+                        places, seeds, starts = [], [], likely(part, span, bits, known)
+                        for s in seeds_of(part, span, starts):
                             at = _found(bits, known, s)
-                            places.append(at)
+                            places.append(starts[at])
                             seeds.append(s[at])
                         if not sum(map(len, places)):
                             continue
@@ -205,7 +229,7 @@ def document_windows(docs: DataFrame, spans: list[int], filled: np.ndarray) -> D
                         yield pa.RecordBatch.from_arrays(
                             [
                                 batch.column(0).take(rows), batch.column(1).take(rows), pa.array(start.astype(np.int64)), pa.array(np.full(len(at), span, np.int32)),
-                                pa.array(whole_of(part, span)[at].view(np.int64)), _lists(windows),
+                                pa.array(whole_of(part, span, at).view(np.int64)), _lists(windows),
                                 pa.ListArray.from_arrays(pa.array(np.append(begin, len(seeds)), pa.int32()), pa.array(seeds[order].view(np.int64))),
                             ],
                             names=["doc_id", "text_hash", "place", "span", "w", "tokens", "seeds"],
