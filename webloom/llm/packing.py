@@ -60,7 +60,7 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         body = word.rstrip(SIGNS)
         # In the tokenizer's normal form a letter may end in a mark, which goes with the signs behind it.
-        if body is not word and body.isalpha() and unicodedata.normalize("NFC", body).lower()[-1].isalpha():
+        if body is not word and body.isalpha() and (body[-1] <= "ÿ" or unicodedata.normalize("NFC", body).lower()[-1].isalpha()):
             ids = self.bodies[body] + self.bodies[word[len(body) :]]
         else:
             ids = self.bodies[word]
