@@ -17,8 +17,9 @@ def test_registry(spark):
 
 def test_imports_without_llm(tmp_path):
     copy = tmp_path / "repo"
-    # The caller's own path stays: packages may come from it.
-    env = os.environ | {"PYTHONPATH": os.pathsep.join([str(copy), *filter(None, [os.environ.get("PYTHONPATH")]), *sys.path[1:]])}
+    # The caller's own path stays, as packages may come from it; this repository does not.
+    others = [p for p in sys.path if p and os.path.abspath(p) != REPO]
+    env = os.environ | {"PYTHONPATH": os.pathsep.join([str(copy), *others])}
     shutil.copytree(REPO, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "spark-warehouse"))
     code = "import __spark_entry__ as e; q = e.queries(); assert not any(n.startswith('op') or n == 'pipeline' for n in q), q; assert set(e.oracle_sql()) <= set(q); print(len(q))"
     done = subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, capture_output=True, text=True)
