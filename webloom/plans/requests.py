@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.functions import detection as D
+from webloom.functions import settings
 from webloom.functions import urls as U
 from webloom.operators import benchmark as B
 from webloom.operators import discovery, outputs
@@ -58,6 +59,15 @@ def request_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", *[c.alias(n) for n, c in R.config(layers).items()])
 
 
+def request_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' stored settings, many of which do not fit: what is in effect for each."""
+    rows = table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS owner", "CASE c_custkey % 5 WHEN 0 THEN 'timeout' WHEN 1 THEN 'engine' WHEN 2 THEN 'stealth' WHEN 3 THEN 'search_rate_limit' ELSE 'colour' END AS name",
+        "CASE c_custkey % 5 WHEN 0 THEN CAST(CAST(c_acctbal AS INT) AS STRING) WHEN 1 THEN CASE WHEN c_nationkey % 2 = 0 THEN 'camoufox' ELSE 'other' END WHEN 2 THEN CASE c_nationkey % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN 'off' ELSE '?' END ELSE CAST(c_nationkey * 10 AS STRING) END AS value",
+    )
+    return settings.judged(rows)
+
+
 def request_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Account failures that warn: a user's errors play a provider's."""
     return R.alerts(table(spark, sf_dir, "events").where("event_type = 'error'").selectExpr("user_id % 7 AS provider", "event_id AS seq", "timestamp_seconds(event_id * 37) AS ts"))
@@ -184,7 +194,7 @@ def job_next(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     request_plain, request_health, search_limits, bench_judged, service_extract, service_summary, job_next,
-    request_frames, request_rules, request_errors, request_config, request_alerts, request_queue, request_sources, search_heads, sitemap_places, sitemap_recent, job_admission, bench_report, crawl_output, scrape_output,
+    request_frames, request_rules, request_errors, request_config, request_settings, request_alerts, request_queue, request_sources, search_heads, sitemap_places, sitemap_recent, job_admission, bench_report, crawl_output, scrape_output,
     service_agent,
 )}
 
@@ -192,6 +202,11 @@ _ORIGIN = "regexp_extract(url, '^([a-z]+)', 1) || '://' || lower(regexp_replace(
 _QUOTE = lambda s: "'" + s.replace("'", "''") + "'"
 
 ORACLES = {
+    "request_settings": """WITH r AS (SELECT c_custkey AS owner, c_custkey % 5 AS k, c_nationkey AS n, trunc(c_acctbal)::INT AS a FROM customer),
+ v AS (SELECT *, CASE k WHEN 0 THEN a::VARCHAR WHEN 1 THEN CASE WHEN n % 2 = 0 THEN 'camoufox' ELSE 'other' END WHEN 2 THEN CASE n % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN 'off' ELSE '?' END ELSE (n * 10)::VARCHAR END AS value,
+ CASE k WHEN 0 THEN a BETWEEN 1000 AND 300000 WHEN 1 THEN n % 2 = 0 WHEN 2 THEN n % 3 < 2 WHEN 3 THEN n * 10 BETWEEN 1 AND 100 ELSE false END AS fits FROM r)
+ SELECT owner, CASE k WHEN 0 THEN 'timeout' WHEN 1 THEN 'engine' WHEN 2 THEN 'stealth' WHEN 3 THEN 'search_rate_limit' ELSE 'colour' END AS name, value, k < 4 AS known, fits,
+ CASE k WHEN 0 THEN CASE WHEN fits THEN value ELSE '30000' END WHEN 1 THEN CASE WHEN fits THEN value END WHEN 2 THEN CASE WHEN n % 3 = 0 THEN 'true' ELSE 'false' END WHEN 3 THEN CASE WHEN fits THEN value END END AS effective FROM v""",
     "request_plain": """SELECT l_orderkey, l_linenumber, l_partkey % 7 > 1 AND l_quantity >= 5 AND l_returnflag <> 'A' AND NOT (l_linestatus = 'F' AND l_tax > 0.06) AND l_discount <= 0.08 AS plain FROM lineitem""",
     "request_health": """SELECT o_custkey, CASE WHEN bool_or(o_orderpriority LIKE '1%' AND o_orderstatus = 'O') THEN 'unhealthy' WHEN bool_or(o_orderstatus = 'O') THEN 'degraded' ELSE 'healthy' END AS status,
  count(*) FILTER (o_orderstatus = 'O') AS failing FROM orders GROUP BY 1""",
