@@ -116,6 +116,20 @@ def test_bags_of_two_texts(spark):
     assert all(tuple(r.x) == tuple(r.y) for r in got) and Counter(r.x.overlap > 0 for r in got)[True] > 100
 
 
+def test_urls_of_a_table_are_fetched(spark):
+    from webloom.sources.providers import PageSource, fetched
+
+    class Stub(PageSource):
+        @staticmethod
+        def fetch(url):
+            return url, f"<p>{url}</p>", None if url.endswith("9") else 200
+
+    urls = spark.range(100).selectExpr("CONCAT('https://a.example/', id % 60) AS url").union(spark.sql("SELECT CAST(NULL AS STRING)"))
+    got = fetched(urls, Stub, parts=4).collect()
+    assert len(got) == 100 and sum(r.status_code is None for r in got) == 10 and all(r.html == f"<p>{r.url}</p>" for r in got)
+    assert fetched(urls.limit(0), Stub).count() == 0
+
+
 def test_summary_trim(spark):
     texts = ["short", "x" * 600, "a. " + "b" * 600, "c." * 300, "", None]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.trimmed_summary(F.col("t"))).collect()]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
@@ -42,6 +44,21 @@ class PageSource(DataSource):
         return FetchReader(self.options.get("urls", "").split(), int(self.options.get("parts", "8")), self.fetch)
 
 
+def fetched(urls: DataFrame, source: type[PageSource], parts: int | None = None) -> DataFrame:
+    """The pages of a table's urls (url), fetched on the executors by ``source``: however many there are, none goes through the driver or an option. With ``parts`` the
+    urls are dealt to so many tasks. A null url: no page. Repeated urls: fetched each."""
+    fetch, schema = source.fetch, source({}).schema()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [fetch(u) for u in batch.column(0).to_pylist()]
+            columns = zip(*rows, strict=True) if rows else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32()), strict=True)], names=["url", "html", "status_code"])
+
+    asked = urls.select("url").where("url IS NOT NULL")
+    return (asked if parts is None else asked.repartition(parts)).mapInArrow(run, schema)
+
+
 class _Asked(InputPartition):
     def __init__(self, queries: list[tuple[int, str]]):
         self.queries = queries
