@@ -79,8 +79,8 @@ def _rates(rows: DataFrame) -> DataFrame:
     rows = rows.select("*", "bags.*").drop("bags")
     share = lambda n: F.when(F.col("overlap") > 0, F.col("overlap") / n).otherwise(0.0)
     rows = rows.withColumn("precision", share(F.col("n_extracted"))).withColumn("recall", share(F.col("n_gold")))
-    p, r = F.col("precision"), F.col("recall")
-    return rows.withColumn("f1", F.when(F.col("overlap") > 0, 2 * p * r / (p + r)).otherwise(0.0))
+    # The harmonic mean of both rates, from the counts: it is rounded once, so that 0.75 is 0.75 and a half falls to the right side.
+    return rows.withColumn("f1", share((F.col("n_extracted") + F.col("n_gold")) / 2))
 
 
 def lcs_length(a: list, b: list) -> int:
