@@ -85,3 +85,15 @@ def test_one_long_burst(spark):
     rows = spark.range(2000).selectExpr("1 AS provider", "id AS seq", "timestamp_seconds(id * 7) AS ts")
     assert requests.alerts(rows).where("alert").count() == -(-2000 * 7 // 301)
     assert requests.alerts(rows.limit(0)).count() == 0
+
+
+def test_fallback_chain_at_one_position(spark):
+    """Calls at one position count by their outcome, then in the table's order, however the rows are dealt."""
+    calls = [
+        ("a", 1, "x", "hard_error", 0), ("a", 1, "y", "results", 1), ("a", 1, "z", "empty", 2), ("b", 1, "x", "hard_error", 0), ("b", 1, "y", "empty", 1), ("c", 2, "x", "empty", 1), ("c", 2, "y", "empty", 0),
+        ("c", 3, "z", "fallback_error", 2), ("d", 5, "b", "results", 0), ("d", 5, "c", "results", 1), ("e", 1, None, "results", 0), ("e", 2, "z", "results", 1),
+    ]
+    want = [("a", "results", "y", 1), ("b", "empty", "y", 1), ("c", "empty", "y", 3), ("d", "results", "c", 5), ("e", "error", None, 1)]
+    for rows in (calls, calls[::-1]):
+        frame = spark.createDataFrame(rows, "search string, position long, provider string, outcome string, row int")
+        assert rows_of(folds.fallback_chain(frame)) == want

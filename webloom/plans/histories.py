@@ -121,6 +121,8 @@ def fold_fallback_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("search"), (F.col("l_linenumber").cast("long") * 1000000 + F.col("l_partkey")).alias("position"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("provider"),
         F.when(F.col("l_quantity") % 5 == 0, "results").when(F.col("l_quantity") % 5 < 3, "empty").when(F.col("l_quantity") % 2 == 0, "hard_error").otherwise("fallback_error").alias("outcome"),
+        # Lines of one number and part are calls at one position; they were made in the table's order.
+        F.struct("_metadata.file_path", "_metadata.row_index").alias("row"),
     )
     return folds.fallback_chain(calls)
 
