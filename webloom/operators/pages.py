@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.dom import extract as E
 from webloom.dom import render as R
 from webloom.dom.markdown import full_markdown, main_markdown, prepare
 from webloom.dom.tree import SelectorError, parse, select
+from webloom.session import written
 
 _META = ["title", "description", "language", "keywords", "robots", "canonical_url", "og_title", "og_description", "og_image", "og_url", "og_site_name", "timezone"]
 _TEXTS, _TEXT = pa.list_(pa.string()), pa.string()
@@ -115,25 +117,41 @@ def matches_selector(html: Column, selector: Column) -> Column:
 
 
 def bm25_sections(sections: DataFrame, query: str, mode: float = 0.5, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """Sections (page, section, text) with their Okapi score within the page and whether they stay; all by aggregation, no page in one task's memory."""
-    from pyspark.sql import Window
-
-    tokens = sections.select("page", "section", F.filter(F.split(F.lower("text"), r"(?U)\s+"), lambda t: t != "").alias("tokens"))
-    sizes = tokens.select("page", "section", F.size("tokens").alias("length"))
-    page = Window.partitionBy("page")
-    some = sizes.where("length > 0").withColumn("n", F.count("*").over(page)).withColumn("mean", F.avg("length").over(page))
-    tf = tokens.select("page", "section", F.explode("tokens").alias("t")).groupBy("page", "section", "t").agg(F.count("*").alias("tf"))
-    term = Window.partitionBy("page", "t")
-    weighted = tf.withColumn("df", F.count("*").over(term)).join(some, ["page", "section"]).withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    floors = weighted.groupBy("page", "t").agg(F.first("raw").alias("raw")).groupBy("page").agg((epsilon * F.avg("raw")).alias("floor"))
-    asked = F.array(*[F.lit(q) for q in query.lower().split()])
-    times = F.size(F.filter(asked, lambda q: q == F.col("t")))
-    scored = (
-        weighted.where(times > 0).join(floors, "page")
-        .withColumn("idf", F.when(F.col("raw") >= 0, F.col("raw")).otherwise(F.col("floor")))
-        .groupBy("page", "section")
-        .agg(F.sum(times * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))).alias("score"))
-    )
-    out = sizes.join(scored, ["page", "section"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    """Sections (page, section, text) with their Okapi score within the page and whether they stay; all by aggregation, no page in one task's memory. Rows of one section
+    are one section's text, and each has a score.
+
+    Of a section only its length and how often it has the words asked for go out. Other words matter by how many sections of the page have them: they are counted on
+    both sides of a shuffle, and a page is left with as many numbers as those counts differ."""
+    asked = Counter(query.lower().split())
+    words = F.filter(F.split(F.lower("text"), r"(?U)\s+"), lambda t: t != "")
+    has = lambda n: F.array(*[n(k) for k in range(len(asked))]).cast("array<long>")
+    times_of = lambda q: F.size(F.filter("tokens", lambda t: t == q))
+    within, page = Window.partitionBy("page", "section"), Window.partitionBy("page")
+    sized = sections.select("page", "section", words.alias("tokens")).select("page", "section", F.size("tokens").alias("length"), *[times_of(q).alias(f"tf{k}") for k, q in enumerate(asked)])
+    placed = sized.repartition("page").withColumn("nth", F.row_number().over(within.orderBy("length")))
+    placed = placed.select("page", "section", "length", "nth", has(lambda k: F.sum(f"tf{k}").over(within)).alias("tf"))
+    some = F.col("length") > 0
+    placed = placed.withColumn("n", F.count_if(some).over(page)).withColumn("mean", F.avg(F.when(some, F.col("length"))).over(page))
+    placed = placed.withColumn("df", has(lambda k: F.count_if((F.col("nth") == 1) & (F.col("tf")[k] > 0)).over(page)))
+
+    terms = sections.select("page", F.explode(F.array_distinct(words)).alias("t"), F.lit(1).alias("sections"))
+    repeated = written(sized.groupBy("page", "section").count().where("count > 1").select("page", "section"))
+    if not repeated.isEmpty():
+        # What several rows of a section have counts once.
+        again = sections.join(repeated, ["page", "section"]).select("page", "section", F.explode(F.array_distinct(words)).alias("t"))
+        terms = terms.unionByName(again.groupBy("page", "section", "t").count().select("page", "t", (1 - F.col("count")).cast("int").alias("sections")))
+    shared = terms.groupBy("page", "t").agg(F.sum("sections").alias("df")).groupBy("page", "df").agg(F.count("*").alias("terms"))
+    shared = shared.groupBy("page").agg(F.collect_list(F.struct("df", "terms")).alias("shared"))
+
+    rarity = lambda n, df: F.log((n - df + 0.5) / (df + 0.5))
+    total = F.aggregate("shared", F.lit(0.0), lambda s, d: s + d["terms"] * rarity(F.col("n"), d["df"]))
+    floor = epsilon * total / F.aggregate("shared", F.lit(0).cast("long"), lambda s, d: s + d["terms"])
+    scored = placed.join(shared, "page", "left").withColumn("floor", floor)
+    parts = F.lit(0.0)
+    for k, times in enumerate(asked.values()):
+        tf, raw = F.col("tf")[k], rarity(F.col("n"), F.col("df")[k])
+        gain = times * F.when(raw >= 0, raw).otherwise(F.col("floor")) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+        parts = parts + F.when(tf > 0, gain).otherwise(0.0)
+    scored = scored.withColumn("score", F.coalesce(F.sum(parts).over(within), F.lit(0.0)))
     best, count = F.max("score").over(page), F.count("*").over(page)
-    return out.select("page", "section", "score", ((count == 1) | (best == 0) | (F.col("score") >= 0.20 * mode * best)).alias("kept"))
+    return scored.select("page", "section", "score", ((count == 1) | (best == 0) | (F.col("score") >= 0.20 * mode * best)).alias("kept"))
