@@ -89,3 +89,10 @@ def test_hashes_and_sliding():
     for width in (1, 2, 7, 96):
         assert repeats.sliding(grams, width, np.minimum, 2**64 - 1).tolist() == [grams[k : k + width].min() for k in range(len(grams) - width + 1)]
         assert repeats.sliding(grams, width, np.maximum, 0).tolist() == [grams[k : k + width].max() for k in range(len(grams) - width + 1)]
+
+
+def test_batches_are_bound_by_bytes(spark):
+    """A thousand regions would be 64 MB in the executor's memory outside its heap, twice a task."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    repeats.remove_repeats(spark.createDataFrame([(1, "x" * 500)], "doc_id long, text string"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == 1 << 22

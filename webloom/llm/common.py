@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -78,12 +80,23 @@ def own_columns(df: DataFrame, without: tuple[str, ...] = ()) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns if c not in without]
 
 
-def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """``df``, with Arrow batches of its session held to ``rows`` rows, so that a Python worker holds few texts at a time."""
+def small_batches(df: DataFrame, rows: int = 1000, size: int | None = None) -> DataFrame:
+    """``df``, with Arrow batches of its session held to ``rows`` rows and about ``size`` bytes, so that a Python worker, and the executor's memory outside its heap, hold
+    few texts at a time."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    if size is not None:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     return df
 
 
+def trim() -> None:
+    """Gives memory that this Python worker has freed back to the system: an idle worker keeps it else for as long as its executor lives."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if (libc := ctypes.CDLL(None)) and hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 
 def light_slices(batch: pa.RecordBatch, text: int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """``batch`` in runs of rows whose texts (column ``text``) have about ``most`` bytes together, or one longer text, so that what a worker

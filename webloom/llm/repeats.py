@@ -5,14 +5,14 @@ suffixes at the borders of repeated passages are dealt to buckets and compared t
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.common import discard, hot_keys, light_slices, materialise, salted_join, small_batches, table
+from webloom.llm.common import discard, hot_keys, light_slices, materialise, salted_join, small_batches, table, trim
 
 #: Length of the repeats that go, in bytes.
 WINDOW = 200
@@ -22,6 +22,8 @@ PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 GRAM, SPREAD = 64, 96
 #: Positions that are hashed together, and the most windows of a region; longer ones are cut into several that overlap by a window.
 CHUNK, PIECE = 1 << 18, 1 << 16
+#: A batch of texts or regions on its way to Python: a region has up to PIECE bytes, a thousand of them would fill the memory outside the heap.
+light = partial(small_batches, size=1 << 22)
 #: Names one text: its hash and its length.
 TEXT = ["key", "size"]
 #: What hashes are for; each kind has random values of its own for the bytes.
@@ -179,6 +181,7 @@ def _parts(batches: Iterator[pa.RecordBatch], texts: int) -> Iterator[tuple[pa.R
     for whole in batches:
         for batch in light_slices(whole, texts, CHUNK):
             yield batch, *bytes_of(batch.column(texts))
+    trim()
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,16 +250,16 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     apart by); a row is a text of its own. Runs may overlap. Complete and, but for equal hashes of different bytes (64 bits inside a block's bucket, 96 bits elsewhere), exact.
 
     Every step's rows are written and its sources deleted, so that the shared folder never holds more than two steps."""
-    marks = _written(small_batches(texts).select(*TEXT, "text").mapInArrow(_mark, MARKS))
+    marks = _written(light(texts).select(*TEXT, "text").mapInArrow(_mark, MARKS))
     names = _written(marks.groupBy("name").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).where("n > 1"))
     own = salted_join(marks.select(*TEXT, "name"), names.select("name"), ["name"], hot=hot_keys(names, ["name"], "rows"))
     own = _written(own.groupBy(*TEXT).agg(F.collect_set("name").alias("names")), marks, names)
-    found = small_batches(salted_join(texts, own, TEXT)).select(*TEXT, "text", "names").mapInArrow(_regions, REGIONS)
+    found = light(salted_join(texts, own, TEXT)).select(*TEXT, "text", "names").mapInArrow(_regions, REGIONS)
     # Copies of a text have the same regions; one stands for all from here on.
     copies = found.groupBy(*TEXT, "start", F.xxhash64("body").alias("hash")).agg(F.any_value("body").alias("body"), F.count("*").alias("copies"))
     regions = _written(copies.select(F.monotonically_increasing_id().alias("region"), *TEXT, "start", "body", "copies"), own)
 
-    stretches = small_batches(regions).select("region", "start", "body", "copies").mapInArrow(_stretches, STRETCHES)
+    stretches = light(regions).select("region", "start", "body", "copies").mapInArrow(_stretches, STRETCHES)
     ranks = _written(stretches.groupBy("name", "stretch").agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.min("region").alias("one")))
     shared = _written(ranks.groupBy("name").agg(F.count("*").alias("stretches")).where("stretches > 1"))
     ranks_of = salted_join(ranks, shared, ["name"], "left", hot=hot_keys(shared, ["name"], "stretches")).where("n > 1 OR stretches > 1")
@@ -266,7 +269,7 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     compare = F.col("shared") & (~F.col("repeated") | (F.col("one") == F.col("region")))
     of_region = joined.groupBy("region").agg(F.collect_set(F.when(F.col("repeated"), F.col("stretch"))).alias("settle"), F.collect_set(F.when(compare, F.col("stretch"))).alias("compare"))
     of_region = _written(of_region, told)
-    taken = small_batches(regions.join(of_region, "region")).select(*TEXT, "start", "body", "copies", "settle", "compare")
+    taken = light(regions.join(of_region, "region")).select(*TEXT, "start", "body", "copies", "settle", "compare")
     suffixes = _written(taken.mapInArrow(_suffixes, SUFFIXES), regions, of_region)
 
     bucket = suffixes.where("stop IS NULL")
@@ -309,7 +312,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             sizes = pa.array([len(t) for t in batch.column(1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(spans, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    joined = small_batches(salted_join(rows, of_text, TEXT, "left")).select("doc_id", "text", "runs")
+    joined = light(salted_join(rows, of_text, TEXT, "left")).select("doc_id", "text", "runs")
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
 
 
