@@ -72,3 +72,10 @@ def test_nothing(spark):
 def test_groups_and_links():
     groups, shared, of_a, of_b = alignment.groups_and_links([1, 2, 3], np.array([2, 5, 6]), [7, 8, 9], np.array([2, 3, 6]))
     assert (groups, shared.tolist(), of_a.tolist(), of_b.tolist()) == (["1|7", "2,3|8,9"], [2, 6], [0, 1, 1, 2], [0, 1, 2, 2])
+
+
+def test_words_are_forgotten_once_encoded():
+    """What comes after the encoding finds no tokenizers and no remembered words in its worker."""
+    alignment.aligner(*alignment.default_tokenizers())
+    alignment.forget()
+    assert alignment.aligner.cache_info().currsize == 0

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.common import light_slices, materialise, small_batches, table
+from webloom.llm.common import light_slices, materialise, small_batches, table, trim
 
 #: Text of a block of documents, whose distinct words and id pairs are listed once. It bounds what a task holds.
 BLOCK_BYTES = 8_000_000
@@ -141,6 +141,13 @@ def aligner(a_path: str, b_path: str) -> Aligner:
     return Aligner(a_path, b_path)
 
 
+def forget() -> None:
+    """Ends a worker's use of the tokenizers and of the words it remembers: once all texts are encoded, they only take room from what comes next."""
+    if aligner.cache_info().currsize:
+        aligner.cache_clear()
+        trim()
+
+
 ENCODED = (
     "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, words binary, "
     "link_slots binary, links_each binary, stripe int, first long, n_cells long, cells binary, counts binary"
@@ -222,8 +229,10 @@ def encode(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 at, block = at + 1, _Block(made)
         if block.docs:
             yield from block.rows(at)
+        del block
+        trim()
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ENCODED)
+    return small_batches(docs, size=1 << 22).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ENCODED)
 
 
 def _by_stripe(rows: DataFrame, keys: list[str], order: list[str], run: Callable, schema: str) -> DataFrame:
@@ -232,12 +241,13 @@ def _by_stripe(rows: DataFrame, keys: list[str], order: list[str], run: Callable
     at = [rows.columns.index(k) for k in keys]
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         stream = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns], strict=True))
         for key, group in groupby(stream, key=lambda r: tuple(r[i] for i in at)):
             for made in run(key, group):
                 yield pa.RecordBatch.from_arrays([pa.array([v], TYPES[t]) for v, (_, t) in zip(made, columns, strict=True)], names=[c for c, _ in columns])
 
-    return small_batches(rows, 64).repartition(*keys).sortWithinPartitions(*order).mapInArrow(over, schema)
+    return small_batches(rows, 64, 1 << 22).repartition(*keys).sortWithinPartitions(*order).mapInArrow(over, schema)
 
 
 @lru_cache(maxsize=1)
@@ -319,6 +329,8 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     figures = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        forget()
+        dense_block.cache_clear()
         parts = sorted((r["first"], r["counts"], r["best"]) for r in right.to_pylist() if r["first"] is not None)
         words = next((r for r in right.to_pylist() if r["link_slots"] is not None), None)
         sums, bests = np.zeros(left.num_rows, np.int64), np.zeros(left.num_rows, np.int64)
