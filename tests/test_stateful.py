@@ -3,9 +3,12 @@
 import datetime
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tests.helpers import same_rows
+from webloom import plans
 from webloom.operators import folds
 from webloom.streaming import stateful
 
@@ -90,3 +93,20 @@ def test_no_rows(spark, tmp_path):
     query = stateful.job_stream(source).writeStream.format("memory").queryName("none").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("none").agg(F.count("*")).first()[0] == 0
+
+
+@pytest.mark.parametrize(("name", "hours"), [("stream_jobs", 24), ("stream_crawl", 48)])
+def test_parts_of_a_millisecond(spark, tmp_path, name, hours):
+    """Lives that end within a millisecond of the key's next event or of the last watermark, against the query's SQL."""
+    start, life = "TIMESTAMP '2024-01-01 00:00:00.500'", f"INTERVAL {hours} HOUR"
+    places = [-1600, -1100, -900, -600, -500, -400, -1, 0, 1, 400, 499, 500, 501, 900, 1100, 1600]
+    # Two events a user, a life apart but for parts of milliseconds; users with one event, a life before the watermark; the last event of all.
+    pairs = [(len(places) * k + j, a, b) for k, a in enumerate(places) for j, b in enumerate(places)]
+    rows = [f"({2 * u}, {start} + INTERVAL ({a}) MICROSECOND, {u}), ({2 * u + 1}, {start} + {life} + INTERVAL ({b}) MICROSECOND, {u})" for u, a, b in pairs]
+    rows += [f"({9000 + k}, {start} + {life} + INTERVAL ({a}) MICROSECOND, {1000 + k})" for k, a in enumerate(places)]
+    rows.append(f"(9999, {start} + {life} + {life} + INTERVAL 10 MINUTE + INTERVAL 1 MICROSECOND, 5000)")
+    events = f"SELECT id::BIGINT AS event_id, ts, u::BIGINT AS user_id, CASE WHEN id % 2 = 0 THEN 'view' ELSE 'error' END AS event_type, 1.0::DOUBLE AS value, '{{}}' AS props FROM (VALUES {', '.join(rows)}) t(id, ts, u)"
+    duckdb.sql(f"COPY ({events}) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    same_rows(plans.QUERIES[name](spark, str(tmp_path)), con, plans.ORACLES[name])

@@ -83,7 +83,9 @@ def stateful(rows: DataFrame, key: str, processor: Remembering, schema: str, lat
     timers are kept in, which is set for the session."""
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     kind = rows.schema[key].dataType.simpleString()
-    timed = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    # Whole milliseconds, rounded as in the SQL twins: rows, timers and the watermark, which would cut off what is below a millisecond, count alike.
+    rounded = F.timestamp_micros(F.round(F.unix_micros(F.col("ts").cast("timestamp")), -3))
+    timed = rows.withColumn("ts", rounded).withWatermark("ts", late)
     # Milliseconds as a number: exact in pandas, and what timers count in.
     processor.key = key
     out = timed.withColumn("ms", F.unix_millis("ts")).groupBy(key).transformWithStateInPandas(processor, f"`{key}` {kind}, ms long, {schema}", "Append", "EventTime")
