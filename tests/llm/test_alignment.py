@@ -79,3 +79,16 @@ def test_words_are_forgotten_once_encoded():
     alignment.aligner(*alignment.default_tokenizers())
     alignment.forget()
     assert alignment.aligner.cache_info().currsize == 0
+
+
+def test_words_are_encoded_in_runs(monkeypatch):
+    """Words go to the tokenizers many at a time, with the same tokens as one by one; words whose bytes a tokenizer loses, and line ends, are found among them."""
+    made, seen = alignment.Aligner(*alignment.default_tokenizers()), []
+    encode = made.encode
+    monkeypatch.setattr(made, "encode", lambda runs: seen.append(len(runs)) or encode(runs))
+    words = [(" ", "\n")[k % 7 == 0] + w + str(k) for k in range(640) for w in [("aus", "don't", "\u6f22\u5b57", "<s>", "-", "x")[k % 6]]]
+    words[71] = " a\u2581b"
+    together = made.align(words, alignment.RUN)
+    assert seen == [10, alignment.RUN]
+    assert together == [made.align([w], 1)[0] for w in words]
+    assert [w for w, x in zip(words, together, strict=True) if not x.fits] == [w for w in words if "\u2581" in w] != []

@@ -27,9 +27,11 @@ STRIPE = 64
 CELLS = 2**25
 #: Words whose encoding a worker remembers, in two halves of so many, and the longest of them; it forgets the half not met of late when there are more.
 MEMO, MEMO_CHARS = 150_000, 64
+#: Words that go to the tokenizers as one text.
+RUN = 64
 #: What no cut may stand beside: white space by any definition in use, and the sign that stands for a space.
 SPACES = "\\s\u180e\u2581"
-UNSAFE = re.compile(f"[{SPACES}][{SPACES}]|^[{SPACES}]|[{SPACES}]$|[^\\S \n]|[\u180e\u2581]")
+ODD = re.compile("[\u180e\u2581%s]" % "".join(c for c in map(chr, range(0x110000)) if c.isspace() and c not in " \n"))
 SAFE_SPACE = re.compile(f"(?<=[^{SPACES}]) (?=[^{SPACES}])")
 
 
@@ -40,6 +42,11 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+def unsafe(text: str) -> bool:
+    """Whether a text has two of SPACES in a row, one at an end, or one that is neither a space nor a line end."""
+    return text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or ODD.search(text) is not None
+
+
 class Aligned(NamedTuple):
     """A stretch of text that both tokenizers cut off: counts, its groups as text and its links as codes ``B id * width + A id``, 8 bytes each.
     ``fits`` is false where bytes are lost."""
@@ -52,15 +59,20 @@ class Aligned(NamedTuple):
     links: bytes = b""
 
 
-def groups_and_links(a_ids: list[int], a_ends: np.ndarray, b_ids: list[int], b_ends: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """For tokens of the same bytes, by ids and where each ends: the groups between shared ends as text and where they end, and for every stretch between
-    two ends of either side the one A and the one B token that overlap there, as places in ``a_ids`` and ``b_ids``."""
+def places(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For tokens of the same bytes, by where each ends: where both sides end together, which cuts them into groups, the A and the B tokens up to
+    each such end, and for every stretch between two ends of either side the one A and the one B token that overlap there."""
     shared = np.intersect1d(a_ends, b_ends, assume_unique=True)
+    ends = np.union1d(a_ends, b_ends)
+    return shared, np.searchsorted(a_ends, shared) + 1, np.searchsorted(b_ends, shared) + 1, np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+
+
+def groups_and_links(a_ids: list[int], a_ends: np.ndarray, b_ids: list[int], b_ends: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """``places`` with the groups as text: them, where they end, and the overlapping tokens as places in ``a_ids`` and ``b_ids``."""
+    shared, a_cuts, b_cuts, of_a, of_b = places(a_ends, b_ends)
     a_text, b_text = list(map(str, a_ids)), list(map(str, b_ids))
-    a_cuts, b_cuts = ((np.searchsorted(ends, shared) + 1).tolist() for ends in (a_ends, b_ends))
     groups = [f"{','.join(a_text[i:j])}|{','.join(b_text[k:m])}" for i, j, k, m in zip([0, *a_cuts], a_cuts, [0, *b_cuts], b_cuts, strict=False)]
-    ends = np.union1d(a_ends, b_ends)
-    return groups, shared, np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+    return groups, shared, of_a, of_b
 
 
 class Aligner:
@@ -85,53 +97,88 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(pieces)]
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+        #: Each id as text with what can follow it in a group, and how long that is: a comma, or the sign for the end of a side.
+        ids = range(max(self.width, len(pieces)))
+        self.texts = np.array([f"{i}{sign}" for i in ids for sign in ",|;"], object)
+        self.text_sizes = np.array([len(t) for t in self.texts], np.int64)
         #: Words met since half of the memo was last dropped, and those met before and not since.
         self.young: dict[str | tuple[str], Aligned] = {}
         self.old: dict[str | tuple[str], Aligned] = {}
 
-    def together(self, a: list[list[int]], b: list[list[int]], raws: list[bytes]) -> list[Aligned]:
-        """The words of which both sides' tokens are given, aligned by one pass over all of their tokens."""
-        a_ids, b_ids = list(chain.from_iterable(a)), list(chain.from_iterable(b))
-        if not b"".join(map(self.a_bytes.__getitem__, a_ids)) == b"".join(raws) == b"".join(map(self.b_bytes.__getitem__, b_ids)):
-            fits = [b"".join(map(self.a_bytes.__getitem__, x)) == raw == b"".join(map(self.b_bytes.__getitem__, y)) for x, y, raw in zip(a, b, raws, strict=True)]
-            if not all(fits):
-                good = iter(self.together(*[[v for v, f in zip(side, fits, strict=True) if f] for side in (a, b, raws)]))
-                return [next(good) if f else Aligned(False) for f in fits]
-        if not raws:
-            return []
-        a_ends, b_ends, ends = np.cumsum(self.a_sizes[a_ids]), np.cumsum(self.b_sizes[b_ids]), np.cumsum([len(r) for r in raws])
-        groups, shared, of_a, of_b = groups_and_links(a_ids, a_ends, b_ids, b_ends)
-        codes = np.array(b_ids, np.int64)[of_b] * self.width + np.array(a_ids, np.int64)[of_a]
+    def together(self, a_ids: np.ndarray, b_ids: np.ndarray, ends: np.ndarray) -> list[Aligned]:
+        """Words aligned by one pass over all of their tokens, whose bytes are theirs; ``ends`` has where each word ends, as a token of either side does."""
+        a_ends, b_ends = np.cumsum(self.a_sizes[a_ids]), np.cumsum(self.b_sizes[b_ids])
+        shared, a_cuts, b_cuts, of_a, of_b = places(a_ends, b_ends)
+        codes = b_ids[of_b] * self.width + a_ids[of_a]
+        # The groups' text: a group's A tokens, then its B tokens, each with the sign after it.
+        n_a, n_b = np.diff(a_cuts, prepend=0), np.diff(b_cuts, prepend=0)
+        a_signs, b_signs = np.zeros(len(a_ids), np.int64), np.zeros(len(b_ids), np.int64)
+        a_signs[a_cuts - 1], b_signs[b_cuts - 1] = 1, 2
+        order = np.empty(len(a_ids) + len(b_ids), np.int64)
+        order[np.arange(len(a_ids)) + np.repeat(b_cuts - n_b, n_a)] = 3 * a_ids + a_signs
+        order[np.arange(len(b_ids)) + np.repeat(a_cuts, n_b)] = 3 * b_ids + b_signs
+        text, text_ends = "".join(self.texts[order].tolist()), np.cumsum(self.text_sizes[order])
         # A link lies where the nearer of its tokens' ends is.
-        link_cuts = 8 * (np.searchsorted(np.minimum(a_ends[of_a], b_ends[of_b]), ends) + 1)
-        group_cuts, link_cuts, codes = (np.searchsorted(shared, ends) + 1).tolist(), link_cuts.tolist(), codes.tobytes()
+        link_cuts = (8 * (np.searchsorted(np.minimum(a_ends[of_a], b_ends[of_b]), ends) + 1)).tolist()
+        group_cuts, a_words, b_words = (np.searchsorted(v, ends) + 1 for v in (shared, a_ends, b_ends))
+        text_cuts, codes = text_ends[a_words + b_words - 1].tolist(), codes.tobytes()
+        counts = (np.diff(v, prepend=0).tolist() for v in (a_words, b_words, group_cuts))
         return [
-            Aligned(True, len(x), len(y), g1 - g0, ";".join(groups[g0:g1]), codes[c0:c1])
-            for x, y, g0, g1, c0, c1 in zip(a, b, [0, *group_cuts], group_cuts, [0, *link_cuts], link_cuts, strict=False)
+            Aligned(True, x, y, g, text[t0 : t1 - 1], codes[c0:c1])
+            for x, y, g, t0, t1, c0, c1 in zip(*counts, [0, *text_cuts], text_cuts, [0, *link_cuts], link_cuts, strict=False)
         ]
 
+    def encode(self, runs: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Both sides' ids of each run of text, which has the space that A gets before it unless it begins with a line end."""
+        a = [x.ids for x in self.a.encode_batch_fast(runs, add_special_tokens=False)]
+        # B puts a space before all it gets; a line end never merges with it.
+        b = self.b.encode([r if r[0] == "\n" else r[1:] for r in runs], num_threads=1)
+        return a, [x[1:] if r[0] == "\n" else x for x, r in zip(b, runs, strict=True)]
+
+    def align(self, words: list[str], many: int) -> list[Aligned]:
+        """Words with the space before them, or their line end, encoded ``many`` at a time, as they would stand in a text; where bytes are lost, one by one."""
+        parts = [words[k : k + many] for k in range(0, len(words), many)]
+        runs = ["".join(p) for p in parts]
+        a, b = self.encode(runs)
+        of_a, of_b = self.a_bytes.__getitem__, self.b_bytes.__getitem__
+        raw = "".join(runs).encode()
+        fits = [True] * len(runs)
+        if not b"".join(map(of_a, chain.from_iterable(a))) == raw == b"".join(map(of_b, chain.from_iterable(b))):
+            fits = [b"".join(map(of_a, x)) == r.encode() == b"".join(map(of_b, y)) for x, y, r in zip(a, b, runs, strict=True)]
+        good = [p for p, f in zip(parts, fits, strict=True) if f]
+        ids = [np.fromiter(chain.from_iterable(x for x, f in zip(side, fits, strict=True) if f), np.int64) for side in (a, b)]
+        sizes = [len(w) if w.isascii() else len(w.encode()) for p in good for w in p]
+        made = iter(self.together(*ids, np.cumsum(sizes)) if good else ())
+        lost = [w for p, f in zip(parts, fits, strict=True) if not f for w in p]
+        singly = iter(self.align(lost, 1) if lost and many > 1 else [Aligned(False)] * len(lost))
+        return list(chain.from_iterable(islice(made if f else singly, len(p)) for p, f in zip(parts, fits, strict=True)))
+
     def look_up(self, keys: list[str | tuple[str]]) -> list[Aligned]:
-        """The words of ``keys``, from the memo or encoded together."""
+        """The words of ``keys``, which are there once each, from the memo or encoded together."""
         if len(self.young) > MEMO:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
-        young.update({k: old[k] for k in keys if k in old})
-        missing = [k for k in keys if k not in young]
-        texts = [k[0] if isinstance(k, tuple) else k for k in missing]
-        after_line = [t is k and t.startswith("\n") for k, t in zip(missing, texts, strict=True)]
-        whole = [t if line else " " + t for t, line in zip(texts, after_line, strict=True)]
-        a = [x.ids for x in self.a.encode_batch(whole, add_special_tokens=False)]
-        # B puts a space before all it gets; a line end never merges with it.
-        b = [x[1:] if line else x for x, line in zip(self.b.encode(texts, num_threads=1), after_line, strict=True)]
-        made = dict(zip(missing, self.together(a, b, [t.encode() for t in whole]), strict=True))
-        out = [made.get(k) or young[k] for k in keys]
-        young.update({k: v for (k, v), t in zip(made.items(), texts, strict=True) if len(t) <= MEMO_CHARS})
-        return out
+        known, missing = [], []
+        for k in keys:
+            if (word := young.get(k)) is None:
+                if (word := old.get(k)) is None:
+                    missing.append(k)
+                else:
+                    young[k] = word
+            known.append(word)
+        plain = [k for k in missing if type(k) is str]
+        stretches = [k for k in missing if type(k) is tuple]
+        plain_made = self.align([k if k[0] == "\n" else " " + k for k in plain], RUN)
+        made = [(plain, plain_made), (stretches, self.align([" " + k[0] for k in stretches], 1))]
+        for new, words in made:
+            young.update((k, w) for k, w in zip(new, words, strict=True) if len(k if type(k) is str else k[0]) <= MEMO_CHARS)
+        of_plain, of_stretches = (iter(words) for _, words in made)
+        return [w if w is not None else next(of_plain if type(k) is str else of_stretches) for k, w in zip(keys, known, strict=True)]
 
     @staticmethod
     def keys(text: str) -> list[str | tuple[str]]:
         """The words of a text that is not empty. Both tokenizers cut before a single space or line end between other characters."""
-        if UNSAFE.search(text):
+        if unsafe(text):
             return [(part,) for part in SAFE_SPACE.split(text)]
         return text.replace("\n", " \n").split(" ")
 
