@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 from tests.conftest import SF
 
 from webloom.llm import common, repeats
@@ -96,3 +97,18 @@ def test_batches_are_bound_by_bytes(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     repeats.remove_repeats(spark.createDataFrame([(1, "x" * 500)], "doc_id long, text string"))
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == 1 << 22
+
+
+def test_ranks_of_blocks_that_are_there_again(spark, monkeypatch):
+    """What is there once gets no rank: no table of ranks has a block of which there is one in all."""
+    once, write = [], repeats._written
+
+    def spy(df, *used):
+        out = write(df, *used)
+        if {"name", "stretch", "one", "rows"} <= set(out.columns) and "repeated" not in out.columns:
+            once.append(out.groupBy("name").agg(F.sum("n").alias("n")).where("n = 1").count())
+        return out
+
+    monkeypatch.setattr(repeats, "_written", spy)
+    assert repeats.op11_repeats(spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert once == [0]

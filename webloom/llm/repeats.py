@@ -260,15 +260,18 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     regions = _written(copies.select(F.monotonically_increasing_id().alias("region"), *TEXT, "start", "body", "copies"), own)
 
     stretches = light(regions).select("region", "start", "body", "copies").mapInArrow(_stretches, STRETCHES)
-    ranks = _written(stretches.groupBy("name", "stretch").agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.min("region").alias("one")))
+    # Blocks that are there once, nine in ten of them, have nothing to tell; ranks are given to what the others lie in.
+    blocks = _written(stretches.groupBy("name").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).where("n > 1"))
+    again = _written(salted_join(stretches, blocks.select("name"), ["name"], hot=hot_keys(blocks, ["name"], "rows")), blocks)
+    ranks = _written(again.groupBy("name", "stretch").agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.min("region").alias("one")))
     shared = _written(ranks.groupBy("name").agg(F.count("*").alias("stretches")).where("stretches > 1"))
     ranks_of = salted_join(ranks, shared, ["name"], "left", hot=hot_keys(shared, ["name"], "stretches")).where("n > 1 OR stretches > 1")
     told = _written(ranks_of.select("name", "stretch", "rows", "one", (F.col("n") > 1).alias("repeated"), F.col("stretches").isNotNull().alias("shared")), ranks, shared)
     # A repeated stretch settles its windows. Where a block is in several stretches, those that are there once, and one of each that is repeated, are compared.
-    joined = salted_join(stretches.select("region", "name", "stretch"), told.drop("rows"), ["name", "stretch"], hot=hot_keys(told, ["name", "stretch"], "rows"))
+    joined = salted_join(again.select("region", "name", "stretch"), told.drop("rows"), ["name", "stretch"], hot=hot_keys(told, ["name", "stretch"], "rows"))
     compare = F.col("shared") & (~F.col("repeated") | (F.col("one") == F.col("region")))
     of_region = joined.groupBy("region").agg(F.collect_set(F.when(F.col("repeated"), F.col("stretch"))).alias("settle"), F.collect_set(F.when(compare, F.col("stretch"))).alias("compare"))
-    of_region = _written(of_region, told)
+    of_region = _written(of_region, told, again)
     taken = light(regions.join(of_region, "region")).select(*TEXT, "start", "body", "copies", "settle", "compare")
     suffixes = _written(taken.mapInArrow(_suffixes, SUFFIXES), regions, of_region)
 
