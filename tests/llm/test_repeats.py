@@ -112,3 +112,51 @@ def test_ranks_of_blocks_that_are_there_again(spark, monkeypatch):
     monkeypatch.setattr(repeats, "_written", spy)
     assert repeats.op11_repeats(spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
     assert once == [0]
+
+
+def test_windows_travel_in_packs(spark, monkeypatch):
+    """Hashes meet in rows of a pack and bucket: no step writes a row for every window that it compares."""
+    rows, write = [], repeats._written
+    rng = random.Random(5)
+    part = "".join(rng.choice("abcdefgh ") for _ in range(190))
+    docs = [(k, "".join(rng.choice("abcdefgh ") for _ in range(100)) + part + "".join(rng.choice("abcdefgh ") for _ in range(100))) for k in range(300)]
+
+    def spy(df, *used):
+        out = write(df, *used)
+        if "stretch" not in out.columns:
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(repeats, "_written", spy)
+    assert result(spark.createDataFrame(docs, "doc_id long, text string")) == plain(docs)
+    assert max(rows) <= 2000
+
+
+def test_more_than_once(spark, monkeypatch):
+    """Over packs and within, with equal first hashes of which the second ones differ, and hashes without second ones."""
+    rng = np.random.default_rng(6)
+    packs = [(rng.integers(0, 2**64, 40, dtype=np.uint64)[rng.integers(0, 40, n)], rng.integers(0, 2, n).astype(np.uint32), rng.integers(1, 3, n)) for n in (0, 1, 30, 200)]
+    packs += [(one[::-1].copy(), two[::-1].copy(), weight) for one, two, weight in packs[2:]] + [(rng.integers(0, 2**64, 50, dtype=np.uint64), np.zeros(50, np.uint32), np.ones(50, np.int64))]
+    for second in (True, False):
+        seen, sent, ranks = Counter(), [], []
+        for k, (one, two, weight) in enumerate(packs):
+            rank, columns = repeats._sent(k, 7, one, two if second else None, weight)
+            ranks.append(rank)
+            sent.append(repeats._rows(repeats.SENT, *columns))
+            for a, b, w in zip(one.tolist(), two.tolist(), weight.tolist(), strict=True):
+                seen[a, b if second else 0] += w
+        frame = spark.createDataFrame([tuple(r.values()) for batch in sent for r in batch.to_pylist()], repeats.SENT).repartition(3)
+        answers = repeats.more_than_once(frame).toArrow()
+        masks = dict(zip(answers.column("pack").to_pylist(), repeats._masks(answers.combine_chunks().to_batches()[0], 1), strict=True))
+        for k, (one, two, _) in enumerate(packs):
+            got = masks.get(k, np.zeros(0, bool))[ranks[k]].tolist()
+            assert got == [seen[a, b if second else 0] > 1 for a, b in zip(one.tolist(), two.tolist(), strict=True)]
+
+
+def test_marks_are_dealt_evenly():
+    """Marks are least hashes; by their own first bits nearly all would meet in one bucket."""
+    data = np.random.default_rng(7).integers(97, 123, 400_000).astype(np.uint8)
+    name = repeats.marked_grams(data, np.array([0, len(data)]))[1]
+    sent = repeats._rows(repeats.SENT, *repeats._sent(0, 16, repeats.evenly(name.tobytes()), None, np.ones(len(name), np.int64))[1])
+    sizes = [len(v) for v in sent.column(2).to_pylist()]
+    assert len(sizes) == 16 and max(sizes) < 2 * min(sizes)

@@ -22,6 +22,8 @@ PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 GRAM, SPREAD = 64, 96
 #: Positions that are hashed together, and the most windows of a region; longer ones are cut into several that overlap by a window.
 CHUNK, PIECE = 1 << 18, 1 << 16
+#: Bytes of regions in a pack, whose hashes travel together, and about how many hashes meet in a bucket; a bucket is a range of hashes, and there are LEAST at least.
+PACK, BUCKET, LEAST = 1 << 20, 1 << 19, 48
 #: A batch of texts or regions on its way to Python: a region has up to PIECE bytes, a thousand of them would fill the memory outside the heap.
 light = partial(small_batches, size=1 << 22)
 #: Names one text: its hash and its length.
@@ -164,11 +166,28 @@ def within(n: int, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return np.cumsum(change)[:n] > 0
 
 
-MARKS = "key long, size long, name long, n long"
+def ranked(one: np.ndarray, two: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The order of hashes by ``one`` (and ``two``), and in that order which differ from the one before."""
+    order = np.argsort(one)
+    new = np.diff(one[order], prepend=np.uint64(0)) != 0
+    new[:1] = True
+    if two is not None and (np.diff(two[order]) != 0)[~new[1:]].any():
+        order = np.lexsort((two, one))
+        new = np.r_[True, (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)]
+    return order, new
+
+
+MARKS = "key array<long>, size array<long>, n array<int>, name binary, many binary, entries long"
+NAMES = "key long, size long, names array<long>"
 REGIONS = "key long, size long, start long, body binary"
-STRETCHES = "region long, name long, stretch long, n long"
-SUFFIXES = "key long, size long, first int, stop int, one long, two int, n int, asks boolean"
-KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
+PACKS = "key array<long>, size array<long>, start array<long>, copies array<long>, length array<long>, body binary, entries long"
+STRETCHES = "pack long, name long, stretch long, n long"
+SENT = "pack long, bucket int, one binary, two binary, many binary"
+ANSWERS = "pack long, bucket int, mask binary"
+#: Bucket -1: a pack's own row, which is not sent: settled runs of window starts (rank -1) and windows that ask, with the rank of their hash in the pack.
+SUFFIXES = SENT + ", key array<long>, size array<long>, own binary, first binary, stop binary, rank binary"
+RUNS = "key long, size long, first int, stop int"
+KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
 
 
 def _rows(schema: str, *columns: np.ndarray | list) -> pa.RecordBatch:
@@ -176,6 +195,52 @@ def _rows(schema: str, *columns: np.ndarray | list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c.cast(KINDS[t]) if isinstance(c, pa.Array) else pa.array(c, KINDS[t]) for c, (_, t) in zip(columns, names, strict=True)], names=[n for n, _ in names])
 
 
+def _cut(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """The values' bytes as a binary column whose rows have so many of them."""
+    offsets = np.r_[0, np.cumsum(counts)] * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _sent(pack: int, buckets: int, one: np.ndarray, two: np.ndarray | None, weight: np.ndarray) -> tuple[np.ndarray, list]:
+    """A pack's different hashes, dealt to buckets: the rank of each hash among them, and the columns of SENT. What is there more than once in the pack is marked."""
+    order, new = ranked(one, two)
+    at = np.flatnonzero(new)
+    rank = np.empty(len(one), np.int32)
+    rank[order] = np.cumsum(new) - 1
+    many = np.add.reduceat(weight[order], at) > 1 if len(at) else np.zeros(0, bool)
+    values = one[order[at]]
+    bucket, counts = np.unique((values >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24), return_counts=True)
+    others = _cut(two[order[at]], counts) if two is not None else [b""] * len(bucket)
+    return rank, [np.full(len(bucket), pack), bucket.astype(np.int32), _cut(values, counts), others, _cut(many, counts)]
+
+
+def _answer(sent: pa.Table) -> pa.Table:
+    """Which of a bucket's hashes are there more than once over all packs: a byte each."""
+    pack, bucket = (sent.column(k).to_numpy() for k in (0, 1))
+    (one, bounds), (two, _), (many, _) = (bytes_of(pa.concat_arrays(sent.column(k).chunks)) for k in (2, 3, 4))
+    order, new = ranked(one.view(np.uint64), two.view(np.uint32) if len(two) else None)
+    mask = np.empty(len(many), bool)
+    mask[order] = (np.add.reduceat(1 + many[order].astype(np.int64), np.flatnonzero(new)) > 1)[np.cumsum(new) - 1]
+    return pa.Table.from_batches([_rows(ANSWERS, pack, bucket, _cut(mask, np.diff(bounds) // 8))])
+
+
+def more_than_once(sent: DataFrame) -> DataFrame:
+    """A pack's answers, each a bucket and its mask. A bucket has a hash once a pack at most, so that none is crowded by what is common."""
+    return sent.select(*SENT.replace(",", "").split()[::2]).groupBy("bucket").applyInArrow(_answer, ANSWERS).groupBy("pack").agg(F.collect_list(F.struct("bucket", "mask")).alias("answers"))
+
+
+def buckets_for(table: DataFrame) -> int:
+    """How many buckets the hashes of a written table need."""
+    return max(LEAST, -(-(table.agg(F.sum("entries")).first()[0] or 0) // BUCKET))
+
+
+def _masks(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
+    """By row the answers in column ``k``, as flags by the rank of a hash."""
+    for answers in batch.column(k):
+        parts = sorted((a["bucket"], a["mask"]) for a in answers.as_py() or [])
+        yield np.frombuffer(b"".join(m for _, m in parts), bool)
+
+
 def _parts(batches: Iterator[pa.RecordBatch], texts: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Batches in runs of about a chunk of bytes, with the bytes of column ``texts`` and their bounds."""
     for whole in batches:
@@ -185,10 +250,42 @@ def _parts(batches: Iterator[pa.RecordBatch], texts: int) -> Iterator[tuple[pa.R
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, data, bounds in _parts(batches, 2):
-        row, name, n = marked_grams(data, bounds)
-        key, size = (batch.column(k).to_numpy() for k in (0, 1))
-        yield _rows(MARKS, key[row], size[row], name, n)
+    for whole in batches:
+        for some in light_slices(whole, 2, 4 * PACK):
+            counts, names, many = [], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+            for batch in light_slices(some, 2, CHUNK):
+                row, name, n = marked_grams(*bytes_of(batch.column(2)))
+                counts.append(np.bincount(row, minlength=len(batch)))
+                names.append(name)
+                many.append(n > 1)
+            name = np.concatenate(names)
+            key, size = (some.column(k).to_numpy() for k in (0, 1))
+            yield _rows(MARKS, [key], [size], [np.concatenate(counts).astype(np.int32)], [name.tobytes()], [np.concatenate(many).tobytes()], [len(name)])
+    trim()
+
+
+def evenly(name: bytes) -> np.ndarray:
+    """Marks as hashes that are spread over all buckets: as the least of many, nearly all of them are small."""
+    return np.frombuffer(name, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _send_marks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for pack, name, many in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            yield _rows(SENT, *_sent(pack, buckets, evenly(name), None, 1 + np.frombuffer(many, np.uint8).astype(np.int64))[1])
+
+
+def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k, mask in enumerate(_masks(batch, 4)):
+            key, size, n = (batch.column(c)[k].values.to_numpy() for c in range(3))
+            name = np.frombuffer(batch.column(3)[k].as_py(), np.int64)
+            order, new = ranked(evenly(name))
+            again = np.zeros(len(name), bool)
+            again[order] = mask[np.cumsum(new) - 1]
+            counts = np.bincount(np.repeat(np.arange(len(n)), n)[again], minlength=len(n))
+            names = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(name[again]))
+            yield _rows(NAMES, key, size, names).filter(pa.array(counts > 0))
 
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,40 +296,100 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(REGIONS, key[rows], size[rows], [s for _, s, _ in found], [b for _, _, b in found])
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in light_slices(whole, 3, PACK):
+            data, bounds = bytes_of(batch.column(3))
+            yield _rows(PACKS, *([batch.column(k).to_numpy()] for k in (0, 1, 2, 4)), [np.diff(bounds)], [data.tobytes()], [len(data)])
+
+
+class Pack:
+    """Regions of one row of PACKS, of which hashes are taken a chunk of bytes at a time."""
+
+    def __init__(self, row: pa.RecordBatch | pa.Table):
+        of = {n: row.column(n)[0] for n in ("key", "size", "start", "copies", "length")}
+        self.key, self.size, self.start, self.copies, length = (v.values.to_numpy() for v in of.values())
+        self.id, self.data, self.bounds = row.column("pack")[0].as_py(), np.frombuffer(row.column("body")[0].as_buffer(), np.uint8), np.r_[0, np.cumsum(length)]
+
+    def parts(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Runs of regions: the first, the end, their bytes and bounds."""
+        first, last = 0, len(self.key)
+        while first < last:
+            stop = max(first + 1, int(np.searchsorted(self.bounds, self.bounds[first] + CHUNK, side="right")) - 1)
+            yield first, stop, self.data[self.bounds[first] : self.bounds[stop]], self.bounds[first : stop + 1] - self.bounds[first]
+            first = stop
+
+    def blocks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The blocks at the cover's positions: rank, the stretch's rank, and how many copies of the region there are."""
+        out = []
+        for first, stop, data, bounds in self.parts():
+            row, name, stretch, begin, end = cover_blocks(data, bounds, self.start[first:stop])
+            # A stretch counts once a place: where it is the whole region, several blocks can be equal.
+            whole = np.flatnonzero((begin == bounds[row]) & (end == bounds[row + 1]))
+            whole = whole[np.lexsort((name[whole], row[whole]))]
+            keep = np.ones(len(row), bool)
+            keep[whole[1:][(np.diff(row[whole]) == 0) & (np.diff(name[whole]) == 0)]] = False
+            out.append((name[keep], stretch[keep], self.copies[first + row[keep]]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _send_blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(len(batch)):
+            pack = Pack(batch.slice(k, 1))
+            name, _, copies = pack.blocks()
+            yield _rows(SENT, *_sent(pack.id, buckets, name.view(np.uint64), None, copies)[1])
+    trim()
+
+
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, data, bounds in _parts(batches, 2):
-        region, start, copies = (batch.column(k).to_numpy() for k in (0, 1, 3))
-        row, name, stretch, first, _ = cover_blocks(data, bounds, start)
-        order = np.lexsort((first, stretch, name, row))
-        row, name, stretch, first = (v[order] for v in (row, name, stretch, first))
-        # A stretch counts once a place: at a region's ends several blocks can have the same one.
-        new = np.r_[True, (row[1:] != row[:-1]) | (name[1:] != name[:-1]) | (stretch[1:] != stretch[:-1])][: len(row)]
-        at = np.flatnonzero(new)
-        n = np.add.reduceat(new | np.r_[True, first[1:] != first[:-1]][: len(row)], at, dtype=np.int64) if len(at) else np.zeros(0, np.int64)
-        yield _rows(STRETCHES, region[row[at]], name[at], stretch[at], n * copies[row[at]])
-
-
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, data, bounds in _parts(batches, 3):
-        key, size, start, copies = (batch.column(k).to_numpy() for k in (0, 1, 2, 4))
-        row, _, stretch, first, stop = cover_blocks(data, bounds, start)
-        flags = []
-        for k in (5, 6):
-            chosen = in_row(stretch, row, *lists_of(batch.column(k)))
-            flags.append(within(len(data), first[chosen], stop[chosen]))
-        settled, compared = flags
+    for batch in batches:
+        for k, mask in enumerate(_masks(batch, batch.schema.get_field_index("answers"))):
+            pack = Pack(batch.slice(k, 1))
+            name, stretch, copies = pack.blocks()
+            order, new = ranked(name.view(np.uint64))
+            order = order[mask[np.cumsum(new) - 1]]
+            name, stretch, copies = name[order], stretch[order], copies[order]
+            order, new = ranked(name.view(np.uint64), stretch.view(np.uint64))
+            at = np.flatnonzero(new)
+            n = np.add.reduceat(copies[order], at) if len(at) else np.zeros(0, np.int64)
+            yield _rows(STRETCHES, np.full(len(at), pack.id), name[order[at]], stretch[order[at]], n)
+    trim()
+
+
+def _suffixes(packs: pa.Table, told: pa.Table, buckets: int) -> pa.Table:
+    """A pack and what is told of its stretches: those of them that are repeated settle their windows, others' windows are compared."""
+    if not len(packs) or not len(told):
+        return pa.Table.from_batches([], _rows(SUFFIXES, *[[]] * 11).schema)
+    pack, parts = Pack(packs), []
+    known = told.column("stretch").to_numpy()
+    chosen = [np.unique(known[told.column(c).to_numpy()]) for c in ("settle", "compare")]
+    for start, end, data, bounds in pack.parts():
+        row, _, stretch, first, stop = cover_blocks(data, bounds, pack.start[start:end])
+        settled, compared = (within(len(data), first[c], stop[c]) for c in (np.isin(stretch, values) for values in chosen))
         runs, at = runs_of(settled), np.flatnonzero(compared)
-        one, two = (Rolling(data, kind).between(at, at + WINDOW).view(np.int64) for kind in (SUFFIX, SUFFIX_TOO))
+        one, two = (Rolling(data, kind).between(at, at + WINDOW) for kind in (SUFFIX, SUFFIX_TOO))
         own = np.searchsorted(bounds, np.r_[runs[:, 0], at], side="right") - 1
-        shift = start[own] - bounds[own]
-        none, of_run = np.zeros(len(runs), np.int64), shift[: len(runs)]
-        # A run has no hashes, a suffix no end: what is null takes no room.
-        ends, hashes = pa.array(runs[:, 1] + of_run, pa.int32()), (np.r_[none, v] for v in (one, two >> 32))
-        mask = np.arange(len(own)) < len(runs)
-        yield _rows(
-            SUFFIXES, key[own], size[own], np.r_[runs[:, 0], at] + shift, pa.concat_arrays([ends, pa.nulls(len(at), pa.int32())]), *[pa.array(v, mask=mask) for v in hashes],
-            np.r_[none, copies[own[len(runs) :]]], np.r_[none > 0, ~settled[at]],
-        )
+        shift = pack.start[start + own] - bounds[own]
+        parts.append((start + own, np.r_[runs[:, 0], at] + shift, np.r_[runs[:, 1], at + 1] + shift, np.arange(len(own)) >= len(runs), np.r_[np.ones(len(runs), bool), ~settled[at]], one, (two >> np.uint64(32)).astype(np.uint32)))
+    own, first, stop, window, asks, one, two = (np.concatenate(x) for x in zip(*parts, strict=True))
+    rank = np.full(len(own), -1, np.int32)
+    rank[window], sent = _sent(pack.id, buckets, one, two, pack.copies[own[window]])
+    places = [[v[asks].astype(np.int32).tobytes()] for v in (own, first, stop, rank)]
+    nothing, n = [None], len(sent[0])
+    return pa.Table.from_batches([_rows(SUFFIXES, *sent, *[[None] * n] * 6), _rows(SUFFIXES, [pack.id], [-1], *[nothing] * 3, [pack.key], [pack.size], *places)])
+
+
+def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k, mask in enumerate(_masks(batch, 6)):
+            key, size = (batch.column(c)[k].values.to_numpy() for c in (0, 1))
+            own, first, stop, rank = (np.frombuffer(batch.column(c)[k].as_buffer(), np.int32) for c in (2, 3, 4, 5))
+            hit = np.r_[mask, True][rank]
+            own, first, stop = own[hit], first[hit], stop[hit]
+            begins = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (first[1:] != stop[:-1])][: len(own)])
+            ends = np.r_[begins[1:], len(own)][: len(begins)] - 1
+            yield _rows(RUNS, key[own[begins]], size[own[begins]], first[begins], stop[ends])
 
 
 def _written(df: DataFrame, *used: DataFrame) -> DataFrame:
@@ -250,36 +407,34 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     apart by); a row is a text of its own. Runs may overlap. Complete and, but for equal hashes of different bytes (64 bits inside a block's bucket, 96 bits elsewhere), exact.
 
     Every step's rows are written and its sources deleted, so that the shared folder never holds more than two steps."""
-    marks = _written(light(texts).select(*TEXT, "text").mapInArrow(_mark, MARKS))
-    names = _written(marks.groupBy("name").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).where("n > 1"))
-    own = salted_join(marks.select(*TEXT, "name"), names.select("name"), ["name"], hot=hot_keys(names, ["name"], "rows"))
-    own = _written(own.groupBy(*TEXT).agg(F.collect_set("name").alias("names")), marks, names)
+    marks = _written(light(texts).select(*TEXT, "text").mapInArrow(_mark, MARKS).select(F.monotonically_increasing_id().alias("pack"), "*"))
+    sent = light(marks).select("pack", "name", "many").mapInArrow(partial(_send_marks, buckets=buckets_for(marks)), SENT)
+    own = light(marks.join(more_than_once(sent), "pack")).select(*TEXT, "n", "name", "answers").mapInArrow(_names, NAMES)
+    own = _written(own.groupBy(*TEXT).agg(F.flatten(F.collect_set("names")).alias("names")), marks)
     found = light(salted_join(texts, own, TEXT)).select(*TEXT, "text", "names").mapInArrow(_regions, REGIONS)
     # Copies of a text have the same regions; one stands for all from here on.
     copies = found.groupBy(*TEXT, "start", F.xxhash64("body").alias("hash")).agg(F.any_value("body").alias("body"), F.count("*").alias("copies"))
-    regions = _written(copies.select(F.monotonically_increasing_id().alias("region"), *TEXT, "start", "body", "copies"), own)
+    packs = light(copies).select(*TEXT, "start", "body", "copies").mapInArrow(_pack, PACKS)
+    packs = _written(packs.select(F.monotonically_increasing_id().alias("pack"), "*"), own)
+    buckets = buckets_for(packs)
 
-    stretches = light(regions).select("region", "start", "body", "copies").mapInArrow(_stretches, STRETCHES)
     # Blocks that are there once, nine in ten of them, have nothing to tell; ranks are given to what the others lie in.
-    blocks = _written(stretches.groupBy("name").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).where("n > 1"))
-    again = _written(salted_join(stretches, blocks.select("name"), ["name"], hot=hot_keys(blocks, ["name"], "rows")), blocks)
-    ranks = _written(again.groupBy("name", "stretch").agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.min("region").alias("one")))
+    sent = light(packs).mapInArrow(partial(_send_blocks, buckets=buckets), SENT)
+    again = _written(light(packs.join(more_than_once(sent), "pack")).mapInArrow(_stretches, STRETCHES))
+    ranks = _written(again.groupBy("name", "stretch").agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.min("pack").alias("one")))
     shared = _written(ranks.groupBy("name").agg(F.count("*").alias("stretches")).where("stretches > 1"))
     ranks_of = salted_join(ranks, shared, ["name"], "left", hot=hot_keys(shared, ["name"], "stretches")).where("n > 1 OR stretches > 1")
     told = _written(ranks_of.select("name", "stretch", "rows", "one", (F.col("n") > 1).alias("repeated"), F.col("stretches").isNotNull().alias("shared")), ranks, shared)
     # A repeated stretch settles its windows. Where a block is in several stretches, those that are there once, and one of each that is repeated, are compared.
-    joined = salted_join(again.select("region", "name", "stretch"), told.drop("rows"), ["name", "stretch"], hot=hot_keys(told, ["name", "stretch"], "rows"))
-    compare = F.col("shared") & (~F.col("repeated") | (F.col("one") == F.col("region")))
-    of_region = joined.groupBy("region").agg(F.collect_set(F.when(F.col("repeated"), F.col("stretch"))).alias("settle"), F.collect_set(F.when(compare, F.col("stretch"))).alias("compare"))
-    of_region = _written(of_region, told, again)
-    taken = light(regions.join(of_region, "region")).select(*TEXT, "start", "body", "copies", "settle", "compare")
-    suffixes = _written(taken.mapInArrow(_suffixes, SUFFIXES), regions, of_region)
-
-    bucket = suffixes.where("stop IS NULL")
-    equal = bucket.groupBy("one", "two").agg(F.sum("n").alias("all"), F.count_if("asks").alias("rows")).where("all > 1 AND rows > 0")
-    equal = _written(equal)
-    hits = salted_join(bucket.where("asks").select(*TEXT, "first", "one", "two"), equal.select("one", "two"), ["one", "two"], hot=hot_keys(equal, ["one", "two"], "rows"))
-    return _written(suffixes.where("stop IS NOT NULL").select(*TEXT, "first", "stop").unionByName(hits.select(*TEXT, "first", (F.col("first") + 1).alias("stop"))), suffixes, equal)
+    joined = salted_join(again.select("pack", "name", "stretch"), told.drop("rows"), ["name", "stretch"], hot=hot_keys(told, ["name", "stretch"], "rows"))
+    compare = F.col("shared") & (~F.col("repeated") | (F.col("one") == F.col("pack")))
+    of_pack = _written(joined.select("pack", "stretch", F.col("repeated").alias("settle"), compare.alias("compare")), told, again)
+    taken = packs.groupBy("pack").cogroup(of_pack.groupBy("pack")).applyInArrow(partial(_suffixes, buckets=buckets), SUFFIXES)
+    suffixes = _written(taken, packs, of_pack)
+
+    places = suffixes.where("bucket < 0").select("pack", *TEXT, "own", "first", "stop", "rank")
+    hits = places.join(more_than_once(suffixes.where("bucket >= 0")), "pack", "left")
+    return _written(light(hits).select(*TEXT, "own", "first", "stop", "rank", "answers").mapInArrow(_hits, RUNS), suffixes)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
