@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 from tests.conftest import SF
 
@@ -160,3 +161,11 @@ def test_marks_are_dealt_evenly():
     sent = repeats._rows(repeats.SENT, *repeats._sent(0, 16, repeats.evenly(name.tobytes()), None, np.ones(len(name), np.int64))[1])
     sizes = [len(v) for v in sent.column(2).to_pylist()]
     assert len(sizes) == 16 and max(sizes) < 2 * min(sizes)
+
+
+def test_large_rows_are_read_a_few_at_a_time(spark):
+    """A row group of packs is read at once, up to 4096 rows: by Spark's usual 128 MB a small heap is full."""
+    rows = spark.range(40, numPartitions=1).select(F.col("id").alias("pack"), F.expr("cast(array_join(transform(sequence(1, 30000), x -> sha2(cast(id * 100000 + x AS string), 256)), '') AS binary)").alias("body"))
+    found = [pq.ParquetFile(f.removeprefix("file:").replace("///", "/")).metadata for f in repeats._written(rows).inputFiles()]
+    groups = [meta.row_group(k) for meta in found for k in range(meta.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 40 and max(g.total_byte_size for g in groups) < 1 << 25

@@ -34,11 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def materialise(df: DataFrame) -> DataFrame:
+#: For tables whose rows have up to some MB: parts of a file that are written and read as a whole have about 8 MB, whatever their number of rows.
+LARGE_ROWS = {"parquet.block.size": str(1 << 23), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "8"}
+
+
+def materialise(df: DataFrame, options: dict[str, str] | None = None) -> DataFrame:
     """Writes ``df`` once into the shared folder and reads it back, so that a lost executor never
     repeats the work above it and values that depend on row order stay as they were. The table goes when the driver's process ends."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/webloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options or {}).parquet(path)
     place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(place)
     return df.sparkSession.read.schema(df.schema).parquet(path)

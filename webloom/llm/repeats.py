@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm.common import discard, hot_keys, light_slices, materialise, salted_join, small_batches, table, trim
+from webloom.llm.common import LARGE_ROWS, discard, hot_keys, light_slices, materialise, salted_join, small_batches, table, trim
 
 #: Length of the repeats that go, in bytes.
 WINDOW = 200
@@ -395,7 +395,7 @@ def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _written(df: DataFrame, *used: DataFrame) -> DataFrame:
     """``materialise``; the tables ``used`` for it go, and so do its shuffle files, as soon as the driver's JVM has collected the plan: Spark drops them then, and
     on a large driver heap that may otherwise be long after."""
-    out = materialise(df)
+    out = materialise(df, LARGE_ROWS if "binary" in dict(df.dtypes).values() and "pack" in df.columns else None)
     for old in used:
         discard(old)
     df.sparkSession._jvm.System.gc()
