@@ -55,44 +55,50 @@ def blank(data: np.ndarray) -> np.ndarray:
 def typeset(data: np.ndarray, starts: np.ndarray, gaps: np.ndarray, per_page: int, pitch: float) -> tuple[Glyphs, np.ndarray, np.ndarray]:
     """Glyphs of texts that begin at ``starts`` of the UTF-8 ``data``, as ``layout.laid_out`` places them; of each page its text and its number there."""
     white = blank(data)
-    lead = ((data & 0xC0) != 0x80) & ~white
+    ink = ~white
+    text, lead = data[ink], ink
+    if data.size and data.max() >= 0x80:
+        lead = ink & ((data & 0xC0) != 0x80)
     byte = np.flatnonzero(lead)
-    n, ends = len(byte), np.cumsum(data == 10)
-    if not n:
-        none = np.zeros(0, np.int64)
-        return Glyphs(none, none * 1.0, none * 1.0, none * 1.0, np.zeros(0, np.uint8), np.zeros(1, np.int64)), none, none
-    bounds = np.append(np.searchsorted(byte, starts), n)
+    n = len(byte)
+    at = np.append(np.flatnonzero(lead[ink]), len(text)) if len(text) > n else np.arange(n + 1)
+    # Lines begin with texts and behind line ends; of each that has glyphs: its text, its place there and its first glyph.
+    ends = np.flatnonzero(data == 10)
+    heads = np.concatenate([ends + 1, starts])
+    order = np.argsort(heads, kind="stable")
+    bounds = np.append(np.searchsorted(byte, heads[order]), n)
+    of = np.cumsum(order >= len(ends)) - 1
+    place = np.arange(len(order)) - np.flatnonzero(order >= len(ends))[of]
     used = np.flatnonzero(np.diff(bounds))
-    row = ends[byte]
-    new = np.zeros(n, bool)
-    new[1:] = row[1:] != row[:-1]
-    new[bounds[used]] = True
-    begins = np.flatnonzero(new)
+    begins, of, place = bounds[used], of[used], place[used]
+    # Words, and how many are before each on its line.
+    new = white[byte - 1]
+    new[begins] = True
+    word = np.flatnonzero(new)
     many = np.diff(np.append(begins, n))
-    # Of each line: its text, its place there, and what its glyphs have before it.
-    of = np.searchsorted(bounds[1:], begins, "right")
-    place = row[begins] - np.where(starts > 0, ends[starts - 1], 0)[of]
-    word = white[byte - 1]
-    word[begins] = True
-    nth = np.cumsum(word)
-    x0 = pitch * (np.arange(n) - np.repeat(begins, many)) + (nth - np.repeat(nth[begins], many)) * np.repeat(gaps[of] - 1, many)
-    top = np.repeat(place % per_page * 12.0, many) + _OFF[data[byte]]
+    first = np.searchsorted(word, begins)
+    nth = np.arange(len(word)) - np.repeat(first, np.diff(np.append(first, len(word))))
+    shift = nth * np.repeat(gaps[of] - 1, np.diff(np.append(first, len(word))))
+    x0 = (np.arange(n) - np.repeat(begins, many)) * pitch
+    x0 += np.repeat(shift, np.diff(np.append(word, n)))
+    top = np.repeat(place % per_page * 12.0, many)
+    top += _OFF[text[at[:-1]] if len(text) > n else text]
     number = place // per_page
-    first = np.flatnonzero(np.append(True, (np.diff(of) != 0) | (np.diff(number) != 0)))
-    ink = ~white
-    at = np.append(np.flatnonzero(lead[ink]), ink.sum())
-    return Glyphs(begins[first], x0, x0 + pitch - 1, top, data[ink], at), of[first], number[first]
+    page = np.flatnonzero(np.append(True, (np.diff(of) != 0) | (np.diff(number) != 0))[: len(of)])
+    return Glyphs(begins[page], x0, x0 + (pitch - 1), top, text, at), of[page], number[page]
 
 
-def _reach(line: np.ndarray, x1: np.ndarray) -> np.ndarray:
-    """How far glyphs of each line reach, up to each of them; lines stand together, numbers rise."""
-    same = line[1:] == line[:-1]
-    if not np.any(same & (x1[1:] < x1[:-1])):
+def _reach(begins: np.ndarray, x1: np.ndarray) -> np.ndarray:
+    """How far glyphs of each line reach, up to each of them; lines stand together and begin at ``begins``."""
+    back = x1[1:] < x1[:-1]
+    back[begins[1:] - 1] = False
+    if not back.any():
         return x1
     order = np.argsort(x1, kind="stable")
     rank = np.empty(len(x1), np.int64)
     rank[order] = np.arange(len(x1))
-    return x1[order[np.maximum.accumulate(line * len(x1) + rank) - line * len(x1)]]
+    line = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(x1)))) * len(x1)
+    return x1[order[np.maximum.accumulate(line + rank) - line]]
 
 
 def read(glyphs: Glyphs, x_tolerances: tuple[float, ...], y_tolerance: float) -> Lines:
@@ -102,7 +108,8 @@ def read(glyphs: Glyphs, x_tolerances: tuple[float, ...], y_tolerance: float) ->
     if not n:
         return Lines(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.uint8), np.zeros(1, np.int64), [np.zeros(0, np.int64) for _ in x_tolerances])
     # Heights are sorted by runs of glyphs that have the same: a line ends where the next is more than the tolerance below.
-    new = np.append(True, top[1:] != top[:-1])
+    new = np.empty(n, bool)
+    np.not_equal(top[1:], top[:-1], out=new[1:])
     new[pages] = True
     runs = np.flatnonzero(new)
     page, high = np.searchsorted(pages, runs, "right") - 1, top[runs]
@@ -111,10 +118,12 @@ def read(glyphs: Glyphs, x_tolerances: tuple[float, ...], y_tolerance: float) ->
     apart = np.append(True, (page[1:] != page[:-1]) | (high[1:] - high[:-1] > y_tolerance))
     number = np.empty(len(runs), np.int64)
     number[order] = np.cumsum(apart) - 1
-    line = np.repeat(number, np.diff(np.append(runs, n)))
+    begins = runs[np.append(True, number[1:] != number[:-1])]
     # Most pages hold their glyphs in reading order; others are sorted, at one place by text.
-    step = line[1:] - line[:-1]
-    if np.any((step < 0) | (step == 0) & (x0[1:] <= x0[:-1])):
+    back = x0[1:] <= x0[:-1]
+    back[begins[1:] - 1] = False
+    if back.any() or np.any(number[1:] < number[:-1]):
+        line = np.repeat(number, np.diff(np.append(runs, n)))
         drawn = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(text)])
         table = pa.table({"line": line, "x0": x0, "x1": x1, "text": drawn})
         table = table.take(pc.sort_indices(table, [(c, "ascending") for c in table.column_names]))
@@ -122,13 +131,13 @@ def read(glyphs: Glyphs, x_tolerances: tuple[float, ...], y_tolerance: float) ->
         drawn = pa.concat_arrays(table["text"].chunks)
         at = np.frombuffer(drawn.buffers()[1], np.int64, n + 1, 8 * drawn.offset)
         at, text = at - at[0], np.frombuffer(drawn.buffers()[2], np.uint8)[at[0] : at[-1]]
-    first = np.append(True, line[1:] != line[:-1])
-    begins = np.flatnonzero(first)
-    space = x0[1:] - _reach(line, x1)[:-1]
-    parted = [np.append(True, first[1:] | (space > x)) for x in x_tolerances]
-    between = parted[0] & ~first
-    spaces = np.cumsum(between)
-    return Lines(page[apart], high[apart], np.insert(text, at[:-1][between], 32), np.append(at[begins] + spaces[begins], at[-1] + spaces[-1]), [np.add.reduceat(p, begins, dtype=np.int64) for p in parted])
+        begins = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+    # Breaks between words of a line, by the glyph that comes next.
+    space = x0[1:] - _reach(begins, x1)[:-1]
+    space[begins[1:] - 1] = -np.inf
+    breaks = [np.flatnonzero(space > x) + 1 for x in x_tolerances]
+    before = [np.searchsorted(b, np.append(begins, n)) for b in breaks]
+    return Lines(page[apart], high[apart], np.insert(text, at[breaks[0]], 32), at[np.append(begins, n)] + before[0], [np.diff(b) + 1 for b in before])
 
 
 def _pieces(data: np.ndarray, offsets: np.ndarray, per_page: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
